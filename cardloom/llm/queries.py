@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from cardloom.llm.common import table
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "pieces")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,10 +35,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": op1_source_mix,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_secret_links": op10_secret_links,
 }
 
 ORACLE: dict[str, str] = {}
