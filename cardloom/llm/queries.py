@@ -29,12 +29,25 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.url_filters import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.topk import quantised, top_k
+
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm.secrets import find_secrets
 
@@ -45,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_url_filters": op5_url_filters,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_exact_top_k": op8_exact_top_k,
     "op10_secret_links": op10_secret_links,
 }
 
