@@ -35,6 +35,12 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.decontaminate import find_items
+
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm.substrings import remove_repeats
 
@@ -48,6 +54,12 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spans=True)
+
+
 def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm.secrets import find_secrets
 
@@ -59,8 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_url_filters": op5_url_filters,
+    "op6_decontaminate": op6_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_secret_links": op10_secret_links,
 }
 
