@@ -29,6 +29,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.toxicity import CATEGORIES, classify, fit, label_columns
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, label_columns(table(spark, sf_dir, "labels")), CATEGORIES))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm.url_filters import filter_urls
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_decontaminate": op6_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
