@@ -165,37 +165,44 @@ class Items:
         return best
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_FOUND = "contaminated boolean, items array<struct<item_id:bigint,similarity:double,word_from:int,words:int>>"
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", keep: str = "report") -> DataFrame:
     """One row per document: doc_id, contaminated, and items, an array of (item_id, similarity, word_from, words).
 
-    Null and empty texts hold no item; null, wordless and repeated items find nothing more than others. Null ids and
-    repeated rows keep their rows; other columns aren't read. Documents of any length are read whole. Text of items beyond
-    SLICE_BYTES goes in further passes over the documents, whose findings are put together per row.
+    With ``keep="clean"``: the documents, all columns, that hold no item. Null and empty texts hold no item; null, wordless
+    and repeated items find nothing more than others. Null ids and repeated rows keep their rows. Documents of any length are
+    read whole. Items beyond SLICE_BYTES of text go in further passes over what is already found.
     """
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema
-    schema = T.StructType([*schema.fields, *T.StructType.fromDDL("contaminated boolean, items array<struct<item_id:bigint,similarity:double,word_from:int,words:int>>").fields])
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    report = docs if keep == "clean" else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    at = report.columns.index(text_col if keep == "clean" else "text")
+    if clash := {"contaminated", "items"} & set(report.columns):
+        raise ValueError(f"columns {sorted(clash)} are taken")
+    added = T.StructType.fromDDL(_FOUND)
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("word_from", pa.int32()), ("words", pa.int32())]))
+
+    def one(frame: DataFrame, rows: list[tuple[int, str | None]], first: bool) -> DataFrame:
+        schema = T.StructType([*frame.schema.fields, *added.fields]) if first else frame.schema
 
-    def one(rows: list[tuple[int, str | None]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(rows, size, least, radius)
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("word_from", pa.int32()), ("words", pa.int32())]))
             for batch in batches:
-                found = [[dict(zip(("item_id", "similarity", "word_from", "words"), f, strict=True)) for f in items.search(t)] for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(f) for f in found]), pa.array(found, kind)], names=["doc_id", "contaminated", "items"])
-
-        return texts.mapInArrow(run, schema)
-
-    slices = benchmark_slices(benchmark)
-    if len(slices) == 1:
-        return one(slices[0])
-    parts = [one(s).select("doc_id", "items") for s in slices]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("doc_id").agg(F.flatten(F.collect_list("items")).alias("items"))
-    joined = texts.select("doc_id").join(merged.withColumnRenamed("doc_id", "name"), F.col("doc_id").eqNullSafe(F.col("name")), "left")
-    return joined.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
+                found = [[dict(zip(("item_id", "similarity", "word_from", "words"), f, strict=True)) for f in items.search(t)] for t in batch.column(at).to_pylist()]
+                columns = batch.columns
+                if not first:
+                    found = [a + b for a, b in zip(columns[-1].to_pylist(), found, strict=True)]
+                    columns = columns[:-2]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(f) for f in found]), pa.array(found, kind)], names=schema.names)
+
+        return frame.mapInArrow(run, schema)
+
+    found = report
+    for i, rows in enumerate(benchmark_slices(benchmark)):
+        found = one(found, rows, not i)
+    if keep == "clean":
+        return found.where("not contaminated").select(docs.columns)
+    return found.drop("text")
 
 
 def benchmark_slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> list[list[tuple[int, str | None]]]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import checkpoint, n_words
+from cardloom.llm.common import WORD, checkpoint, n_words
 
 #: Words of a block, and of an output shard on average.
 BLOCK_WORDS, SHARD_WORDS = 2_048, 1_000_000
@@ -136,9 +136,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int =
     drawn = ranges.select("shard", "place", "quota", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("rank"))
     drawn = drawn.select("shard", "place", _permuted("rank", "quota", seed).alias("block"))
     mixed = cut.join(drawn, ["place", "block"], "left")
-    return mixed.select("row", "doc_id", "source", "size", "source_size", "target", "copy", "word_from", F.col("taken").alias("words"), "shard", F.xxhash64(F.lit(seed), "key", "copy", "block").alias("shuffle"))
+    return mixed.select("row", "doc_id", "source", "size", "source_size", "target", "copy", "word_from", F.col("taken").alias("words"), "shard", F.xxhash64(F.lit(seed), "key", "copy", "block").alias("shuffle"), "key")
 
 
 def mixture(docs: DataFrame, **options: object) -> DataFrame:
     """One row per document of the mix: doc_id, source, size, source_size, target, taken, pieces (and those of ``mix``)."""
     return mix(docs, **options).groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")), F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken"), F.count("words").alias("pieces")).drop("row")
+
+
+def mix_texts(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The mix with its texts: all columns of the documents, the text being that of the piece, and source_size, target, copy,
+    word_from, words, shard and place (the piece's place in its shard). Documents that the mix leaves out have no row.
+
+    A piece that is a whole document has its text unchanged; others have their words and what stands after each. Places are
+    given before texts are joined, so that each text is shuffled once, however often it is taken.
+    """
+    told = ["source_size", "target", "copy", "word_from", "words", "shard", "place"]
+    if clash := {*told, "_key", "_twin", "_size"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are taken")
+    pieces = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **options).where("words is not null")
+    at = F.row_number().over(Window.partitionBy("shard").orderBy("shuffle", "row", "word_from"))
+    pieces = pieces.withColumn("place", at.cast("long")).select(F.col("key").alias("_key"), F.col("size").alias("_size"), *told)
+    # rows that repeat an id and a text have pieces of their own, but one text
+    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), id_col, text_col))
+    twin = F.row_number().over(Window.partitionBy("_key").orderBy(*(c for c in docs.columns if c != text_col)))
+    texts = keyed.withColumn("_twin", twin).where("_twin = 1")
+    parts = F.slice(F.regexp_extract_all(text_col, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), (F.col("word_from") + 1).cast("int"), F.col("words").cast("int"))
+    text = F.when((F.col("word_from") == 0) & (F.col("words") == F.col("_size")), F.col(text_col)).otherwise(F.array_join(parts, ""))
+    return texts.join(pieces, "_key").withColumn(text_col, text).select(*docs.columns, *told)
