@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cardloom.llm import oracles
 from cardloom.llm.common import table
 
 
@@ -86,4 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_links": op10_secret_links,
 }
 
-ORACLE: dict[str, str] = {}
+#: The others need functions that SQL lacks (XXH64, tokenizers, trained models, keyed permutations, seeded draws).
+ORACLE: dict[str, str] = {
+    "op5_url_filters": oracles.URLS,
+    "op7_substring_dedup": oracles.SUBSTRINGS,
+    "op8_exact_top_k": oracles.TOP_K,
+    "op10_secret_links": oracles.SECRETS,
+}
