@@ -265,6 +265,11 @@ def structure_ops(names: list[str], ops: list[dict]) -> list[str]:
     return out
 
 
+def _entry(key: str, name: str | None) -> Column:
+    """The entry of a name in a list of entries, null if there is none."""
+    return F.get(F.filter(key, lambda e: e["name"] == F.lit(name)), F.lit(0))
+
+
 def restructure(types: DataFrame, type_name: str, key: str, ops: list[dict]) -> DataFrame:
     """The types with a list of entries (``fields`` or ``templates``) changed by operations; entries keep what they hold."""
     row = types.where(F.col("name") == type_name).select(key).first()
@@ -281,7 +286,7 @@ def restructure(types: DataFrame, type_name: str, key: str, ops: list[dict]) ->
     element = types.schema[key].dataType.elementType
     entries = []
     for i, name in enumerate(after):
-        old = F.get(F.filter(key, lambda e, was=origin.get(name): e["name"] == was), F.lit(0))
+        old = _entry(key, origin.get(name))
         entries.append(F.struct(*((F.lit(i) if f.name == "ord" else F.lit(name) if f.name == "name" else F.coalesce(old[f.name], F.lit(None).cast(f.dataType))).cast(f.dataType).alias(f.name) for f in element.fields)))
     return types.withColumn(key, F.when(F.col("name") == type_name, F.array(*entries)).otherwise(F.col(key)))
 

@@ -10,33 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cardloom.operators.incremental import drain_merge
 from cardloom.schema import CHANGES
-
-
-class State:
-    """A table in versions: each batch writes the next one and then names it, so a reader never sees half of it."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _of(self, version: int) -> str:
-        return f"{self.folder}/v={version}"
-
-    def version(self) -> int:
-        """The last version that was written whole, -1 for none."""
-        jvm = self.spark._jvm
-        if not self.fs.exists(self.path):
-            return -1
-        found = [s.getPath() for s in self.fs.listStatus(self.path)]
-        whole = [int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and self.fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(whole, default=-1)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self._of(self.version()))
-
-    def write(self, table: DataFrame, version: int) -> None:
-        table.write.mode("overwrite").parquet(self._of(version))
+from cardloom.sources.state import State
 
 
 def maintain(changes: DataFrame, notes: Callable[[], DataFrame], state: State, marks: State, checkpoint: str, derive: Callable[[DataFrame], DataFrame], **trigger: object) -> StreamingQuery:
@@ -51,12 +25,12 @@ def maintain(changes: DataFrame, notes: Callable[[], DataFrame], state: State, m
         fresh = derive(notes().join(actions.where("action = 'maintain'"), "note_id", "left_semi"))
         table = fresh
         if number and state.version() >= 0:
-            old = state.spark.read.parquet(state._of(min(number - 1, state.version())))
+            old = state.spark.read.parquet(state.of(min(number - 1, state.version())))
             table = old.join(actions.select("note_id"), "note_id", "left_anti").unionByName(fresh)
         state.write(table, number)
         failed = rows.agg(F.min(F.when(~F.col("success"), F.col("col_mod"))).alias("failed"))
         if number and marks.version() >= 0:
-            before = state.spark.read.parquet(marks._of(min(number - 1, marks.version()))).select(F.col("watermark").alias("was"), F.col("floor").alias("was_floor"))
+            before = state.spark.read.parquet(marks.of(min(number - 1, marks.version()))).select(F.col("watermark").alias("was"), F.col("floor").alias("was_floor"))
         else:
             before = failed.select(F.lit(None).cast("long").alias("was"), F.lit(None).cast("long").alias("was_floor"))
         known = failed.join(before).select(F.least("failed", "was_floor").alias("floor"), "was")
