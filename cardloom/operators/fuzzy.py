@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cardloom.functions.text import byte_span, nfc, occurrences, trigram_rows
 from cardloom.schema import HIDDEN_SOURCES
@@ -18,6 +20,7 @@ from cardloom.schema import HIDDEN_SOURCES
 MIN_SHARED = 2
 #: Terms of a bank that are carried to the scan; a larger bank joins the stored postings instead.
 CARRIED_TERMS = 200_000
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
 @dataclass(frozen=True)
@@ -150,8 +153,16 @@ def evidence(rows: DataFrame, bank: DataFrame, segments: DataFrame) -> DataFrame
     return told.withColumn("span", byte_span("text", "needle")).drop("needle")
 
 
-def fuzzy_span(text: str, query: str) -> tuple[int, int] | None:
+def fuzzy_span(text: str | None, query: str | None) -> tuple[int, int] | None:
     """From the first to the last window that text and query share, in UTF-8 bytes of the text."""
-    own = {query.lower()[i : i + 3] for i in range(len(query) - 2)}
+    text, low = text or "", (query or "").lower()
+    own = {low[i : i + 3] for i in range(len(low) - 2)}
     hits = [i for i in range(len(text) - 2) if text[i : i + 3].lower() in own]
     return (len(text[: hits[0]].encode()), len(text[: hits[-1] + 3].encode())) if hits else None
+
+
+@F.pandas_udf(_SPAN)
+def matched_span(text: pd.Series, query: pd.Series) -> pd.DataFrame:
+    """``fuzzy_span`` of columns, for hits alone."""
+    spans = [fuzzy_span(t, q) or (None, None) for t, q in zip(text, query, strict=True)]
+    return pd.DataFrame({"start": pd.array([s for s, _ in spans], dtype="Int32"), "end": pd.array([e for _, e in spans], dtype="Int32")})

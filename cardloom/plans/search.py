@@ -96,6 +96,7 @@ def search(bank: DataFrame, index: Index, top_k: int = 10, query_vectors: DataFr
         return out.select(columns)
     found = lexical.select("query_id", "note_id", "seg_id", F.when(F.col("signal") == "exact", "substring").otherwise("fuzzy").alias("how"))
     told = found.join(out.select("query_id", "note_id"), ["query_id", "note_id"], "left_semi").join(index.segments.select("seg_id", "source", "ref", "text"), "seg_id").join(bank.select("query_id", F.col("text").alias("needle")), "query_id")
-    shown = F.struct("source", "ref", "text", byte_span("text", "needle").alias("span"))
-    kinds = told.groupBy("query_id", "note_id").agg(*(F.first(F.when(F.col("how") == how, shown), ignorenulls=True).alias(how) for how in ("substring", "fuzzy")))
+    told = told.withColumns({"literal": byte_span("text", "needle"), "shared": fuzzy.matched_span("text", "needle")})
+    shown = {how: F.struct("source", "ref", "text", F.col(span).alias("span")) for how, span in (("substring", "literal"), ("fuzzy", "shared"))}
+    kinds = told.groupBy("query_id", "note_id").agg(*(F.first(F.when(F.col("how") == how, s), ignorenulls=True).alias(how) for how, s in shown.items()))
     return out.join(kinds, ["query_id", "note_id"], "left").select(*columns, "substring", "fuzzy")

@@ -157,6 +157,7 @@ def test_fused_search_end_to_end(spark):
     hits = [r for r in got if r.query_id == 0]
     assert [r.note_id for r in hits] == [1, 2, 3] and hits[0].substring.span.start == 4 and hits[0].semantic is None
     assert hits[1].semantic == 0.8 and [s.signal for s in hits[1].signals] == ["fuzzy", "text"]
+    assert (hits[1].fuzzy.span.start, hits[1].fuzzy.span.end) == (0, 10) and hits[1].substring is None
     assert [r.note_id for r in got if r.query_id == 1] == [1]
     assert search.gate(["ab"], []) [0] is False and search.gate(["abc"], [])[0] and search.stale(1, 2) and not search.stale(1, 1)
     with pytest.raises(ValueError, match="needed"):
