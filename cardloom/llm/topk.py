@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 
 #: Vectors of a shard and of a page, branches of a routing node, and queries of a block.
-SHARD, PAGE, FAN, BLOCK = 16_384, 64, 16, 512
+SHARD, PAGE, FAN, BLOCK = 8_192, 512, 16, 512
 SCALE = 1024
 
 

@@ -26,7 +26,7 @@ def brute(rows, k=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [100, 16_384])
+@pytest.mark.parametrize("shard", [100, 8_192])
 def test_equals_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD", shard)
     monkeypatch.setattr(topk, "BLOCK", 5)
