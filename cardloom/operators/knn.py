@@ -95,6 +95,35 @@ def _merge(held: tuple[np.ndarray, np.ndarray], notes: np.ndarray, sims: np.ndar
     return notes[keep], sims[keep]
 
 
+def best_in_bank(vectors: DataFrame, queries: DataFrame, itself: bool = False) -> DataFrame:
+    """(note_id, best): each note's greatest similarity to a query of the bank; ``itself``: to one of its own id too.
+
+    The bank's blocks meet each vector where it is read, which gives one row per vector and block.
+    """
+    parts = []
+    for ids, bank in query_blocks(queries):
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, bank: np.ndarray = bank) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                notes = batch.column(0).to_numpy()
+                matrix = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(notes), -1)
+                best = np.full(len(notes), -np.inf)
+                for own, sims in zip(ids, _products(matrix, bank), strict=True):
+                    best = np.maximum(best, sims if itself else np.where(notes == own, -np.inf, sims))
+                some = np.isfinite(best)
+                yield pa.RecordBatch.from_arrays([pa.array(notes[some]), pa.array(best[some])], names=["note_id", "best"])
+
+        parts.append(vectors.select("note_id", "vec").where("vec is not null").mapInArrow(run, "note_id long, best double"))
+    if not parts:
+        return vectors.select("note_id", F.lit(None).cast("double").alias("best")).limit(0)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.groupBy("note_id").agg(F.max("best").alias("best"))
+
+
 def semantic(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = 0.5, scope: DataFrame | None = None, exclude: DataFrame | None = None, floor: float | None = None) -> DataFrame:
     """(query_id, note_id, score, rank). The score is rounded before ``threshold`` (at least) or ``floor`` (above) judge it."""
     out = nearest(queries, vectors, k, scope, exclude).withColumn("score", round3("sim"))

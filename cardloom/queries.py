@@ -297,8 +297,7 @@ def cross_space_modes(spark, d):
 @query("SELECT b AS bucket, count(sim) AS n FROM range(20) r(b) LEFT JOIN (SELECT greatest(least(floor(sim * 20)::INT, 19), 0) AS k, sim FROM (SELECT v.vec_id, max(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS sim FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY v.vec_id)) ON b = k GROUP BY b")
 def dedup_histogram(spark, d):
     own, bank = t.embedding_vectors(spark, d), _bank(spark, d)
-    every = knn.nearest(bank, own, own.count(), exclude=bank.select("query_id", F.col("query_id").alias("note_id")))
-    best = every.groupBy("note_id").agg(F.max("sim").alias("best"))
+    best = knn.best_in_bank(own, bank)
     return calibrate.duplicate_histogram(best)
 
 
