@@ -25,6 +25,8 @@ from cardloom.llm.common import WORD_RE, sorted_groups
 
 #: UTF-8 bytes of a chunk's documents, on average. With under 0x10F800 distinct words each has a code point of its own.
 CHUNK_BYTES = 3_000_000
+#: Chunks that share a task, on average.
+CHUNKS_PER_PARTITION = 4
 #: Bytes of phrase hashes that a bucket takes, on average.
 BUCKET_BYTES = 24_000_000
 
@@ -222,11 +224,12 @@ def remove_repeats(docs: DataFrame, width: int = 13, digests: bool = False, id_c
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
     chunks = max(1, -(-n_bytes // CHUNK_BYTES))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * n_bytes // BUCKET_BYTES))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
+    # as many partitions as the chunks need, whatever the session's number; one exchange of the texts serves both groupings
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks // CHUNKS_PER_PARTITION))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(parts, "chunk")
     at_chunk = dealt.groupBy("chunk")
-    # grouped as for the cogroup below, so that Spark shuffles the texts once for both
     sent = at_chunk.applyInArrow(_send(width, buckets), "bucket int, chunk long, n int, steps binary, at binary, names binary")
-    told = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk long, bucket int, n int, bits binary")
+    told = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk long, bucket int, n int, bits binary").repartition(parts, "chunk")
     if digests:
         return at_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_locate(width, _DIGESTS, _fill_digests), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return at_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_locate(width, _TEXTS, _fill_texts), "doc_id long, n_words long, n_removed long, kept string")
