@@ -165,6 +165,8 @@ class Items:
         return best
 
 
+#: Stands for the verdict beside any columns that documents have.
+_FLAG = "_cardloom_contaminated"
 _FOUND = "contaminated boolean, items array<struct<item_id:bigint,similarity:double,word_from:int,words:int>>"
 
 
@@ -177,9 +179,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least
     """
     report = docs if keep == "clean" else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     at = report.columns.index(text_col if keep == "clean" else "text")
-    if clash := {"contaminated", "items"} & set(report.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
-    added = T.StructType.fromDDL(_FOUND)
+    added = T.StructType.fromDDL(_FOUND if keep == "report" else _FOUND.replace("contaminated", _FLAG).replace("items", _FLAG + "_items", 1))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("word_from", pa.int32()), ("words", pa.int32())]))
 
     def one(frame: DataFrame, rows: list[tuple[int, str | None]], first: bool) -> DataFrame:
@@ -201,7 +201,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least
     for i, rows in enumerate(benchmark_slices(benchmark)):
         found = one(found, rows, not i)
     if keep == "clean":
-        return found.where("not contaminated").select(docs.columns)
+        return found.where(~F.col(_FLAG)).select(docs.columns)
     return found.drop("text")
 
 

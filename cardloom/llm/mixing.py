@@ -149,18 +149,19 @@ def mix_texts(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_co
     word_from, words, shard and place (the piece's place in its shard). Documents that the mix leaves out have no row.
 
     A piece that is a whole document has its text unchanged; others have their words and what stands after each. Places are
-    given before texts are joined, so that each text is shuffled once, however often it is taken.
+    given before texts are joined, so that each text is shuffled once, however often it is taken. Input columns that have the
+    name of an added one give way to it.
     """
     told = ["source_size", "target", "copy", "word_from", "words", "shard", "place"]
-    if clash := {*told, "_key", "_twin", "_size"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    columns = [c for c in docs.columns if c not in told]
+    docs = docs.select(columns)
     pieces = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **options).where("words is not null")
     at = F.row_number().over(Window.partitionBy("shard").orderBy("shuffle", "row", "word_from"))
-    pieces = pieces.withColumn("place", at.cast("long")).select(F.col("key").alias("_key"), F.col("size").alias("_size"), *told)
+    pieces = pieces.withColumn("place", at.cast("long")).select(F.col("key").alias("_cardloom_key"), F.col("size").alias("_cardloom_size"), *told)
     # rows that repeat an id and a text have pieces of their own, but one text
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), id_col, text_col))
-    twin = F.row_number().over(Window.partitionBy("_key").orderBy(*(c for c in docs.columns if c != text_col)))
-    texts = keyed.withColumn("_twin", twin).where("_twin = 1")
+    keyed = docs.withColumn("_cardloom_key", F.xxhash64(F.lit(seed), id_col, text_col))
+    twin = F.row_number().over(Window.partitionBy("_cardloom_key").orderBy(id_col, *(c for c in columns if c not in (id_col, text_col))))
+    texts = keyed.withColumn("_cardloom_twin", twin).where("_cardloom_twin = 1")
     parts = F.slice(F.regexp_extract_all(text_col, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), (F.col("word_from") + 1).cast("int"), F.col("words").cast("int"))
-    text = F.when((F.col("word_from") == 0) & (F.col("words") == F.col("_size")), F.col(text_col)).otherwise(F.array_join(parts, ""))
-    return texts.join(pieces, "_key").withColumn(text_col, text).select(*docs.columns, *told)
+    text = F.when((F.col("word_from") == 0) & (F.col("words") == F.col("_cardloom_size")), F.col(text_col)).otherwise(F.array_join(parts, ""))
+    return texts.join(pieces, "_cardloom_key").withColumn(text_col, text).select(*columns, *told)

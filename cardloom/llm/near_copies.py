@@ -126,11 +126,13 @@ def first_of_copies(docs: DataFrame, size: int = SHINGLE, least: float = SIMILAR
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.th").alias("kept_th"))
     same = F.col("kept_th").eqNullSafe(F.col("th")) & F.col("kept_id").eqNullSafe(F.col("doc_id"))
     rows = measured.groupBy("doc_id", "th").agg(F.count("*").alias("n")).join(kept, same, "left_semi")
-    names = rows.select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th"), "n")
-    held = docs.withColumn("th", text_hash).join(names, same)
+    ours = [f"_cardloom_{c}" for c in ("id", "text", "n", "own", "at")]  # beside any columns that documents have
+    names = rows.select(F.col("doc_id").alias(ours[0]), F.col("th").alias(ours[1]), F.col("n").alias(ours[2]))
+    held = docs.withColumn(ours[3], text_hash).join(names, F.col(ours[1]).eqNullSafe(F.col(ours[3])) & F.col(ours[0]).eqNullSafe(F.col("doc_id")))
     # rows that repeat an id and a text: one of them
-    once = held.where("n = 1").select(docs.columns)
-    again = held.where("n > 1").withColumn("at", F.row_number().over(Window.partitionBy("kept_id", "kept_th").orderBy(*(c for c in docs.columns if c != "text")))).where("at = 1").select(docs.columns)
+    once = held.where(F.col(ours[2]) == 1).select(docs.columns)
+    order = Window.partitionBy(*ours[:2]).orderBy(*(c for c in docs.columns if c != "text"))
+    again = held.where(F.col(ours[2]) > 1).withColumn(ours[4], F.row_number().over(order)).where(F.col(ours[4]) == 1).select(docs.columns)
     return once.unionByName(again)
 
 

@@ -199,12 +199,11 @@ def pseudonymise(docs: DataFrame, key: bytes = b"cardloom", text_col: str = "tex
     """The documents, all columns and rows, with entities in ``text_col`` replaced; with n_<kind> columns for each kind.
 
     ``spans`` adds where entities stood in the input: an array of (start, end, kind), code points. Null and empty texts
-    stay as they are. Each row is replaced on its own, so repeated rows and null ids stay alike; columns that would clash
-    with n_<kind> are refused.
+    stay as they are. Each row is replaced on its own, so repeated rows and null ids stay alike. Input columns that have the
+    name of an added one give way to it.
     """
     counts = [f"n_{k}" for k in KINDS]
-    if clash := {*counts, "entities"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    docs = docs.drop(*counts, *["entities"] * spans)
     schema, at = docs.schema, docs.columns.index(text_col)
     added = [f"{name} int" for name in counts] + ["entities array<struct<start:int,end:int,kind:string>>"] * spans
     schema = T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(added)).fields])

@@ -68,3 +68,10 @@ def test_slices_and_empty_tables(spark):
     assert [x.item_id for x in d.find_items(docs, bench).first()["items"]] == [3]
     assert d.find_items(docs.limit(0), bench).count() == 0
     assert d.find_items(docs, bench.limit(0)).first().contaminated is False
+
+
+def test_clean_rows_keep_their_columns(spark):
+    bench = spark.createDataFrame([(1, "item number one of the benchmark here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x item number one of the benchmark here y", "own", True), (2, "clean", "own", False), (None, None, None, None)], "doc_id long, text string, items string, contaminated boolean")
+    got = d.find_items(docs, bench, keep="clean")
+    assert got.columns == docs.columns and sorted((str(r.doc_id), str(r["items"])) for r in got.collect()) == [("2", "own"), ("None", "None")]

@@ -100,3 +100,15 @@ def test_empty_tables(spark):
     assert mixing.mixture(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = mixing.mixture(spark.createDataFrame([(1, None, None, 0, 0.0)], SCHEMA)).collect()
     assert [(r.doc_id, r.size, r.target, r.taken) for r in rows] == [(1, 0, 0.0, 0)]
+
+
+def test_texts_of_pieces_with_clashing_columns(spark):
+    docs = spark.createDataFrame(made(9), SCHEMA)
+    got = mixing.mix_texts(docs, block=50, shard_words=3000).collect()
+    plain = mixing.mix(docs, block=50, shard_words=3000).where("words is not null").collect()
+    assert sorted((str(r.doc_id), r.word_from, r.words, r.shard) for r in got) == sorted((str(r.doc_id), r.word_from, r.words, r.shard) for r in plain)
+    texts = {}
+    for d, t, s, *_ in made(9):
+        texts.setdefault(d, []).append(t)
+    for r in got:
+        assert any(r.text in (t or "") for t in texts[r.doc_id]) and len(r.text.replace("\n", " ").replace("\t", " ").split(" ")) >= r.words

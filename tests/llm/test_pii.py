@@ -1,7 +1,5 @@
 import re
 
-import pytest
-
 from cardloom.llm import pii
 
 
@@ -52,5 +50,7 @@ def test_shape_keeps_shapes_apart():
 def test_empty_and_clash(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pseudonymise(docs).count() == 0
-    with pytest.raises(ValueError, match="n_email"):
-        pii.pseudonymise(spark.createDataFrame([], "text string, n_email int"))
+    clash = spark.createDataFrame([("a@b.org", "old", 1)], "text string, n_email string, entities int")
+    got = pii.pseudonymise(clash).first()
+    assert got.n_email == 1 and got["entities"] == 1 and got.text != "a@b.org"
+    assert pii.pseudonymise(clash, spans=True).first()["entities"][0].kind == "email"
