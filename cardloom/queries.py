@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,11 +18,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
+#: Columns that SQL makes as 64-bit numbers.
+_LONG = ("rank", "tag_rank", "at", "bucket", "ndim")
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows and types."""
+
     def register(function: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name or function.__name__] = function
+        @wraps(function)
+        def typed(spark: SparkSession, folder: str) -> DataFrame:
+            out = function(spark, folder)
+            return out.withColumns({c: F.col(c).cast("long") for c in _LONG if c in out.columns})
+
+        QUERIES[function.__name__] = typed
         if sql:
-            ORACLE[name or function.__name__] = sql
+            ORACLE[function.__name__] = sql
         return function
 
     return register
@@ -362,7 +374,7 @@ def collection_stats(spark, d):
     return stats.deck_stats(t.customer_notes(spark, d), t.order_cards(spark, d), t.nation_decks(spark, d))
 
 
-@query(f"""WITH {_ROLLUP} SELECT (SELECT count(*) FROM customer) AS notes, (SELECT count(*) FROM orders) AS cards, (SELECT count(*) FROM decks) AS decks, 2 AS note_types, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS tags,
+@query(f"""WITH {_ROLLUP} SELECT (SELECT count(*) FROM customer) AS notes, (SELECT count(*) FROM orders) AS cards, (SELECT count(*) FROM decks) AS decks, 2::BIGINT AS note_types, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS tags,
 (SELECT sum(due) FROM due WHERE NOT contains(name, '::'))::BIGINT AS due, (SELECT sum(new) FROM due WHERE NOT contains(name, '::'))::BIGINT AS new""")
 def collection_summary(spark, d):
     types = spark.createDataFrame([("Basic",), ("Cloze",)], "name string")
@@ -413,10 +425,10 @@ def cloze_fill(spark, d):
     return t.table(spark, d, "documents").select("doc_id", text.fill_clozes(value).alias("filled"))
 
 
-@query("SELECT doc_id, [source || '.mp3', lang || '.ogg'] AS names FROM documents")
+@query("SELECT doc_id, source || '.mp3,' || lang || '.ogg' AS names FROM documents")
 def sound_refs(spark, d):
     value = F.concat(F.lit("a [sound:x/"), "source", F.lit(".mp3] b [SOUND:"), "lang", F.lit(".ogg][sound:http://h/y.mp3] [sound:"), "source", F.lit(".mp3]"))
-    return t.table(spark, d, "documents").select("doc_id", text.sound_refs(value).alias("names"))
+    return t.table(spark, d, "documents").select("doc_id", F.array_join(text.sound_refs(value), ",").alias("names"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (trim(regexp_replace(text, '\\s+', ' ', 'g')) = '') AS blank FROM documents")
