@@ -29,7 +29,7 @@ def query(sql: str | None = None):
         @wraps(function)
         def typed(spark: SparkSession, folder: str) -> DataFrame:
             out = function(spark, folder)
-            return out.withColumns({c: F.col(c).cast("long") for c in _LONG if c in out.columns})
+            return out.withColumns({c: F.col(c).cast("long") for c, kind in out.dtypes if c in _LONG and kind == "int"})
 
         QUERIES[function.__name__] = typed
         if sql:
