@@ -63,13 +63,48 @@ def style_of(text: str | None, counts: Counter) -> list[float]:
 STYLES = len(style_of(None, Counter()))
 
 
+class Encoded:
+    """Texts as arrays of feature numbers and counts, which take a small part of what dictionaries of names take."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, features: dict[str, int]) -> None:
+        give = self.number.setdefault
+        ids = np.fromiter((give(name, len(self.number)) for name in features), dtype=np.int32, count=len(features))
+        self.rows.append((ids, np.fromiter(features.values(), dtype=np.float32, count=len(features))))
+
+    def take(self, places: np.ndarray) -> Encoded:
+        out = Encoded()
+        out.number, out.rows = self.number, [self.rows[i] for i in places]
+        return out
+
+    def presence(self, chosen: np.ndarray) -> np.ndarray:
+        """In how many of the chosen texts each feature is."""
+        out = np.zeros(len(self.number), dtype=np.int64)
+        for i in np.flatnonzero(chosen):
+            out[self.rows[i][0]] += 1
+        return out
+
+    def matrix(self, names: Sequence[str]) -> np.ndarray:
+        """log(1 + count) of the named features."""
+        column = np.full(len(self.number) + 1, -1)
+        column[[self.number[n] for n in names]] = np.arange(len(names))
+        out = np.zeros((len(self.rows), len(names)))
+        for i, (ids, counts) in enumerate(self.rows):
+            at = column[ids]
+            out[i, at[at >= 0]] = np.log1p(counts[at >= 0])
+        return out
+
+
 class Linear:
     """A logistic model over chosen words and given extra columns."""
 
-    def __init__(self, texts: Sequence[dict[str, int]], extra: np.ndarray, labels: np.ndarray, l2: float = 0.002, steps: int = 300):
+    def __init__(self, texts: Encoded, extra: np.ndarray, labels: np.ndarray, l2: float = 0.002, steps: int = 300):
         self.names = self._choose(texts, labels)
         self.place = {name: i for i, name in enumerate(self.names)}
-        x = np.concatenate([self.matrix(texts), extra], axis=1)
+        x = np.concatenate([texts.matrix(self.names), extra], axis=1)
         self.mean, self.scale = x.mean(axis=0) if len(x) else np.zeros(x.shape[1]), np.ones(x.shape[1])
         if len(x):
             self.scale = np.maximum(x.std(axis=0), 1e-3)
@@ -89,22 +124,14 @@ class Linear:
         self.bias = bias
 
     @staticmethod
-    def _choose(texts: Sequence[dict[str, int]], labels: np.ndarray) -> list[str]:
+    def _choose(texts: Encoded, labels: np.ndarray) -> list[str]:
         """Features whose presence differs most between the classes, by a z-score; ties by name."""
-        sides = [Counter(), Counter()]
-        for features, label in zip(texts, labels.tolist(), strict=True):
-            sides[int(label)].update(features.keys())
+        a, b = texts.presence(labels > 0), texts.presence(labels <= 0)
         n = [max(1, int((labels == k).sum())) for k in (0, 1)]
-        scores = []
-        for name in sides[1]:
-            a, b = sides[1][name], sides[0][name]
-            if a < 3:
-                continue
-            p = (a + b) / (n[0] + n[1])
-            score = (a / n[1] - b / n[0]) / np.sqrt(max(p * (1 - p) * (1 / n[0] + 1 / n[1]), 1e-12))
-            if score > 3.5:
-                scores.append((-score, name))
-        return [name for _, name in sorted(scores)[:FEATURES]]
+        p = (a + b) / (n[0] + n[1])
+        score = (a / n[1] - b / n[0]) / np.sqrt(np.maximum(p * (1 - p) * (1 / n[0] + 1 / n[1]), 1e-12))
+        names = list(texts.number)
+        return [name for _, name in sorted((-score[i], names[i]) for i in np.flatnonzero((a >= 3) & (score > 3.5)))[:FEATURES]]
 
     def matrix(self, texts: Sequence[dict[str, int]]) -> np.ndarray:
         """Presence and rate: log(1 + n) for each feature."""
@@ -116,28 +143,29 @@ class Linear:
                     out[i, self.place[name]] = np.log1p(features[name])
         return out
 
-    def predict(self, texts: Sequence[dict[str, int]], extra: np.ndarray) -> np.ndarray:
-        z = (np.concatenate([self.matrix(texts), extra], axis=1) - self.mean) / self.scale
+    def predict(self, texts: Encoded | Sequence[dict[str, int]], extra: np.ndarray) -> np.ndarray:
+        own = texts.matrix(self.names) if isinstance(texts, Encoded) else self.matrix(texts)
+        z = (np.concatenate([own, extra], axis=1) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(z @ self.weights + self.bias, -30, 30)))
 
 
 class Chain:
     """Models of the categories in their order. Those in ``styled`` also see the texts' style."""
 
-    def __init__(self, categories: Sequence[str], texts: Sequence[dict[str, int]], styles: np.ndarray, labels: np.ndarray, styled: Sequence[str] = ("low_quality",), folds: int = FOLDS):
+    def __init__(self, categories: Sequence[str], texts: Encoded, styles: np.ndarray, labels: np.ndarray, styled: Sequence[str] = ("low_quality",), folds: int = FOLDS):
         self.categories, self.styled, self.models = list(categories), set(styled), []
-        fold = np.arange(len(texts)) % folds
-        earlier = np.zeros((len(texts), 0))
+        fold = np.arange(len(labels)) % folds
+        earlier = np.zeros((len(labels), 0))
         for k, category in enumerate(self.categories):
             y = labels[:, k]
             seen = self._seen(category, earlier, styles)
             self.models.append(Linear(texts, seen, y))
             if k + 1 < len(self.categories):
-                held_out = np.zeros(len(texts))
+                held_out = np.zeros(len(labels))
                 for f in range(folds):
                     train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                    model = Linear([texts[i] for i in train], seen[train], y[train])
-                    held_out[test] = model.predict([texts[i] for i in test], seen[test])
+                    model = Linear(texts.take(train), seen[train], y[train])
+                    held_out[test] = model.predict(texts.take(test), seen[test])
                 earlier = np.concatenate([earlier, held_out[:, None]], axis=1)
         wanted = {name for model in self.models for name in model.names}
         self._whole, self._starts = {n[1:] for n in wanted if n[0] == "="}, {n[1:] for n in wanted if n[0] == "^"}
@@ -180,15 +208,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
     part = known.where(f"{last} in (0, 1)").select("*", F.xxhash64("doc_id", F.lit(11)).alias("_at"))
     chosen = part.where(f"{last} = 1").orderBy("_at", "doc_id").limit(sample).unionByName(part.where(f"{last} = 0").orderBy("_at", "doc_id").limit(sample))
     texts = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("*", F.xxhash64("text").alias("_text"))
-    rows, held = [], 0
+    features, styles, known, held = Encoded(), [], [], 0
     for row in texts.orderBy("_at", "doc_id", "_text").toLocalIterator():
         held += len(row.text)
         if held > sample_bytes:
             break
         counts = word_counts(row.text)
-        rows.append((features_of(counts), style_of(row.text, counts), [row[f"_{i}"] for i in range(len(categories))]))
-    features, styles, known = ([row[i] for row in rows] for i in range(3))
-    return Chain(categories, features, np.array(styles, dtype=float).reshape(len(rows), STYLES), np.array(known, dtype=float).reshape(len(rows), len(categories)))
+        features.add(features_of(counts))
+        styles.append(style_of(row.text, counts))
+        known.append([row[f"_{i}"] for i in range(len(categories))])
+    return Chain(categories, features, np.array(styles, dtype=float).reshape(len(known), STYLES), np.array(known, dtype=float).reshape(len(known), len(categories)))
 
 
 def classify(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,16 +236,16 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def classify_rows(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """As ``classify``, with all columns of the documents and a column toxic."""
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxic", T.BooleanType())])
+def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, that ``classify`` doesn't call toxic."""
+    at, verdict = docs.columns.index(text_col), "_cardloom_toxic"
+    schema = T.StructType([*docs.schema.fields, T.StructField(verdict, T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_toxic(chain, batch.column(at).to_pylist(), threshold)[1])], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).where(~F.col(verdict)).select(docs.columns)
 
 
 def _toxic(chain: Chain, texts: list[str | None], threshold: float) -> tuple[np.ndarray, np.ndarray]:

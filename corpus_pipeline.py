@@ -16,13 +16,13 @@ from cardloom.llm.decontaminate import find_items
 from cardloom.llm.mixing import mix_texts
 from cardloom.llm.near_copies import first_of_copies
 from cardloom.llm.pii import KINDS, pseudonymise
-from cardloom.llm.toxicity import CATEGORIES, classify_rows, fit, label_columns
+from cardloom.llm.toxicity import CATEGORIES, drop_toxic, fit, label_columns
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't call toxic."""
     chain = fit(docs, label_columns(table(spark, sf_dir, "labels")), CATEGORIES)
-    return classify_rows(docs, chain).where("not toxic").select(docs.columns)
+    return drop_toxic(docs, chain)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,9 @@ def test_held_out_accuracy_and_edge_rows(spark):
     wrong = [i for i, q, x in labels[600:] if by[i].toxic != bool(x)]
     assert len(wrong) <= 3
     assert sum((by[i].p_low_quality > 0.5) == bool(q) for i, q, _ in labels[600:]) <= 3
+    chain = t.fit(docs, known, t.CATEGORIES)
+    kept = t.drop_toxic(docs, chain)
+    assert kept.columns == docs.columns and kept.count() == sum(not r.toxic for r in got)
     assert not by[None].toxic and not by[5000].toxic and by[5001].toxic
 
 
@@ -49,5 +52,8 @@ def test_sample_bounds_and_single_class(spark):
 def test_later_models_see_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     labels = rng.integers(0, 2, (200, 2)).astype(float)
-    chain = t.Chain(("a", "b"), [{} for _ in range(200)], np.zeros((200, 8)), labels, styled=())
+    texts = t.Encoded()
+    for _ in range(200):
+        texts.add({})
+    chain = t.Chain(("a", "b"), texts, np.zeros((200, 8)), labels, styled=())
     assert [len(m.weights) for m in chain.models] == [0, 1]
