@@ -74,3 +74,8 @@ def test_vectors_and_hashes(spark):
     v = vectors.synthetic_vector("text", 16)
     assert v == vectors.synthetic_vector("text", 16) != vectors.synthetic_vector("texu", 16) and abs(sum(x * x for x in v) - 1) < 1e-6
     assert one(spark, hashing.tag_key("v"), "a::b") >= 0
+
+
+def test_batch_hash_is_the_loops():
+    data = [bytes(i % 251 for i in range(n)) for n in [0, 1, 5, *range(60), 3000, 900]]
+    assert vectors.fnv1a_batch(data) == [vectors.fnv1a(x) for x in data] and vectors.fnv1a_batch([]) == []
