@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.vectors import inner_product, round3
-from cardloom.operators.knn import nearest
+from cardloom.operators.knn import BLOCK, nearest
 
 BLOCKED = ("leech", "marked")
-ACTIVATION, TOP_TAGS, RANK_CAP, MEMBER_CEILING = 0.35, 3, 50, 4096
+ACTIVATION, TOP_TAGS, RANK_CAP = 0.35, 3, 50
 
 
 def prefixes(name: Column | str) -> Column:
@@ -43,19 +48,72 @@ def centroids(members: DataFrame, vectors: DataFrame, n_notes: int, min_members:
 def tag_signal(queries: DataFrame, tags: DataFrame, members: DataFrame, vectors: DataFrame, activation: float = ACTIVATION, top_tags: int = TOP_TAGS, cap: int = RANK_CAP) -> DataFrame:
     """(query_id, note_id, rank): members of the query's best tags; the best tag's first, by their own similarity.
 
-    A member is ranked under its best tag alone. Tags beyond MEMBER_CEILING members are thinned by an even stride.
+    A member is ranked under its best tag alone. Every member of those tags is scored, however many a tag has: blocks of
+    queries go to the members' vectors, each partition keeps ``cap`` per query, and one window merges them.
     """
     named = tags.select("tag", "vec", F.row_number().over(Window.orderBy("tag")).cast("long").alias("note_id"))
     active = nearest(queries, named, top_tags).where(F.col("sim") >= activation).withColumnRenamed("note_id", "at").withColumnRenamed("rank", "tag_rank")
-    active = active.join(named.select(F.col("note_id").alias("at"), "tag"), "at").select("query_id", "tag", "tag_rank")
-    wanted = members.join(active.select("tag").distinct(), "tag", "left_semi")
-    by_tag = Window.partitionBy("tag")
-    thinned = wanted.withColumns({"n": F.count("*").over(by_tag), "i": F.row_number().over(by_tag.orderBy("note_id")) - 1}).where(f"n <= {MEMBER_CEILING} or i % ceil(n / {MEMBER_CEILING}) = 0").select("tag", "note_id")
-    reached = active.join(thinned, "tag").groupBy("query_id", "note_id").agg(F.min("tag_rank").alias("tag_rank"))
-    first = vectors.groupBy("note_id").agg(F.min_by("vec", "item").alias("own"))
-    scored = reached.join(first, "note_id").join(queries.select("query_id", "vec"), "query_id").withColumn("dot", inner_product("vec", "own"))
+    active = active.join(named.select(F.col("note_id").alias("at"), "tag"), "at").groupBy("query_id").agg(F.collect_list(F.struct("tag_rank", "tag")).alias("active"))
+    first = vectors.groupBy("note_id").agg(F.min_by("vec", "item").alias("own")).where("own is not null")
+    spark, found = queries.sparkSession, None
+    for block in _blocks(queries.select("query_id", "vec").join(active, "query_id")):
+        wanted = spark.createDataFrame(sorted({(a.tag,) for r in block for a in r.active}), "tag string")
+        reached = members.join(F.broadcast(wanted), "tag", "left_semi").groupBy("note_id").agg(F.collect_set("tag").alias("tags"))
+        part = reached.join(first, "note_id").select("note_id", "tags", "own").mapInArrow(_members(block, cap), "query_id long, note_id long, tag_rank int, dot double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, note_id long, tag_rank int, score double, rank int")
     order = Window.partitionBy("query_id").orderBy("tag_rank", F.desc("dot"), "note_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("query_id", "note_id", "tag_rank", round3("dot").alias("score"), "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("query_id", "note_id", "tag_rank", round3("dot").alias("score"), "rank")
+
+
+def _blocks(rows: DataFrame) -> Iterator[list]:
+    """Queries with their active tags in blocks of bounded size, streamed to the driver."""
+    block = []
+    for row in rows.toLocalIterator():
+        block.append(row)
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _members(block: list, cap: int):
+    """From (note_id, tags, own): each query's first ``cap`` members by tag rank, product and id."""
+    bank = [(r.query_id, np.array(r.vec, dtype=np.float64), sorted(((a.tag_rank, a.tag) for a in r.active), reverse=True)) for r in block]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, dtype=np.int32), np.zeros(0), np.zeros(0, dtype=np.int64))] * len(bank)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            notes = batch.column(0).to_numpy()
+            matrix = batch.column(2).flatten().to_numpy().astype(np.float64).reshape(len(notes), -1)
+            rows_of = defaultdict(list)
+            for row, own in enumerate(batch.column(1).to_pylist()):
+                for tag in own:
+                    rows_of[tag].append(row)
+            rows_of = {tag: np.array(rows) for tag, rows in rows_of.items()}
+            for at, (_, query, active) in enumerate(bank):
+                held = [(rank, rows_of[tag]) for rank, tag in active if tag in rows_of]
+                if not held:
+                    continue
+                rank_of = np.zeros(len(notes), dtype=np.int32)
+                for rank, rows in held:  # the best tag comes last
+                    rank_of[rows] = rank
+                rows = np.flatnonzero(rank_of)
+                dots = np.zeros(len(rows))
+                for column in range(matrix.shape[1]):  # in the components' order, as column expressions add them
+                    dots += matrix[rows, column] * query[column]
+                ranks, dots, ids = (np.concatenate(x) for x in zip(best[at], (rank_of[rows], dots, notes[rows]), strict=True))
+                keep = np.lexsort((ids, -dots, ranks))[:cap]
+                best[at] = (ranks[keep], dots[keep], ids[keep])
+        for (query_id, _, _), (ranks, dots, ids) in zip(bank, best, strict=True):
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query_id, dtype=np.int64)), pa.array(ids), pa.array(ranks), pa.array(dots)], names=["query_id", "note_id", "tag_rank", "dot"])
+
+    return run
 
 
 def unused_tags(registry: DataFrame, notes: DataFrame) -> DataFrame:

@@ -138,6 +138,16 @@ def test_tags_and_centroids(spark):
     assert [(r.note_id, r["rank"]) for r in ranked.orderBy("rank").collect()] == [(2, 1), (1, 2)]
 
 
+def test_tag_signal_scores_every_member_of_a_large_tag(spark):
+    n = 9000
+    rows = [(i, 0, [math.cos(i / n), math.sin(i / n)]) for i in range(n)]
+    vecs = spark.createDataFrame(rows, "note_id long, item int, vec array<float>").repartition(5)
+    members = spark.createDataFrame([("hot", i) for i in range(n)] + [("rare", i) for i in range(3)], "tag string, note_id long")
+    cents = spark.createDataFrame([("hot", [1.0, 0.0]), ("rare", [0.9, 0.1])], "tag string, vec array<double>")
+    got = tags.tag_signal(spark.createDataFrame([(5, [1.0, 0.0]), (6, [-1.0, 0.0])], "query_id long, vec array<float>"), cents, members, vecs)
+    assert [(r.query_id, r.note_id, r["rank"]) for r in got.orderBy("query_id", "rank").collect()] == [(5, i, i + 1) for i in range(50)]
+
+
 def test_calibration_needs_samples(spark):
     vecs = spark.createDataFrame([(i, 0, [math.cos(i), math.sin(i)]) for i in range(40)], "note_id long, item int, vec array<float>")
     few = calibrate.activation_stats(vecs, calibrate.sample_keys(vecs, 10)).first()
