@@ -1,11 +1,10 @@
-"""Benchmark decontamination by SimHash over item-sized windows (operator 6).
+"""Benchmark decontamination by exact similarity of item-sized windows (operator 6).
 
 Benchmark items are compiled once: for each item the hashes of its word shingles with their weights (how often each
-stands in it), a 64-bit SimHash, and a multi-index of its blocks. A document is streamed once. Only windows that hold a
-shingle of an item can be like it, so windows of the item's size are fingerprinted around those shingles, by running sums
-of the shingles' bits. The multi-index splits fingerprints in as many blocks as guarantees that two fingerprints within
-the radius agree on some block up to a bit; what it finds within the radius is verified by the exact weighted similarity
-of the shingles (sum of least weights over sum of greatest), 0.8 or more.
+stands in it), and an index from shingles to items, which finds the candidates. A document is streamed once. Windows of an
+item's size that share enough shingles with it to reach the similarity are all judged by the exact weighted similarity (sum of
+least weights over sum of greatest), 0.8 or more, from counts that slide with the window. No fingerprint stands before that, as
+it could only lose windows: one shingle that foreign text repeats outweighs all others in a SimHash.
 
 The benchmark is broadcast with each task's code, so its size is checked first and it goes in slices beyond that size.
 """
@@ -15,7 +14,6 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of a shingle, least similarity, and greatest Hamming distance of fingerprints.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
-#: Blocks of a fingerprint in the multi-index; each is looked up with up to RADIUS // BLOCKS of its bits changed.
-BLOCKS = 8
+#: Words of a shingle, and least similarity.
+SHINGLE, SIMILARITY = 5, 0.8
 #: UTF-8 bytes of items that one pass over the documents carries.
 SLICE_BYTES = 4_000_000
 _UNKNOWN = 0x5851F42D4C957F2D
@@ -47,10 +43,10 @@ def similarity(a: Counter, b: Counter) -> float:
 class Items:
     """The compiled benchmark."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], size: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS):
+    def __init__(self, rows: list[tuple[int, str | None]], size: int = SHINGLE, least: float = SIMILARITY):
         from xxhash import xxh64_intdigest
 
-        self.size, self.least, self.radius = size, least, radius
+        self.size, self.least = size, least
         kept = [(i, w) for i, t in rows if (w := words_of(t))]
         #: Words that no item has are one word to the windows, as none of their shingles can be shared.
         self.number = {w: xxh64_intdigest(w.encode()) for _, ws in kept for w in ws}
@@ -58,13 +54,11 @@ class Items:
         self.lengths = np.array([len(w) for _, w in kept], dtype=np.int64)
         self.widths = np.minimum(self.lengths, size)  # an item of fewer words than a shingle is one shingle
         self.grams = [Counter(self._shingles(self._hashes(w), k).tolist()) for (_, w), k in zip(kept, self.widths, strict=True)]
-        self.prints = np.array([self._print(g) for g in self.grams], dtype=np.uint64)
         self.items_of: dict[tuple[int, int], list[int]] = defaultdict(list)
         for at, (grams, width) in enumerate(zip(self.grams, self.widths, strict=True)):
             for g in grams:
                 self.items_of[int(width), g].append(at)
         self.known = {int(k): np.array(sorted(g for w, g in self.items_of if w == k), dtype=np.uint64) for k in set(self.widths.tolist())}
-        self._index()
 
     def _hashes(self, words: list[str]) -> np.ndarray:
         get = self.number.get
@@ -82,33 +76,6 @@ class Items:
                 out ^= out >> np.uint64(29)
             return out * np.uint64(0xBF58476D1CE4E5B9)
 
-    @staticmethod
-    def _print(grams: Counter) -> int:
-        bits = sum(n * (2 * np.unpackbits(np.array([g], dtype=">u8").view(np.uint8)).astype(np.int64) - 1) for g, n in grams.items())
-        return int(np.packbits(bits > 0).view(">u8")[0])
-
-    def _index(self) -> None:
-        """For each block and value: the items whose block is within RADIUS // BLOCKS bits of it."""
-        bits = 64 // BLOCKS
-        near = [0, *(sum(1 << b for b in c) for r in range(1, self.radius // BLOCKS + 1) for c in combinations(range(bits), r))]
-        self.index = np.zeros((BLOCKS, 1 << bits), dtype=object)
-        for block in range(BLOCKS):
-            for value in range(1 << bits):
-                self.index[block, value] = set()
-            for at, fp in enumerate(self.prints.tolist()):
-                for change in near:
-                    self.index[block, (fp >> (block * bits) & ((1 << bits) - 1)) ^ change].add(at)
-
-    def near(self, fp: int, among: set[int]) -> set[int]:
-        """The items of ``among`` within the radius of a fingerprint: candidates of the multi-index, then measured."""
-        bits = 64 // BLOCKS
-        found: set[int] = set()
-        for block in range(BLOCKS):
-            found |= self.index[block, fp >> (block * bits) & ((1 << bits) - 1)] & among
-            if len(found) == len(among):
-                break
-        return {i for i in found if (int(self.prints[i]) ^ fp).bit_count() <= self.radius}
-
     def search(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the best window for each item that the text holds."""
         words = words_of(text)
@@ -149,19 +116,28 @@ class Items:
         if not len(starts):
             return None
         own, best = self.grams[item], None
-        part = grams[starts[0] : starts[-1] + per]
-        sums = np.zeros((len(part) + 1, 64), dtype=np.int32)
-        np.cumsum(2 * np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) - 1, axis=0, out=sums[1:])
-        offsets = starts - starts[0]
-        bits = sums[np.minimum(offsets + per, len(part))] - sums[offsets]
-        prints = np.packbits(bits > 0, axis=1).reshape(-1).view(">u8").tolist()
-        for start, fp in zip(starts.tolist(), prints, strict=True):
-            if self.near(fp, {item}):
-                s = similarity(own, Counter(grams[start : start + per].tolist()))
-                if s >= self.least and (best is None or s > best[0]):
-                    best = (s, start)
-                    if s == 1.0:
-                        break
+        offset, part = int(starts[0]), grams[starts[0] : starts[-1] + per].tolist()
+        counts: dict[int, int] = defaultdict(int)
+        low = begin = end = 0  # low: the sum of least weights over part[begin:end]
+        for start in (starts - offset).tolist():
+            if start >= end:
+                counts.clear()
+                low, begin, end = 0, start, start
+            stop = min(start + per, len(part))
+            for g in part[end:stop]:
+                if g in own:
+                    counts[g] += 1
+                    low += counts[g] <= own[g]
+            for g in part[begin:start]:
+                if g in own:
+                    low -= counts[g] <= own[g]
+                    counts[g] -= 1
+            begin, end = start, stop
+            s = low / (per + stop - start - low)
+            if s >= self.least and (best is None or s > best[0]):
+                best = (s, start + offset)
+                if s == 1.0:
+                    break
         return best
 
 
@@ -170,7 +146,7 @@ _FLAG = "_cardloom_contaminated"
 _FOUND = "contaminated boolean, items array<struct<item_id:bigint,similarity:double,word_from:int,words:int>>"
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", keep: str = "report") -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", keep: str = "report") -> DataFrame:
     """One row per document: doc_id, contaminated, and items, an array of (item_id, similarity, word_from, words).
 
     With ``keep="clean"``: the documents, all columns, that hold no item. Null and empty texts hold no item; null, wordless
@@ -186,7 +162,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least
         schema = T.StructType([*frame.schema.fields, *added.fields]) if first else frame.schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(rows, size, least, radius)
+            items = Items(rows, size, least)
             for batch in batches:
                 found = [[dict(zip(("item_id", "similarity", "word_from", "words"), f, strict=True)) for f in items.search(t)] for t in batch.column(at).to_pylist()]
                 columns = batch.columns

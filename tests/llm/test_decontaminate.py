@@ -75,3 +75,16 @@ def test_clean_rows_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, "x item number one of the benchmark here y", "own", True), (2, "clean", "own", False), (None, None, None, None)], "doc_id long, text string, items string, contaminated boolean")
     got = d.find_items(docs, bench, keep="clean")
     assert got.columns == docs.columns and sorted((str(r.doc_id), str(r["items"])) for r in got.collect()) == [("2", "own"), ("None", "None")]
+
+
+def test_long_items_cut_short_in_foreign_text():
+    rng = random.Random(7)
+    for n in (200, 300, 400):
+        for foreign in (lambda: f"z{rng.randrange(10**6)}", lambda: "z"):
+            for before in (0, n):
+                item = [f"w{rng.randrange(5000)}" for _ in range(n)]
+                text = " ".join([foreign() for _ in range(before)] + item[: n * 9 // 10] + [foreign() for _ in range(n)])
+                items = [(1, " ".join(item)), (2, " ".join(item[:60] * 3)), (3, "z " * 30)]
+                want = brute(text, items)
+                assert 1 in [i for i, _, _ in want]
+                assert [(i, round(s, 9), at) for i, s, at, _ in d.Items(items).search(text)] == want
