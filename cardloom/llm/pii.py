@@ -62,14 +62,24 @@ class Surrogates:
         self.of = lru_cache(100_000)(self._of)
 
     def permute(self, x: int, n: int, tweak: str, allowed: Callable[[int], bool] = lambda _: True) -> int:
-        """A keyed permutation of the allowed numbers below n: a Feistel network, walked until it is back in the domain."""
+        """A keyed permutation of the allowed numbers below n: the next one in the order of a Feistel network, walked until
+        it is back in the domain. All of them stand in one cycle, so none but an only one is its own surrogate."""
         half = max(1, (max(1, (n - 1).bit_length()) + 1) // 2)
-        mask = (1 << half) - 1
+        mask, every = (1 << half) - 1, (1 << 2 * half) - 1
+
+        def told(i: int, right: int) -> int:
+            out = hashlib.blake2b(f"{tweak}|{n}|{i}|{right}".encode(), key=self.key, digest_size=max(8, half // 8 + 1)).digest()
+            return int.from_bytes(out, "big") & mask
+
+        left, right = x >> half, x & mask
+        for i in range(8):
+            left, right = right, left ^ told(i, right)
+        at = left << half | right
         while True:
-            left, right = x >> half, x & mask
-            for i in range(8):
-                told = hashlib.blake2b(f"{tweak}|{n}|{i}|{right}".encode(), key=self.key, digest_size=max(8, half // 8 + 1)).digest()
-                left, right = right, left ^ (int.from_bytes(told, "big") & mask)
+            at = at + 1 & every
+            left, right = at >> half, at & mask
+            for i in reversed(range(8)):
+                left, right = right ^ told(i, left), left
             x = left << half | right
             if x < n and allowed(x):
                 return x

@@ -41,6 +41,17 @@ def test_surrogates_are_one_to_one():
         assert sorted(s.permute(x, n, "t") for x in range(n)) == list(range(n))
 
 
+def test_no_surrogate_is_its_original():
+    for key in (b"k", b"cardloom", b"other"):
+        s = pii.Surrogates(key)
+        for n in (2, 3, 8, 20, 1000):
+            assert sorted(got := [s.permute(x, n, "t") for x in range(n)]) == list(range(n)) and all(x != y for x, y in enumerate(got))
+            even = [s.permute(x, n, "e", lambda y: y % 2 == 0) for x in range(0, n, 2)]
+            assert sorted(even) == list(range(0, n, 2)) and (n < 3 or all(x != y for x, y in zip(range(0, n, 2), even, strict=True)))
+        for (_, gender), names in pii.GIVEN.items():
+            assert all(s._given(x, gender) != x for x in names)
+
+
 def test_shape_keeps_shapes_apart():
     s = pii.Surrogates(b"k")
     words = {w for a in "aeb1" for b in "ic2é" for w in (a + b,)}
