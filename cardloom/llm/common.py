@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -23,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test, in local mode) gets a temporary folder.
+    Only a session in local mode that names none (a test) gets a temporary folder; a cluster must name one.
     """
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cardloom-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cardloom-"))
+    return named or context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -52,6 +56,21 @@ def partitions_for(spark: SparkSession, n_bytes: int, target: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // target))
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what a worker makes of them stays small; at the end, freed memory goes back
+    to the system, as an idle worker would keep it through later stages."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Split a partition sorted by ``keys`` into its groups, each whole, however batches cut them."""
     pending: list[pa.RecordBatch] = []
@@ -72,3 +91,5 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         pending.append(batch.slice(start))
     if pending:
         yield pa.Table.from_batches(pending)
+    pending = []
+    give_back()

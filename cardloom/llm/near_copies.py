@@ -1,9 +1,16 @@
 """Near copies of a given similarity: SimHash and BK-trees find them, shingle sets confirm them (stage of the pipeline).
 
 Documents of one set of shingles are a class. Classes that share one of their least shingle hashes meet in a shard: two sets
-of Jaccard similarity s share none of k least hashes with a chance of about (1 - s) ** k. A shard's BK-tree over SimHash
-fingerprints gives the pairs within a radius that pairs of the least similarity hardly ever exceed; a sketch of each set
-rules most of the others out, and the sets themselves decide. Links make components, each of which keeps its first document.
+of Jaccard similarity s share none of k least hashes with a chance of about (1 - s) ** k. Of the hashes that are kept, those
+that few classes share are taken first, so that a line which many texts have draws only texts that have little else.
+A shard's BK-tree over SimHash fingerprints gives the pairs within a radius that pairs of the least similarity hardly ever
+exceed; a sketch of each set rules most of the others out, and the sets themselves decide.
+
+A shard beyond one piece is a hot one, by near copies as a rule. Its pieces are first merged into balls: a leader and the
+members within a small distance of it. Leaders alone meet across pieces. Jaccard distance is a metric, so two balls whose
+leaders are further apart than the least similarity's distance and both radii hold no link; balls in between, unless they
+are connected otherwise, meet member by member. So no link between components is lost, and what crosses pieces is a few
+leaders. Links make components, each of which keeps its first document.
 """
 
 from __future__ import annotations
@@ -15,15 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import checkpoint
+from cardloom.llm.common import checkpoint, in_slices, sorted_groups
 from cardloom.llm.components import components
-from cardloom.llm.simhash import BKTree, fingerprint, shard_links, shard_tasks, shingle_hashes
+from cardloom.llm.simhash import PIECE, BKTree, fingerprint, shard_links, shard_tasks, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Least shingle hashes by which classes meet; and bits that fingerprints of similar sets may differ in.
-KEYS, RADIUS = 5, 24
+#: Least shingle hashes by which classes meet, and those that they are chosen from; bits that fingerprints of similar sets
+#: may differ in.
+KEYS, STORED, RADIUS = 5, 10, 24
 #: A sketch's estimate may be so much too low.
 SLACK = 0.12
+#: Greatest distance of a ball's members from its leader.
+BALL = 0.05
+#: Shingles of a piece, so that its sets stay small whatever the texts' length.
+PIECE_SHINGLES = 4_000_000
 _BINS = 256
 
 
@@ -39,88 +51,163 @@ def _sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-class _Groups:
-    def __init__(self, n: int):
-        self.parent = list(range(n))
+def _overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
 
+class _Piece:
+    """Members of a task with what the comparisons need: fingerprints, sizes, sketches, and the sets as views."""
 
-def _confirm(group: pa.Table, least: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    names, own = group.column("cls").to_numpy(), group.column("own").to_numpy()
-    prints = group.column("fp").to_numpy().view(np.uint64)
-    sets = [np.frombuffer(x, dtype=np.uint32) for x in group.column("hashes").to_pylist()]
+    def __init__(self, group: pa.Table):
+        self.names = group.column("cls").to_numpy()
+        self.prints = group.column("fp").to_numpy().view(np.uint64)
+        self.sets = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in group.column("hashes")]
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.sketches = _sketches(self.sets)
+
+    def likely(self, one: int, others: np.ndarray, least: float) -> np.ndarray:
+        """Those of the others whose size and sketch allow the similarity, the closest fingerprints first."""
+        some = np.minimum(self.sizes[one], self.sizes[others]) >= least * np.maximum(self.sizes[one], self.sizes[others])
+        others = others[some]
+        if not len(others):
+            return others
+        a, b = self.sketches[one], self.sketches[others]
+        estimate = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+        others = others[(estimate >= least - SLACK) | (self.sizes[others] == 0)]
+        return others[np.argsort(np.bitwise_count(self.prints[others] ^ self.prints[one]), kind="stable")]
+
+
+def _confirm(group: pa.Table, least: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (u, v, True) that span the components of a task, and pairs (u, v, False) of balls that may hold a link.
+
+    Hits of the tree are taken value by value and only where they aren't joined yet, so memory follows the members.
+    """
+    piece, own = _Piece(group), group.column("own").to_numpy()
+    reach = group.column("r").to_numpy() if "r" in group.column_names else np.zeros(len(own))
     inner = np.flatnonzero(own == own.min())
     outer = np.flatnonzero(own != own.min()) if own.min() != own.max() else inner
-    found = list(BKTree(prints[inner]).search(prints[outer], radius))
-    left = np.concatenate([outer[near] for near, _ in found] or [inner[:0]])
-    right = np.concatenate([np.full(len(near), inner[value]) for near, value in found] or [inner[:0]])
-    once = left != right if outer is not inner else left > right
-    left, right = left[once], right[once]
-    sizes = np.array([len(s) for s in sets])
-    fits = np.minimum(sizes[left], sizes[right]) >= least * np.maximum(sizes[left], sizes[right])
-    left, right = left[fits], right[fits]
-    sketches, kept = _sketches(sets), []
-    for at in range(0, len(left), 20_000):
-        a, b = sketches[left[at : at + 20_000]], sketches[right[at : at + 20_000]]
-        estimate = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
-        kept.append(np.flatnonzero(estimate >= least - SLACK) + at)
-    chosen = np.concatenate(kept) if kept else left[:0]
-    groups, us, vs = _Groups(len(sets)), [], []
-    # the closest first, as pairs that others already connect needn't be compared
-    for i, j in sorted(zip(left[chosen].tolist(), right[chosen].tolist(), strict=True), key=lambda p: int(prints[p[0]] ^ prints[p[1]]).bit_count()):
-        a, b = groups.find(i), groups.find(j)
-        if a == b:
-            continue
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if both >= least * (len(sets[i]) + len(sets[j]) - both):
-            groups.parent[max(a, b)] = min(a, b)
-            us.append(names[i])
-            vs.append(names[j])
-    return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
+    label = np.arange(len(own))
+    us, vs, sure, near = [], [], [], []
+    for found, value in BKTree(piece.prints[inner]).search(piece.prints[outer], radius):
+        one = int(inner[value])
+        others = outer[found]
+        others = others[(label[others] != label[one]) & (others != one)]
+        loosest = least - float(reach[one] + reach[others].max()) if len(others) else least
+        for other in piece.likely(one, others, loosest).tolist():
+            if label[other] == label[one]:
+                continue
+            alike = _overlap(piece.sets[one], piece.sets[other])
+            if alike >= least - 1e-12:
+                low, high = sorted((label[one], label[other]))
+                label[label == high] = low
+                us.append(piece.names[one])
+                vs.append(piece.names[other])
+                sure.append(True)
+            elif alike >= least - reach[one] - reach[other] - 1e-12 and reach[one] + reach[other] > 0:
+                near.append((one, other))
+    for one, other in near:
+        if label[one] != label[other]:
+            us.append(piece.names[one])
+            vs.append(piece.names[other])
+            sure.append(False)
+    return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64), np.array(sure, dtype=bool)
+
+
+def _balls(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(key, leader, cls, far) of each piece: every member with the first member that is within BALL of it."""
+    for group in sorted_groups(batches, ["key", "own"]):
+        piece, key = _Piece(group), group.column("key")[0].as_py()
+        free = np.arange(len(piece.names))
+        leaders, members, far = [], [], []
+        while len(free):
+            one, rest = int(free[0]), free[1:]
+            taken = [(one, 0.0)]
+            close = rest[np.bitwise_count(piece.prints[rest] ^ piece.prints[one]) <= radius]
+            for other in piece.likely(one, close, 1 - BALL).tolist():
+                if (apart := 1 - _overlap(piece.sets[one], piece.sets[other])) <= BALL:
+                    taken.append((other, apart))
+            free = np.setdiff1d(free, [i for i, _ in taken], assume_unique=True)
+            leaders += [piece.names[one]] * len(taken)
+            members += [piece.names[i] for i, _ in taken]
+            far += [d for _, d in taken]
+        yield pa.RecordBatch.from_arrays([pa.array([key] * len(far), pa.int64()), pa.array(leaders, pa.int64()), pa.array(members, pa.int64()), pa.array(far, pa.float64())], names=["key", "leader", "cls", "far"])
+
+
+def _class_links(members: DataFrame, sets: DataFrame, least: float, radius: int, piece: int) -> DataFrame:
+    """(u, v): links between classes that share a key, as many as connect what is linked. ``members``: key, cls, size."""
+    weight = F.greatest(F.ceil(F.count("*") / piece), F.ceil(F.sum("size") / PIECE_SHINGLES)).cast("int")
+    counted = members.groupBy("key").agg(F.count("*").alias("n"), weight.alias("c")).where("n > 1")
+    dealt = checkpoint(members.join(counted.select("key", "c"), "key").withColumn("own", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("c")).cast("int")))
+    kind = "u long, v long, sure boolean"
+    confirm = lambda tasks: shard_links(tasks, "key", lambda group: _confirm(group, least, radius), kind)
+    single = dealt.where("c = 1").select("key", "cls", "own", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    links = confirm(single.join(sets, "cls")).select("u", "v")
+    if dealt.where("c > 1").isEmpty():
+        return links
+    hot = dealt.where("c > 1").select("key", "cls", "own").join(sets, "cls").repartition(F.col("key"), F.col("own")).sortWithinPartitions("key", "own")
+    balls = checkpoint(hot.mapInArrow(lambda batches: _balls(batches, radius), "key long, leader long, cls long, far double"))
+    leaders = balls.groupBy("key", F.col("leader").alias("cls")).agg(F.max("far").alias("r"))
+    across = checkpoint(confirm(shard_tasks(leaders, "key", "cls", piece).join(sets, "cls")))
+    links = checkpoint(links.unionByName(balls.where("leader <> cls").select(F.col("leader").alias("u"), F.col("cls").alias("v"))).unionByName(across.where("sure").select("u", "v")))
+    unsure = across.where("not sure").select("u", "v").distinct()
+    if unsure.isEmpty():
+        return links
+    # balls that may hold a link, and that no other links connect, meet member by member
+    roots = components(links, "u", "v")
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    apart = unsure.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").where("coalesce(u_root, u) <> coalesce(v_root, v)")
+    apart = checkpoint(apart.select("u", "v", F.xxhash64("u", "v").alias("key")))
+    of = balls.select("leader", "cls").distinct()
+    rows = apart.select("key", F.col("u").alias("leader")).unionByName(apart.select("key", F.col("v").alias("leader"))).join(of, "leader").select("key", "cls").distinct()
+    return links.unionByName(confirm(shard_tasks(rows, "key", "cls", piece).join(sets, "cls")).select("u", "v"))
 
 
 def _distinct(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def first_of_copies(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, keys: int = KEYS, radius: int = RADIUS) -> DataFrame:
+def first_of_copies(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, keys: int = KEYS, radius: int = RADIUS, piece: int = PIECE) -> DataFrame:
     """The documents, all columns, without those that are copies or near copies of one that stays.
 
     Of each component the row of the least doc_id stays (null ids last; of rows of one id, that of the least hash of its
     text, and of repeated rows one). Near copies share ``least`` of their sets of lower-cased shingles; a text of fewer words
-    is one shingle, and texts without words, null ones too, are copies of each other.
+    is one shingle, and texts without words, null ones too, are copies of each other. Texts of any length are read whole; a
+    task's sets are bounded by PIECE_SHINGLES, or one text.
     """
     from xxhash import xxh64_intdigest
 
-    schema = "doc_id long, th long, cls long, fp long, keys array<long>"
+    schema = "doc_id long, th long, cls long, fp long, size long, keys array<long>"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [_distinct(t, size) for t in batch.column(2).to_pylist()]
             cls = np.array([xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             prints = np.array([fingerprint(s) for s in sets], dtype=np.uint64).view(np.int64)
-            least_of = [s[:keys].view(np.int64).tolist() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls), pa.array(prints), pa.array(least_of, pa.list_(pa.int64()))], names=["doc_id", "th", "cls", "fp", "keys"])
+            least_of = [s[: 2 * keys].view(np.int64).tolist() for s in sets]
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls), pa.array(prints), sizes, pa.array(least_of, pa.list_(pa.int64()))], names=["doc_id", "th", "cls", "fp", "size", "keys"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [_distinct(t, size) for t in batch.column(0).to_pylist()]
             cls = np.array([xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in map(_top, sets)], pa.binary())], names=["cls", "hashes"])
+            prints = np.array([fingerprint(s) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(prints), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in map(_top, sets)], pa.binary())], names=["cls", "fp", "hashes"])
 
     text_hash = F.xxhash64("text")
     measured = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("th"), "text").mapInArrow(measure, schema))
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")
-    classes = measured.groupBy("cls").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min(order).alias("first"))
-    members = classes.select("cls", "fp", F.explode("keys").alias("key"))
-    tasks = checkpoint(shard_tasks(members, "key", "cls"))
-    wanted = tasks.select("cls").distinct().join(classes, "cls").select(F.col("first.th").alias("th"))
-    sets = docs.select("text", text_hash.alias("th")).join(wanted, "th", "left_semi").select("text").mapInArrow(sets_of, "cls long, hashes binary").groupBy("cls").agg(F.min("hashes").alias("hashes"))
-    links = shard_links(tasks.join(sets, "cls"), "key", lambda group: _confirm(group, least, radius))
+    classes = measured.groupBy("cls").agg(F.min("size").alias("size"), F.min("keys").alias("keys"), F.min(order).alias("first"))
+    # keys that no other class has are no use, and those that many have come last
+    stored = classes.select("cls", "size", F.explode("keys").alias("key"))
+    shared = stored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > piece).alias("hot"))
+    ranked = stored.join(shared, "key").groupBy("cls", "size").agg(F.sort_array(F.collect_list(F.struct("hot", "key"))).alias("of"))
+    members = checkpoint(ranked.select("cls", "size", F.explode(F.slice("of", 1, keys)).alias("k")).select("cls", "size", F.col("k.key").alias("key")))
+    wanted = members.select("cls").distinct().join(classes, "cls").select(F.col("first.th").alias("th"))
+    sets = docs.select("text", text_hash.alias("th")).join(wanted, "th", "left_semi").select("text").mapInArrow(sets_of, "cls long, fp long, hashes binary").groupBy("cls").agg(F.min("fp").alias("fp"), F.min("hashes").alias("hashes"))
+    links = _class_links(members, checkpoint(sets), least, radius, piece)
     roots = components(links, "u", "v")
     placed = classes.join(roots, classes.cls == roots.node, "left").select("first", F.coalesce("root", "cls").alias("root"))
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.th").alias("kept_th"))

@@ -107,24 +107,23 @@ def shard_tasks(members: DataFrame, key: str, spread: str, piece: int = PIECE) -
     return other.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("c", "other")
 
 
-def shard_links(tasks: DataFrame, key: str, link: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(u, v): links that ``link`` finds in each (key, a, b), sorted together in a task."""
+def shard_links(tasks: DataFrame, key: str, link: Callable[[pa.Table], tuple[np.ndarray, ...]], schema: str = "u long, v long") -> DataFrame:
+    """The links, columns of ``schema``, that ``link`` finds in each (key, a, b), sorted together in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, held = [], [], 0
+        found, held = [], 0
+        names = [field.split()[0] for field in schema.split(", ")]
         for group in sorted_groups(batches, [key, "a", "b"]):
             if group.num_rows > 1:
-                u, v = link(group)
-                us.append(u)
-                vs.append(v)
-                held += len(u)
+                found.append(link(group))
+                held += len(found[-1][0])
             if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
-                us, vs, held = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
+                found, held = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
 
-    return tasks.repartition(F.col(key), F.col("a"), F.col("b")).sortWithinPartitions(key, "a", "b").mapInArrow(run, "u long, v long")
+    return tasks.repartition(F.col(key), F.col("a"), F.col("b")).sortWithinPartitions(key, "a", "b").mapInArrow(run, schema)
 
 
 def _bk_forest(radius: int) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]:

@@ -1,8 +1,14 @@
 import itertools
 import random
 import re
+import subprocess
+import sys
 
-from cardloom.llm import near_copies, simhash
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from cardloom.llm import near_copies
 
 SCHEMA = "doc_id long, text string, lang string, th long, cls string"
 
@@ -40,12 +46,11 @@ def made(seed):
     return [*rows, (n, None), (None, rows[4][1]), (None, "only me here in this text"), (n + 1, "long " * 9000 + "x"), rows[9], rows[9], (None, "y " * 9000)]
 
 
-def test_equals_brute_force(spark, monkeypatch):
+def test_equals_brute_force(spark):
     for piece in (2048, 3):
-        monkeypatch.setattr(simhash.shard_tasks, "__defaults__", (piece,))
         rows = made(piece)
         docs = spark.createDataFrame([(d, t, "en", 1, "x") for d, t in rows], SCHEMA)
-        got = near_copies.first_of_copies(docs)
+        got = near_copies.first_of_copies(docs, piece=piece)
         assert got.columns == docs.columns
         assert sorted(str(r.doc_id) for r in got.collect()) == brute(rows)
 
@@ -53,3 +58,53 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert near_copies.first_of_copies(docs).count() == 0
+
+
+def chain(rng, n, words, step):
+    """Texts of which neighbours alone are near copies."""
+    base = [f"c{rng.randrange(10**6)}" for _ in range(words + n * step)]
+    return [" ".join(base[i * step : i * step + words]) for i in range(n)]
+
+
+def test_balls_lose_no_link(spark, monkeypatch):
+    """With small pieces every shard is hot: leaders of balls meet, and members where leaders can't tell."""
+    monkeypatch.setattr(near_copies, "BALL", 0.15)
+    rng = random.Random(5)
+    texts = chain(rng, 25, 200, 3) + chain(rng, 10, 120, 9)
+    base = [f"n{rng.randrange(10**6)}" for _ in range(300)]
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in near_copies.first_of_copies(docs, piece=4).collect()) == brute(rows)
+
+
+def hot_pieces(n=2048):
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**32, 400, dtype=np.uint32))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:-12], rng.integers(0, 2**32, 12, dtype=np.uint32)])) for _ in range(2 * n)]
+    prints = [near_copies.fingerprint(s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in sets]
+    return pa.table({"cls": pa.array(range(2 * n), pa.int64()), "own": [i % 2 for i in range(2 * n)], "fp": pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+
+def test_two_hot_pieces_take_little_memory():
+    code = "import resource; from tests.llm.test_near_copies import *; t = hot_pieces(); a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; u, v, sure = near_copies._confirm(t, 0.8, 24); print(len(u), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024)"
+    links, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split())
+    assert links == 4095 and grown < 150
+
+
+@pytest.mark.parametrize("alike", [0.8, 0.84, 0.9])
+def test_recall_near_the_least_similarity(spark, alike):
+    """Pairs of texts, each of its own words; the stage must find nine in ten at least."""
+    rng, rows = random.Random(int(alike * 100)), []
+    for i in range(150):
+        words = [f"p{rng.randrange(10**7)}" for _ in range(400)]
+        gone = int(396 * (1 - alike) / (1 + alike))  # shingles that each loses at its own end
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([f"q{rng.randrange(10**7)}" for _ in range(gone)] + words[gone:]))]
+    kept = near_copies.first_of_copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    pairs = len(rows) - len(brute(rows))
+    assert pairs == 150 and len(rows) - kept >= 0.9 * pairs
