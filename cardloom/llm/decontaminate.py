@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardloom.llm.common import in_slices
+
 #: Words of a shingle, and least similarity.
 SHINGLE, SIMILARITY = 5, 0.8
 #: UTF-8 bytes of items that one pass over the documents carries.
@@ -163,7 +165,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(rows, size, least)
-            for batch in batches:
+            for batch in in_slices(batches):
                 found = [[dict(zip(("item_id", "similarity", "word_from", "words"), f, strict=True)) for f in items.search(t)] for t in batch.column(at).to_pylist()]
                 columns = batch.columns
                 if not first:

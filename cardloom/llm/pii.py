@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cardloom.llm.common import in_slices
+
 #: Given names by script and gender, as their surrogates come from the same list.
 GIVEN = {
     ("latin", "f"): "Anna Maria Emma Laura Sofia Julia Clara Elena Marie Sarah Lucia Paula Eva Nina Carla Alice Irene Ines Lena Nora".split(),
@@ -221,7 +223,7 @@ def pseudonymise(docs: DataFrame, key: bytes = b"cardloom", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key)
-        for batch in batches:
+        for batch in in_slices(batches):
             done = [replace(t, surrogates) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array([t for t, _ in done], pa.string())

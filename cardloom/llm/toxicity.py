@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled documents that are fitted at most, of each class of the last category, and UTF-8 bytes of their texts.
-SAMPLE, SAMPLE_BYTES = 3_000, 40_000_000
+from cardloom.llm.common import in_slices
+
+#: Labelled documents that are fitted at most, of each class of the last category, and code points of their texts.
+SAMPLE, SAMPLE_CHARS = 3_000, 40_000_000
 FOLDS, FEATURES, PREFIXES = 5, 400, (3, 4, 5)
 _WORDS = re.compile(r"\w+")
 
@@ -197,22 +199,24 @@ class Chain:
         return self.predict(rows, np.array(styles).reshape(len(rows), STYLES))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Chain:
     """A chain fitted on at most ``sample`` labelled documents of each class of the last category.
 
     ``labels`` has doc_id and a 0/1 column for each category; rows with a null among them aren't used. Which documents are
     fitted follows from a hash of their ids and texts alone. Their word counts come to the driver; the sample bounds them.
+    Each class has half of ``sample_chars``: a text beyond what is left of it is passed over, shorter ones after it are taken,
+    and a class's first text is taken whatever its length, so one long text leaves no class empty.
     """
     known = labels.select("doc_id", *(F.col(c).cast("int").alias(f"_{i}") for i, c in enumerate(categories))).dropna().dropDuplicates(["doc_id"])
     last = f"_{len(categories) - 1}"
     part = known.where(f"{last} in (0, 1)").select("*", F.xxhash64("doc_id", F.lit(11)).alias("_at"))
     chosen = part.where(f"{last} = 1").orderBy("_at", "doc_id").limit(sample).unionByName(part.where(f"{last} = 0").orderBy("_at", "doc_id").limit(sample))
     texts = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("*", F.xxhash64("text").alias("_text"))
-    features, styles, known, held = Encoded(), [], [], 0
+    features, styles, known, held = Encoded(), [], [], [0, 0]
     for row in texts.orderBy("_at", "doc_id", "_text").toLocalIterator():
-        held += len(row.text)
-        if held > sample_bytes:
-            break
+        if held[row[last]] and held[row[last]] + len(row.text) > sample_chars // 2:
+            continue
+        held[row[last]] += len(row.text)
         counts = word_counts(row.text)
         features.add(features_of(counts))
         styles.append(style_of(row.text, counts))
@@ -224,12 +228,12 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str
     """One row per document: doc_id, p_<category> for each category, and toxic (the last one's at least ``threshold``).
 
     Null and empty texts are scored as texts without words, and are never toxic. Null ids and repeated rows keep their rows;
-    other columns aren't read. With no label of one class, a category's probability is its share among the labels.
+    other columns aren't read. Texts of any length are scored whole. With no label of one class, a category's probability is its share among the labels.
     """
     schema = T.StructType([*docs.select(F.col(id_col).alias("doc_id")).schema.fields, *(T.StructField(f"p_{c}", T.DoubleType()) for c in chain.categories), T.StructField("toxic", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             p, toxic = _toxic(chain, batch.column(1).to_pylist(), threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(p.shape[1])), pa.array(toxic)], names=schema.names)
 
@@ -242,7 +246,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col:
     schema = T.StructType([*docs.schema.fields, T.StructField(verdict, T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_toxic(chain, batch.column(at).to_pylist(), threshold)[1])], names=schema.names)
 
     return docs.mapInArrow(run, schema).where(~F.col(verdict)).select(docs.columns)

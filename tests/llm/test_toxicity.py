@@ -49,6 +49,16 @@ def test_sample_bounds_and_single_class(spark):
     assert t.classify(docs.limit(0), chain).count() == 0
 
 
+def test_one_long_text_leaves_no_class_empty(spark):
+    rows, labels = made(300, 4)
+    long = [(i, t_ + " word" * 3000 if i % 2 else t_, a, b) for i, t_, a, b in rows]
+    known = t.label_columns(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    chain = t.fit(spark.createDataFrame(long, SCHEMA), known, t.CATEGORIES, sample_chars=40_000)
+    assert all(m.names for m in chain.models[1:])
+    tiny = t.fit(spark.createDataFrame(long, SCHEMA), known, t.CATEGORIES, sample_chars=1)
+    assert len(tiny.models) == 2
+
+
 def test_later_models_see_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     labels = rng.integers(0, 2, (200, 2)).astype(float)
