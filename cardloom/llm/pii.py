@@ -5,17 +5,21 @@ of the entity's own domain (all strings of the same shape), so equal entities ge
 different ones different surrogates, and no table of entities is shared between tasks. Where only part of a domain is
 allowed (card numbers with a valid check digit, public addresses, names outside the name lists), the permutation is walked
 on until it lands there again, which keeps it one-to-one: that is the collision check.
+
+Equal means equal beyond format: case, separators, and a phone's notation with or without its country don't matter. A
+name's words are replaced one by one by one rule, whatever their place, so a person named in full and by one word stays one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cardloom.llm.common import in_slices
@@ -29,14 +33,18 @@ GIVEN = {
     ("greek", "f"): "Μαρία Ελένη Σοφία Άννα Ειρήνη Χριστίνα".split(),
     ("greek", "m"): "Γιώργος Νίκος Κώστας Πέτρος Παύλος Αντώνης".split(),
 }
-#: Titles that introduce a name, by the gender they tell.
-TITLES = {
-    "f": ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Mme", "Madame", "Mademoiselle", "Señora", "Sra.", "Señorita", "Г-жа", "Госпожа", "Κυρία"],
-    "m": ["Mr.", "Mr", "Herr", "Monsieur", "M.", "Señor", "Sr.", "Г-н", "Господин", "Κύριος"],
-    "n": ["Dr.", "Dr", "Prof.", "Professor"],
-}
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+#: Titles that introduce a name.
+TITLES = "Mrs. Mrs Ms. Ms Miss Frau Mme Madame Mademoiselle Señora Sra. Señorita Г-жа Госпожа Κυρία Mr. Mr Herr Monsieur M. Señor Sr. Г-н Господин Κύριος Dr. Dr Prof. Professor".split()
+_TITLES = set(TITLES)
+#: Calling codes of two digits; 1 and 7 have one digit, all others three.
+CALLING = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _NAME = r"[^\W\d_]+(?:-[^\W\d_]+)*"
+
+
+def _any(words: Iterable[str]) -> str:
+    return "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
+
+
 PATTERNS = {
     "email": r"[\w.+%-]+@(?:[\w-]+\.)+[A-Za-z]{2,24}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
@@ -44,15 +52,28 @@ PATTERNS = {
     "card": r"(?<![\d+])[0-9](?:[\x20-]?[0-9]){12,18}(?!\d)",
     "ssn": r"(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-])",
     "phone": r"(?:\+[0-9]{1,3}[\x20.-]?)?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?!\d)|\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,5}(?!\d)|(?<![\d.-])[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\d.-])",
-    "name": rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(_GENDER, key=len, reverse=True)))})\x20{_NAME}(?:\x20{_NAME}){{0,2}}",
+    "name": rf"(?<!\w)(?:{_any(TITLES)})\x20{_NAME}(?:\x20{_NAME}){{0,2}}|(?<!\w)(?:{_any(n for ns in GIVEN.values() for n in ns)})\x20{_NAME}(?!\w)",
 }
 KINDS = tuple(PATTERNS)
 _ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: A text without any of these has no entity, and isn't searched further.
-_HINT = re.compile(rf"@|[0-9](?:[^A-Za-z]?[0-9]){{3}}|{'|'.join(map(re.escape, sorted(_GENDER)))}")
+_HINT = re.compile(rf"@|[0-9](?:[^A-Za-z]?[0-9]){{3}}|(?:{_any(TITLES)}|{_any(n for ns in GIVEN.values() for n in ns)})\x20")
+
+#: Letters and digits that replace each other, in lower case; and ranges of letters without case.
+_ALPHABETS = [
+    "0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâäèéêëìíîïòóôöùúûü", "āăąēĕėęěīĭįōŏőūŭůűų", "çñ", "ćĉċčďđĝğġģĥħĵķĺļľłńņňŋŕŗřśŝşšţťŧŵźżž",
+    "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ёъь", "іїє", "ґўјљњћђџ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ",
+]
+_RANGES = [(0x05D0, 0x05EA), (0x0621, 0x063A), (0x0641, 0x064A), (0x0904, 0x0939), (0x0E01, 0x0E2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+_ALPHABETS += ["".join(map(chr, range(low, high + 1))) for low, high in _RANGES]
+_PLACE = {c: (a, i) for a, alphabet in enumerate(_ALPHABETS) for i, c in enumerate(alphabet)}
+#: Letters of a name without case and without spaces; of more it can't be told where it ends.
+_DENSE = re.compile("[\u3041-\u30fa\u4e00-\u9fff\uac00-\ud7a3]{1,4}")
 
-_ALPHABETS = ["0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâäèéêëìíîïòóôöùúûü", "çñß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ёъь", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ"]
-_PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
+
+def _caseless(word: str) -> bool:
+    """A name's word in a script without capitals."""
+    return not word[0].isupper() and not word[0].islower() and (bool(_DENSE.fullmatch(word)) or not _DENSE.match(word))
 
 
 class Surrogates:
@@ -86,34 +107,44 @@ class Surrogates:
             if x < n and allowed(x):
                 return x
 
-    def shape(self, text: str, tweak: str, keep: int = 0, last: bool = False) -> str:
+    def shape(self, text: str, tweak: str, last: bool = False, allowed: Callable[[str], bool] = lambda _: True) -> str:
         """Letters and digits replaced within their own alphabets (case, script, vowels and digits kept), other
-        characters as they are, so is what stands before ``keep`` and, with ``last``, the last letter."""
-        at = [i for i, c in enumerate(text) if i >= keep and c.lower() in _PLACE]
+        characters as they are, and so, with ``last``, the last letter. ``allowed`` judges texts in lower case; it holds
+        for the given one."""
+        low = [c.lower() for c in text]
+        at = [i for i, c in enumerate(low) if c in _PLACE]
         at = at[: -1 if last and len(at) > 2 else None]
         n, x = 1, 0
         for i in at:
-            alphabet, place = _PLACE[text[i].lower()]
-            n, x = n * len(alphabet), x * len(alphabet) + place
+            alphabet, place = _PLACE[low[i]]
+            n, x = n * len(_ALPHABETS[alphabet]), x * len(_ALPHABETS[alphabet]) + place
         if n == 1:
             return text
-        fixed = text.lower() if at else ""
+        fixed = list(low)
         for i in at:
-            fixed = f"{fixed[:i]}{_ALPHABETS.index(_PLACE[text[i].lower()][0]):x}{fixed[i + 1 :]}" if len(fixed) == len(text) else fixed
-        x = self.permute(x, n, f"{tweak}|{fixed}")
-        out = list(text)
-        for i in reversed(at):
-            alphabet, _ = _PLACE[text[i].lower()]
-            x, place = divmod(x, len(alphabet))
-            out[i] = alphabet[place].upper() if text[i] != text[i].lower() else alphabet[place]
-        return "".join(out)
-
-    def _digits(self, text: str, tweak: str, keep: int, allowed: Callable[[str], bool] = lambda _: True) -> str:
-        """The digits from the keep-th on permuted, separators as they are; ``allowed`` judges all digits."""
+            fixed[i] = f"<{_PLACE[low[i]][0]}>"
+
+        def filled(x: int) -> list[str]:
+            out = list(low)
+            for i in reversed(at):
+                alphabet = _ALPHABETS[_PLACE[low[i]][0]]
+                x, place = divmod(x, len(alphabet))
+                out[i] = alphabet[place]
+            return out
+
+        new = filled(self.permute(x, n, f"{tweak}|{''.join(fixed)}", lambda y: allowed("".join(filled(y)))))
+        for i, c in enumerate(text):
+            if c != low[i] or i not in at:
+                new[i] = new[i].upper() if i in at else c
+        return "".join(new)
+
+    def _digits(self, text: str, tweak: str, keep: int, allowed: Callable[[str], bool] = lambda _: True, told: str | None = None) -> str:
+        """The digits from the keep-th on permuted, separators as they are; ``allowed`` judges all digits. ``told``: the
+        head that the permutation goes by, if it isn't that of the kept digits."""
         digits = [c for c in text if c in "0123456789"]
         head, rest = "".join(digits[:keep]), "".join(digits[keep:])
         size = len(rest)
-        new = head + str(self.permute(int(rest), 10**size, f"{tweak}|{head}", lambda x: allowed(head + str(x).zfill(size)))).zfill(size)
+        new = head + str(self.permute(int(rest), 10**size, f"{tweak}|{head if told is None else told}", lambda x: allowed(head + str(x).zfill(size)))).zfill(size)
         fresh = iter(new)
         return "".join(next(fresh) if c in "0123456789" else c for c in text)
 
@@ -128,30 +159,35 @@ class Surrogates:
             x = self.permute(x, 1 << 32, "ip", lambda y: not private(y))
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def _given(self, name: str, gender: str) -> str:
-        low = name.lower()
-        for (script, of), places in self.lists.items():
-            if low in places and gender in (of, "n"):
-                new = GIVEN[script, of][self.permute(places[low], len(places), f"given|{script}|{of}")]
-                return new.upper() if name.isupper() and len(name) > 1 else new
-        return self._other(name, f"given|{gender}", gender != "n")
-
-    def _other(self, name: str, tweak: str, last: bool) -> str:
-        """A name that is in no list: one of its shape that is in none either. The last letter, which often tells the
-        gender, is kept for given names."""
-        new = self.shape(name, tweak, last=last)
-        while any(new.lower() in places for places in self.lists.values()):
-            new = self.shape(new, tweak, last=last)
-        return new
+    def _word(self, word: str) -> str:
+        """A listed given name becomes another one of its list, so script and gender stay. Any other word becomes one of
+        its shape that is in no list; it keeps its last letter, which often tells the gender."""
+        low = word.lower()
+        for kind, places in self.lists.items():
+            if low in places:
+                new = GIVEN[kind][self.permute(places[low], len(places), "given|" + "|".join(kind))]
+                return new.upper() if word.isupper() else new
+        return self.shape(word, "word", last=True, allowed=lambda x: not any(x in places for places in self.lists.values()))
 
     def _name(self, text: str) -> str:
-        title, _, rest = text.partition(" ")
-        words = rest.split(" ")
-        gender = _GENDER[title]
-        new = [self._other(w, "family", False) for w in words]
-        if len(words) > 1:
-            new[0] = self._given(words[0], gender)
-        return " ".join([title, *new])
+        words = text.split(" ")
+        titles = int(words[0] in _TITLES)
+        return " ".join([*words[:titles], *("-".join(map(self._word, w.split("-"))) for w in words[titles:])])
+
+    def _phone(self, text: str) -> str:
+        """Ten digits without a country are taken for those of calling code 1."""
+        digits = re.sub(r"[^0-9]", "", text)
+        if text[0] != "+":
+            return self._digits(text, "phone", 0, told="1" if len(digits) == 10 else "")
+        return self._digits(text, "phone", 1 if digits[0] in "17" else 2 if digits[:2] in CALLING else 3)
+
+    def _iban(self, text: str) -> str:
+        """Country and validity stay: check digits are off the right ones by what they were."""
+        plain = text.replace(" ", "")
+        country, given, body = plain[:2], int(plain[2:4]), plain[4:]
+        new = self.shape(body, f"iban|{country}")
+        fresh = iter(f"{country}{(iban_check(country, new) + given - iban_check(country, body)) % 100:02}{new}")
+        return "".join(c if c == " " else next(fresh) for c in text)
 
     def _of(self, kind: str, text: str) -> str:
         if kind == "email":
@@ -162,23 +198,29 @@ class Surrogates:
             return self._address(text)
         if kind == "card":
             valid = luhn(text)
-            return self._digits(text, f"card|{valid}", 0, lambda digits: luhn(digits) == valid)
+            return self._digits(text, f"card|{valid}", 1, lambda digits: luhn(digits) == valid)
         if kind == "phone":
-            return self._digits(text, "phone", len(re.match(r"\+?([0-9]{1,3}(?=[\x20.(-]))?", text)[1] or "") if text[0] == "+" else 0)
+            return self._phone(text)
         if kind == "iban":
-            return self.shape(text, "iban", keep=2)
+            return self._iban(text)
         if kind == "ssn":
             return self._digits(text, "ssn", 0)
         return self._name(text)
 
 
+def iban_check(country: str, body: str) -> int:
+    """The check digits that make the number 1 modulo 97."""
+    return 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+
+
 def luhn(text: str) -> bool:
     digits = [int(c) for c in reversed(text) if c in "0123456789"]
     return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
 
 
 def entities(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind), leftmost first, not overlapping; a name's words must begin with capitals."""
+    """(start, end, kind), leftmost first, not overlapping. A name's words begin with capitals; in scripts without them the
+    one word after a title is taken."""
     if not text or not _HINT.search(text):
         return []
     out = []
@@ -189,6 +231,8 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
             proper = 1
             while proper < len(words) and words[proper][0].isupper():
                 proper += 1
+            if proper == 1 and words[0] in _TITLES and _caseless(words[1]):
+                proper = 2
             if proper == 1:
                 continue
             end = start + len(" ".join(words[:proper]))
@@ -207,11 +251,18 @@ def replace(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[
     return "".join([*parts, text[at:]]), found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"cardloom", text_col: str = "text", spans: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The secret of ``spark.cardloom.pii.key``; without one a new random key, so that nobody can turn surrogates back."""
+    named = spark.conf.get("spark.cardloom.pii.key", None)
+    return hashlib.blake2b(named.encode()).digest() if named else os.urandom(32)
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans: bool = False) -> DataFrame:
     """The documents, all columns and rows, with entities in ``text_col`` replaced; with n_<kind> columns for each kind.
 
     ``spans`` adds where entities stood in the input: an array of (start, end, kind), code points. Null and empty texts
-    stay as they are. Each row is replaced on its own, so repeated rows and null ids stay alike. Input columns that have the
+    stay as they are; texts of any length are searched whole. ``key`` is a secret of up to 64 bytes: one key gives the same
+    surrogates always. Each row is replaced on its own, so repeated rows and null ids stay alike. Input columns that have the
     name of an added one give way to it.
     """
     counts = [f"n_{k}" for k in KINDS]

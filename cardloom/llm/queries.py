@@ -63,9 +63,9 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cardloom.llm.pii import pseudonymise
+    from cardloom.llm.pii import pseudonymise, session_key
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spans=True)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark), spans=True)
 
 
 def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from cardloom.llm import pii
@@ -6,7 +7,7 @@ from cardloom.llm import pii
 def test_types_formats_and_coreference(spark):
     text = "Mail und.34@mail7.example.com or UND.34@mail7.example.com, call +1 (017) 555-7713 or +10175557713, pay 4111 1111 1111 1111, from 97.51.17.173 and 10.0.0.7, SSN 123-45-6789. Frau Anna Schmidt met Mr. Paul Smith; Mrs Иванова. Dr. x"
     rows = [(1, text, "en"), (2, text.replace("97.51", "96.51"), "en"), (None, None, None), (3, "", "de"), (4, "no entity here 12 345", "fr"), (1, text, "en")]
-    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spans=True).collect()
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, lang string"), b"k", spans=True).collect()
     by = {r.doc_id: r for r in got}
     one, two = by[1], by[2]
     assert (one.n_email, one.n_phone, one.n_card, one.n_ip, one.n_ssn, one.n_name) == (2, 2, 1, 2, 1, 3)
@@ -48,8 +49,8 @@ def test_no_surrogate_is_its_original():
             assert sorted(got := [s.permute(x, n, "t") for x in range(n)]) == list(range(n)) and all(x != y for x, y in enumerate(got))
             even = [s.permute(x, n, "e", lambda y: y % 2 == 0) for x in range(0, n, 2)]
             assert sorted(even) == list(range(0, n, 2)) and (n < 3 or all(x != y for x, y in zip(range(0, n, 2), even, strict=True)))
-        for (_, gender), names in pii.GIVEN.items():
-            assert all(s._given(x, gender) != x for x in names)
+        for names in pii.GIVEN.values():
+            assert all(s._word(x) != x for x in names)
 
 
 def test_shape_keeps_shapes_apart():
@@ -60,8 +61,78 @@ def test_shape_keeps_shapes_apart():
 
 def test_empty_and_clash(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert pii.pseudonymise(docs).count() == 0
+    assert pii.pseudonymise(docs, b"k").count() == 0
     clash = spark.createDataFrame([("a@b.org", "old", 1)], "text string, n_email string, entities int")
-    got = pii.pseudonymise(clash).first()
+    got = pii.pseudonymise(clash, b"k").first()
     assert got.n_email == 1 and got["entities"] == 1 and got.text != "a@b.org"
-    assert pii.pseudonymise(clash, spans=True).first()["entities"][0].kind == "email"
+    assert pii.pseudonymise(clash, b"k", spans=True).first()["entities"][0].kind == "email"
+
+
+def everyone():
+    return [n for names in pii.GIVEN.values() for n in names]
+
+
+def test_words_of_names_are_one_to_one_and_keep_list_script_and_gender():
+    rng = random.Random(1)
+    for key in (b"k", b"another"):
+        s = pii.Surrogates(key)
+        others = {"".join(rng.choice(a) for a in ("BDGKLMNPRST", "aeio", "lmnrst", "aeio", "nst")) for _ in range(3000)} - set(everyone())
+        for kind, names in pii.GIVEN.items():
+            assert sorted(map(s._word, names)) == sorted(names), kind
+        got = {s._word(w) for w in others}
+        assert len(got) == len(others) and not got & set(everyone())
+        assert all(w[-1] == s._word(w)[-1] and s._word(w)[0].isupper() for w in list(others)[:200])
+
+
+def test_a_person_stays_one_in_full_and_by_one_word():
+    s = pii.Surrogates(b"k")
+    first, last = s.of("name", "Mr. Paul Smith").split(" ")[1:]
+    assert s.of("name", "Mr. Paul") == f"Mr. {first}" and s.of("name", "Dr. Smith") == f"Dr. {last}" and s.of("name", "MR. PAUL SMITH".replace("MR.", "Mr.")) == f"Mr. {first.upper()} {last.upper()}"
+    assert len({s.of("name", f"Mr. {n}") for n in ("Leon", "Waig", "Nina", "Wada", "Adam", "Isyc")}) == 6
+
+
+def test_phones_in_any_notation_are_one():
+    s = pii.Surrogates(b"k")
+    digits = {re.sub(r"[^0-9]", "", s.of("phone", p))[-10:] for p in ("+1 (017) 555-7713", "+10175557713", "(017) 555-7713", "017-555-7713", "+1 017.555.7713")}
+    assert len(digits) == 1 and digits != {"0175557713"}
+    assert s.of("phone", "+49 30 1234567").startswith("+49 ") and s.of("phone", "+353 1 234 5678").startswith("+353 ")
+
+
+def mod97(text):
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def test_ibans_stay_valid_or_invalid():
+    s = pii.Surrogates(b"k")
+    for iban in ("GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606"):
+        new = s.of("iban", iban)
+        assert mod97(iban) == mod97(new) == 1 and new != iban and new[:2] == iban[:2] and re.sub("[0-9]", "0", new).count("0") == re.sub("[0-9]", "0", iban).count("0")
+        assert s.of("iban", iban.replace(" ", "")) == new.replace(" ", "")
+        wrong = f"{iban[:2]}{(int(iban[2:4]) + 1) % 100:02}{iban[4:]}"
+        assert mod97(s.of("iban", wrong)) != 1
+    assert len({s.of("iban", f"DE89{i:018}") for i in range(2000)}) == 2000
+
+
+def test_names_without_title_and_in_other_scripts():
+    text = "Anna Schmidt saw Łukasz. Mr. Żółkiewski, Mr. 王伟, Frau Çelik and emma came; Anna was late"
+    new, found = pii.replace(text, pii.Surrogates(b"k"))
+    assert [text[a:b] for a, b, _ in found] == ["Anna Schmidt", "Mr. Żółkiewski", "Mr. 王伟", "Frau Çelik"]
+    assert not any(x in new for x in ("Schmidt", "Żół", "王伟", "Çelik")) and "Łukasz" in new and "emma" in new
+    assert all(len(c.upper()) == 1 and c.upper().lower() == c for a in pii._ALPHABETS[1:15] for c in a)
+
+
+def test_long_texts_and_texts_between_entities(spark):
+    text = "x " * 200_000 + "a.b@c.org " + "" + "y " * 200_000
+    rows = [(1, text), (2, ""), (3, None), (4, "a.b@c.org")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    assert len(got[1]) == len(text) and got[1].split()[200_000] == got[4] != "a.b@c.org" and got[2] == "" and got[3] is None
+
+
+def test_session_key(spark):
+    assert pii.session_key(spark) != pii.session_key(spark)
+    spark.conf.set("spark.cardloom.pii.key", "s")
+    try:
+        assert pii.session_key(spark) == pii.session_key(spark)
+    finally:
+        spark.conf.unset("spark.cardloom.pii.key")
