@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from cardloom.llm import secrets, url_filters
-
+#: The SQL's own values: it checks those of the operators.
+_RULES = [("allow", "com", "/"), ("block", "net", "/es/"), ("block", "net", "/fr/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/")]
+_ROUNDS = 10
+_HREF = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+_BASE = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+]
+_WEAK = [
+    ("part", r"[A-Za-z0-9+/]{32,}={0,2}", 0, 32),
+    ("ident", r"""((?i:user(?:name)?|login|client_?id|account_?id|key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3),
+    ("endpoint", r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]+(?::[0-9]+)?", 0, 8),
+    ("path", r"""[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]+(?::[0-9]+)?/[^\x20\x09-\x0D?#"'<>]*""", 0, 1),
+]
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 SUBSTRINGS = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -22,12 +35,12 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() O
 
 def _urls() -> str:
     rule, verdict = "NULL", "NULL"
-    for what, host, path in sorted(url_filters.RULES, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]))):
+    for what, host, path in _RULES:
         fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{host}{path}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{what}' ELSE {verdict} END"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = "coalesce(" + lower.format(r"regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)") + ", '')"
-    link = url_filters._LINK.replace("'", "''")
+    link = _HREF.replace("'", "''")
     parts = [
         f"u AS (SELECT page_id, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path, html FROM pages)",
         f"ruled AS (SELECT page_id, host, path, html, {rule} AS rule, {verdict} AS ruled FROM u)",
@@ -37,29 +50,29 @@ def _urls() -> str:
         "edges AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM counts)",
     ]
     for name, seed, source, target in (("t", "allow", "src", "dst"), ("b", "block", "dst", "src")):
-        own = f"SELECT host, {seed} * {1 - url_filters.DAMPING} AS score FROM seeds WHERE {seed} > 0"
+        own = f"SELECT host, {seed} * (1 - 0.85::DOUBLE) AS score FROM seeds WHERE {seed} > 0"
         parts.append(f"{name}0 AS ({own})")
-        for i in range(url_filters.ROUNDS):
-            parts.append(f"{name}{i + 1} AS (SELECT host, sum(score) AS score FROM ({own} UNION ALL SELECT {target}, sum(share * score * {url_filters.DAMPING}) FROM edges JOIN {name}{i} ON {source} = host GROUP BY {target}) GROUP BY host)")
-    last = url_filters.ROUNDS
-    bad = f"coalesce(b.score, 0) > coalesce(t.score, 0) AND coalesce(b.score, 0) >= {url_filters.THRESHOLD * (1 - url_filters.DAMPING)}"
+        for i in range(_ROUNDS):
+            parts.append(f"{name}{i + 1} AS (SELECT host, sum(score) AS score FROM ({own} UNION ALL SELECT {target}, sum(share * score * 0.85::DOUBLE) FROM edges JOIN {name}{i} ON {source} = host GROUP BY {target}) GROUP BY host)")
+    last = _ROUNDS
+    bad = f"coalesce(b.score, 0) > coalesce(t.score, 0) AND coalesce(b.score, 0) >= 0.075"
     return f"WITH {', '.join(parts)} SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN {bad} THEN 'block' ELSE 'allow' END) AS verdict FROM ruled r LEFT JOIN t{last} t ON r.host = t.host LEFT JOIN b{last} b ON r.host = b.host"
 
 
 def _secrets() -> str:
-    kinds = {**secrets.BASE, **secrets.WEAK}
     parts = ["d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"]
-    for rank, (kind, (pattern, group, least)) in enumerate(kinds.items()):
+    for rank, (kind, pattern, group, least) in enumerate([*_BASE, *_WEAK]):
         p = pattern.replace("'", "''")
         parts.append(f"m_{kind} AS (SELECT r, unnest(m) AS m, unnest(g) AS g, unnest(p[1:len(m)]) AS p, unnest(range(len(m))) AS i FROM (SELECT r, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS g, string_split_regex(text, '{p}') AS p FROM d))")
-        parts.append(f"k_{kind} AS (SELECT r, {rank} AS rank, '{kind}' AS kind, z - length(m) AS start, z AS stop FROM (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY r ORDER BY i)::BIGINT AS z FROM m_{kind}) WHERE length(g) >= {least})")
-    parts.append("every AS (" + " UNION ALL ".join(f"SELECT * FROM k_{kind}" for kind in kinds) + ")")
-    parts.append("free AS (SELECT * FROM every e WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM every b WHERE b.r = e.r AND b.rank < 3 AND b.start <= e.start AND b.stop >= e.stop))")
-    near = lambda names: f"EXISTS (SELECT 1 FROM free o WHERE o.r = e.r AND (o.start, o.rank) <> (e.start, e.rank) AND o.kind IN ({', '.join(map(repr, names))}) AND greatest(e.start - o.stop, o.start - e.stop) <= {secrets.SCOPE})"
-    parts.append(f"told AS (SELECT * FROM free e WHERE rank < 3 OR (kind = 'part' AND {near((*secrets._IDENTS, *secrets._ENDPOINTS))}) OR (kind IN ('ident', 'endpoint') AND {near(secrets._SECRETS)}))")
+        strong = " AND len(list_distinct(string_split(m, ''))) >= 16 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')" if kind == "part" else ""
+        parts.append(f"k_{kind} AS (SELECT r, {rank} AS rank, '{kind}' AS kind, z - length(m) AS start, z AS stop FROM (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY r ORDER BY i)::BIGINT AS z FROM m_{kind}) WHERE length(g) >= {least}{strong})")
+    parts.append("every AS (" + " UNION ALL ".join(f"SELECT * FROM k_{kind}" for kind, *_ in [*_BASE, *_WEAK]) + ")")
+    parts.append("free AS (SELECT * FROM every e WHERE kind <> 'path' AND (rank < 3 OR NOT EXISTS (SELECT 1 FROM every b WHERE b.r = e.r AND (b.rank < 3 OR e.kind = 'part' AND b.kind = 'path') AND b.start <= e.start AND b.stop >= e.stop)))")
+    near = lambda *names: f"EXISTS (SELECT 1 FROM free o WHERE o.r = e.r AND (o.start, o.rank) <> (e.start, e.rank) AND o.kind IN ({', '.join(map(repr, names))}) AND greatest(e.start - o.stop, o.start - e.stop) <= 200)"
+    parts.append(f"told AS (SELECT * FROM free e WHERE rank < 3 OR (kind = 'part' AND {near('access', 'ident', 'endpoint')}) OR (kind IN ('ident', 'endpoint') AND {near('assign', 'hex', 'part')}))")
     joined = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){}, '')"
-    parts.append(f"agg AS (SELECT r, {', '.join(f'count(*) FILTER (kind = {kind!r}) AS n_{kind}' for kind in secrets.BASE)}, {joined.format(' FILTER (rank < 3)')} AS base, {joined.format('')} AS spans, count(*) FILTER (rank >= 3) AS n_linked FROM told GROUP BY r)")
-    return f"WITH {', '.join(parts)} SELECT doc_id, {', '.join(f'coalesce(n_{kind}, 0) AS n_{kind}' for kind in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM d LEFT JOIN agg ON d.r = agg.r"
+    parts.append(f"agg AS (SELECT r, {', '.join(f'count(*) FILTER (kind = {kind!r}) AS n_{kind}' for kind, *_ in _BASE)}, {joined.format(' FILTER (rank < 3)')} AS base, {joined.format('')} AS spans, count(*) FILTER (rank >= 3) AS n_linked FROM told GROUP BY r)")
+    return f"WITH {', '.join(parts)} SELECT doc_id, {', '.join(f'coalesce(n_{kind}, 0) AS n_{kind}' for kind, *_ in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM d LEFT JOIN agg ON d.r = agg.r"
 
 
 URLS, SECRETS = _urls(), _secrets()
