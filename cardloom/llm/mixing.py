@@ -19,8 +19,12 @@ from cardloom.llm.common import WORD, checkpoint, n_words
 
 #: Words of a block, and of an output shard on average.
 BLOCK_WORDS, SHARD_WORDS = 2_048, 1_000_000
+#: Blocks of a shard and source that one row stands for until they are drawn.
+RUN_BLOCKS = 4_096
 #: Documents of a source that one window orders, on average.
 RUN_DOCS = 1_024
+#: Levels of the tree between exchanges of its nodes, blocks that a task draws on average, and partitions at most.
+SPREAD_LEVELS, TASK_BLOCKS, MOST_PARTS = 5, 100_000, 20_000
 #: No word is taken more often.
 REPEATS = 3
 SEED = 20_240_229
@@ -68,8 +72,10 @@ def _hypergeometric(population: str, marked: str, drawn: str, uniform: str) -> s
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """(place, quota) of each source to (shard, place, first, n): each shard's range of the source's permuted blocks.
 
-    One row holds a tree node: its range of shards, and for each source the first block and the number of blocks. A level
-    of the tree is one projection.
+    One row holds a tree node: its range of shards, and for each source that it has blocks of the first one and their number. A
+    level of the tree is one projection. After SPREAD_LEVELS levels the nodes are dealt out by their first shard, so that the
+    subtrees, and the rows that come of them, are many tasks' work; with more shards they are dealt out more finely. The
+    table of sources is taken to be small (it is one array of the root); that of shards and blocks isn't.
     """
     nodes = quotas.where("quota > 0").agg(F.array_sort(F.collect_list(F.struct("place", "quota"))).alias("q")).where("size(q) > 0")
     nodes = nodes.selectExpr("0L as low", f"{shards}L as high", "transform(q, x -> struct(x.place as place, 0L as first, x.quota as n)) as has", "aggregate(q, 0L, (s, x) -> s + x.quota) as total")
@@ -88,6 +94,9 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
         left = "struct(low, middle as high, zip_with(has, got, (x, g) -> struct(x.place as place, x.first as first, g as n)) as has, aggregate(got, 0L, (s, g) -> s + g) as total)"
         right = "struct(middle as low, high, zip_with(has, got, (x, g) -> struct(x.place as place, x.first + g as first, x.n - g as n)) as has, total - aggregate(got, 0L, (s, g) -> s + g) as total)"
         nodes = nodes.selectExpr("all", f"explode(if(got is null, array(struct(low, high, has, total)), array({left}, {right}))) as node").selectExpr("node.*", "all")
+        nodes = nodes.withColumn("has", F.expr("filter(has, x -> x.n > 0)"))
+        if (level + 1) % SPREAD_LEVELS == 0:
+            nodes = nodes.repartition(max(1, min(2 ** (level + 1), shards, MOST_PARTS)), "low")
     return nodes.selectExpr("low as shard", "inline(has)").where("n > 0").select("shard", "place", "first", "n")
 
 
@@ -133,7 +142,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int =
     cut = cut.withColumn("word_from", start - F.col("begin")).withColumn("taken", F.least(F.col("end"), (F.col("block") + 1) * block) - start)
     # blocks in permuted order: a step that shares no factor with the quota visits each once
     ranges = split_quotas(plan.select("place", "quota"), shards, seed).join(plan.select("place", "quota"), "place")
-    drawn = ranges.select("shard", "place", "quota", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("rank"))
+    # a shard's blocks of a source in rows of bounded length, dealt out before each becomes a row of its own
+    run = F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN_BLOCKS})"))
+    runs_of = ranges.select("shard", "place", "quota", "first", "n", run.alias("at")).select("shard", "place", "quota", (F.col("first") + F.col("at") * RUN_BLOCKS).alias("low"), (F.col("first") + F.least(F.col("n"), (F.col("at") + 1) * RUN_BLOCKS) - 1).alias("high"))
+    tasks = max(1, min(-(-shards * shard_words // (block * TASK_BLOCKS)), MOST_PARTS))
+    drawn = runs_of.repartition(tasks, "place", "low").select("shard", "place", "quota", F.explode(F.sequence("low", "high")).alias("rank"))
     drawn = drawn.select("shard", "place", _permuted("rank", "quota", seed).alias("block"))
     mixed = cut.join(drawn, ["place", "block"], "left")
     return mixed.select("row", "doc_id", "source", "size", "source_size", "target", "copy", "word_from", F.col("taken").alias("words"), "shard", F.xxhash64(F.lit(seed), "key", "copy", "block").alias("shuffle"), "key")

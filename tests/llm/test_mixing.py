@@ -112,3 +112,19 @@ def test_texts_of_pieces_with_clashing_columns(spark):
         texts.setdefault(d, []).append(t)
     for r in got:
         assert any(r.text in (t or "") for t in texts[r.doc_id]) and len(r.text.replace("\n", " ").replace("\t", " ").split(" ")) >= r.words
+
+
+def test_nodes_and_blocks_are_dealt_out(spark):
+    """With more shards the tree's rows lie in more partitions, and with other levels of dealing out they are the same."""
+    quotas = spark.createDataFrame([(0, 9000), (1, 300), (2, 77)], "place long, quota long")
+    used = {}
+    for shards in (8, 64, 1024):
+        at = mixing.split_quotas(quotas, shards).selectExpr("spark_partition_id() as p").distinct().count()
+        used[shards] = at
+    assert used[8] == 1 and used[64] >= 8 and used[1024] >= 64
+
+
+def test_a_source_of_very_many_shards_stays_whole(spark):
+    docs = spark.createDataFrame([(i, "w " * 50, "s", 0, 0.0) for i in range(200)], SCHEMA)
+    got = mixing.mix(docs, block=3, shard_words=20, weights=(1,)).where("words is not null").collect()
+    assert sum(r.words for r in got) == 10_000 and len({r.shard for r in got}) == 500
