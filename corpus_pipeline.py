@@ -15,7 +15,7 @@ from cardloom.llm.common import shared_folder, table
 from cardloom.llm.decontaminate import find_items
 from cardloom.llm.mixing import mix_texts
 from cardloom.llm.near_copies import first_of_copies
-from cardloom.llm.pii import KINDS, pseudonymise
+from cardloom.llm.pii import KINDS, pseudonymise, session_key
 from cardloom.llm.toxicity import CATEGORIES, drop_toxic, fit, label_columns
 
 
@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the new text."""
-    done = pseudonymise(docs).drop(*(f"n_{k}" for k in KINDS))
+    done = pseudonymise(docs, session_key(spark)).drop(*(f"n_{k}" for k in KINDS))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
