@@ -146,7 +146,9 @@ def _class_links(members: DataFrame, sets: DataFrame, least: float, radius: int,
     links = confirm(single.join(sets, "cls")).select("u", "v")
     if dealt.where("c > 1").isEmpty():
         return links
-    hot = dealt.where("c > 1").select("key", "cls", "own").join(sets, "cls").repartition(F.col("key"), F.col("own")).sortWithinPartitions("key", "own")
+    hot = dealt.where("c > 1").select("key", "cls", "own")
+    sets = checkpoint(sets.join(hot.select("cls").distinct(), "cls", "left_semi"))
+    hot = hot.join(sets, "cls").repartition(F.col("key"), F.col("own")).sortWithinPartitions("key", "own")
     balls = checkpoint(hot.mapInArrow(lambda batches: _balls(batches, radius), "key long, leader long, cls long, far double"))
     leaders = balls.groupBy("key", F.col("leader").alias("cls")).agg(F.max("far").alias("r"))
     across = checkpoint(confirm(shard_tasks(leaders, "key", "cls", piece).join(sets, "cls")))
@@ -207,7 +209,7 @@ def first_of_copies(docs: DataFrame, size: int = SHINGLE, least: float = SIMILAR
     members = checkpoint(ranked.select("cls", "size", F.explode(F.slice("of", 1, keys)).alias("k")).select("cls", "size", F.col("k.key").alias("key")))
     wanted = members.select("cls").distinct().join(classes, "cls").select(F.col("first.th").alias("th"))
     sets = docs.select("text", text_hash.alias("th")).join(wanted, "th", "left_semi").select("text").mapInArrow(sets_of, "cls long, fp long, hashes binary").groupBy("cls").agg(F.min("fp").alias("fp"), F.min("hashes").alias("hashes"))
-    links = _class_links(members, checkpoint(sets), least, radius, piece)
+    links = _class_links(members, sets, least, radius, piece)
     roots = components(links, "u", "v")
     placed = classes.join(roots, classes.cls == roots.node, "left").select("first", F.coalesce("root", "cls").alias("root"))
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.th").alias("kept_th"))
