@@ -1,13 +1,20 @@
 """Removal of passages that repeat across documents, by repeated-phrase automata (operator 7).
 
-A phrase is ``width`` consecutive words. Documents are dealt in chunks of bounded size. Each chunk sends the hashes of
-its phrases, once each and with its least document, to the bucket that a hash falls in; the bucket answers with one bit
-per phrase: does the phrase recur in an earlier document elsewhere? So recurring passages are confirmed for the whole
-corpus while no text and no list of documents is shuffled for them. The chunk compiles its confirmed phrases into an
-Aho-Corasick automaton (words as symbols), its shard of all automata, and streams its documents through it; the matches
-are every occurrence, of which each that has an earlier document is covered.
-
-An exact copy held by a third of all documents costs each chunk one entry per phrase, not one per copy.
+A window is ``width`` consecutive words. The least hash of its phrases of GRAM words is its anchor, so equal windows have
+equal anchors wherever they stand. A run of windows with one anchor makes a *piece* of a document, a few words longer than a
+window; a document's pieces hold all of its windows.
+
+1. Documents are dealt in chunks of bounded size. Each sends how many different pieces it has of each anchor, and is told
+   which anchors others have as well. What isn't shared can't recur and goes no further.
+2. Pieces of shared anchors go to the shard of their anchor, once per chunk, with their least document.
+3. A shard confirms which windows recur among its pieces, word by word, and compiles them into Aho-Corasick automata (words
+   as symbols). All pieces, from all documents, are streamed through: a match tells which window stands where, and so the
+   least document of each window. Pieces with a window that an earlier document has are answered.
+4. Chunks remove the words that such windows cover.
+
+Everything is sent once per chunk, so an exact copy held by a third of all documents costs each chunk one entry per piece.
+An anchor of very many pieces (a common phrase, each time among other words) is dealt out window by window, by the window's
+own hash. Hashes place windows only; that two are equal is told by their words, and within a chunk by 128 bits.
 """
 
 from __future__ import annotations
@@ -21,65 +28,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import WORD_RE, sorted_groups
+from cardloom.llm.common import WORD_RE, give_back, sorted_groups
 
-#: UTF-8 bytes of a chunk's documents, on average. With under 0x10F800 distinct words each has a code point of its own.
+#: UTF-8 bytes of a chunk's documents, on average.
 CHUNK_BYTES = 3_000_000
 #: Chunks that share a task, on average.
 CHUNKS_PER_PARTITION = 4
-#: Bytes of phrase hashes that a bucket takes, on average.
-BUCKET_BYTES = 24_000_000
+#: Bytes of documents for each bucket of anchors, and for each shard of pieces.
+BUCKET_BYTES, SHARD_BYTES = 24_000_000, 6_000_000
+#: Words of an anchor, and pieces of an anchor beyond which its windows are dealt out one by one.
+GRAM, HOT = 4, 20_000
+#: Windows of an automaton; their words are fewer than there are code points.
+AUTOMATON = 60_000
+_LAST = np.iinfo(np.int64).max
 
 
 class Chunk:
-    """A chunk's documents as words, and each word as a symbol."""
+    """A chunk's documents, in the order of their ids and texts, as words and numbers of words."""
 
-    def __init__(self, ids: list, texts: list):
-        self.ids = ids
-        self.words = [WORD_RE.findall(t or "") for t in texts]
-        self.number: dict[str, int] = {}
-        give = self.number.setdefault
-        self.codes = [[give(w, len(self.number)) for w in words] for words in self.words]
-
-    def phrase_hashes(self, width: int) -> list[np.ndarray]:
-        """A 64-bit hash of each window of each document."""
+    def __init__(self, docs: pa.Table, width: int):
         from xxhash import xxh64_intdigest
 
-        of_word = np.fromiter((xxh64_intdigest(w.encode()) for w in self.number), dtype=np.uint64, count=len(self.number))
-        out = []
+        docs = docs.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.width, self.ids = width, docs.column("doc_id").to_pylist()
+        self.words = [WORD_RE.findall(t or "") for t in docs.column("text").to_pylist()]
+        number: dict[str, int] = {}
+        give = number.setdefault
+        codes = [give(w, len(number)) for words in self.words for w in words]
+        names = [w.encode() for w in number]
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])  # of each document's words, among all words
+        at = np.array(codes, dtype=np.intp)
+        hashes = [np.fromiter((xxh64_intdigest(w, seed) for w in names), dtype=np.uint64, count=len(names)) for seed in (0, 1)]
+        self.hashes = [h[at] if len(at) else h for h in hashes]
+        self._sums: list[tuple[np.ndarray, np.ndarray]] = []
+        self._runs()
+
+    def _runs(self) -> None:
+        """The pieces: first and last window (places of their first words), anchor and document of each."""
+        n, width = len(self.hashes[0]), self.width
+        known = np.array([i is not None for i in self.ids], dtype=bool)
+        ends = np.repeat(self.first[1:], self.sizes)
+        self.doc_of = np.repeat(np.arange(len(self.ids)), self.sizes)
+        valid = (np.arange(n) + width <= ends) & known[self.doc_of]
+        if not valid.any():
+            self.low = self.high = self.run_doc = np.zeros(0, dtype=np.int64)
+            self.anchor = np.zeros(0, dtype=np.uint64)
+            return
+        size = min(GRAM, width)
+        gram = _mixed(self.hashes[0], size)
+        count = n - width + 1
+        best, where = gram[:count].copy(), np.zeros(count, dtype=np.int64)
+        for k in range(1, width - size + 1):
+            less = gram[k : k + count] < best
+            best[less] = gram[k : k + count][less]
+            where[less] = k
+        where += np.arange(count)
+        windows = np.flatnonzero(valid[:count])
+        breaks = np.flatnonzero((np.diff(windows) != 1) | (np.diff(where[windows]) != 0))
+        self.low = windows[np.concatenate([[0], breaks + 1])]
+        self.high = windows[np.concatenate([breaks, [len(windows) - 1]])]
+        self.anchor, self.run_doc = best[self.low], self.doc_of[self.low]
+
+    def _prints(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit hashes of words start .. end - 1, by running sums."""
         with np.errstate(over="ignore"):
-            for codes in self.codes:
-                n = len(codes) - width + 1
-                if n <= 0:
-                    out.append(np.zeros(0, dtype=np.uint64))
-                    continue
-                symbols = of_word[np.array(codes, dtype=np.intp)]
-                total = symbols[:n].copy()
-                for k in range(1, width):
-                    total = total * np.uint64(0x9E3779B97F4A7C15) + symbols[k : k + n]
-                    total ^= total >> np.uint64(29)
-                out.append(total * np.uint64(0xBF58476D1CE4E5B9))
-        return out
-
-    def symbols(self) -> list[str]:
-        """Each document as a string with one code point per word."""
-        if len(self.number) >= 0x10F800:
-            raise ValueError("a chunk has too many distinct words; lower CHUNK_BYTES")
-        points = np.arange(len(self.number), dtype=np.uint32)
-        points[points >= 0xD800] += 0x800
-        return [points[np.array(c, dtype=np.intp)].tobytes().decode("utf-32-le") if c else "" for c in self.codes]
-
-
-def _entries(ids: list, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The chunk's distinct phrase hashes in order, and the least document of each; a null id never counts."""
-    known = [i for i in range(len(ids)) if ids[i] is not None and len(hashes[i])]
-    known.sort(key=lambda i: ids[i])
-    if not known:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    every = np.concatenate([hashes[i] for i in known])
-    distinct, first = np.unique(every, return_index=True)
-    owner = np.repeat(np.array([ids[i] for i in known], dtype=np.int64), [len(hashes[i]) for i in known])
-    return distinct, owner[first]
+            if not self._sums:
+                for h, base in zip(self.hashes, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), strict=True):
+                    powers = np.cumprod(np.full(len(h) + 1, base, dtype=np.uint64))
+                    self._sums.append((np.concatenate([[np.uint64(0)], np.cumsum(h * powers[:-1], dtype=np.uint64)]), powers))
+            return [(total[end] - total[start]) * powers[len(powers) - 1 - start] + (end - start).astype(np.uint64) for total, powers in self._sums]
+
+    def distinct(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different stretches of words, in an order of their own: the first (and so least) holder of each, for each
+        stretch its number, and the last holder."""
+        a, b = self._prints(start, end)
+        order = np.lexsort((b, a))
+        new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]) if len(order) else np.zeros(0, bool)
+        heads = np.flatnonzero(new)
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        return order[heads], number, order[np.append(heads[1:], len(order)) - 1] if len(order) else order
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first run of each different piece, and for each run its piece."""
+        heads, number, _ = self.distinct(self.low, self.high + self.width)
+        return heads, number
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All windows of all runs: their places, then as ``distinct`` gives it."""
+        counts = self.high - self.low + 1
+        places = np.repeat(self.low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        return places, *self.distinct(places, places + self.width)
+
+    def text(self, start: int, end: int) -> str:
+        doc = self.doc_of[start]
+        return " ".join(self.words[doc][start - self.first[doc] : end - self.first[doc]])
+
+    def id_of(self, places: np.ndarray) -> np.ndarray:
+        return np.array([self.ids[i] for i in self.doc_of[places]], dtype=np.int64)
+
+
+def _mixed(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive hashes."""
+    n = max(0, len(hashes) - size + 1)
+    total = hashes[:n].copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, size):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+            total ^= total >> np.uint64(29)
+        return total * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _edges(parts: int) -> np.ndarray:
+    return np.array([(b << 64) // parts for b in range(1, parts)], dtype=np.uint64)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -91,103 +153,202 @@ def _unplanes(data: bytes, kind: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, dtype=kind)
 
 
-def _pack(hashes: np.ndarray, owners: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
-    """Sorted hashes as differences; owners as places in their sorted list."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    names, at = np.unique(owners, return_inverse=True)
-    small = at.astype(np.uint16 if len(names) < 65_536 else np.uint32)
-    return len(hashes), _planes(steps), _planes(small), _planes(np.diff(names, prepend=np.int64(0)))
+_COUNTED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("steps", pa.binary()), ("counts", pa.binary())])
+_TOLD = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("kinds", pa.binary())])
+_SENT = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("texts", pa.string()), ("numbers", pa.binary()), ("least", pa.binary()), ("several", pa.binary())])
+_FOUND = pa.schema([("chunk", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("least", pa.binary())])
+_UNIQUE, _SHARED, _SPREAD = 0, 1, 2
 
 
-def _unpack(n: int, steps: bytes, at: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.cumsum(_unplanes(steps, np.uint64, n), dtype=np.uint64)
-    places = _unplanes(at, np.uint16 if len(at) == 2 * n else np.uint32, n)
-    return hashes, np.cumsum(_unplanes(names, np.int64, len(names) // 8))[places]
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def _send(width: int, buckets: int) -> Callable:
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
+def _anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    heads, _ = chunk.pieces()
+    return np.unique(chunk.anchor[heads], return_counts=True)
 
-    def run(key: tuple, docs: pa.Table) -> pa.Table:
-        chunk = Chunk(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist())
-        hashes, owners = _entries(chunk.ids, chunk.phrase_hashes(width))
-        cuts = [0, *np.searchsorted(hashes, edges, side="left").tolist(), len(hashes)]
-        rows = [(b, *_pack(hashes[i:j], owners[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-        return pa.Table.from_pylist([{"bucket": b, "chunk": key[0].as_py(), "n": n, "steps": s, "at": a, "names": d} for b, n, s, a, d in rows], schema=_SENT)
 
-    return run
+def _count(width: int, buckets: int) -> Callable:
+    """Step 1, at the chunks: how many different pieces each anchor has."""
 
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        anchors, counts = _anchors(Chunk(docs, width))
+        cuts = [0, *np.searchsorted(anchors, _edges(buckets), side="left").tolist(), len(anchors)]
+        rows = []
+        for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if j > i:
+                steps, few = np.diff(anchors[i:j], prepend=np.uint64(0)), np.minimum(counts[i:j], 65_535).astype(np.uint16)
+                rows.append({"bucket": b, "chunk": key[0].as_py(), "n": j - i, "steps": _planes(steps), "counts": _planes(few)})
+        return pa.Table.from_pylist(rows, schema=_COUNTED)
 
-_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("steps", pa.binary()), ("at", pa.binary()), ("names", pa.binary())])
-_TOLD = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("bits", pa.binary())])
+    return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk's entries in a bucket: bits of those that an earlier document elsewhere also has."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 1, at the buckets: for each chunk's anchors, are they its own, shared, or of very many pieces?"""
     for group in sorted_groups(batches, ["bucket"]):
-        parts = [_unpack(r["n"], r["steps"], r["at"], r["names"]) for r in group.select(["n", "steps", "at", "names"]).to_pylist()]
-        sizes = [len(h) for h, _ in parts]
-        hashes, owners = np.concatenate([h for h, _ in parts]), np.concatenate([o for _, o in parts])
-        parts.clear()
+        rows = group.select(["chunk", "n", "steps", "counts"]).to_pylist()
+        hashes = np.concatenate([np.cumsum(_unplanes(r["steps"], np.uint64, r["n"]), dtype=np.uint64) for r in rows])
+        counts = np.concatenate([_unplanes(r["counts"], np.uint16, r["n"]) for r in rows]).astype(np.int64)
         order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        least = np.minimum.reduceat(owners[order], heads)
-        bits = np.empty(len(hashes), dtype=bool)
-        bits[order] = np.repeat(least, np.diff(np.append(heads, len(hashes)))) < owners[order]
-        chunks, bucket, at = group.column("chunk").to_pylist(), group.column("bucket")[0].as_py(), 0
-        rows = []
-        for name, size in zip(chunks, sizes, strict=True):
-            rows.append({"chunk": name, "bucket": bucket, "n": size, "bits": np.packbits(bits[at : at + size]).tobytes()})
-            at += size
-        yield pa.RecordBatch.from_pylist(rows, schema=_TOLD)
+        heads = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+        total = np.add.reduceat(counts[order], heads)
+        kinds = np.empty(len(hashes), dtype=np.uint8)
+        kinds[order] = np.repeat(np.where(total > HOT, _SPREAD, np.where(total > 1, _SHARED, _UNIQUE)), np.diff(np.append(heads, len(hashes))))
+        at, out, bucket = 0, [], group.column("bucket")[0].as_py()
+        for r in rows:
+            out.append({"chunk": r["chunk"], "bucket": bucket, "n": r["n"], "kinds": kinds[at : at + r["n"]].tobytes()})
+            at += r["n"]
+        yield pa.RecordBatch.from_pylist(out, schema=_TOLD)
 
 
-def covered(chunk: Chunk, elsewhere: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each document, the words to remove. ``elsewhere``: a bit for each of the chunk's entries, in order.
+def _send(width: int, shards: int) -> Callable:
+    """Step 2: pieces of shared anchors, and windows of those with very many, by shard. Windows have negative numbers."""
 
-    What the automaton holds are passages: the longest runs of windows that an earlier document has, as some document of
-    the chunk has them. A match counts in documents that don't come before the passage's first holder in the chunk: all
-    of its windows are in documents before that one. So nothing is lost, as each document's own passages are held, and
-    a document that is itself the first to have a window keeps it.
-    """
-    hashes = chunk.phrase_hashes(width)
-    entries, owners = _entries(chunk.ids, hashes)
-    symbols = chunk.symbols()
-    automaton, lengths, holders = ahocorasick.Automaton(ahocorasick.STORE_INTS), [], []
-    known = sorted((i for i, own in enumerate(chunk.ids) if own is not None and len(hashes[i])), key=lambda i: chunk.ids[i])
-    for at in known:
-        place, own = np.searchsorted(entries, hashes[at]), chunk.ids[at]
-        recurs = np.concatenate([[False], elsewhere[place] | (owners[place] < own), [False]])
-        edges = np.flatnonzero(recurs[1:] != recurs[:-1]).reshape(-1, 2)
-        for start, end in edges.tolist():
-            if (passage := symbols[at][start : end + width - 1]) not in automaton:
-                automaton.add_word(passage, len(lengths))
-                lengths.append(len(passage))
-                holders.append(own)
-    out = [np.zeros(len(c), dtype=bool) for c in chunk.codes]
-    if not lengths:
-        return out
-    automaton.make_automaton()
-    length_of, holder_of = np.array(lengths), np.array(holders, dtype=np.int64)
-    for at in known:
-        found = np.array(list(automaton.iter(symbols[at])), dtype=np.int64).reshape(-1, 2)
-        found = found[holder_of[found[:, 1]] <= chunk.ids[at]]
-        if len(found):
-            change = np.zeros(len(symbols[at]) + 1, dtype=np.int64)
-            np.add.at(change, found[:, 0] + 1 - length_of[found[:, 1]], 1)
-            np.add.at(change, found[:, 0] + 1, -1)
-            out[at] = np.cumsum(change[:-1]) > 0
-    return out
+    def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        chunk = Chunk(docs, width)
+        heads, number = chunk.pieces()
+        told = told.sort_by("bucket").column("kinds").to_pylist()
+        kinds = np.frombuffer(b"".join(told), dtype=np.uint8)
+        kind_of = kinds[np.searchsorted(_anchors(chunk)[0], chunk.anchor[heads])] if len(heads) else kinds
+        out = np.flatnonzero(kind_of == _SHARED)
+        start, end, numbers, hashes = chunk.low[heads[out]], chunk.high[heads[out]] + width, out, chunk.anchor[heads[out]]
+        several = np.zeros(len(out), dtype=bool)
+        if (kind_of == _SPREAD).any():
+            places, first, of, last = chunk.windows()
+            run_of = np.repeat(np.arange(len(chunk.low)), chunk.high - chunk.low + 1)
+            apart = np.flatnonzero(kind_of[number[run_of[first]]] == _SPREAD)
+            at = places[first[apart]]
+            start, end = np.concatenate([start, at]), np.concatenate([end, at + width])
+            numbers, hashes = np.concatenate([numbers, -1 - apart]), np.concatenate([hashes, _mixed(chunk.hashes[0], width)[at]])
+            several = np.concatenate([several, chunk.id_of(at) != chunk.id_of(places[last[apart]])])
+        shard = np.searchsorted(_edges(shards), hashes, side="right")
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(order) else np.zeros(1, int)
+        least, rows = chunk.id_of(start), []
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some = order[i:j]
+            texts = "\n".join(map(chunk.text, start[some].tolist(), end[some].tolist()))
+            rows.append({"shard": int(shard[some[0]]), "chunk": key[0].as_py(), "texts": texts, "numbers": numbers[some].astype(np.int32).tobytes(), "least": _planes(least[some]), "several": np.packbits(several[some]).tobytes()})
+        return pa.Table.from_pylist(rows, schema=_SENT)
+
+    return run
+
+
+def least_holders(pieces: list[list[str]], holders: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the pieces, one piece after the other, its least holder, _LAST where no other piece has it; and the
+    pieces' first windows. What recurs is confirmed by words, compiled, and found again by streaming all pieces."""
+    from xxhash import xxh64_intdigest
+
+    number: dict[str, int] = {}
+    give = number.setdefault
+    codes = np.array([give(w, len(number) + 1) for words in pieces for w in (*words, "")], dtype=np.int64)  # "" ends a piece
+    sizes = np.array([len(words) + 1 for words in pieces], dtype=np.int64)
+    piece_of = np.repeat(np.arange(len(pieces)), sizes)
+    word_hash = np.fromiter((xxh64_intdigest(w.encode()) for w in ("", *number)), dtype=np.uint64, count=len(number) + 1)
+    ends = np.repeat(np.cumsum(sizes) - 1, sizes)
+    windows = np.flatnonzero(np.arange(len(codes)) + width <= ends)
+    hashes = _mixed(word_hash[codes], width)[windows]
+    order = np.argsort(hashes, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+    lengths = np.diff(np.append(heads, len(order)))
+    again = np.flatnonzero(lengths > 1)
+    # the first of each hash, and those with its hash but other words, which stand for themselves
+    one = windows[order[heads[again]]]
+    rest = np.repeat(one, lengths[again])
+    all_of = windows[order[np.repeat(lengths > 1, lengths)]]
+    differ = np.zeros(len(rest), dtype=bool)
+    for k in range(width):
+        differ |= codes[rest + k] != codes[all_of + k]
+    confirmed = np.concatenate([one, all_of[differ]])
+    least = np.full(len(codes), _LAST)
+    for at in range(0, len(confirmed), AUTOMATON):
+        part = confirmed[at : at + AUTOMATON]
+        points = np.zeros(len(number) + 1, dtype=np.uint32)
+        used = np.unique(codes[part[:, None] + np.arange(width)])
+        points[used] = np.arange(1, len(used) + 1)
+        points[points >= 0xD800] += 0x800
+        text = points[codes].tobytes().decode("utf-32-le")
+        automaton, n = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
+        for place in part.tolist():
+            if automaton.get(text[place : place + width], None) is None:
+                automaton.add_word(text[place : place + width], n)
+                n += 1
+        automaton.make_automaton()
+        found = np.fromiter((x for match in automaton.iter(text) for x in match), dtype=np.int64).reshape(-1, 2)
+        holder = np.full(n, _LAST)
+        np.minimum.at(holder, found[:, 1], holders[piece_of[found[:, 0]]])
+        least[found[:, 0] - (width - 1)] = holder[found[:, 1]]
+    return least[windows], np.concatenate([[0], np.cumsum(sizes - width)])
+
+
+def _search(width: int) -> Callable:
+    """Step 3: the shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["shard"]):
+            rows = group.select(["chunk", "texts", "numbers", "least", "several"]).to_pylist()
+            pieces = [text.split(" ") for r in rows for text in r["texts"].split("\n")]
+            numbers = [np.frombuffer(r["numbers"], dtype=np.int32) for r in rows]
+            own = np.concatenate([_unplanes(r["least"], np.int64, len(k)) for r, k in zip(rows, numbers, strict=True)])
+            several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], dtype=np.uint8), count=len(k)) for r, k in zip(rows, numbers, strict=True)]).astype(bool)
+            least, first = least_holders(pieces, own, width)
+            del pieces
+            sizes = np.diff(first)
+            least = np.minimum(least, np.repeat(own, sizes))
+            earlier = np.minimum.reduceat(least, first[:-1]) < own
+            out, at = [], 0
+            for r, k in zip(rows, numbers, strict=True):
+                some = np.flatnonzero(earlier[at : at + len(k)] | several[at : at + len(k)]) + at
+                if len(some):
+                    told = np.concatenate([least[first[i] : first[i + 1]] for i in some.tolist()])
+                    out.append({"chunk": r["chunk"], "numbers": k[some - at].tobytes(), "sizes": sizes[some].astype(np.int32).tobytes(), "least": _planes(told)})
+                at += len(k)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
+        give_back()
+
+    return run
+
+
+def covered(chunk: Chunk, found: list[dict]) -> np.ndarray:
+    """Step 4: of all of the chunk's words, those to remove. A window's least holder is that of its piece, if no shard has
+    told otherwise."""
+    heads, number = chunk.pieces()
+    counts = chunk.high - chunk.low + 1
+    first = np.concatenate([[0], np.cumsum(counts)])
+    least = np.repeat(chunk.id_of(chunk.low[heads])[number], counts) if len(number) else np.zeros(0, np.int64)
+    if found:
+        numbers = np.concatenate([np.frombuffer(r["numbers"], dtype=np.int32) for r in found]).astype(np.int64)
+        sizes = np.concatenate([np.frombuffer(r["sizes"], dtype=np.int32) for r in found]).astype(np.int64)
+        told = np.concatenate([_unplanes(r["least"], np.int64, len(r["least"]) // 8) for r in found])
+        starts = np.cumsum(sizes) - sizes
+        of_piece = np.full(len(heads), -1)
+        of_piece[numbers[numbers >= 0]] = starts[numbers >= 0]
+        runs = np.flatnonzero(of_piece[number] >= 0)
+        into = np.repeat(first[runs] - np.concatenate([[0], np.cumsum(counts[runs])[:-1]]), counts[runs]) + np.arange(counts[runs].sum())
+        least[into] = told[np.repeat(of_piece[number[runs]] - first[runs], counts[runs]) + into]
+        if (numbers < 0).any():
+            _, _, of, _ = chunk.windows()
+            of_window = np.full(of.max() + 1, -1)
+            of_window[-1 - numbers[numbers < 0]] = starts[numbers < 0]
+            some = np.flatnonzero(of_window[of] >= 0)
+            least[some] = told[of_window[of[some]]]
+    places = np.repeat(chunk.low - first[:-1], counts) + np.arange(first[-1])
+    gone = places[least < chunk.id_of(places)]
+    change = np.zeros(len(chunk.doc_of) + 1, dtype=np.int64)
+    np.add.at(change, gone, 1)
+    np.add.at(change, gone + chunk.width, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def _locate(width: int, schema: pa.Schema, fill: Callable) -> Callable:
-    def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        chunk = Chunk(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist())
-        told = told.sort_by("bucket").select(["n", "bits"]).to_pylist()
-        bits = [np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), count=r["n"]).astype(bool) for r in told]
-        gone = covered(chunk, np.concatenate(bits) if bits else np.zeros(0, dtype=bool), width)
-        return fill(chunk, gone, schema)
+    def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
+        chunk = Chunk(docs, width)
+        gone = covered(chunk, found.select(["numbers", "sizes", "least"]).to_pylist())
+        return fill(chunk, np.split(gone, chunk.first[1:-1]), schema)
 
     return run
 
@@ -217,19 +378,21 @@ def remove_repeats(docs: DataFrame, width: int = 13, digests: bool = False, id_c
     windows are judged on the input. ``digests`` gives kept_sha256 in place of kept. Null and empty texts have no words.
     A null id is neither smaller nor greater than another, so such a row keeps all its words and takes none from others.
     Rows of one id take none from each other, so repeated rows give repeated results. Other columns aren't read. A
-    document of any length is whole in one task.
+    document of any length, and of any number of different words, is whole in one task.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many partitions as the data need, whatever the session's number; one exchange of the texts serves all groupings
     chunks = max(1, -(-n_bytes // CHUNK_BYTES))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * n_bytes // BUCKET_BYTES))
-    # as many partitions as the chunks need, whatever the session's number; one exchange of the texts serves both groupings
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks // CHUNKS_PER_PARTITION))
+    buckets, shards = max(least, -(-n_bytes // BUCKET_BYTES)), max(least, -(-n_bytes // SHARD_BYTES))
+    parts = max(least, -(-chunks // CHUNKS_PER_PARTITION))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(parts, "chunk")
     at_chunk = dealt.groupBy("chunk")
-    sent = at_chunk.applyInArrow(_send(width, buckets), "bucket int, chunk long, n int, steps binary, at binary, names binary")
-    told = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk long, bucket int, n int, bits binary").repartition(parts, "chunk")
-    if digests:
-        return at_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_locate(width, _DIGESTS, _fill_digests), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return at_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_locate(width, _TEXTS, _fill_texts), "doc_id long, n_words long, n_removed long, kept string")
+    counted = at_chunk.applyInArrow(_count(width, buckets), _ddl(_COUNTED))
+    told = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare, _ddl(_TOLD)).repartition(parts, "chunk")
+    sent = at_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_send(width, shards), _ddl(_SENT))
+    found = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_search(width), _ddl(_FOUND)).repartition(parts, "chunk")
+    schema, fill = (_DIGESTS, _fill_digests) if digests else (_TEXTS, _fill_texts)
+    return at_chunk.cogroup(found.groupBy("chunk")).applyInArrow(_locate(width, schema, fill), _ddl(schema))

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cardloom.llm import substrings
@@ -41,10 +42,12 @@ def made(seed):
     return [*rows, rows[3], rows[3], (None, " ".join(passages[0] * 3)), (5000, None), (5001, ""), (5002, "w " * 30_000), (5003, "w " * 40)]
 
 
-@pytest.mark.parametrize(("seed", "size"), [(1, 10**9), (2, 2000), (3, 300)])
-def test_equals_brute_force(spark, monkeypatch, seed, size):
+@pytest.mark.parametrize(("seed", "size", "hot"), [(1, 10**9, 20_000), (2, 2000, 20_000), (3, 300, 20_000), (4, 2000, 2), (5, 10**9, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, size, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "CHUNK_BYTES", size)
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 10_000)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 5_000)
     rows = made(seed)
     docs = spark.createDataFrame([(d, t, "en", 7, 1) for d, t in rows], SCHEMA)
     got = sorted(map(tuple, substrings.remove_repeats(docs, digests=True).collect()), key=str)
@@ -57,3 +60,35 @@ def test_texts_and_empty_table(spark):
     text = " ".join(map(str, range(20)))
     docs = spark.createDataFrame([(1, text, "", 0, 0), (2, f"new {text} end", "", 0, 0)], SCHEMA)
     assert sorted(map(tuple, substrings.remove_repeats(docs).collect())) == [(1, 20, 0, text), (2, 22, 20, "new end")]
+
+
+def holders_by_brute(pieces, holders, width):
+    least = {}
+    for words, h in zip(pieces, holders, strict=True):
+        for i in range(len(words) - width + 1):
+            k = tuple(words[i : i + width])
+            least[k] = min(h, least.get(k, h))
+    return [least[tuple(words[i : i + width])] for words in pieces for i in range(len(words) - width + 1)]
+
+
+def test_equal_hashes_of_other_words_are_told_apart(monkeypatch):
+    """All windows get one of three hashes; words decide, in automata of few windows."""
+    rng = random.Random(3)
+    pieces = [[rng.choice("abc") for _ in range(rng.randint(4, 9))] for _ in range(200)]
+    holders = np.array([rng.randrange(1000) for _ in pieces], dtype=np.int64)
+    want = holders_by_brute(pieces, holders.tolist(), 4)
+    mixed = substrings._mixed
+    for mod, few in ((3, 60_000), (2**63, 5)):
+        monkeypatch.setattr(substrings, "_mixed", lambda h, size, mod=mod: mixed(h, size) % np.uint64(mod))
+        monkeypatch.setattr(substrings, "AUTOMATON", few)
+        got, first = substrings.least_holders(pieces, holders, 4)
+        own = np.repeat(holders, np.diff(first))
+        assert np.minimum(got, own).tolist() == want
+
+
+def test_many_different_words(spark):
+    """More different words in one document than there are code points."""
+    tail = " ".join(f"t{i}" for i in range(30))
+    rows = [(1, tail), (2, " ".join(map(str, range(1_200_000))) + " " + tail)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame([(d, t, "", 0, 0) for d, t in rows], SCHEMA), digests=True).collect()}
+    assert got == {1: (30, 0), 2: (1_200_030, 30)}
