@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import WORD_RE, give_back, sorted_groups
+from cardloom.llm.common import WORD_RE_BYTES, give_back, sorted_groups
 
 #: UTF-8 bytes of a chunk's documents, on average.
 CHUNK_BYTES = 3_000_000
@@ -38,41 +40,85 @@ CHUNKS_PER_PARTITION = 4
 BUCKET_BYTES, SHARD_BYTES = 24_000_000, 6_000_000
 #: Words of an anchor, and pieces of an anchor beyond which its windows are dealt out one by one.
 GRAM, HOT = 4, 20_000
-#: Windows of an automaton; their words are fewer than there are code points.
-AUTOMATON = 60_000
+#: Windows of an automaton.
+AUTOMATON = 30_000
 _LAST = np.iinfo(np.int64).max
 
 
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Odd bases of the running sums, and bytes that one of them spans (or a word).
+_BASES, _SPAN = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 1 << 19
+
+
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word of a text that ends with white space, and the byte after it."""
+    space = np.concatenate([[True], _SPACE[np.frombuffer(raw, dtype=np.uint8)]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
+
+
+@lru_cache(4)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, dtype=np.uint64)]), dtype=np.uint64)
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each word: polynomials of its bytes, from running sums over a part of the text at a time."""
+    data, out = np.frombuffer(raw, dtype=np.uint8), [np.empty(len(starts), dtype=np.uint64) for _ in _BASES]
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            upto = max(at + 1, int(np.searchsorted(ends, starts[at] + _SPAN, side="right")))
+            low, span = int(starts[at]), int(ends[upto - 1] - starts[at])
+            part, a, b = data[low : low + span].astype(np.uint64) + np.uint64(1), starts[at:upto] - low, ends[at:upto] - low
+            for of, base in zip(out, _BASES, strict=True):
+                size = 1 << (span - 1).bit_length()
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(part * _powers(base, size)[:span], dtype=np.uint64)])
+                h = (sums[b] - sums[a]) * _powers(pow(base, -1, 1 << 64), size)[a]
+                h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                of[at:upto] = h ^ h >> np.uint64(32)
+            at = upto
+    return out
+
+
 class Chunk:
-    """A chunk's documents, in the order of their ids and texts, as words and numbers of words."""
+    """A chunk's documents, in the order of their ids and texts, as bytes with the words' places and hashes."""
 
     def __init__(self, docs: pa.Table, width: int):
-        from xxhash import xxh64_intdigest
-
         docs = docs.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.width, self.ids = width, docs.column("doc_id").to_pylist()
-        self.words = [WORD_RE.findall(t or "") for t in docs.column("text").to_pylist()]
-        number: dict[str, int] = {}
-        give = number.setdefault
-        codes = [give(w, len(number)) for words in self.words for w in words]
-        names = [w.encode() for w in number]
-        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.sizes)])  # of each document's words, among all words
-        at = np.array(codes, dtype=np.intp)
-        hashes = [np.fromiter((xxh64_intdigest(w, seed) for w in names), dtype=np.uint64, count=len(names)) for seed in (0, 1)]
-        self.hashes = [h[at] if len(at) else h for h in hashes]
+        texts = [(t or "").encode() for t in docs.column("text").to_pylist()]
+        self.raw = b"\n".join([*texts, b""])
+        self.starts, self.ends = word_places(self.raw)
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first = np.searchsorted(self.starts, offsets)  # of each document's words, among all words
+        self.sizes = np.diff(self.first)
+        self.hashes = word_hashes(self.raw, self.starts, self.ends)
+        gaps = np.ones(len(self.starts) + 1, dtype=np.int64)  # after a word: is it anything but one space?
+        gaps[0] = 0
+        if len(self.starts):
+            gaps[1:-1] = (self.starts[1:] - self.ends[:-1] != 1) | (np.frombuffer(self.raw, dtype=np.uint8)[self.ends[:-1]] != 32)
+        self.odd = np.cumsum(gaps)
         self._sums: list[tuple[np.ndarray, np.ndarray]] = []
+        self._pieces: tuple[np.ndarray, np.ndarray] | None = None
         self._runs()
 
+    @property
+    def words(self) -> Iterator[list[str]]:
+        """Each document's words."""
+        for i, j in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
+            yield self.text(i, j).split(" ") if j > i else []
+
     def _runs(self) -> None:
-        """The pieces: first and last window (places of their first words), anchor and document of each."""
+        """The pieces: first and last window (places of their first words) and anchor of each."""
         n, width = len(self.hashes[0]), self.width
         known = np.array([i is not None for i in self.ids], dtype=bool)
+        self.named = np.array([i or 0 for i in self.ids], dtype=np.int64)
         ends = np.repeat(self.first[1:], self.sizes)
         self.doc_of = np.repeat(np.arange(len(self.ids)), self.sizes)
         valid = (np.arange(n) + width <= ends) & known[self.doc_of]
         if not valid.any():
-            self.low = self.high = self.run_doc = np.zeros(0, dtype=np.int64)
+            self.low = self.high = np.zeros(0, dtype=np.int64)
             self.anchor = np.zeros(0, dtype=np.uint64)
             return
         size = min(GRAM, width)
@@ -88,14 +134,16 @@ class Chunk:
         breaks = np.flatnonzero((np.diff(windows) != 1) | (np.diff(where[windows]) != 0))
         self.low = windows[np.concatenate([[0], breaks + 1])]
         self.high = windows[np.concatenate([breaks, [len(windows) - 1]])]
-        self.anchor, self.run_doc = best[self.low], self.doc_of[self.low]
+        least = best[self.low]  # least hashes are small ones: mixed once more, they spread evenly over buckets and shards
+        with np.errstate(over="ignore"):
+            self.anchor = (least ^ least >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
 
     def _prints(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         """Two 64-bit hashes of words start .. end - 1, by running sums."""
         with np.errstate(over="ignore"):
             if not self._sums:
-                for h, base in zip(self.hashes, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), strict=True):
-                    powers = np.cumprod(np.full(len(h) + 1, base, dtype=np.uint64))
+                for h, base in zip(self.hashes, _BASES, strict=True):
+                    powers = np.cumprod(np.full(len(h) + 1, base, dtype=np.uint64), dtype=np.uint64)
                     self._sums.append((np.concatenate([[np.uint64(0)], np.cumsum(h * powers[:-1], dtype=np.uint64)]), powers))
             return [(total[end] - total[start]) * powers[len(powers) - 1 - start] + (end - start).astype(np.uint64) for total, powers in self._sums]
 
@@ -112,8 +160,9 @@ class Chunk:
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray]:
         """The first run of each different piece, and for each run its piece."""
-        heads, number, _ = self.distinct(self.low, self.high + self.width)
-        return heads, number
+        if self._pieces is None:
+            self._pieces = self.distinct(self.low, self.high + self.width)[:2]
+        return self._pieces
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All windows of all runs: their places, then as ``distinct`` gives it."""
@@ -122,11 +171,12 @@ class Chunk:
         return places, *self.distinct(places, places + self.width)
 
     def text(self, start: int, end: int) -> str:
-        doc = self.doc_of[start]
-        return " ".join(self.words[doc][start - self.first[doc] : end - self.first[doc]])
+        """Words start .. end - 1, with one space between."""
+        part = self.raw[self.starts[start] : self.ends[end - 1]]
+        return (part if self.odd[end - 1] == self.odd[start] else b" ".join(WORD_RE_BYTES.findall(part))).decode()
 
     def id_of(self, places: np.ndarray) -> np.ndarray:
-        return np.array([self.ids[i] for i in self.doc_of[places]], dtype=np.int64)
+        return self.named[self.doc_of[places]]
 
 
 def _mixed(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -240,14 +290,13 @@ def _send(width: int, shards: int) -> Callable:
 def least_holders(pieces: list[list[str]], holders: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of the pieces, one piece after the other, its least holder, _LAST where no other piece has it; and the
     pieces' first windows. What recurs is confirmed by words, compiled, and found again by streaming all pieces."""
-    from xxhash import xxh64_intdigest
-
     number: dict[str, int] = {}
     give = number.setdefault
     codes = np.array([give(w, len(number) + 1) for words in pieces for w in (*words, "")], dtype=np.int64)  # "" ends a piece
     sizes = np.array([len(words) + 1 for words in pieces], dtype=np.int64)
     piece_of = np.repeat(np.arange(len(pieces)), sizes)
-    word_hash = np.fromiter((xxh64_intdigest(w.encode()) for w in ("", *number)), dtype=np.uint64, count=len(number) + 1)
+    names = "\n".join(w or "\x00" for w in number).encode() + b"\n"
+    word_hash = np.concatenate([[np.uint64(0)], word_hashes(names, *word_places(names))[0]])
     ends = np.repeat(np.cumsum(sizes) - 1, sizes)
     windows = np.flatnonzero(np.arange(len(codes)) + width <= ends)
     hashes = _mixed(word_hash[codes], width)[windows]
@@ -266,21 +315,22 @@ def least_holders(pieces: list[list[str]], holders: np.ndarray, width: int) -> t
     least = np.full(len(codes), _LAST)
     for at in range(0, len(confirmed), AUTOMATON):
         part = confirmed[at : at + AUTOMATON]
-        points = np.zeros(len(number) + 1, dtype=np.uint32)
+        # a word is two symbols of few each, as a node's children are searched one by one; what the part lacks is (0, 0)
         used = np.unique(codes[part[:, None] + np.arange(width)])
-        points[used] = np.arange(1, len(used) + 1)
-        points[points >= 0xD800] += 0x800
+        base = int(np.ceil(np.sqrt(len(used))))
+        points = np.zeros((len(number) + 1, 2), dtype=np.uint32)
+        points[used, 0], points[used, 1] = np.arange(len(used)) // base + 1, np.arange(len(used)) % base + base + 2
         text = points[codes].tobytes().decode("utf-32-le")
-        automaton, n = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
-        for place in part.tolist():
-            if automaton.get(text[place : place + width], None) is None:
-                automaton.add_word(text[place : place + width], n)
-                n += 1
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        keys = dict.fromkeys(text[2 * place : 2 * (place + width)] for place in part.tolist())
+        for n, key in enumerate(keys):
+            automaton.add_word(key, n)
         automaton.make_automaton()
-        found = np.fromiter((x for match in automaton.iter(text) for x in match), dtype=np.int64).reshape(-1, 2)
-        holder = np.full(n, _LAST)
+        found = np.fromiter(chain.from_iterable(automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
+        found[:, 0] = (found[:, 0] + 1) // 2 - width
+        holder = np.full(len(keys), _LAST)
         np.minimum.at(holder, found[:, 1], holders[piece_of[found[:, 0]]])
-        least[found[:, 0] - (width - 1)] = holder[found[:, 1]]
+        least[found[:, 0]] = holder[found[:, 1]]
     return least[windows], np.concatenate([[0], np.cumsum(sizes - width)])
 
 
@@ -363,12 +413,12 @@ def _kept(words: list[str], gone: np.ndarray) -> str:
 
 def _fill_digests(chunk: Chunk, gone: list[np.ndarray], schema: pa.Schema) -> pa.Table:
     kept = [hashlib.sha256(_kept(w, g).encode()).hexdigest() for w, g in zip(chunk.words, gone, strict=True)]
-    return pa.table([pa.array(chunk.ids, pa.int64()), [len(w) for w in chunk.words], [int(g.sum()) for g in gone], kept], schema=schema)
+    return pa.table([pa.array(chunk.ids, pa.int64()), chunk.sizes, [int(g.sum()) for g in gone], kept], schema=schema)
 
 
 def _fill_texts(chunk: Chunk, gone: list[np.ndarray], schema: pa.Schema) -> pa.Table:
     kept = [_kept(w, g) for w, g in zip(chunk.words, gone, strict=True)]
-    return pa.table([pa.array(chunk.ids, pa.int64()), [len(w) for w in chunk.words], [int(g.sum()) for g in gone], kept], schema=schema)
+    return pa.table([pa.array(chunk.ids, pa.int64()), chunk.sizes, [int(g.sum()) for g in gone], kept], schema=schema)
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
