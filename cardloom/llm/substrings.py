@@ -7,8 +7,8 @@ window; a document's pieces hold all of its windows.
 1. Documents are dealt in chunks of bounded size. Each sends how many different pieces it has of each anchor, and is told
    which anchors others have as well. What isn't shared can't recur and goes no further.
 2. Pieces of shared anchors go to the shard of their anchor, once per chunk, with their least document.
-3. A shard confirms which windows recur among its pieces, word by word, and compiles them into Aho-Corasick automata (words
-   as symbols). All pieces, from all documents, are streamed through: a match tells which window stands where, and so the
+3. A shard takes pieces that are alike as one, confirms which windows recur among the others, word by word, and compiles them
+   into Aho-Corasick automata (words as symbols). All pieces, from all documents, are streamed through: a match tells which window stands where, and so the
    least document of each window. Pieces with a window that an earlier document has are answered.
 4. Chunks remove the words that such windows cover.
 
@@ -103,12 +103,6 @@ class Chunk:
         self._pieces: tuple[np.ndarray, np.ndarray] | None = None
         self._runs()
 
-    @property
-    def words(self) -> Iterator[list[str]]:
-        """Each document's words."""
-        for i, j in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
-            yield self.text(i, j).split(" ") if j > i else []
-
     def _runs(self) -> None:
         """The pieces: first and last window (places of their first words) and anchor of each."""
         n, width = len(self.hashes[0]), self.width
@@ -340,21 +334,25 @@ def _search(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["shard"]):
             rows = group.select(["chunk", "texts", "numbers", "least", "several"]).to_pylist()
-            pieces = [text.split(" ") for r in rows for text in r["texts"].split("\n")]
+            number: dict[str, int] = {}  # pieces that chunks have alike are one
+            give = number.setdefault
+            piece = np.array([give(text, len(number)) for r in rows for text in r["texts"].split("\n")], dtype=np.int64)
             numbers = [np.frombuffer(r["numbers"], dtype=np.int32) for r in rows]
             own = np.concatenate([_unplanes(r["least"], np.int64, len(k)) for r, k in zip(rows, numbers, strict=True)])
             several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], dtype=np.uint8), count=len(k)) for r, k in zip(rows, numbers, strict=True)]).astype(bool)
-            least, first = least_holders(pieces, own, width)
-            del pieces
+            holders = np.full(len(number), _LAST)
+            np.minimum.at(holders, piece, own)
+            least, first = least_holders([text.split(" ") for text in number], holders, width)
+            del number, give
             sizes = np.diff(first)
-            least = np.minimum(least, np.repeat(own, sizes))
-            earlier = np.minimum.reduceat(least, first[:-1]) < own
+            least = np.minimum(least, np.repeat(holders, sizes))
+            earlier = np.minimum.reduceat(least, first[:-1])[piece] < own
             out, at = [], 0
             for r, k in zip(rows, numbers, strict=True):
                 some = np.flatnonzero(earlier[at : at + len(k)] | several[at : at + len(k)]) + at
                 if len(some):
-                    told = np.concatenate([least[first[i] : first[i + 1]] for i in some.tolist()])
-                    out.append({"chunk": r["chunk"], "numbers": k[some - at].tobytes(), "sizes": sizes[some].astype(np.int32).tobytes(), "least": _planes(told)})
+                    told = np.concatenate([least[first[i] : first[i + 1]] for i in piece[some].tolist()])
+                    out.append({"chunk": r["chunk"], "numbers": k[some - at].tobytes(), "sizes": sizes[piece[some]].astype(np.int32).tobytes(), "least": _planes(told)})
                 at += len(k)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
@@ -394,11 +392,11 @@ def covered(chunk: Chunk, found: list[dict]) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _locate(width: int, schema: pa.Schema, fill: Callable) -> Callable:
+def _locate(width: int, digests: bool) -> Callable:
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         chunk = Chunk(docs, width)
         gone = covered(chunk, found.select(["numbers", "sizes", "least"]).to_pylist())
-        return fill(chunk, np.split(gone, chunk.first[1:-1]), schema)
+        return _fill(chunk, gone, digests)
 
     return run
 
@@ -407,18 +405,19 @@ _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remov
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def _kept(words: list[str], gone: np.ndarray) -> str:
-    return " ".join(words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-
-
-def _fill_digests(chunk: Chunk, gone: list[np.ndarray], schema: pa.Schema) -> pa.Table:
-    kept = [hashlib.sha256(_kept(w, g).encode()).hexdigest() for w, g in zip(chunk.words, gone, strict=True)]
-    return pa.table([pa.array(chunk.ids, pa.int64()), chunk.sizes, [int(g.sum()) for g in gone], kept], schema=schema)
+def _kept(chunk: Chunk, gone: np.ndarray) -> Iterator[str]:
+    """Of each document the words that stay, run by run."""
+    for i, j in zip(chunk.first[:-1].tolist(), chunk.first[1:].tolist(), strict=True):
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], gone[i:j], [True]]))) + i
+        yield " ".join(map(chunk.text, edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _fill_texts(chunk: Chunk, gone: list[np.ndarray], schema: pa.Schema) -> pa.Table:
-    kept = [_kept(w, g) for w, g in zip(chunk.words, gone, strict=True)]
-    return pa.table([pa.array(chunk.ids, pa.int64()), chunk.sizes, [int(g.sum()) for g in gone], kept], schema=schema)
+def _fill(chunk: Chunk, gone: np.ndarray, digests: bool) -> pa.Table:
+    kept = _kept(chunk, gone)
+    if digests:
+        kept = (hashlib.sha256(text.encode()).hexdigest() for text in kept)
+    removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[chunk.first])
+    return pa.table([pa.array(chunk.ids, pa.int64()), chunk.sizes, removed, pa.array(list(kept), pa.string())], schema=_DIGESTS if digests else _TEXTS)
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -444,5 +443,4 @@ def remove_repeats(docs: DataFrame, width: int = 13, digests: bool = False, id_c
     told = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare, _ddl(_TOLD)).repartition(parts, "chunk")
     sent = at_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_send(width, shards), _ddl(_SENT))
     found = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_search(width), _ddl(_FOUND)).repartition(parts, "chunk")
-    schema, fill = (_DIGESTS, _fill_digests) if digests else (_TEXTS, _fill_texts)
-    return at_chunk.cogroup(found.groupBy("chunk")).applyInArrow(_locate(width, schema, fill), _ddl(schema))
+    return at_chunk.cogroup(found.groupBy("chunk")).applyInArrow(_locate(width, digests), _ddl(_DIGESTS if digests else _TEXTS))
