@@ -1,6 +1,7 @@
 """Exact top-k by inner product through M-trees searched best first (operator 8).
 
-Components are turned into integers, so scores are exact. The inner product becomes a metric: with every vector x given
+Components are turned into integers, so scores are exact: by floating point where no sum can pass 2 ** 53, by Python's
+integers elsewhere; what passes the range of a long is held at its end. The inner product becomes a metric: with every vector x given
 one more component sqrt(M - |x|^2), M the greatest squared length in the tree, and a query given 0 there, the squared
 distance is |q|^2 + M - 2 q.x, which falls as the score grows.
 
@@ -16,23 +17,26 @@ from __future__ import annotations
 import heapq
 import io
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.llm.common import checkpoint
 
 #: Vectors of a shard and of a page, branches of a routing node, and queries of a block.
-SHARD, PAGE, FAN, BLOCK = 8_192, 512, 16, 512
+SHARD, PAGE, FAN, BLOCK = 8_192, 128, 16, 512
 SCALE = 1024
 
 
 class MTree:
     """Arrays of nodes and of entries; node 0 is the root. Distances are those of the extended vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None):
+        self.ids, self.vectors, self.rows = ids, vectors, np.arange(len(ids)) if rows is None else rows
+        self.scored = 0  # entries whose score has been computed
         lengths = (vectors.astype(np.float64) ** 2).sum(axis=1)
         self.top = float(lengths.max()) if len(ids) else 0.0
         self.points = np.concatenate([vectors.astype(np.float64), np.sqrt(np.maximum(self.top - lengths, 0))[:, None]], axis=1)
@@ -84,11 +88,26 @@ class MTree:
         parts = [members[label == i] for i in np.unique(label)]
         return parts if max(map(len, parts)) < len(members) else np.array_split(members, 2)
 
+    def _scores(self, entries: np.ndarray, whole: np.ndarray, query: np.ndarray) -> np.ndarray:
+        self.scored += len(entries)
+        if np.abs(query).max() * self.most * len(query) < 2**53:
+            return (self.floats[entries] @ query).astype(np.int64)
+        exact = [sum(map(int.__mul__, v, whole.tolist())) for v in self.vectors[entries].tolist()]
+        return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], dtype=np.int64)
+
+    @cached_property
+    def floats(self) -> np.ndarray:
+        return self.vectors.astype(np.float64)
+
+    @cached_property
+    def most(self) -> float:
+        return float(np.abs(self.floats).max()) if self.floats.size else 0.0
+
     def search(self, query: np.ndarray, k: int, own: int | None = None) -> list[tuple[int, int]]:
-        """The k entries of the highest scores, (score, id), but for the entry of id ``own``; ties to the smaller id."""
+        """The k entries of the highest scores, (score, id), but for the entry of row ``own``; ties to the smaller id."""
         if not len(self.ids):
             return []
-        query = query.astype(np.float64)
+        whole, query = query, query.astype(np.float64)
         point = np.append(query, 0.0)
         length = float(query @ query)
         slack = 1e-6 * (1 + np.sqrt(length + self.top))  # above any rounding of distances
@@ -105,12 +124,12 @@ class MTree:
                 rows = self.entry[low:high]
                 if reach < np.inf:
                     rows = rows[np.abs(distance - self.apart[low:high]) <= reach + slack]
-                scores = (self.vectors[rows] @ query).astype(np.int64)
+                scores = self._scores(rows, whole, query)
                 if len(best) == k:
                     may = scores >= best[0][0]
                     rows, scores = rows[may], scores[may]
-                for score, name in sorted(zip(scores.tolist(), (-self.ids[rows]).tolist(), strict=True), reverse=True)[: k + 1]:
-                    if -name == own:
+                for score, name, row in sorted(zip(scores.tolist(), (-self.ids[rows]).tolist(), self.rows[rows].tolist(), strict=True), reverse=True)[: k + 1]:
+                    if row == own:
                         continue
                     if len(best) < k:
                         heapq.heappush(best, (score, name))
@@ -131,7 +150,7 @@ class MTree:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, top=self.top, **{k: getattr(self, k) for k in ("ids", "vectors", "pivot", "radius", "to_parent", "leaf", "first", "last", "entry", "apart")})
+        np.savez(out, top=self.top, **{k: getattr(self, k) for k in ("ids", "rows", "vectors", "pivot", "radius", "to_parent", "leaf", "first", "last", "entry", "apart")})
         return out.getvalue()
 
     @classmethod
@@ -139,10 +158,9 @@ class MTree:
         tree = cls.__new__(cls)
         for name, value in np.load(io.BytesIO(data)).items():
             setattr(tree, name, value)
-        tree.top = float(tree.top)
+        tree.top, tree.scored = float(tree.top), 0
         lengths = (tree.vectors.astype(np.float64) ** 2).sum(axis=1)
         tree.points = np.concatenate([tree.vectors.astype(np.float64), np.sqrt(np.maximum(tree.top - lengths, 0))[:, None]], axis=1)
-        tree.vectors = tree.vectors.astype(np.float64)
         return tree
 
 
@@ -153,14 +171,14 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _build(key: tuple, rows: pa.Table) -> pa.Table:
-    ids, vectors = rows.column("vec_id").to_numpy(), _matrix(rows.column("v"))
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([MTree(ids, vectors).dump()], pa.binary())})
+    tree = MTree(rows.column("vec_id").to_numpy(), _matrix(rows.column("v")), rows.column("row").to_numpy())
+    return pa.table({"d": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([tree.dump()], pa.binary())})
 
 
 def _block(key: tuple, rows: pa.Table) -> pa.Table:
     out = io.BytesIO()
-    np.savez(out, ids=rows.column("vec_id").to_numpy(), vectors=_matrix(rows.column("v")))
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "queries": pa.array([out.getvalue()], pa.binary())})
+    np.savez(out, ids=rows.column("vec_id").to_numpy(), rows=rows.column("row").to_numpy(), vectors=_matrix(rows.column("v")))
+    return pa.table({"d": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "queries": pa.array([out.getvalue()], pa.binary())})
 
 
 def _search(k: int, not_itself: bool):
@@ -168,33 +186,37 @@ def _search(k: int, not_itself: bool):
         for batch in batches:
             for tree_data, query_data in zip(batch.column("tree"), batch.column("queries"), strict=True):
                 tree, asked = MTree.load(tree_data.as_py()), np.load(io.BytesIO(query_data.as_py()))
-                rows = [(q, n, s) for q, v in zip(asked["ids"].tolist(), asked["vectors"], strict=True) for s, n in tree.search(v, k, q if not_itself else None)]
-                cols = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+                found = [(row, q, n, s) for row, q, v in zip(asked["rows"].tolist(), asked["ids"].tolist(), asked["vectors"], strict=True) for s, n in tree.search(v, k, row if not_itself else None)]
+                cols = list(zip(*found, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "query_id", "vec_id", "score"])
 
     return run
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component. Null ids, and vectors that are null, empty or hold a null, NaN or
-    infinite component, take no part."""
+    """(row, vec_id, v): floor(scale * x) of each component as a long, or the long nearest to it, and a number for each row.
+
+    Null ids, and vectors that are null, empty or hold a null, NaN or infinite component, take no part. Rows are numbered once
+    and for all, through the shared folder, as repeated ids are rows of their own.
+    """
     whole = F.col("e").isNotNull() & (F.size("e") > 0) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e")).where(F.col("vec_id").isNotNull() & whole)
-    return plain.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("int")).alias("v"))
+    return checkpoint(plain.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("e", lambda x: F.floor(x * scale)).alias("v")))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, not_itself: bool = True) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (vec_id, v) tables: for each query its k highest integer inner products.
+    """(query_id, rank, vec_id, score) from (row, vec_id, v) tables: for each query its k highest integer inner products.
 
-    Ties go to the smaller vec_id; fewer candidates give fewer rows; with ``not_itself``, rows of the query's own id are no
-    candidates. Vectors must have one length. An id counts once, with its least vector if repeated rows differ.
+    Ties go to the smaller vec_id; fewer candidates give fewer rows; with ``not_itself``, a query's own row is no candidate.
+    Every other row is one, also of the same id, and rows of one id are queries of their own. Only vectors of a query's length
+    are its candidates.
     """
-    vectors, queries = (x.groupBy("vec_id").agg(F.min("v").alias("v")) for x in (vectors, queries))
+    vectors, queries = (x.withColumn("d", F.size("v")) for x in (vectors, queries))
     n, asked = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
-    trees = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_build, "shard int, tree binary")
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")).groupBy("block").applyInArrow(_block, "block long, queries binary")
-    pairs = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, "shard")
-    found = pairs.repartition(min(shards * blocks, 4096), "shard", "block").select("tree", "queries").mapInArrow(_search(k, not_itself), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    trees = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).groupBy("d", "shard").applyInArrow(_build, "d int, shard int, tree binary")
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("long")).groupBy("d", "block").applyInArrow(_block, "d int, block long, queries binary")
+    pairs = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["d", "shard"])
+    found = pairs.repartition(min(shards * blocks, 4096), "d", "shard", "block").select("tree", "queries").mapInArrow(_search(k, not_itself), "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -14,15 +14,16 @@ def made(seed, n=900, d=8):
     rows = [(i, [rng.gauss(0, 1) for _ in range(d)], 0, "x", 1) for i in range(n)]
     common = [0.5] * d
     rows += [(i, common, 0, "x", 1) for i in range(n, n + 300)]
-    return [*rows, (None, common, 0, "", 0), (5000, None, 0, "", 0), (5100, [None] * d, 0, "", 0), (5200, [math.nan] * d, 0, "", 0), (5300, [math.inf] + [0.0] * (d - 1), 0, "", 0), rows[10], (5400, [0.0] * d, 0, "", 0), (5500, [-3e4] * d, 0, "", 0)]
+    return [*rows, (None, common, 0, "", 0), (5000, None, 0, "", 0), (5100, [None] * d, 0, "", 0), (5200, [math.nan] * d, 0, "", 0), (5300, [math.inf] + [0.0] * (d - 1), 0, "", 0), rows[10], rows[100], rows[100], (5400, [0.0] * d, 0, "", 0), (5500, [-3e4] * d, 0, "", 0), (5600, [3e6] * d, 0, "", 0), (5700, [1.0], 0, "", 0), (5800, [2.0], 0, "", 0)]
 
 
 def brute(rows, k=10):
-    ok = {r[0]: [math.floor(1024 * float(np.float32(x))) for x in r[1]] for r in rows if r[0] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1])}
+    ok = [(r[0], [math.floor(1024 * float(np.float32(x))) for x in r[1]]) for r in rows if r[0] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1])]
     out = []
-    for q in (i for i in ok if i % 100 == 0):
-        best = sorted((-sum(a * b for a, b in zip(ok[q], v, strict=True)), i) for i, v in ok.items() if i != q)[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for at, (q, own) in enumerate(ok):
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for j, (i, v) in enumerate(ok) if j != at and len(v) == len(own))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -52,3 +53,28 @@ def test_tree_bounds_hold():
             rows = tree.entry[tree.first[at] : tree.last[at]]
             assert np.allclose(tree._far(tree.pivot[at], rows), tree.apart[tree.first[at] : tree.last[at]])
             assert (tree._far(tree.pivot[at], rows) <= tree.radius[at] + 1e-9).all()
+
+
+def test_sums_beyond_floating_point_are_exact(spark):
+    rng = random.Random(4)
+    rows = [(i * 50, [float(np.float32(rng.uniform(-3e5, 3e5))) for _ in range(4)], 0, "", 0) for i in range(40)]
+    whole = topk.quantised(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, topk.top_k(whole, whole.where("vec_id % 100 = 0")).collect())) == brute(rows)
+
+
+def test_components_beyond_the_range_end_nowhere(spark):
+    whole = topk.quantised(spark.createDataFrame([(0, [1e30, 1.0], 0, "", 0), (1, [1e30, 0.0], 0, "", 0), (2, [-1.0, 0.0], 0, "", 0)], SCHEMA))
+    got = topk.top_k(whole, whole.where("vec_id = 0")).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_bounds_spare_most_of_clustered_vectors():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1000, (40, 16))
+    vectors = np.round(centres[rng.integers(0, 40, 8000)] + rng.normal(0, 40, (8000, 16))).astype(np.int64)
+    tree = topk.MTree(np.arange(8000), vectors)
+    for i in range(0, 8000, 400):
+        got = tree.search(vectors[i], 10, i)
+        scores = vectors @ vectors[i]
+        assert got == sorted(((int(scores[j]), j) for j in range(8000) if j != i), key=lambda x: (-x[0], x[1]))[:10]
+    assert tree.scored < 0.35 * 20 * 8000
