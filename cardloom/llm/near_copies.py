@@ -15,7 +15,7 @@ leaders. Links make components, each of which keeps its first document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,19 +135,35 @@ def _balls(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([key] * len(far), pa.int64()), pa.array(leaders, pa.int64()), pa.array(members, pa.int64()), pa.array(far, pa.float64())], names=["key", "leader", "cls", "far"])
 
 
-def _class_links(members: DataFrame, sets: DataFrame, least: float, radius: int, piece: int) -> DataFrame:
-    """(u, v): links between classes that share a key, as many as connect what is linked. ``members``: key, cls, size."""
+def _partners(batches: Iterator[pa.RecordBatch], least: float, radius: int) -> Iterator[pa.RecordBatch]:
+    """(key, cls) of those members of a shard that any other may be linked to, by fingerprints and sizes alone."""
+    for group in sorted_groups(batches, ["key"]):
+        prints, sizes = group.column("fp").to_numpy().view(np.uint64), group.column("size").to_numpy()
+        some = np.zeros(len(prints), dtype=bool)
+        for found, value in BKTree(prints).search(prints, radius):
+            fits = np.minimum(sizes[found], sizes[value]) >= least * np.maximum(sizes[found], sizes[value])
+            found = found[fits & (found != value)]
+            some[found] = True
+            some[value] |= len(found) > 0
+        if some.any():
+            yield pa.RecordBatch.from_arrays([group.column(c).combine_chunks().filter(pa.array(some)) for c in ("key", "cls")], names=["key", "cls"])
+
+
+def _class_links(members: DataFrame, sets_for: Callable[[DataFrame], DataFrame], least: float, radius: int, piece: int) -> DataFrame:
+    """(u, v): links between classes that share a key, as many as connect what is linked. ``members``: key, cls, size, fp;
+    ``sets_for`` gives the sets (cls, fp, hashes) of the classes that need comparing."""
     weight = F.greatest(F.ceil(F.count("*") / piece), F.ceil(F.sum("size") / PIECE_SHINGLES)).cast("int")
     counted = members.groupBy("key").agg(F.count("*").alias("n"), weight.alias("c")).where("n > 1")
     dealt = checkpoint(members.join(counted.select("key", "c"), "key").withColumn("own", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("c")).cast("int")))
     kind = "u long, v long, sure boolean"
     confirm = lambda tasks: shard_links(tasks, "key", lambda group: _confirm(group, least, radius), kind)
-    single = dealt.where("c = 1").select("key", "cls", "own", F.lit(0).alias("a"), F.lit(0).alias("b"))
-    links = confirm(single.join(sets, "cls")).select("u", "v")
+    single = dealt.where("c = 1").select("key", "cls", "size", "fp").repartition("key").sortWithinPartitions("key")
+    single = checkpoint(single.mapInArrow(lambda batches: _partners(batches, least, radius), "key long, cls long"))
+    hot = dealt.where("c > 1").select("key", "cls", "own")
+    sets = checkpoint(sets_for(single.select("cls").unionByName(hot.select("cls")).distinct()))
+    links = confirm(single.withColumns({x: F.lit(0) for x in ("own", "a", "b")}).join(sets, "cls")).select("u", "v")
     if dealt.where("c > 1").isEmpty():
         return links
-    hot = dealt.where("c > 1").select("key", "cls", "own")
-    sets = checkpoint(sets.join(hot.select("cls").distinct(), "cls", "left_semi"))
     hot = hot.join(sets, "cls").repartition(F.col("key"), F.col("own")).sortWithinPartitions("key", "own")
     balls = checkpoint(hot.mapInArrow(lambda batches: _balls(batches, radius), "key long, leader long, cls long, far double"))
     leaders = balls.groupBy("key", F.col("leader").alias("cls")).agg(F.max("far").alias("r"))
@@ -201,15 +217,19 @@ def first_of_copies(docs: DataFrame, size: int = SHINGLE, least: float = SIMILAR
     text_hash = F.xxhash64("text")
     measured = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("th"), "text").mapInArrow(measure, schema))
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")
-    classes = measured.groupBy("cls").agg(F.min("size").alias("size"), F.min("keys").alias("keys"), F.min(order).alias("first"))
+    classes = measured.groupBy("cls").agg(F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min(order).alias("first"))
     # keys that no other class has are no use, and those that many have come last
-    stored = classes.select("cls", "size", F.explode("keys").alias("key"))
+    stored = classes.select("cls", "size", "fp", F.explode("keys").alias("key"))
     shared = stored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > piece).alias("hot"))
-    ranked = stored.join(shared, "key").groupBy("cls", "size").agg(F.sort_array(F.collect_list(F.struct("hot", "key"))).alias("of"))
-    members = checkpoint(ranked.select("cls", "size", F.explode(F.slice("of", 1, keys)).alias("k")).select("cls", "size", F.col("k.key").alias("key")))
-    wanted = members.select("cls").distinct().join(classes, "cls").select(F.col("first.th").alias("th"))
-    sets = docs.select("text", text_hash.alias("th")).join(wanted, "th", "left_semi").select("text").mapInArrow(sets_of, "cls long, fp long, hashes binary").groupBy("cls").agg(F.min("fp").alias("fp"), F.min("hashes").alias("hashes"))
-    links = _class_links(members, sets, least, radius, piece)
+    ranked = stored.join(shared, "key").groupBy("cls", "size", "fp").agg(F.sort_array(F.collect_list(F.struct("hot", "key"))).alias("of"))
+    members = checkpoint(ranked.select("cls", "size", "fp", F.explode(F.slice("of", 1, keys)).alias("k")).select("cls", "size", "fp", F.col("k.key").alias("key")))
+
+    def sets_for(names: DataFrame) -> DataFrame:
+        wanted = names.join(classes, "cls").select(F.col("first.th").alias("th"))
+        texts = docs.select("text", text_hash.alias("th")).join(wanted, "th", "left_semi").select("text")
+        return texts.mapInArrow(sets_of, "cls long, fp long, hashes binary").groupBy("cls").agg(F.min("fp").alias("fp"), F.min("hashes").alias("hashes"))
+
+    links = _class_links(members, sets_for, least, radius, piece)
     roots = components(links, "u", "v")
     placed = classes.join(roots, classes.cls == roots.node, "left").select("first", F.coalesce("root", "cls").alias("root"))
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.th").alias("kept_th"))
