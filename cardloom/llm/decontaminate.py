@@ -21,6 +21,7 @@ import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -151,19 +152,23 @@ class Items:
                 continue
             place = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
             at = np.flatnonzero(keys[place] == grams)
-            for family in families:
+            for family in families:  # shorter items first
+                if len(at) < self._need(family.per):
+                    break
                 for starts in self._windows(at, family.per, len(grams)):
                     self._judge(family, grams, at, starts, best)
         return [(self.ids[i], s, at, int(min(self.lengths[i], len(words) - at))) for i, (s, at) in sorted(best.items())]
 
+    def _need(self, per: int) -> int:
+        """Known shingles without which a window of ``per`` can't be similar enough."""
+        return max(1, ceil(self.least * per - 1e-9))
+
     def _windows(self, at: np.ndarray, per: int, n: int) -> Iterator[np.ndarray]:
         """Starts of windows of ``per`` shingles that hold enough known ones, which stand ``at`` these places, in pieces.
 
         A similarity s takes at least s shared of what an item has. Places further apart than a window are looked at apart.
         """
-        need = max(1, int(np.ceil(self.least * per - 1e-9)))
-        if len(at) < need:
-            return
+        need = self._need(per)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) >= per) + 1, [len(at)]])
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if j - i < need:
