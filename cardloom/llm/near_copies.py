@@ -160,10 +160,15 @@ def _class_links(members: DataFrame, sets_for: Callable[[DataFrame], DataFrame],
     single = dealt.where("c = 1").select("key", "cls", "size", "fp").repartition("key").sortWithinPartitions("key")
     single = checkpoint(single.mapInArrow(lambda batches: _partners(batches, least, radius), "key long, cls long"))
     hot = dealt.where("c > 1").select("key", "cls", "own")
-    sets = checkpoint(sets_for(single.select("cls").unionByName(hot.select("cls")).distinct()))
+    # which sets either part needs, so that no join shuffles the other's
+    needed = single.select("cls", F.lit(True).alias("alone"), F.lit(False).alias("crowded")).unionByName(hot.select("cls", F.lit(False).alias("alone"), F.lit(True).alias("crowded")))
+    needed = checkpoint(needed.groupBy("cls").agg(F.max("alone").alias("alone"), F.max("crowded").alias("crowded")))
+    every = checkpoint(sets_for(needed.select("cls")).join(needed, "cls"))
+    sets = every.where("alone").drop("alone", "crowded")
     links = confirm(single.withColumns({x: F.lit(0) for x in ("own", "a", "b")}).join(sets, "cls")).select("u", "v")
     if dealt.where("c > 1").isEmpty():
         return links
+    sets = every.where("crowded").drop("alone", "crowded")
     hot = hot.join(sets, "cls").repartition(F.col("key"), F.col("own")).sortWithinPartitions("key", "own")
     balls = checkpoint(hot.mapInArrow(lambda batches: _balls(batches, radius), "key long, leader long, cls long, far double"))
     leaders = balls.groupBy("key", F.col("leader").alias("cls")).agg(F.max("far").alias("r"))
