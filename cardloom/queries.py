@@ -415,12 +415,12 @@ def embed_text_pages(spark, d):
     return t.table(spark, d, "pages").select("page_id", F.length(plain).cast("long").alias("n_chars"), F.sha2(plain, 256).alias("text_sha256"))
 
 
-_CLOZED = "SELECT doc_id, '{{c1::' || replace(replace(substr(text, 1, 30), ':', ''), '}', '') || '::hint}} and {{c2::' || lang || '}}' AS v FROM documents"
+_CLOZED = "SELECT doc_id, '{{c1::' || replace(replace(replace(text, ':', ''), '{', ''), '}', '') || '::hint}} and {{c2::' || lang || '}}' AS v FROM documents"
 
 
 @query(rf"SELECT doc_id, regexp_replace(v, '\{{\{{c\d+::([^{{}}:]*)(?:::[^{{}}]*)?\}}\}}', '\1', 'g') AS filled FROM ({_CLOZED})")
 def cloze_fill(spark, d):
-    part = F.replace(F.replace(F.substring("text", 1, 30), F.lit(":"), F.lit("")), F.lit("}"), F.lit(""))
+    part = F.regexp_replace("text", "[:{}]", "")
     value = F.concat(F.lit("{{c1::"), part, F.lit("::hint}} and {{c2::"), "lang", F.lit("}}"))
     return t.table(spark, d, "documents").select("doc_id", text.fill_clozes(value).alias("filled"))
 
@@ -469,14 +469,14 @@ def tag_update(spark, d):
     return after.select("note_id", F.when(F.array_contains("tags", "reviewed"), 1).otherwise(0).alias("reviewed"), F.size("tags").alias("n_tags"))
 
 
-_UPSERTED = """WITH items AS (SELECT doc_id AS index, CASE WHEN n_chars % 7 = 0 THEN doc_id END AS id, CASE WHEN n_chars % 5 = 0 THEN 'Nope' ELSE 'Basic' END AS note_type, trim(substr(text, 1, 60)) AS front FROM documents),
+_UPSERTED = """WITH items AS (SELECT doc_id AS index, CASE WHEN n_chars % 7 = 0 THEN doc_id END AS id, CASE WHEN n_chars % 5 = 0 THEN 'Nope' ELSE 'Basic' END AS note_type, trim(text) AS front FROM documents),
 judged AS (SELECT *, CASE WHEN id IS NULL AND note_type = 'Nope' THEN 'unknown_note_type' WHEN id IS NULL AND front = '' THEN 'empty' WHEN id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id = id AND o.lang = 'en') THEN 'gone' WHEN id IS NOT NULL AND note_type <> 'Basic' THEN 'changed' END AS why FROM items),
-keyed AS (SELECT *, id IS NULL AND why IS NULL AND (EXISTS (SELECT 1 FROM documents o WHERE o.lang = 'en' AND trim(substr(o.text, 1, 60)) = front) OR row_number() OVER (PARTITION BY id IS NULL AND why IS NULL, front ORDER BY index) > 1) AS twin FROM judged)"""
+keyed AS (SELECT *, id IS NULL AND why IS NULL AND (EXISTS (SELECT 1 FROM documents o WHERE o.lang = 'en' AND trim(o.text) = front) OR row_number() OVER (PARTITION BY id IS NULL AND why IS NULL, front ORDER BY index) > 1) AS twin FROM judged)"""
 
 
 def _upsert_parts(spark, d):
     docs = t.table(spark, d, "documents")
-    front = F.trim(F.substring("text", 1, 60))
+    front = F.trim("text")
     items = docs.select(F.col("doc_id").alias("index"), F.when(F.col("n_chars") % 7 == 0, F.col("doc_id")).alias("id"), F.when(F.col("n_chars") % 5 == 0, "Nope").otherwise("Basic").alias("note_type"), F.lit("Deck").alias("deck"), F.create_map(F.lit("Front"), front).alias("fields"), F.array(F.lit("t")).alias("tags"))
     notes = docs.where("lang = 'en'").select(F.col("doc_id").alias("note_id"), F.lit("g").alias("guid"), F.lit("Basic").alias("note_type"), F.lit("Deck").alias("deck"), F.array(F.lit("t")).alias("tags"), F.lit(None).cast("timestamp").alias("modified"), F.array(F.struct(F.lit(0).alias("ord"), F.lit("Front").alias("name"), front.alias("value"))).alias("fields"))
     types = spark.createDataFrame([("Basic", "standard", [(0, "Front"), (1, "Back")])], "name string, kind string, fields array<struct<ord:int,name:string>>")
