@@ -91,12 +91,12 @@ def fuzzy_scoped(spark, d):
     return fuzzy.fuzzy(t.benchmark_bank(spark, d), t.document_segments(spark, d), 20, scope).select(_FUZZY_COLUMNS)
 
 
-_TURNS = "SELECT conv_id AS query_id, substr(text, 1, 40) AS text FROM conversations WHERE turn = 0"
+_TURNS = "SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0"
 
 
 @query(f"WITH {_fuzzy_sql(_TURNS, _CONV, 10)} SELECT query_id, note_id, seg_id, overlap, rank FROM fuzzy")
 def fuzzy_multisegment(spark, d):
-    bank = t.table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.substring("text", 1, 40).alias("text"))
+    bank = t.table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
     return fuzzy.fuzzy(bank, t.conversation_segments(spark, d), 10).select("query_id", "note_id", "seg_id", "overlap", "rank")
 
 
