@@ -76,3 +76,43 @@ def _secrets() -> str:
 
 
 URLS, SECRETS = _urls(), _secrets()
+
+#: Masks of the five filters, then each order's steps from the counts of masks.
+AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.part, (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+  || (CASE WHEN coalesce(first < w.doc_id, false) THEN 'E' ELSE '' END) AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || x.c || y.c || z.c AS filter_order FROM c a, c b, c x, c y, c z WHERE len(list_distinct([a.c, b.c, x.c, y.c, z.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM o, range(1, 6) t(step)),
+r AS (SELECT part, filter_order, step, own, sum(n) AS total, sum(n) FILTER (contains(fails, own)) AS failing,
+  sum(n) FILTER (contains(fails, own) AND translate(fails, before, '') = fails) AS removed, sum(n) FILTER (fails = own) AS only_own,
+  sum(good) FILTER (contains(fails, own) AND translate(fails, before, '') = fails) AS good, sum(toxic) FILTER (contains(fails, own) AND translate(fails, before, '') = fails) AS toxic
+  FROM s, m GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, (total - sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter_order ORDER BY step))::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  (coalesce(failing, 0) - coalesce(removed, 0))::BIGINT AS redundant, coalesce(only_own, 0)::BIGINT AS unique_fails, coalesce(good, 0)::BIGINT AS good_lost, coalesce(toxic, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+
+#: Stretches on which words and their p-th followers are equal, for all p up to a quarter of the text; CRC-32 bit by bit.
+RUNS = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS own,
+  list_reduce([4294967295::BIGINT] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT),
+    lambda s, b: list_reduce([xor(s, b)] || range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM documents),
+h AS (SELECT r, doc_id, own, len(own) AS n, xor(crc, 4294967295) % 10 AS h, xor(crc, 4294967295) // 10 AS g FROM d),
+a AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM h WHERE h = 0 AND n > 0),
+w AS (SELECT r, unnest(own) AS w, unnest(range(n)) AS i FROM h WHERE NOT coalesce(h = 0 AND n > 0, false)
+  UNION ALL SELECT r, own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END], i FROM (SELECT *, unnest(range(n)) AS i FROM a)),
+same AS (SELECT x.r, y.i - x.i AS p, x.i FROM w x JOIN h ON x.r = h.r JOIN w y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND y.i <= x.i + h.n // 4),
+islands AS (SELECT r, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM same) GROUP BY r, p, island),
+runs AS (SELECT r, start, length, min(p) AS p FROM islands WHERE length >= greatest(6, 4 * p) GROUP BY r, start, length),
+gone AS (SELECT DISTINCT r, unnest(range(start + p, start + length)) AS i FROM runs),
+kept AS (SELECT w.r, string_agg(w.w, ' ' ORDER BY w.i) AS text FROM w LEFT JOIN gone ON w.r = gone.r AND w.i = gone.i WHERE gone.i IS NULL GROUP BY w.r),
+rank AS (SELECT *, row_number() OVER (PARTITION BY x.r ORDER BY x.better, x.start, x.p) AS place FROM (SELECT q.*, (SELECT count(*) FROM runs o WHERE o.r = q.r AND o.length * q.p > q.length * o.p) AS better FROM runs q) x),
+best AS (SELECT * FROM rank WHERE place = 1),
+lines AS (SELECT r, count(*) AS n, string_agg(start || ',' || length || ',' || p || chr(10), '' ORDER BY start, p) AS t FROM runs GROUP BY r)
+SELECT h.doc_id, coalesce(lines.n, 0) AS n_runs, best.start, best.length, best.p AS period, 1000 * best.length // best.p AS exponent_milli,
+  sha256(coalesce(lines.t, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM h LEFT JOIN lines ON h.r = lines.r LEFT JOIN best ON h.r = best.r LEFT JOIN kept ON h.r = kept.r"""

@@ -74,6 +74,18 @@ def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.periodic_runs import digests, periodic_runs, planted
+
+    return digests(periodic_runs(table(spark, sf_dir, "documents"), words_of=planted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_token_counts": op2_token_counts,
@@ -85,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_secret_links": op10_secret_links,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: The others need functions that SQL lacks (XXH64, tokenizers, trained models, keyed permutations, seeded draws).
@@ -93,4 +107,6 @@ ORACLE: dict[str, str] = {
     "op7_substring_dedup": oracles.SUBSTRINGS,
     "op8_exact_top_k": oracles.TOP_K,
     "op10_secret_links": oracles.SECRETS,
+    "op11_filter_audit": oracles.AUDIT,
+    "op13_periodic_runs": oracles.RUNS,
 }
