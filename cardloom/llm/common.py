@@ -41,6 +41,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def put_file(spark: SparkSession, place: str, data: bytes) -> None:
+    """Write a small file to any store that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(place)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        for at in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[at : at + (1 << 20)]))
+    finally:
+        out.close()
+
+
 def n_words(column):
     """Number of words, 0 for null, by built-in functions alone."""
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")

@@ -80,6 +80,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cardloom.llm.bpe_lexicon import decode_ids, digests, encode_texts
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    return digests(decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm.periodic_runs import digests, periodic_runs, planted
 
@@ -98,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_secret_links": op10_secret_links,
     "op11_filter_audit": op11_filter_audit,
+    "op12_bpe_codec": op12_bpe_codec,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

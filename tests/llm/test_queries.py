@@ -35,6 +35,21 @@ def test_token_counts_equal_the_library(spark, documents):
     assert {r.doc_id: r.n_bytes for r in got} == {d: len((t or "").encode()) for d, t, _ in documents}
 
 
+def test_encoded_texts_equal_the_library(spark, documents):
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for d, t, _ in documents:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((d, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, queries.QUERIES["op12_bpe_codec"](spark, DATA).collect())) == want
+
+
 def test_near_duplicates_equal_brute_force(spark, documents):
     got = sorted(map(tuple, queries.QUERIES["op3_simhash_near_dedup"](spark, DATA).collect()), key=str)
     assert got == test_simhash.brute([(d, t) for d, t, _ in documents])
