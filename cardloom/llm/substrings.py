@@ -14,7 +14,7 @@ window; a document's pieces hold all of its windows.
 
 Everything is sent once per chunk, so an exact copy held by a third of all documents costs each chunk one entry per piece.
 An anchor of very many pieces (a common phrase, each time among other words) is dealt out window by window, by the window's
-own hash. Hashes place windows only; that two are equal is told by their words, and within a chunk by 128 bits.
+own hash. Hashes place windows only; that two are equal is told by their words, within a chunk by codes of the words.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from cardloom.llm.common import WORD_RE_BYTES, give_back, sorted_groups
 
@@ -46,8 +47,8 @@ _LAST = np.iinfo(np.int64).max
 
 
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-#: Odd bases of the running sums, and bytes that one of them spans (or a word).
-_BASES, _SPAN = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 1 << 19
+#: Odd bases of the running sums, and bytes whose words are taken at a time.
+_BASES, _SPAN = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 1 << 22
 
 
 def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -57,32 +58,23 @@ def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-@lru_cache(4)
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, dtype=np.uint64)]), dtype=np.uint64)
-
-
-def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of each word: polynomials of its bytes, from running sums over a part of the text at a time."""
-    data, out = np.frombuffer(raw, dtype=np.uint8), [np.empty(len(starts), dtype=np.uint64) for _ in _BASES]
-    at = 0
-    with np.errstate(over="ignore"):
-        while at < len(starts):
-            upto = max(at + 1, int(np.searchsorted(ends, starts[at] + _SPAN, side="right")))
-            low, span = int(starts[at]), int(ends[upto - 1] - starts[at])
-            part, a, b = data[low : low + span].astype(np.uint64) + np.uint64(1), starts[at:upto] - low, ends[at:upto] - low
-            for of, base in zip(out, _BASES, strict=True):
-                size = 1 << (span - 1).bit_length()
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(part * _powers(base, size)[:span], dtype=np.uint64)])
-                h = (sums[b] - sums[a]) * _powers(pow(base, -1, 1 << 64), size)[a]
-                h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-                of[at:upto] = h ^ h >> np.uint64(32)
-            at = upto
-    return out
+def word_codes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the number of its string among the different ones, and a 64-bit hash."""
+    number: dict[bytes, int] = {}
+    codes, at = np.empty(len(starts), dtype=np.int32), 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + _SPAN, side="right")))
+        words = raw[starts[at] : ends[upto - 1]].split()
+        for word in dict.fromkeys(words):
+            number.setdefault(word, len(number))
+        codes[at:upto] = np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=upto - at)
+        at = upto
+    hashes = np.fromiter(map(xxh3_64_intdigest, number), dtype=np.uint64, count=len(number))
+    return codes, hashes[codes]
 
 
 class Chunk:
-    """A chunk's documents, in the order of their ids and texts, as bytes with the words' places and hashes."""
+    """A chunk's documents, in the order of their ids and texts, as bytes with the words' places, codes and hashes."""
 
     def __init__(self, docs: pa.Table, width: int):
         docs = docs.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -93,7 +85,7 @@ class Chunk:
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(self.starts, offsets)  # of each document's words, among all words
         self.sizes = np.diff(self.first)
-        self.hashes = word_hashes(self.raw, self.starts, self.ends)
+        self.codes, self.hashes = word_codes(self.raw, self.starts, self.ends)
         gaps = np.ones(len(self.starts) + 1, dtype=np.int64)  # after a word: is it anything but one space?
         gaps[0] = 0
         if len(self.starts):
@@ -105,7 +97,7 @@ class Chunk:
 
     def _runs(self) -> None:
         """The pieces: first and last window (places of their first words) and anchor of each."""
-        n, width = len(self.hashes[0]), self.width
+        n, width = len(self.hashes), self.width
         known = np.array([i is not None for i in self.ids], dtype=bool)
         self.named = np.array([i or 0 for i in self.ids], dtype=np.int64)
         ends = np.repeat(self.first[1:], self.sizes)
@@ -116,7 +108,7 @@ class Chunk:
             self.anchor = np.zeros(0, dtype=np.uint64)
             return
         size = min(GRAM, width)
-        gram = _mixed(self.hashes[0], size)
+        gram = _mixed(self.hashes, size)
         count = n - width + 1
         best, where = gram[:count].copy(), np.zeros(count, dtype=np.int64)
         for k in range(1, width - size + 1):
@@ -136,22 +128,43 @@ class Chunk:
         """Two 64-bit hashes of words start .. end - 1, by running sums."""
         with np.errstate(over="ignore"):
             if not self._sums:
-                for h, base in zip(self.hashes, _BASES, strict=True):
-                    powers = np.cumprod(np.full(len(h) + 1, base, dtype=np.uint64), dtype=np.uint64)
-                    self._sums.append((np.concatenate([[np.uint64(0)], np.cumsum(h * powers[:-1], dtype=np.uint64)]), powers))
+                for base in _BASES:
+                    powers = np.cumprod(np.full(len(self.hashes) + 1, base, dtype=np.uint64), dtype=np.uint64)
+                    self._sums.append((np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * powers[:-1], dtype=np.uint64)]), powers))
             return [(total[end] - total[start]) * powers[len(powers) - 1 - start] + (end - start).astype(np.uint64) for total, powers in self._sums]
 
     def distinct(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different stretches of words, in an order of their own: the first (and so least) holder of each, for each
-        stretch its number, and the last holder."""
+        stretch its number, and the last holder. Hashes bring equal stretches together, their words tell them apart."""
         a, b = self._prints(start, end)
         order = np.lexsort((b, a))
         new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]) if len(order) else np.zeros(0, bool)
+        if (clash := self._clashes(start[order], end[order], new)).any():
+            # stretches whose hashes are equal though their words aren't: such groups go by the words themselves
+            place = np.cumsum(new) - 1
+            some = np.flatnonzero(np.isin(place, place[clash]))
+            words = [(int(place[i]), self.codes[start[order[i]] : end[order[i]]].tobytes(), i) for i in some.tolist()]
+            words.sort()
+            order[some] = order[[i for *_, i in words]]
+            new[some] = [i == 0 or words[i][:2] != words[i - 1][:2] for i in range(len(words))]
         heads = np.flatnonzero(new)
         number = np.empty(len(order), dtype=np.int64)
         number[order] = np.cumsum(new) - 1
         return order[heads], number, order[np.append(heads[1:], len(order)) - 1] if len(order) else order
 
+    def _clashes(self, start: np.ndarray, end: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """True for each stretch that has other words than the first one of its group; ``new`` is true for the first ones."""
+        heads = np.flatnonzero(new)
+        first = np.repeat(heads, np.diff(np.append(heads, len(new))))
+        size = end - start
+        out = size != size[first]
+        some, step = np.flatnonzero(~new & ~out), 0
+        while len(some):
+            out[some] |= self.codes[start[some] + step] != self.codes[start[first[some]] + step]
+            step += 1
+            some = some[size[some] > step]
+        return out
+
     def pieces(self) -> tuple[np.ndarray, np.ndarray]:
         """The first run of each different piece, and for each run its piece."""
         if self._pieces is None:
@@ -266,7 +279,7 @@ def _send(width: int, shards: int) -> Callable:
             apart = np.flatnonzero(kind_of[number[run_of[first]]] == _SPREAD)
             at = places[first[apart]]
             start, end = np.concatenate([start, at]), np.concatenate([end, at + width])
-            numbers, hashes = np.concatenate([numbers, -1 - apart]), np.concatenate([hashes, _mixed(chunk.hashes[0], width)[at]])
+            numbers, hashes = np.concatenate([numbers, -1 - apart]), np.concatenate([hashes, _mixed(chunk.hashes, width)[at]])
             several = np.concatenate([several, chunk.id_of(at) != chunk.id_of(places[last[apart]])])
         shard = np.searchsorted(_edges(shards), hashes, side="right")
         order = np.argsort(shard, kind="stable")
@@ -289,8 +302,7 @@ def least_holders(pieces: list[list[str]], holders: np.ndarray, width: int) -> t
     codes = np.array([give(w, len(number) + 1) for words in pieces for w in (*words, "")], dtype=np.int64)  # "" ends a piece
     sizes = np.array([len(words) + 1 for words in pieces], dtype=np.int64)
     piece_of = np.repeat(np.arange(len(pieces)), sizes)
-    names = "\n".join(w or "\x00" for w in number).encode() + b"\n"
-    word_hash = np.concatenate([[np.uint64(0)], word_hashes(names, *word_places(names))[0]])
+    word_hash = np.concatenate([[np.uint64(0)], np.fromiter((xxh3_64_intdigest(w.encode()) for w in number), dtype=np.uint64, count=len(number))])
     ends = np.repeat(np.cumsum(sizes) - 1, sizes)
     windows = np.flatnonzero(np.arange(len(codes)) + width <= ends)
     hashes = _mixed(word_hash[codes], width)[windows]

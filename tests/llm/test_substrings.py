@@ -92,3 +92,31 @@ def test_many_different_words(spark):
     rows = [(1, tail), (2, " ".join(map(str, range(1_200_000))) + " " + tail)]
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame([(d, t, "", 0, 0) for d, t in rows], SCHEMA), digests=True).collect()}
     assert got == {1: (30, 0), 2: (1_200_030, 30)}
+
+
+def test_words_that_polynomials_of_powers_of_two_confuse(spark):
+    """Two words of 1,024 letters in the order of Thue and Morse and its complement, after twelve equal words."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{head} {one}"), (2, f"{head} {two}"), (3, f"{head} {one}")]
+    got = sorted(map(tuple, substrings.remove_repeats(spark.createDataFrame([(d, t, "", 0, 0) for d, t in rows], SCHEMA), digests=True).collect()))
+    assert got == brute(rows) and [r[2] for r in got] == [0, 0, 13]
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_chunks_whose_hashes_clash(monkeypatch, seed):
+    """Words have one of two hashes, so that many different stretches have equal ones."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "xxh3_64_intdigest", lambda w: len(w) % 2)
+    rows = made(seed)
+    table = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})
+    chunk = substrings.Chunk(table, 13)
+    heads, number = chunk.pieces()
+    texts = [chunk.text(a, b + 13) for a, b in zip(chunk.low.tolist(), chunk.high.tolist(), strict=True)]
+    first = {}
+    for i, text in enumerate(texts):
+        first.setdefault(text, i)
+    assert sorted(heads.tolist()) == sorted(first.values())
+    assert [texts[heads[n]] for n in number] == texts
