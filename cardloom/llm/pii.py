@@ -36,28 +36,36 @@ GIVEN = {
 #: Titles that introduce a name.
 TITLES = "Mrs. Mrs Ms. Ms Miss Frau Mme Madame Mademoiselle Señora Sra. Señorita Г-жа Госпожа Κυρία Mr. Mr Herr Monsieur M. Señor Sr. Г-н Господин Κύριος Dr. Dr Prof. Professor".split()
 _TITLES = set(TITLES)
+#: Words that no name goes on with; a lone M. is taken for an initial.
+_ANEW = (_TITLES | {t.rstrip(".") for t in TITLES}) - {"M", "M."}
 #: Calling codes of two digits; 1 and 7 have one digit, all others three.
 CALLING = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
-_NAME = r"[^\W\d_]+(?:-[^\W\d_]+)*"
+_NAME, _INITIAL = r"[^\W\d_]+(?:-[^\W\d_]+)*", r"[^\W\d_]\.(?=\x20)"
 
 
 def _any(words: Iterable[str]) -> str:
-    return "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
+    """One of the words, the longest first; a place where none begins is told by one character."""
+    first: dict[str, list[str]] = {}
+    for word in sorted(words, key=len, reverse=True):
+        first.setdefault(word[0], []).append(re.escape(word[1:]))
+    return f"(?=[{''.join(first)}])(?:{'|'.join(f'{c}(?:{"|".join(rest)})' for c, rest in first.items())})"
 
 
+_EMAIL = r"[\w.+%-]++@(?:[\w-]+\.)+[A-Za-z]{2,24}"
 PATTERNS = {
-    "email": r"[\w.+%-]+@(?:[\w-]+\.)+[A-Za-z]{2,24}",
+    "email": rf"(?<![\w.+%-]){_EMAIL}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?\d)",
     "card": r"(?<![\d+])[0-9](?:[\x20-]?[0-9]){12,18}(?!\d)",
     "ssn": r"(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-])",
-    "phone": r"(?:\+[0-9]{1,3}[\x20.-]?)?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?!\d)|\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,5}(?!\d)|(?<![\d.-])[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\d.-])",
-    "name": rf"(?<!\w)(?:{_any(TITLES)})\x20{_NAME}(?:\x20{_NAME}){{0,2}}|(?<!\w)(?:{_any(n for ns in GIVEN.values() for n in ns)})\x20{_NAME}(?!\w)",
+    "phone": r"(?:\+[0-9]{1,3}[\x20.-]?)?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?!\d)|\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,5}(?!\d)|(?<![\d-])(?<!\d\.)[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?!-|\.?\d)",
+    "name": rf"(?<!\w){_any(TITLES)}(?:\x20{_any(TITLES)})*\x20{_NAME}(?:\x20(?:{_INITIAL}|{_NAME})){{0,3}}|(?<!\w){_any(n for ns in GIVEN.values() for n in ns)}\x20{_NAME}(?!\w)",
 }
 KINDS = tuple(PATTERNS)
 _ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: A text without any of these has no entity, and isn't searched further.
-_HINT = re.compile(rf"@|[0-9](?:[^A-Za-z]?[0-9]){{3}}|(?:{_any(TITLES)}|{_any(n for ns in GIVEN.values() for n in ns)})\x20")
+_HINT = re.compile(rf"@|[0-9](?:[^A-Za-z]?[0-9]){{3}}|(?<!\w){_any([*TITLES, *(n for ns in GIVEN.values() for n in ns)])}\x20")
+_ADDRESS_HERE = re.compile(_EMAIL)
 
 #: Letters and digits that replace each other, in lower case; and ranges of letters without case.
 _ALPHABETS = [
@@ -171,7 +179,7 @@ class Surrogates:
 
     def _name(self, text: str) -> str:
         words = text.split(" ")
-        titles = int(words[0] in _TITLES)
+        titles = leading_titles(words)
         return " ".join([*words[:titles], *("-".join(map(self._word, w.split("-"))) for w in words[titles:])])
 
     def _phone(self, text: str) -> str:
@@ -218,26 +226,47 @@ def luhn(text: str) -> bool:
     return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
 
 
+def leading_titles(words: list[str]) -> int:
+    """How many words introduce a name; the last word never does."""
+    n = 0
+    while n < len(words) - 1 and words[n] in _TITLES:
+        n += 1
+    return n
+
+
+def name_end(name: str) -> int:
+    """How far a match of the pattern of names is one, 0 if it isn't any. A name's words begin with capitals; in scripts
+    without them the one word after a title is taken."""
+    words = name.split(" ")
+    first = proper = max(1, leading_titles(words))
+    while proper < len(words) and words[proper][0].isupper() and (proper == first or words[proper] not in _ANEW):
+        proper += 1
+    if proper == first and words[0] in _TITLES and _caseless(words[first]):
+        proper += 1
+    while proper > first and words[proper - 1].endswith("."):  # an initial that no further name follows
+        proper -= 1
+    return len(" ".join(words[:proper])) if proper > first else 0
+
+
 def entities(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind), leftmost first, not overlapping. A name's words begin with capitals; in scripts without them the
-    one word after a title is taken."""
+    """(start, end, kind), leftmost first, not overlapping. The search goes on where an entity ends, also where the end came
+    from judging its words, and after the first word of what turned out to be none."""
     if not text or not _HINT.search(text):
         return []
-    out = []
-    for m in _ENTITY.finditer(text):
-        start, end, kind = m.start(), m.end(), m.lastgroup
+    out, at = [], 0
+    while True:
+        # an address may begin right where an entity ended, in the middle of what would else be one word of it
+        m = (out and out[-1][1] == at and _ADDRESS_HERE.match(text, at)) or _ENTITY.search(text, at)
+        if not m:
+            return out
+        start, end, kind = m.start(), m.end(), m.lastgroup or "email"
         if kind == "name":
-            words = m[0].split(" ")
-            proper = 1
-            while proper < len(words) and words[proper][0].isupper():
-                proper += 1
-            if proper == 1 and words[0] in _TITLES and _caseless(words[1]):
-                proper = 2
-            if proper == 1:
+            if not (upto := name_end(m[0])):
+                at = start + m[0].index(" ")
                 continue
-            end = start + len(" ".join(words[:proper]))
+            end = start + upto
         out.append((start, end, kind))
-    return out
+        at = end
 
 
 def replace(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[tuple[int, int, str]]]:

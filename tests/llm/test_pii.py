@@ -136,3 +136,63 @@ def test_session_key(spark):
         assert pii.session_key(spark) == pii.session_key(spark)
     finally:
         spark.conf.unset("spark.cardloom.pii.key")
+
+
+MEMBERS = {
+    "email": ["anna.k@example.com", "Bob_7@mail.example.org"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"],
+    "ip": ["97.51.17.173", "10.0.0.7"],
+    "card": ["4111 1111 1111 1111", "5500005555555559"],
+    "ssn": ["123-45-6789"],
+    "phone": ["+49 30 5557713", "(017) 555-7713", "555-867-5309"],
+    "name": ["Mr. Smith", "Frau Anna Schmidt", "Herr Prof. Dr. Weber", "Mrs. Mary J. Jones", "Lena Fischer", "M. Dupont", "Г-н Петров", "Κύριος Παύλου"],
+}
+JOINERS = [" at ", " and ", " or ", ", ", "; ", ". ", "\n", " ("]
+
+
+def brute(text):
+    """Kind by kind at every place, restarting where an entity ends."""
+    patterns = {k: re.compile(p) for k, p in pii.PATTERNS.items()}
+    at, out = 0, []
+    while at < len(text):
+        for kind, pattern in patterns.items():
+            m = pattern.match(text, at)
+            if not m and kind == "email" and out and out[-1][1] == at:
+                m = re.compile(r"[\w.+%-]+@(?:[\w-]+\.)+[A-Za-z]{2,24}").match(text, at)
+            end = at + (pii.name_end(m[0]) if kind == "name" else len(m[0])) if m else at
+            if m and end > at:
+                out.append((at, end, kind))
+                at = end
+                break
+            if m:  # a name that is none: no later kind begins here
+                at += m[0].index(" ")
+                break
+        else:
+            at += 1
+    return out
+
+
+def test_entities_next_to_each_other_all_go():
+    s = pii.Surrogates(b"k")
+    for a, ones in MEMBERS.items():
+        for b, others in MEMBERS.items():
+            for joiner in JOINERS:
+                for one in ones:
+                    for two in others:
+                        text = f"so {one}{joiner}{two} left"
+                        found = pii.entities(text)
+                        spans = [(text[x:y], k) for x, y, k in found]
+                        assert spans == [(one, a), (two, b)], (text, spans)
+                        new, _ = pii.replace(text, s)
+                        assert new.startswith("so ") and new.endswith(" left") and joiner in new
+                        for whole in (one, two):
+                            core = [w for w in whole.split(" ") if w not in pii.TITLES]
+                            assert " ".join(core) not in new
+
+
+def test_search_equals_brute_force():
+    rng = random.Random(9)
+    bits = [*(x for v in MEMBERS.values() for x in v), "Mr. at", "Anna went", "Dr.", "Frau", "Paul", "foo", "12 345", "@", "a@b", "1.2.3", "+1", " and ", ", ", " ", " ", ".", "-", "Ms. Li Mrs. Wu", "x.y@z.org9", "Señor"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 9)))
+        assert pii.entities(text) == brute(text), text
