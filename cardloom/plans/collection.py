@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom import schema
-from cardloom.operators import filters, mutate, stats, tags
+from cardloom.operators import filters, mutate, postings, stats, tags
 from cardloom.plans import search as plans
 from cardloom.sources import notes as sources
+from cardloom.sources.buckets import Buckets
 from cardloom.sources.state import State
 
 TABLES = {"notes": schema.NOTES, "types": schema.NOTE_TYPES, "cards": schema.CARDS, "decks": schema.DECKS, "tags": "tag string"}
@@ -64,17 +65,32 @@ class Collection:
         queues = self.table("cards").groupBy("note_id").agg(F.min("queue").alias("queue"), F.collect_list("card_id").alias("card_ids"))
         return filters.collection_query(self.table("notes").join(queues, "note_id", "left"), query, limit)
 
+    def _segments(self, version: int) -> DataFrame:
+        return sources.numbered(sources.field_segments(self.states["notes"].read(version)))
+
+    def postings(self) -> Buckets:
+        """The stored postings of the present notes, brought there from the notes' version that they were made of: only
+        segments whose texts differ are read for terms, and only the buckets of terms that came or went are written."""
+        held, now = postings.store(self.spark, f"{self.folder}/postings"), self.states["notes"].version()
+        if held.version() < 0:
+            postings.build(held, self._segments(now), {"notes": now})
+        elif (was := held.note()["notes"]) != now:
+            old = self._segments(was).select("seg_id", F.col("text").alias("was"))
+            moved = old.join(self._segments(now).select("seg_id", "text"), "seg_id", "full").where("not (was <=> text)")
+            postings.update(held, moved.where("was is not null").select("seg_id", F.col("was").alias("text")), moved.where("text is not null").select("seg_id", "text"), {"notes": now})
+        return held
+
     def index(self, embed=None) -> plans.Index:
         """The derived tables of the present notes. ``embed``: an Arrow function from texts to vectors."""
-        notes = self.table("notes")
-        segments = sources.numbered(sources.field_segments(notes))
+        notes, version = self.table("notes"), self.states["notes"].version()
+        segments = self._segments(version)
         if embed is None:
-            return plans.Index(segments, version=self.states["notes"].version())
+            return plans.Index(segments, postings=self.postings(), version=version)
         from cardloom.functions.text import embed_text
 
         own = notes.select("note_id", embed_text("fields").alias("text")).where("text <> ''").select(F.lit("text").alias("modality"), "note_id", F.lit(0).alias("item"), embed("text").alias("vec"))
         members = tags.membership(notes)
-        return plans.Index(segments, own, members, tags.centroids(members, own, notes.count()), version=self.states["notes"].version())
+        return plans.Index(segments, own, members, tags.centroids(members, own, notes.count()), self.postings(), version=version)
 
     def search_notes(self, queries: list[str] = (), ids: list[int] = (), limit: int = 10, deck: str | None = None, tag_names: list[str] | None = None, exclude: list[int] = (), threshold: float = 0.5, mode: str = "fused", embed=None, index: plans.Index | None = None) -> dict:
         """Groups by source (a query, or ``note #id``): the matches table, a message, and whether the read was stale."""

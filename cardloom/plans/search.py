@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import byte_span
-from cardloom.operators import fuse, fuzzy, knn, tags
+from cardloom.operators import fuse, fuzzy, knn, postings, tags
+from cardloom.sources.buckets import Buckets
 
 ALL = 1_000_000_000
 MOST_QUERIES = 50
@@ -16,13 +17,14 @@ MOST_QUERIES = 50
 
 @dataclass(frozen=True)
 class Index:
-    """The derived tables that a search reads. Those that are missing leave their signals out."""
+    """The derived tables that a search reads. Those that are missing leave their signals out; without postings, stored ones
+    (of which a search reads the buckets of its terms) or a table, texts are scanned for the terms."""
 
     segments: DataFrame
     vectors: DataFrame | None = None
     members: DataFrame | None = None
     centroids: DataFrame | None = None
-    postings: DataFrame | None = None
+    postings: DataFrame | Buckets | None = None
     image_floor: float | None = None
     version: int = 0
     spaces: dict[str, DataFrame] = field(default_factory=dict)
@@ -56,7 +58,8 @@ def search(bank: DataFrame, index: Index, top_k: int = 10, query_vectors: DataFr
     null where letters alone found the note. Texts are joined to the hits only, for the byte spans that show why.
     """
     top_k = top_k or ALL
-    near = fuzzy.fuzzy(bank, index.segments, top_k, scope, exclude, postings=index.postings)
+    held = postings.lookup(index.postings, bank) if isinstance(index.postings, Buckets) else index.postings
+    near = fuzzy.fuzzy(bank, index.segments, top_k, scope, exclude, postings=held)
     lexical = fuzzy.lexical_signals(near, bank, index.segments)
     if fuzzy.short_queries(bank):
         where = index.segments.where(~F.col("source").isin(*fuzzy.HIDDEN_SOURCES))

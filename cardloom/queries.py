@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import hashing, text, vectors
-from cardloom.operators import calibrate, filters, fuse, fuzzy, incremental, knn, mutate, stats, tags
+from cardloom.operators import calibrate, filters, fuse, fuzzy, incremental, knn, mutate, postings, stats, tags
 from cardloom.plans import search as plans
 from cardloom.sources import notes as sources
 from cardloom.sources import reference_tables as t
+from cardloom.sources.buckets import Buckets
+from cardloom.sources.files import checkpoint, scratch
+from cardloom.streaming import maintain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,15 +83,24 @@ def trigram_postings_top(spark, d):
 _FUZZY_COLUMNS = ["query_id", "note_id", "overlap", "rank"]
 
 
+def _kept_postings(bank, segments):
+    """Postings of the bank's terms, made of the texts once and stored; frequencies and overlaps both read them."""
+    return checkpoint(fuzzy.postings_for(bank, segments))
+
+
+def _fuzzy(bank, segments, k, scope=None):
+    return fuzzy.fuzzy(bank, segments, k, scope, postings=_kept_postings(bank, segments))
+
+
 @query(f"WITH {_fuzzy_sql(_BENCH, _DOCS, 20)} SELECT query_id, note_id, overlap, rank FROM fuzzy")
 def fuzzy_benchmark(spark, d):
-    return fuzzy.fuzzy(t.benchmark_bank(spark, d), t.document_segments(spark, d), 20).select(_FUZZY_COLUMNS)
+    return _fuzzy(t.benchmark_bank(spark, d), t.document_segments(spark, d), 20).select(_FUZZY_COLUMNS)
 
 
 @query(f"WITH {_fuzzy_sql(_BENCH, _DOCS, 20, 'note_id IN (SELECT doc_id FROM documents WHERE lang = $$en$$)')} SELECT query_id, note_id, overlap, rank FROM fuzzy")
 def fuzzy_scoped(spark, d):
     scope = filters.scope_of(t.document_notes(spark, d), deck="en")
-    return fuzzy.fuzzy(t.benchmark_bank(spark, d), t.document_segments(spark, d), 20, scope).select(_FUZZY_COLUMNS)
+    return _fuzzy(t.benchmark_bank(spark, d), t.document_segments(spark, d), 20, scope).select(_FUZZY_COLUMNS)
 
 
 _TURNS = "SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0"
@@ -97,12 +109,12 @@ _TURNS = "SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0"
 @query(f"WITH {_fuzzy_sql(_TURNS, _CONV, 10)} SELECT query_id, note_id, seg_id, overlap, rank FROM fuzzy")
 def fuzzy_multisegment(spark, d):
     bank = t.table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
-    return fuzzy.fuzzy(bank, t.conversation_segments(spark, d), 10).select("query_id", "note_id", "seg_id", "overlap", "rank")
+    return _fuzzy(bank, t.conversation_segments(spark, d), 10).select("query_id", "note_id", "seg_id", "overlap", "rank")
 
 
 def _benchmark_signals(spark, d, k=20):
     bank, segments = t.benchmark_bank(spark, d), t.document_segments(spark, d)
-    near = fuzzy.fuzzy(bank, segments, k)
+    near = _fuzzy(bank, segments, k)
     exact = fuzzy.exact_of(near, bank, segments)
     return bank, segments, exact, fuzzy.without_exact(near, exact)
 
@@ -112,6 +124,35 @@ def exact_benchmark(spark, d):
     return _benchmark_signals(spark, d)[2].select("query_id", "note_id", F.round("tf", 12).alias("tf"), "rank")
 
 
+_LATER_DOCS = "SELECT doc_id AS seg_id, doc_id AS note_id, 'field' AS source, CASE WHEN source = 'src1' THEN text || ' edited anew' ELSE text END AS text FROM documents WHERE coalesce(lang, '') <> 'fr'"
+
+
+def _later_postings(spark, d):
+    """Stored postings after three batches: two thirds of the documents, the others, and a batch that edits some texts and
+    removes some documents. Gives the store and the segments that are left."""
+    docs, held = t.document_segments(spark, d).join(t.table(spark, d, "documents").select(F.col("doc_id").alias("seg_id"), "lang", F.col("source").alias("origin")), "seg_id"), postings.store(spark, scratch(spark, "postings"), 16)
+    first = F.coalesce(F.col("seg_id") % 3 != 0, F.lit(True))
+    edited, french = F.col("origin") == "src1", F.col("lang") == "fr"
+    after = docs.where(~F.coalesce(french, F.lit(False))).withColumn("text", F.when(edited, F.concat("text", F.lit(" edited anew"))).otherwise(F.col("text")))
+    postings.build(held, docs.where(first))
+    postings.update(held, docs.limit(0), docs.where(~first))
+    postings.update(held, docs.where(edited | french), after.where(edited))
+    return held, after
+
+
+@query(f"SELECT term, count(*) AS df, min(seg_id) AS first_seg, max(seg_id) AS last_seg, sum(seg_id)::BIGINT AS seg_sum FROM (SELECT DISTINCT seg_id, c[i] || c[i + 1] || c[i + 2] AS term FROM (SELECT seg_id, c, unnest(range(1, len(c) - 1)) AS i FROM (SELECT seg_id, string_split(lower(text), '') AS c FROM ({_LATER_DOCS})))) GROUP BY term")
+def postings_batches(spark, d):
+    rows = _later_postings(spark, d)[0].read()
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.min("seg_id").alias("first_seg"), F.max("seg_id").alias("last_seg"), F.sum("seg_id").alias("seg_sum"))
+
+
+@query(f"WITH {_fuzzy_sql(_BENCH, _LATER_DOCS, 20)} SELECT query_id, note_id, overlap, rank FROM fuzzy")
+def fuzzy_stored(spark, d):
+    held, segments = _later_postings(spark, d)
+    bank = t.benchmark_bank(spark, d)
+    return fuzzy.fuzzy(bank, segments.select("seg_id", "note_id", "source"), 20, postings=postings.lookup(held, bank)).select(_FUZZY_COLUMNS)
+
+
 @query("""SELECT query_id, note_id, rank FROM (SELECT query_id, note_id, row_number() OVER (PARTITION BY query_id ORDER BY note_id) AS rank FROM
 (SELECT DISTINCT n_nationkey AS query_id, doc_id AS note_id FROM nation JOIN documents ON contains(lower(text), lower(substr(n_name, 1, 2))))) WHERE rank <= 20""")
 def exact_fallback_short(spark, d):
@@ -126,8 +167,8 @@ SELECT * FROM (SELECT query_id, note_id, round(score, 12) AS score, tier, signal
 
 @query(_RRF)
 def rrf_fused(spark, d):
-    bank, segments, *_ = _benchmark_signals(spark, d)
-    hits = plans.search(bank, plans.Index(segments), top_k=20, evidence=False).where("rank <= 10")
+    bank, segments = t.benchmark_bank(spark, d), t.document_segments(spark, d)
+    hits = plans.search(bank, plans.Index(segments, postings=_kept_postings(bank, segments)), top_k=20, evidence=False).where("rank <= 10")
     signal = F.col("signals")[0]
     return hits.select("query_id", "note_id", F.round("score", 12).alias("score"), F.when(signal["signal"] == "exact", 0).otherwise(1).alias("tier"), signal["signal"].alias("signal"), signal["rank"].alias("at"), "rank")
 
@@ -547,6 +588,36 @@ def watermark_floor(spark, d):
     return incremental.watermarks(t.event_changes(spark, d), "note_id", "col_mod")
 
 
+_BATCHES = 5
+_STREAM = f"""WITH e AS (SELECT user_id, event_id, event_type, (event_id - min(event_id) OVER ()) * {_BATCHES} // (max(event_id) OVER () - min(event_id) OVER () + 1) AS batch FROM events),
+c AS (SELECT user_id AS note_id, batch, event_id, CASE WHEN event_type = 'error' OR c_custkey IS NULL THEN 'remove' ELSE 'maintain' END AS action FROM e LEFT JOIN customer ON user_id = c_custkey WHERE event_type <> 'click'),
+b AS (SELECT note_id, batch, arg_max(action, event_id) AS action FROM c GROUP BY note_id, batch),
+last AS (SELECT note_id, arg_max(action, batch) AS action, bool_or(action = 'remove') AS gone FROM b GROUP BY note_id),
+marks AS (SELECT max(event_id) FILTER (event_type <> 'error' AND event_id < coalesce((SELECT min(event_id) FROM e WHERE event_type = 'error'), 9223372036854775807)) AS watermark, min(event_id) FILTER (event_type = 'error') AS floor FROM e)
+SELECT rows.*, watermark, floor FROM (SELECT c_custkey AS note_id, 'ocr' AS source, c_mktsegment AS text FROM customer LEFT JOIN last ON note_id = c_custkey WHERE NOT coalesce(gone, false)
+UNION ALL SELECT note_id, 'field', upper(c_name) FROM last JOIN customer ON note_id = c_custkey WHERE action = 'maintain') rows, marks"""
+
+
+@query(_STREAM)
+def stream_upkeep(spark, d):
+    """Events as a stream of five batches of files, over a table that holds recognised rows of all customers."""
+    customer, folder = t.table(spark, d, "customer"), scratch(spark, "upkeep")
+    table = Buckets(spark, f"{folder}/table", ["note_id"], "note_id long, source string, text string", 16)
+    table.write(customer.select(F.col("c_custkey").alias("note_id"), F.lit("ocr").alias("source"), F.col("c_mktsegment").alias("text")))
+    changes = t.event_changes(spark, d).select("note_id", "col_mod", "kind", "success")
+    low, high = changes.agg(F.min("col_mod"), F.max("col_mod")).first()
+    files = 4
+    for i in range(_BATCHES if low is not None else 0):
+        part = changes.where(F.expr(f"(col_mod - {low}) * {_BATCHES} div {high - low + 1} = {i}"))
+        part.repartition(files).write.mode("append").parquet(f"{folder}/changes")
+    notes = lambda: customer.select(F.col("c_custkey").alias("note_id"), F.col("c_name").alias("name"))
+    derive = lambda rows: rows.select("note_id", F.lit("field").alias("source"), F.upper("name").alias("text"))
+    if low is not None:
+        maintain.maintain(maintain.read_changes(spark, f"{folder}/changes", files), notes, table, f"{folder}/stream", derive, carry=F.col("source") == "ocr").awaitTermination()
+    marks = table.note()
+    return table.read().withColumns({x: F.lit(marks.get(x)).cast("long") for x in ("watermark", "floor")})
+
+
 @query("SELECT conv_id, turn, CASE WHEN (turn % 4) / 4.0 < 0.5 OR length(trim(text)) < 4 THEN 'drop' WHEN length(trim(text)) >= 20 THEN 'lexical_and_vector' ELSE 'lexical' END AS outcome FROM conversations")
 def recognition_gate(spark, d):
     rows = t.table(spark, d, "conversations").withColumn("confidence", (F.col("turn") % 4) / 4)

@@ -3,9 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import incremental, stats
-from cardloom.sources.state import State
-from cardloom.streaming.maintain import maintain, read_changes
+from cardloom.operators import incremental, postings, stats
+from cardloom.sources.buckets import Buckets
+from cardloom.streaming.maintain import apply_batch, maintain, read_changes
 
 
 def model_watermark(log):
@@ -84,20 +84,111 @@ def test_stream_keeps_a_table_current(spark, tmp_path):
     ddl = "note_id bigint, col_mod bigint, kind string, success boolean"
     changes = str(tmp_path / "changes")
     put = lambda rows: spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(changes)
-    state, marks = State(spark, str(tmp_path / "state")), State(spark, str(tmp_path / "marks"))
+    table = Buckets(spark, str(tmp_path / "table"), ["note_id"], "note_id long, text string", 8)
     derive = lambda rows: rows.select("note_id", F.upper("text").alias("text"))
+    marks = lambda: tuple(table.note()[x] for x in ("watermark", "floor"))
 
     def drain():
-        query = maintain(read_changes(spark, changes), current, state, marks, str(tmp_path / "check"), derive)
+        query = maintain(read_changes(spark, changes), current, table, str(tmp_path / "check"), derive)
         assert query.awaitTermination(120)
 
     put([(1, 1, "Maintain", True), (2, 2, "Maintain", True), (9, 3, "Maintain", True)])
     drain()
-    assert {r.note_id: r.text for r in state.read().collect()} == {1: "ONE", 2: "TWO"} and tuple(marks.read().first()) == (3, None)
+    assert {r.note_id: r.text for r in table.read().collect()} == {1: "ONE", 2: "TWO"} and marks() == (3, None)
     notes[2] = "deux"
     put([(1, 4, "Maintain", True), (1, 5, "Remove", True), (2, 6, "Maintain", True), (3, 7, "AdvanceOnly", False)])
     drain()
-    assert {r.note_id: r.text for r in state.read().collect()} == {2: "DEUX"} and tuple(marks.read().first()) == (6, 7)
+    assert {r.note_id: r.text for r in table.read().collect()} == {2: "DEUX"} and marks() == (6, 7)
     put([(3, 8, "Maintain", True)])
     drain()
-    assert {r.note_id for r in state.read().collect()} == {2, 3} and tuple(marks.read().first()) == (6, 7)
+    assert {r.note_id for r in table.read().collect()} == {2, 3} and marks() == (6, 7)
+
+
+def test_batches_survive_a_kill_and_spare_other_buckets(spark, tmp_path, monkeypatch):
+    """A batch that dies before its manifest runs again to the same table; one that dies after it finds itself done."""
+    rng = random.Random(8)
+    notes = spark.createDataFrame([(i, f"n{i}") for i in range(60)], "note_id long, text string")
+    ddl = "note_id bigint, col_mod bigint, kind string, success boolean"
+    logs = [[(rng.randrange(70), 100 * b + i, rng.choice(["Maintain", "Maintain", "Remove", "AdvanceOnly"]), rng.random() < 0.9) for i in range(9)] for b in range(4)]
+    derive = lambda rows: rows.select("note_id", F.lit("field").alias("source"), "text")
+    carry = F.col("source") == "ocr"
+
+    def fresh(name):
+        table = Buckets(spark, str(tmp_path / name), ["note_id"], "note_id long, source string, text string", 16)
+        table.write(notes.select("note_id", F.lit("ocr").alias("source"), F.lit("read").alias("text")))
+        return table
+
+    whole, broken = fresh("whole"), fresh("broken")
+    held = {(i, "ocr"): "read" for i in range(60)}
+    commit = Buckets._commit
+    for number, log in enumerate(logs):
+        rows = spark.createDataFrame(log, ddl)
+        before = broken.manifest()["buckets"]
+        apply_batch(whole, rows, number, notes, derive, carry)
+        with monkeypatch.context() as m:
+            m.setattr(Buckets, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+            with pytest.raises(RuntimeError, match="killed"):
+                apply_batch(broken, rows, number, notes, derive, carry)
+        assert broken.manifest()["buckets"] == before
+        assert apply_batch(broken, rows, number, notes, derive, carry) == apply_batch(broken, rows, number, notes, derive, carry)
+        touched = set(map(str, broken.touched(rows.where("kind <> 'AdvanceOnly'"))))
+        after = broken.manifest()["buckets"]
+        assert {b: x for b, x in before.items() if b not in touched} == {b: x for b, x in after.items() if b not in touched}
+        for note, kind in {n: k for n, _, k, _ in log if k != "AdvanceOnly"}.items():
+            if kind == "Maintain" and note < 60:
+                held[note, "field"] = f"n{note}"
+            else:
+                held.pop((note, "ocr"), None)
+                held.pop((note, "field"), None)
+        rows_of = lambda t: {(r.note_id, r.source): r.text for r in t.read().collect()}
+        assert rows_of(broken) == rows_of(whole) == held
+    assert broken.note() == whole.note() and commit is Buckets._commit
+    assert broken.vacuum(1) > 0 and rows_of(broken) == held and broken.vacuum(1) == 0
+
+
+def model_postings(texts):
+    return sorted({(t.lower()[i : i + 3], s) for s, t in texts.items() for i in range(len(t) - 2)})
+
+
+def test_postings_follow_changes_and_fold(spark, tmp_path):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcD", k=rng.randrange(0, 9)))
+    frame = lambda texts: spark.createDataFrame(list(texts.items()), "seg_id long, text string")
+    rows = lambda held: sorted(map(tuple, held.read().collect()))
+    now = {s: word() for s in range(30)}
+    held = postings.store(spark, str(tmp_path / "p"), 8)
+    postings.build(held, frame(now))
+    assert rows(held) == model_postings(now)
+    for step in range(5):
+        ids = rng.sample(range(40), 8)
+        before = {s: now[s] for s in ids if s in now}
+        after = {s: word() for s in ids if rng.random() < 0.7}
+        postings.update(held, frame(before), frame(after), {"step": step}, most=2)
+        now = {s: t for s, t in now.items() if s not in ids} | after
+        assert rows(held) == model_postings(now) and held.note()["step"] == step
+        assert all(len(x["layers"]) <= 2 for x in held.manifest()["buckets"].values())
+    held.compact()
+    assert rows(held) == model_postings(now) and not any(x["layers"] for x in held.manifest()["buckets"].values())
+    assert rows(postings.store(spark, str(tmp_path / "p"), 99)) == model_postings(now) and held.n == 8
+    bank = spark.createDataFrame([(1, "abcd"), (2, "zzz")], "query_id long, text string")
+    want = [x for x in model_postings(now) if x[0] in ("abc", "bcd")]
+    assert sorted(map(tuple, postings.lookup(held, bank).collect())) == want
+    assert len(held.touched(bank.select(F.lit("abc").alias("term")))) == 1
+
+
+def test_an_empty_store_has_no_rows(spark, tmp_path):
+    held = postings.store(spark, str(tmp_path / "none"))
+    assert held.read().count() == 0 and held.version() == -1 and held.compact() == -1 and held.vacuum() == 0
+    postings.build(held, spark.createDataFrame([], "seg_id long, text string"))
+    assert held.read().count() == 0 and held.version() == 0
+    with pytest.raises(ValueError, match="touched"):
+        held.rewrite([held.touched(spark.createDataFrame([("abc",)], "term string"))[0] + 1], spark.createDataFrame([("abc", 1)], held.schema))
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    one, two = (postings.store(spark, str(tmp_path / "p")) for _ in range(2))
+    two.version = lambda: -1  # it looked before the other wrote
+    postings.build(one, spark.createDataFrame([(1, "abc")], "seg_id long, text string"))
+    with pytest.raises(RuntimeError, match="another writer"):
+        two._commit({}, None)
+    assert [tuple(r) for r in one.read().collect()] == [("abc", 1)]
