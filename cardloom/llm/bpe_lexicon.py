@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from cardloom.llm.common import checkpoint, give_back, put_file, shared_folder
 
 #: A frequent word is met twice at least and is this share of all words; a longer word is always merged.
-SHARE, LONGEST = 1e-5, 64
+SHARE, LONGEST = 4e-6, 64
 #: Characters of texts that are worked on together.
 BATCH_CHARS = 1_000_000
 _MAGIC = 0x6C78_6963_6F6E_0001
@@ -44,25 +44,50 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+_SPACE, _LETTER, _NUMBER, _OTHER, _NEWER = range(5)
+
+
 @lru_cache(1)
-def _newer_points() -> re.Pattern:
-    """Code points that Python's tables don't know; the library's may be newer and fold or split them."""
-    unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    cuts = [i for i in range(1, len(unknown)) if unknown[i] != unknown[i - 1] + 1]
-    ranges = (f"\\U{unknown[a]:08x}-\\U{unknown[b - 1]:08x}" for a, b in zip([0, *cuts], [*cuts, len(unknown)], strict=True))
-    return re.compile(f"[{''.join(ranges)}]")
+def _classes() -> np.ndarray:
+    """The class of every code point. Those that Python's tables don't know are apart: the library's may be newer."""
+    kinds = {"L": _LETTER, "N": _NUMBER}
+    out = np.fromiter((_NEWER if (c := unicodedata.category(chr(i))) == "Cn" else kinds.get(c[0], _OTHER) for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+    out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _SPACE
+    return out
+
+
+#: The split of the file that is compiled: contractions, runs of letters, single numbers, runs of others.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def word_bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First code point of each word and the one after it, of a text that ends with white space."""
+    kinds = _classes()[points]
+    cut = np.ones(len(kinds), dtype=bool)
+    cut[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _NUMBER)
+    # an apostrophe before a letter, if it is a run of its own, takes s, t, m, d, re, ve and ll with it
+    marks = np.flatnonzero((points == 0x27) & cut & (np.append(kinds[1:], _SPACE) == _LETTER))
+    if len(marks):
+        one, two = points[marks + 1], points[np.minimum(marks + 2, len(points) - 1)]
+        single = np.isin(one, [ord(c) for c in "stmd"])
+        double = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        cut[marks[single | double] + 1] = False
+        cut[marks[single] + 2] = True
+        cut[marks[double] + 3] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(points))
+    real = kinds[starts] != _SPACE
+    return starts[real], ends[real]
 
 
 class WordBPE:
     """A tokenizer file of kind BPE with word ends: its words, its exact merges, and its ids' strings.
 
-    The file's own pattern splits texts; its normaliser (NFC, white space, lower case letter by letter) is applied by
-    built-in functions, and by the library's own normaliser and splitter where a text holds code points that are newer
-    than Python's tables.
+    Its normaliser (NFC, white space, lower case letter by letter) is applied by built-in functions and its split by arrays
+    of classes; where a text holds code points that are newer than Python's tables, by the library's own.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -72,7 +97,7 @@ class WordBPE:
         split, letters = (spec["pre_tokenizer"].get("pretokenizers") or [{}, {}])[:2]
         plain = not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges") or model.get("unk_token") or spec.get("decoder"))
         plain = plain and not any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
-        if not (plain and model.get("type") == "BPE" and steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") and letters.get("type") == "ByteLevel" and not letters.get("add_prefix_space") and not letters.get("use_regex")):
+        if not (plain and model.get("type") == "BPE" and steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") and split["pattern"].get("Regex") == SPLIT and letters.get("type") == "ByteLevel" and not letters.get("add_prefix_space") and not letters.get("use_regex")):
             raise ValueError(f"{path} isn't a BPE file with word ends, lower case and a splitting pattern")
         self.library = Tokenizer.from_file(path)
         self.ids: dict[str, int] = model["vocab"]
@@ -81,59 +106,94 @@ class WordBPE:
         missing = [c for c in self.letters if c not in self.ids or c + self.suffix not in self.ids]
         if missing:
             raise ValueError(f"{path} has no ids for some bytes: {missing[:5]}")
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}  # rank and id of the pair's token
+        self.ranks: dict[int, int] = {}  # of a pair of ids, packed; and by rank the id of their token
+        self.made = np.zeros(len(model["merges"]), dtype=np.int64).tolist()
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
+            self.made[rank] = self.ids[left + right]
+            self.ranks.setdefault(self.ids[left] << 20 | self.ids[right], rank)
+        self.merge = lru_cache(50_000)(self._merge)
         self.inner = [self.ids[c] for c in self.letters]
         self.last = [self.ids[c + self.suffix] for c in self.letters]
-        self.pattern = regex.compile(split["pattern"]["Regex"])
         self.cut = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.strings = np.full(max([*self.ids.values(), *self.special.values()]) + 1, "", dtype=object)
         for token, i in [*self.ids.items(), *self.special.items()]:
             self.strings[i] = token
 
-    def _words(self, text: str) -> list[str]:
-        if not text.isascii():
-            if _newer_points().search(text):
-                inverse = {c: b for b, c in enumerate(self.letters)}
-                found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-                return [bytes(inverse[c] for c in word).decode() for word, _ in found]
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma, as letters are lowered one by one
-        return self.pattern.findall(text.lower())
-
-    def words(self, text: str) -> list[str]:
-        """The words of a text in order; strings of added tokens stand for themselves."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return self._words(text)
-        out = []
-        for part in self.cut.split(text):
-            out += [part] if part in self.special else self._words(part or "")
-        return out
-
-    def merge(self, word: str) -> list[int]:
+    def _plain(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """Words of texts without added tokens, one text after the other, and how many each has."""
+        held = []
+        for text in texts:
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma, as letters are lowered one by one
+            held.append(text.lower() + "\n")
+        joined = "".join(held)
+        points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        ends = np.cumsum(list(map(len, held)))
+        if not joined.isascii() and (newer := np.flatnonzero(_classes()[points] == _NEWER)).size:
+            strange = set(np.searchsorted(ends, newer, side="right").tolist())
+            parts = [self._by_library(t) if i in strange else self._plain([t])[0] for i, t in enumerate(texts)]
+            return [w for part in parts for w in part], list(map(len, parts))
+        start, end = word_bounds(points)
+        words = [joined[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        return words, np.diff(np.concatenate([[0], np.searchsorted(start, ends)])).tolist()
+
+    def _by_library(self, text: str) -> list[str]:
+        inverse = {c: b for b, c in enumerate(self.letters)}
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(inverse[c] for c in word).decode() for word, _ in found]
+
+    def words(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """The words of texts, one text after the other, and how many each has; strings of added tokens stand for themselves."""
+        if self.cut is None or not any(s in t for t in texts for s in self.special):
+            return self._plain(texts)
+        out, counts = [], []
+        for text in texts:
+            before = len(out)
+            for part in self.cut.split(text):
+                out += [part] if part in self.special else self._plain([part or ""])[0]
+            counts.append(len(out) - before)
+        return out, counts
+
+    def _merge(self, word: str) -> list[int]:
         """The ids of a word by exact merges: always the pair of least rank, the leftmost of equals."""
         if word in self.special:
             return [self.special[word]]
-        raw = word.encode()
+        raw, get, none = word.encode(), self.ranks.get, len(self.made)
         ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        n = len(ids)
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < none:
+            i = ranks.index(rank)
+            ids[i : i + 2] = [self.made[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same by a queue of pairs, in n log n steps."""
+        n, get = len(ids), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(found[0], i, found[1]) for i in range(n - 1) if (found := self.pairs.get((ids[i], ids[i + 1])))]
+        queue = [(rank, i) for i in range(n - 1) if (rank := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, token = heapq.heappop(queue)
+            rank, i = heapq.heappop(queue)
             j = after[i]
-            if ids[i] < 0 or j >= n or (found := self.pairs.get((ids[i], ids[j]))) is None or found[1] != token:
+            if ids[i] < 0 or j >= n or get(ids[i] << 20 | ids[j]) != rank:
                 continue  # one of the two has been merged meanwhile
-            ids[i], ids[j] = token, -1
+            ids[i] = token = self.made[rank]
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := self.pairs.get((token, ids[k])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
-            if (h := before[i]) >= 0 and (found := self.pairs.get((ids[h], token))):
-                heapq.heappush(queue, (found[0], h, found[1]))
+                if (rank := get(token << 20 | ids[k])) is not None:
+                    heapq.heappush(queue, (rank, i))
+            if (h := before[i]) >= 0 and (rank := get(ids[h] << 20 | token)) is not None:
+                heapq.heappush(queue, (rank, h))
         return [x for x in ids if x >= 0]
 
     def decode(self, ids: list[int]) -> str:
@@ -274,10 +334,8 @@ def frequent_words(docs: DataFrame, path: str, share: float = SHARE, text_col: s
         model = tokenizer(path)
         for batch in batches:
             for texts in _slices(batch.column(0).to_pylist()):
-                found = Counter()
-                for text in texts:
-                    found.update(model.words(text))
-                total = sum(found.values())
+                found = Counter(model.words(texts)[0])
+                total = found.total()
                 short = [w for w in found if len(w) <= LONGEST and len(w.encode()) <= LONGEST and w not in model.special]
                 yield pa.RecordBatch.from_arrays([pa.array([None, *short], pa.string()), pa.array([total, *map(found.__getitem__, short)], pa.int64())], names=["word", "n"])
         give_back()
@@ -319,12 +377,17 @@ def encode_texts(docs: DataFrame, path: str, share: float = SHARE, id_col: str =
         for batch in batches:
             at = 0
             for texts in _slices(batch.column(1).to_pylist()):
-                every = [model.words(t) for t in texts]
-                words = list(dict.fromkeys(w for words in every for w in words))
-                ids = {w: model.merge(w) if found is None else found for w, found in zip(words, lexicon.look_up([w.encode() for w in words]), strict=True)}
-                rows = [[i for w in words for i in ids[w]] for words in every]
-                flat = np.fromiter((i for row in rows for i in row), dtype=np.int32)
-                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                words, counts = model.words(texts)
+                number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                known = lexicon.look_up([w.encode() for w in number])
+                own = [model.merge(w) if ids is None else ids for w, ids in zip(number, known, strict=True)]
+                sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+                pool = np.fromiter((i for ids in own for i in ids), dtype=np.int32)
+                which = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+                each = sizes[which]
+                upto = np.concatenate([[0], np.cumsum(each)])
+                flat = pool[np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], each) + np.arange(upto[-1])]
+                ends = upto[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
                 at += len(texts)
         give_back()
