@@ -14,7 +14,7 @@ window; a document's pieces hold all of its windows.
 
 Everything is sent once per chunk, so an exact copy held by a third of all documents costs each chunk one entry per piece.
 An anchor of very many pieces (a common phrase, each time among other words) is dealt out window by window, by the window's
-own hash. Hashes place windows only; that two are equal is told by their words, within a chunk by codes of the words.
+own hash. Hashes place windows only; that two are equal is told by their words, within a chunk by exact names of the words.
 """
 
 from __future__ import annotations
@@ -47,8 +47,9 @@ _LAST = np.iinfo(np.int64).max
 
 
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-#: Odd bases of the running sums, and bytes whose words are taken at a time.
-_BASES, _SPAN = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 1 << 22
+#: Odd bases of the running sums.
+_BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -58,23 +59,28 @@ def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def word_codes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word the number of its string among the different ones, and a 64-bit hash."""
+def word_names(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two numbers for each word that only equal words share, and a 64-bit hash.
+
+    Up to 15 bytes, the numbers are the bytes themselves and their count; a longer word's is its place among those of the text.
+    """
+    eight = np.ndarray((len(raw) + 9,), dtype="<u8", buffer=raw + bytes(16), strides=(1,))  # from each byte on
+    lengths = ends - starts
+    low = eight[starts] & _MASKS[np.minimum(lengths, 8)]
+    high = eight[starts + 8] & _MASKS[np.clip(lengths - 8, 0, 7)] | np.minimum(lengths, 255).astype(np.uint64) << np.uint64(56)
+    with np.errstate(over="ignore"):
+        hashes = (low ^ low >> np.uint64(32)) * np.uint64(_BASES[0]) + (high ^ high >> np.uint64(29)) * np.uint64(_BASES[1])
+        hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(29)
     number: dict[bytes, int] = {}
-    codes, at = np.empty(len(starts), dtype=np.int32), 0
-    while at < len(starts):
-        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + _SPAN, side="right")))
-        words = raw[starts[at] : ends[upto - 1]].split()
-        for word in dict.fromkeys(words):
-            number.setdefault(word, len(number))
-        codes[at:upto] = np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=upto - at)
-        at = upto
-    hashes = np.fromiter(map(xxh3_64_intdigest, number), dtype=np.uint64, count=len(number))
-    return codes, hashes[codes]
+    for i in np.flatnonzero(lengths > 15).tolist():
+        word = raw[starts[i] : ends[i]]
+        low[i], high[i], hashes[i] = number.setdefault(word, len(number)), 1 << 63 | 1 << 62, xxh3_64_intdigest(word)
+    return low, high, hashes
 
 
 class Chunk:
-    """A chunk's documents, in the order of their ids and texts, as bytes with the words' places, codes and hashes."""
+    """A chunk's documents, in the order of their ids and texts, as bytes with the words' places, names and hashes."""
 
     def __init__(self, docs: pa.Table, width: int):
         docs = docs.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -85,7 +91,7 @@ class Chunk:
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(self.starts, offsets)  # of each document's words, among all words
         self.sizes = np.diff(self.first)
-        self.codes, self.hashes = word_codes(self.raw, self.starts, self.ends)
+        self.low_bytes, self.high_bytes, self.hashes = word_names(self.raw, self.starts, self.ends)
         gaps = np.ones(len(self.starts) + 1, dtype=np.int64)  # after a word: is it anything but one space?
         gaps[0] = 0
         if len(self.starts):
@@ -143,7 +149,8 @@ class Chunk:
             # stretches whose hashes are equal though their words aren't: such groups go by the words themselves
             place = np.cumsum(new) - 1
             some = np.flatnonzero(np.isin(place, place[clash]))
-            words = [(int(place[i]), self.codes[start[order[i]] : end[order[i]]].tobytes(), i) for i in some.tolist()]
+            of = lambda i: self.raw[self.starts[start[i]] : self.ends[end[i] - 1]].split()
+            words = [(int(place[i]), of(order[i]), i) for i in some.tolist()]
             words.sort()
             order[some] = order[[i for *_, i in words]]
             new[some] = [i == 0 or words[i][:2] != words[i - 1][:2] for i in range(len(words))]
@@ -160,7 +167,8 @@ class Chunk:
         out = size != size[first]
         some, step = np.flatnonzero(~new & ~out), 0
         while len(some):
-            out[some] |= self.codes[start[some] + step] != self.codes[start[first[some]] + step]
+            one, two = start[some] + step, start[first[some]] + step
+            out[some] |= (self.low_bytes[one] != self.low_bytes[two]) | (self.high_bytes[one] != self.high_bytes[two])
             step += 1
             some = some[size[some] > step]
         return out

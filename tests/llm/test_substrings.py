@@ -104,12 +104,24 @@ def test_words_that_polynomials_of_powers_of_two_confuse(spark):
     assert got == brute(rows) and [r[2] for r in got] == [0, 0, 13]
 
 
+def test_names_are_shared_by_equal_words_alone():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("ab\x00", k=rng.choice([1, 2, 7, 8, 9, 14, 15, 16, 17, 300]))) for _ in range(4000)]
+    raw = (" ".join(words) + "\n").encode()
+    low, high, hashes = substrings.word_names(raw, *substrings.word_places(raw))
+    of = {}
+    for word, *name in zip(words, low.tolist(), high.tolist(), hashes.tolist(), strict=True):
+        assert of.setdefault(word, name) == name
+    assert len({tuple(n[:2]) for n in of.values()}) == len(of) == len({n[2] for n in of.values()})
+
+
 @pytest.mark.parametrize("seed", [6, 7])
 def test_chunks_whose_hashes_clash(monkeypatch, seed):
     """Words have one of two hashes, so that many different stretches have equal ones."""
     import pyarrow as pa
 
-    monkeypatch.setattr(substrings, "xxh3_64_intdigest", lambda w: len(w) % 2)
+    names = substrings.word_names
+    monkeypatch.setattr(substrings, "word_names", lambda *a: ((x := names(*a))[0], x[1], np.uint64(1) + (x[0] & np.uint64(1))))
     rows = made(seed)
     table = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})
     chunk = substrings.Chunk(table, 13)
