@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +43,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one run in the shared folder that go as soon as they aren't needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.place = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.place}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.place}/{name}")
+
+    def clear(self) -> None:
+        """Remove the tables, and have Spark's cleaner remove shuffles that no plan in use refers to: it looks for them only
+        when the driver collects its garbage, which may be long after they are last read."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.place)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def put_file(spark: SparkSession, place: str, data: bytes) -> None:
     """Write a small file to any store that Spark reaches."""
     jvm = spark.sparkContext._jvm

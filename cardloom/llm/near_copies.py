@@ -1,10 +1,10 @@
 """Near copies of a given similarity: SimHash and BK-trees find them, shingle sets confirm them (stage of the pipeline).
 
 Documents of one set of shingles are a class. Classes that share one of their least shingle hashes meet in a shard: two sets
-of Jaccard similarity s share none of k least hashes with a chance of about (1 - s) ** k. Of the hashes that are kept, those
-that few classes share are taken first, so that a line which many texts have draws only texts that have little else.
+of Jaccard similarity s share none of k least hashes with a chance of about (1 - s) ** k. Hashes that very many classes have are
+taken last, also after those that no other class has, so that a line which many texts share draws only texts of little else.
 A shard's BK-tree over SimHash fingerprints gives the pairs within a radius that pairs of the least similarity hardly ever
-exceed; a sketch of each set rules most of the others out, and the sets themselves decide.
+exceed, sizes rule others out, and the sets themselves decide.
 
 A shard beyond one piece is a hot one, by near copies as a rule. Its pieces are first merged into balls: a leader and the
 members within a small distance of it. Leaders alone meet across pieces. Jaccard distance is a metric, so two balls whose
@@ -22,61 +22,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import checkpoint, in_slices, sorted_groups
+from cardloom.llm.common import Scratch, checkpoint, in_slices, sorted_groups
 from cardloom.llm.components import components
 from cardloom.llm.simhash import PIECE, BKTree, fingerprint, shard_links, shard_tasks, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Least shingle hashes by which classes meet, and those that they are chosen from; bits that fingerprints of similar sets
 #: may differ in.
-KEYS, STORED, RADIUS = 5, 10, 24
-#: A sketch's estimate may be so much too low.
-SLACK = 0.12
+KEYS, STORED, RADIUS = 7, 14, 24
 #: Greatest distance of a ball's members from its leader.
 BALL = 0.05
-#: Shingles of a piece, so that its sets stay small whatever the texts' length.
-PIECE_SHINGLES = 4_000_000
-_BINS = 256
-
-
-def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """For each sorted set of 32-bit hashes the least of each of 256 ranges, 0 where it has none."""
-    out = np.zeros((len(sets), _BINS), dtype=np.uint32)
-    edges = np.arange(_BINS, dtype=np.uint32) << np.uint32(24)
-    for i, hashes in enumerate(sets):
-        at = np.searchsorted(hashes, edges)
-        upto = np.append(at[1:], len(hashes))
-        some = at < upto
-        out[i, some] = hashes[at[some]]
-    return out
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; of two empty ones 1."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+#: Shingles of a piece, so that its sets stay small whatever the texts' length; and those that are compared at a time.
+PIECE_SHINGLES, STEP_SHINGLES = 4_000_000, 1_000_000
 
 
 class _Piece:
-    """Members of a task with what the comparisons need: fingerprints, sizes, sketches, and the sets as views."""
+    """Members of a task with their fingerprints and sets; the sets as one array of small numbers, one per shingle."""
 
     def __init__(self, group: pa.Table):
         self.names = group.column("cls").to_numpy()
         self.prints = group.column("fp").to_numpy().view(np.uint64)
-        self.sets = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in group.column("hashes")]
-        self.sizes = np.array([len(s) for s in self.sets])
-        self.sketches = _sketches(self.sets)
-
-    def likely(self, one: int, others: np.ndarray, least: float) -> np.ndarray:
-        """Those of the others whose size and sketch allow the similarity, the closest fingerprints first."""
-        some = np.minimum(self.sizes[one], self.sizes[others]) >= least * np.maximum(self.sizes[one], self.sizes[others])
-        others = others[some]
-        if not len(others):
-            return others
-        a, b = self.sketches[one], self.sketches[others]
-        estimate = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
-        others = others[(estimate >= least - SLACK) | (self.sizes[others] == 0)]
-        return others[np.argsort(np.bitwise_count(self.prints[others] ^ self.prints[one]), kind="stable")]
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in group.column("hashes")]
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        values, codes = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint32)]), return_inverse=True)
+        self.codes = codes.astype(np.int32)
+        self.held = np.zeros(len(values), dtype=np.uint8)
+
+    def alike(self, one: int, others: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the others whose Jaccard similarity (of two empty sets 1) is at least ``least``, and the similarities."""
+        low, high = np.minimum(self.sizes[one], self.sizes[others]), np.maximum(self.sizes[one], self.sizes[others])
+        others = others[low >= (least - 1e-12) * high]
+        out = np.empty(len(others))
+        own = self.codes[self.starts[one] : self.starts[one] + self.sizes[one]]
+        self.held[own] = 1
+        upto, at = np.cumsum(self.sizes[others]), 0
+        while at < len(others):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP_SHINGLES, side="right")))
+            sizes = self.sizes[others[at:to]]
+            ends = np.cumsum(sizes)
+            places = np.repeat(self.starts[others[at:to]] - ends + sizes, sizes) + np.arange(ends[-1])
+            shared = np.concatenate([[0], np.cumsum(self.held[self.codes[places]], dtype=np.int64)])
+            both = shared[ends] - shared[ends - sizes]
+            out[at:to] = both / np.maximum(sizes + self.sizes[one] - both, 1) + ((sizes == 0) & (self.sizes[one] == 0))
+            at = to
+        self.held[own] = 0
+        some = out >= least - 1e-12
+        return others[some], out[some]
 
 
 def _confirm(group: pa.Table, least: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,30 +81,27 @@ def _confirm(group: pa.Table, least: float, radius: int) -> tuple[np.ndarray, np
     inner = np.flatnonzero(own == own.min())
     outer = np.flatnonzero(own != own.min()) if own.min() != own.max() else inner
     label = np.arange(len(own))
-    us, vs, sure, near = [], [], [], []
+    sure, near = [], [np.zeros((2, 0), dtype=np.int32)]
     for found, value in BKTree(piece.prints[inner]).search(piece.prints[outer], radius):
         one = int(inner[value])
         others = outer[found]
-        others = others[(label[others] != label[one]) & (others != one)]
-        loosest = least - float(reach[one] + reach[others].max()) if len(others) else least
-        for other in piece.likely(one, others, loosest).tolist():
-            if label[other] == label[one]:
-                continue
-            alike = _overlap(piece.sets[one], piece.sets[other])
-            if alike >= least - 1e-12:
+        others = others[label[others] != label[one]]
+        if not len(others):
+            continue
+        others, alike = piece.alike(one, others, least - float(reach[one] + reach[others].max()))
+        for other in others[alike >= least - 1e-12].tolist():
+            if label[other] != label[one]:
                 low, high = sorted((label[one], label[other]))
                 label[label == high] = low
-                us.append(piece.names[one])
-                vs.append(piece.names[other])
-                sure.append(True)
-            elif alike >= least - reach[one] - reach[other] - 1e-12 and reach[one] + reach[other] > 0:
-                near.append((one, other))
-    for one, other in near:
-        if label[one] != label[other]:
-            us.append(piece.names[one])
-            vs.append(piece.names[other])
-            sure.append(False)
-    return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64), np.array(sure, dtype=bool)
+                sure.append((one, other))
+        loose = others[(alike < least - 1e-12) & (alike >= least - reach[one] - reach[others] - 1e-12) & (reach[one] + reach[others] > 0)]
+        if len(loose):
+            near.append(np.stack([np.full(len(loose), one, dtype=np.int32), loose.astype(np.int32)]))
+    left, right = np.concatenate(near, axis=1)
+    apart = label[left] != label[right]
+    us, vs = np.array(sure, dtype=np.int64).reshape(-1, 2).T
+    us, vs = np.concatenate([us, left[apart]]), np.concatenate([vs, right[apart]])
+    return piece.names[us], piece.names[vs], np.arange(len(us)) < len(sure)
 
 
 def _balls(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -123,16 +112,14 @@ def _balls(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         leaders, members, far = [], [], []
         while len(free):
             one, rest = int(free[0]), free[1:]
-            taken = [(one, 0.0)]
-            close = rest[np.bitwise_count(piece.prints[rest] ^ piece.prints[one]) <= radius]
-            for other in piece.likely(one, close, 1 - BALL).tolist():
-                if (apart := 1 - _overlap(piece.sets[one], piece.sets[other])) <= BALL:
-                    taken.append((other, apart))
-            free = np.setdiff1d(free, [i for i, _ in taken], assume_unique=True)
-            leaders += [piece.names[one]] * len(taken)
-            members += [piece.names[i] for i, _ in taken]
-            far += [d for _, d in taken]
-        yield pa.RecordBatch.from_arrays([pa.array([key] * len(far), pa.int64()), pa.array(leaders, pa.int64()), pa.array(members, pa.int64()), pa.array(far, pa.float64())], names=["key", "leader", "cls", "far"])
+            taken, alike = piece.alike(one, rest[np.bitwise_count(piece.prints[rest] ^ piece.prints[one]) <= radius], 1 - BALL)
+            taken, apart = np.append(taken, one), np.append(1 - alike, 0.0)
+            free = np.setdiff1d(free, taken, assume_unique=True)
+            leaders.append(np.full(len(taken), piece.names[one]))
+            members.append(piece.names[taken])
+            far.append(apart)
+        leaders, members, far = map(np.concatenate, (leaders, members, far))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(far), key), pa.int64()), pa.array(leaders, pa.int64()), pa.array(members, pa.int64()), pa.array(far, pa.float64())], names=["key", "leader", "cls", "far"])
 
 
 def _partners(batches: Iterator[pa.RecordBatch], least: float, radius: int) -> Iterator[pa.RecordBatch]:
@@ -151,7 +138,14 @@ def _partners(batches: Iterator[pa.RecordBatch], least: float, radius: int) -> I
 
 def _class_links(members: DataFrame, sets_for: Callable[[DataFrame], DataFrame], least: float, radius: int, piece: int) -> DataFrame:
     """(u, v): links between classes that share a key, as many as connect what is linked. ``members``: key, cls, size, fp;
-    ``sets_for`` gives the sets (cls, fp, hashes) of the classes that need comparing."""
+    ``sets_for`` gives the sets (cls, fp, hashes) of the classes that need comparing, which are kept until all links are."""
+    scratch = Scratch(members.sparkSession)
+    links = checkpoint(_compared(members, sets_for, least, radius, piece, scratch))
+    scratch.clear()
+    return links
+
+
+def _compared(members: DataFrame, sets_for: Callable[[DataFrame], DataFrame], least: float, radius: int, piece: int, scratch: Scratch) -> DataFrame:
     weight = F.greatest(F.ceil(F.count("*") / piece), F.ceil(F.sum("size") / PIECE_SHINGLES)).cast("int")
     counted = members.groupBy("key").agg(F.count("*").alias("n"), weight.alias("c")).where("n > 1")
     dealt = checkpoint(members.join(counted.select("key", "c"), "key").withColumn("own", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("c")).cast("int")))
@@ -163,7 +157,7 @@ def _class_links(members: DataFrame, sets_for: Callable[[DataFrame], DataFrame],
     # which sets either part needs, so that no join shuffles the other's
     needed = single.select("cls", F.lit(True).alias("alone"), F.lit(False).alias("crowded")).unionByName(hot.select("cls", F.lit(False).alias("alone"), F.lit(True).alias("crowded")))
     needed = checkpoint(needed.groupBy("cls").agg(F.max("alone").alias("alone"), F.max("crowded").alias("crowded")))
-    every = checkpoint(sets_for(needed.select("cls")).join(needed, "cls"))
+    every = scratch.keep(sets_for(needed.select("cls")).join(needed, "cls"), "sets")
     sets = every.where("alone").drop("alone", "crowded")
     links = confirm(single.withColumns({x: F.lit(0) for x in ("own", "a", "b")}).join(sets, "cls")).select("u", "v")
     if dealt.where("c > 1").isEmpty():
@@ -223,11 +217,13 @@ def first_of_copies(docs: DataFrame, size: int = SHINGLE, least: float = SIMILAR
     measured = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("th"), "text").mapInArrow(measure, schema))
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")
     classes = measured.groupBy("cls").agg(F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min(order).alias("first"))
-    # keys that no other class has are no use, and those that many have come last
-    stored = classes.select("cls", "size", "fp", F.explode("keys").alias("key"))
-    shared = stored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > piece).alias("hot"))
-    ranked = stored.join(shared, "key").groupBy("cls", "size", "fp").agg(F.sort_array(F.collect_list(F.struct("hot", "key"))).alias("of"))
-    members = checkpoint(ranked.select("cls", "size", "fp", F.explode(F.slice("of", 1, keys)).alias("k")).select("cls", "size", "fp", F.col("k.key").alias("key")))
+    # keys that many classes have come last
+    stored = classes.select("cls", F.explode("keys").alias("key"))
+    crowded = stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > piece).select("key")
+    hot = stored.join(crowded, "key").groupBy("cls").agg(F.collect_list("key").alias("hot"))
+    ranked = classes.join(hot, "cls", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
+    chosen = F.slice(F.concat(F.array_except("keys", "hot"), F.array_intersect("keys", "hot")), 1, keys)
+    members = checkpoint(ranked.select("cls", "size", "fp", F.explode(chosen).alias("key")))
 
     def sets_for(names: DataFrame) -> DataFrame:
         wanted = names.join(classes, "cls").select(F.col("first.th").alias("th"))

@@ -108,3 +108,56 @@ def test_recall_near_the_least_similarity(spark, alike):
     kept = near_copies.first_of_copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
     pairs = len(rows) - len(brute(rows))
     assert pairs == 150 and len(rows) - kept >= 0.9 * pairs
+
+
+def family(n, gone, seed=4):
+    """Sets of 300 of which each has lost and gained ``gone`` at random."""
+    rng = np.random.default_rng(seed)
+    base = np.unique(rng.integers(0, 2**32, 300, dtype=np.uint32))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[gone:], rng.integers(0, 2**32, gone, dtype=np.uint32)])) for _ in range(n)]
+    prints = np.array([near_copies.fingerprint(s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in sets], dtype=np.uint64)
+    return sets, prints.view(np.int64)
+
+
+def test_many_sets_that_are_nearly_similar_enough_end_in_time():
+    """Two pieces at a similarity of about 0.7, where no pair is linked and none can be skipped: microseconds a pair."""
+    import time
+
+    sets, prints = family(4096, 53)
+    table = pa.table({"cls": pa.array(range(4096), pa.int64()), "own": [i % 2 for i in range(4096)], "fp": pa.array(prints), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+    start = time.process_time()
+    u, _, _ = near_copies._confirm(table, 0.8, 24)
+    assert len(u) < 4096 and time.process_time() - start < 60
+
+
+def test_similarities_are_exact(monkeypatch):
+    monkeypatch.setattr(near_copies, "STEP_SHINGLES", 700)
+    sets, prints = family(60, 30)
+    sets += [sets[0][:0], sets[0][:0], sets[1][:200], sets[1]]
+    prints = np.append(prints, prints[:4])
+    piece = near_copies._Piece(pa.table({"cls": pa.array(range(64), pa.int64()), "fp": pa.array(prints), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())}))
+    for one in (0, 1, 60, 62):
+        others, alike = piece.alike(one, np.arange(64), 0.5)
+        want = {}
+        for i, other in enumerate(sets):
+            both = len(np.intersect1d(sets[one], other))
+            j = both / (len(sets[one]) + len(other) - both) if len(sets[one]) + len(other) else 1.0
+            if j >= 0.5:
+                want[i] = j
+        assert dict(zip(others.tolist(), alike.tolist(), strict=True)) == pytest.approx(want)
+
+
+def test_boilerplate_draws_no_texts_together(spark, monkeypatch):
+    """A line that all texts share isn't a meeting place of texts that have enough else, and near copies are still found."""
+    met = []
+    links = near_copies._class_links
+    monkeypatch.setattr(near_copies, "_class_links", lambda members, *a: met.append(members) or links(members, *a))
+    rng, rows = random.Random(3), []
+    line = " ".join(f"licence{i}" for i in range(40))
+    for i in range(60):
+        words = [f"x{rng.randrange(10**7)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words) + " " + line), (2 * i + 1, " ".join([*words[:-3], "other", "end", "here"]) + " " + line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_copies.first_of_copies(docs, piece=20)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == brute(rows) and kept.count() == 60
+    assert met[0].groupBy("key").count().where("count > 20").count() == 0
