@@ -20,6 +20,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ from pyspark.sql import types as T
 from cardloom.llm.common import checkpoint, give_back, put_file, shared_folder
 
 #: A frequent word is met twice at least and is this share of all words; a longer word is always merged.
-SHARE, LONGEST = 4e-6, 64
+SHARE, LONGEST = 1e-6, 64
 #: Characters of texts that are worked on together.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 _MAGIC = 0x6C78_6963_6F6E_0001
 
 
@@ -112,7 +113,7 @@ class WordBPE:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.made[rank] = self.ids[left + right]
             self.ranks.setdefault(self.ids[left] << 20 | self.ids[right], rank)
-        self.merge = lru_cache(50_000)(self._merge)
+        self.merge = lru_cache(100_000)(self._merge)
         self.inner = [self.ids[c] for c in self.letters]
         self.last = [self.ids[c + self.suffix] for c in self.letters]
         self.cut = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -196,7 +197,7 @@ class WordBPE:
                 heapq.heappush(queue, (rank, h))
         return [x for x in ids if x >= 0]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The strings of the ids joined by one space, special tokens too; the file names no decoder."""
         return " ".join(self.strings[ids].tolist())
 
@@ -285,15 +286,15 @@ class Lexicon:
     def open(cls, path: str) -> Lexicon:
         return cls(np.memmap(path, dtype=np.int64, mode="r"))
 
-    def look_up(self, words: list[bytes]) -> list[list[int] | None]:
-        """The ids of each word, None where the lexicon lacks it."""
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the lexicon has each word, how many ids it has, and the ids of one word after the other."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         begins = np.cumsum(lengths) - lengths
         state = np.full(len(words), self.start, dtype=np.int64)
-        out: list[list[int] | None] = [[] for _ in words]
-        live, step = np.flatnonzero(lengths <= LONGEST), 0
         known = np.zeros(len(words), dtype=bool)
+        live, step = np.flatnonzero(lengths <= LONGEST), 0
+        said = [np.zeros((3, 0), dtype=np.int64)]  # word, place of ids, their number, in the order of steps
         while len(live):
             ended = lengths[live] == step
             known[live[ended]] = self.final[state[live[ended]]] > 0
@@ -304,13 +305,18 @@ class Lexicon:
             held = self.keys[arcs] == keys if len(self.keys) else np.zeros(len(live), dtype=bool)
             live, arcs = live[held], arcs[held]
             state[live] = self.goes[arcs]
-            said = self.size[arcs] > 0
-            for i, a, n in zip(live[said].tolist(), self.at[arcs[said]].tolist(), self.size[arcs[said]].tolist(), strict=True):
-                out[i] += self.ids[a : a + n].tolist()
+            spoken = self.size[arcs] > 0
+            said.append(np.stack([live[spoken], self.at[arcs[spoken]], self.size[arcs[spoken]]]))
             step += 1
-        for i in np.flatnonzero(known & (self.tail_size[state] > 0)).tolist():
-            out[i] += self.ids[(a := int(self.tail_at[state[i]])) : a + int(self.tail_size[state[i]])].tolist()
-        return [ids if k else None for ids, k in zip(out, known.tolist(), strict=True)]
+        tails = np.flatnonzero(known & (self.tail_size[state] > 0))
+        said.append(np.stack([tails, self.tail_at[state[tails]], self.tail_size[state[tails]]]))
+        word, at, size = np.concatenate(said, axis=1)
+        order = np.argsort(word, kind="stable")
+        order = order[known[word[order]]]
+        word, at, size = word[order], at[order], size[order]
+        sizes = np.bincount(word, weights=size, minlength=len(words)).astype(np.int64)
+        ends = np.cumsum(size)
+        return known, sizes, self.ids[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _slices(texts: list[str | None]) -> Iterator[list[str]]:
@@ -362,8 +368,8 @@ def lexicon_file(docs: DataFrame, path: str, share: float = SHARE, text_col: str
     return name
 
 
-def encode_texts(docs: DataFrame, path: str, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of each document: the ids that the file's library gives, without added tokens but with those whose
+def encode_texts(docs: DataFrame, path: str, share: float = SHARE, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) of each document, with ``decoded`` what the ids decode to as well: the ids that the file's library gives, without added tokens but with those whose
     strings a text holds, as it has them by default, and without truncation or padding.
 
     A null text counts as empty and has no ids. Each row is encoded alone, so null ids and repeated rows need no rule; other
@@ -371,6 +377,8 @@ def encode_texts(docs: DataFrame, path: str, share: float = SHARE, id_col: str =
     """
     name = lexicon_file(docs, path, share, text_col)
     schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("ids", T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, lexicon = tokenizer(path), Lexicon.open(SparkFiles.get(name))
@@ -379,16 +387,21 @@ def encode_texts(docs: DataFrame, path: str, share: float = SHARE, id_col: str =
             for texts in _slices(batch.column(1).to_pylist()):
                 words, counts = model.words(texts)
                 number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-                known = lexicon.look_up([w.encode() for w in number])
-                own = [model.merge(w) if ids is None else ids for w, ids in zip(number, known, strict=True)]
-                sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-                pool = np.fromiter((i for ids in own for i in ids), dtype=np.int32)
+                known, sizes, pool = lexicon.look_up([w.encode() for w in number])
+                unseen = [model.merge(w) for w, held in zip(number, known.tolist(), strict=True) if not held]
+                places = np.cumsum(sizes) - sizes
+                sizes[~known] = few = np.fromiter(map(len, unseen), dtype=np.int64, count=len(unseen))
+                places[~known] = len(pool) + np.cumsum(few) - few
+                pool = np.concatenate([pool, np.fromiter(chain.from_iterable(unseen), dtype=np.int64)]).astype(np.int32)
                 which = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
                 each = sizes[which]
                 upto = np.concatenate([[0], np.cumsum(each)])
-                flat = pool[np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], each) + np.arange(upto[-1])]
+                flat = pool[np.repeat(places[which] - upto[:-1], each) + np.arange(upto[-1])]
                 ends = upto[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
+                columns = [batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(ends, flat)]
+                if decoded:
+                    columns.append(pa.array([model.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 at += len(texts)
         give_back()
 

@@ -83,10 +83,9 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from cardloom.llm.bpe_lexicon import decode_ids, digests, encode_texts
+    from cardloom.llm.bpe_lexicon import digests, encode_texts
 
-    path = str(public_tokenizers.path("word_bpe_49k.json"))
-    return digests(decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path))
+    return digests(encode_texts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), decoded=True))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
