@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.operators.knn import nearest
+from cardloom.operators.positions import drawn
 
 SAMPLE, LEAST, MARGIN, BUCKETS = 256, 30, 1.0, 20
 
 
-def sample_keys(keys: DataFrame, size: int = SAMPLE, seed: int | None = None) -> DataFrame:
-    """(note_id): ``size`` notes with vectors; the lowest ids, or with a seed those of the least keyed hash."""
-    order = F.col("note_id") if seed is None else F.xxhash64("note_id", F.lit(seed))
-    return keys.select("note_id").distinct().orderBy(order, "note_id").limit(size)
+def sample_keys(keys: DataFrame, size: int = SAMPLE, lowest: bool = False) -> DataFrame:
+    """(note_id): ``size`` notes with vectors, drawn by a fixed generator from their ids in order; or the ``lowest`` ids."""
+    if lowest:
+        return keys.select("note_id").distinct().orderBy("note_id").limit(size)
+    return drawn(keys, "note_id", size)
 
 
 def activation_stats(vectors: DataFrame, sample: DataFrame, queries: DataFrame | None = None) -> DataFrame:
@@ -36,6 +38,21 @@ def floor_of(stats: DataFrame, margin: float = MARGIN) -> DataFrame:
     return stats.select((F.col("mean") + margin * F.col("std")).alias("floor"))
 
 
+def secondary_floors(images: DataFrame, texts: DataFrame, size: int = SAMPLE, margin: float = MARGIN) -> DataFrame:
+    """(space, n, floor): for each space of image vectors (space, note_id, vec) its activation floor.
+
+    Sampled notes that have both search the other notes' images by their text vectors (space, note_id, vec) of the same
+    space; the floor is mean + margin * std of their best similarities, null below LEAST of them. Spaces are few.
+    """
+    out = None
+    sample = sample_keys(images.select("note_id").join(texts.select("note_id"), "note_id", "left_semi"), size)
+    for space in sorted(r.space for r in images.select("space").distinct().collect()):
+        told = activation_stats(images.where(F.col("space") == space), sample, texts.where(F.col("space") == space).select("note_id", "vec"))
+        one = told.select(F.lit(space).alias("space"), "n", (F.col("mean") + margin * F.col("std")).alias("floor"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else images.sparkSession.createDataFrame([], "space string, n long, floor double")
+
+
 def bucket(best: Column) -> Column:
     return F.greatest(F.least(F.floor(best * BUCKETS).cast("int"), F.lit(BUCKETS - 1)), F.lit(0))
 

@@ -1,7 +1,8 @@
 """Exact nearest notes for a bank of query vectors.
 
-The bank goes to the vectors in blocks of bounded size; each partition keeps its own best notes per query by matrix products,
-and one window merges them. So the shuffle holds k rows per query and partition, never a row per query and vector.
+A bank of at most BLOCK queries goes to the vectors as it is; each partition keeps its own best notes per query by matrix
+products, and one window merges them. A larger bank stays a table and meets the vectors cell by cell (``vector_join``). So
+the shuffle never holds a row per query and vector, and what the driver carries is bounded.
 """
 
 from __future__ import annotations
@@ -14,114 +15,108 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.vectors import round3
+from cardloom.operators.vector_join import best_pairs, exact_products, matrix_of, nearest_dealt
 
 BLOCK = 4096
 
 
-def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The bank's ids and vectors in blocks, streamed to the driver."""
-    ids, rows = [], []
-    for r in queries.select("query_id", "vec").where("vec is not null").orderBy("query_id").toLocalIterator():
-        ids.append(r.query_id)
-        rows.append(r.vec)
-        if len(ids) == block:
-            yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
+def small_bank(queries: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ids and vectors of a bank of at most BLOCK queries, in order; None for a larger one."""
+    rows = queries.select("query_id", "vec").where("vec is not null").limit(BLOCK + 1).collect()
+    if len(rows) > BLOCK:
+        return None
+    rows.sort(key=lambda r: (r.query_id, r.vec))
+    return np.array([r.query_id for r in rows], dtype=np.int64), np.array([r.vec for r in rows], dtype=np.float64)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, scope: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """(query_id, note_id, sim, rank): the k notes of the greatest similarity, each by its own best vector.
 
     ``queries``: query_id, vec; ``vectors``: note_id, vec (several per note may be). Ties go to the smaller note_id. ``scope``
-    is applied before the search, ``exclude`` (query_id, note_id) after each partition has kept as many more.
+    is applied before the search, ``exclude`` (query_id, note_id) after as many more have been kept.
     """
     plain = vectors.select("note_id", "vec").where("vec is not null")
     if scope is not None:
         plain = plain.join(scope.select("note_id"), "note_id", "left_semi")
-    extra = 0 if exclude is None else (exclude.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
-    parts = []
-    for ids, bank in query_blocks(queries):
-        parts.append(plain.mapInArrow(_local(ids, bank, k + extra), "query_id long, note_id long, sim double"))
-    if not parts:
+    bank = small_bank(queries)
+    if bank is None:
+        found = nearest_dealt(queries, plain, k, exclude)
+    elif not len(bank[0]):
         return queries.sparkSession.createDataFrame([], "query_id long, note_id long, sim double, rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    if exclude is not None:
-        found = found.join(exclude.select("query_id", "note_id"), ["query_id", "note_id"], "left_anti")
+    else:
+        extra = 0 if exclude is None else (exclude.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
+        found = plain.mapInArrow(_local(*bank, k + extra), "query_id long, note_id long, sim double")
+        if exclude is not None:
+            found = found.join(exclude.select("query_id", "note_id"), ["query_id", "note_id"], "left_anti")
     best = found.groupBy("query_id", "note_id").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "note_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _local(ids: np.ndarray, bank: np.ndarray, k: int):
+    """Each partition's own best notes per query; its batches' best are merged as they come."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(ids)
+        keep = np.full(len(ids), k)
+        at, notes, sims = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            notes = batch.column(0).to_numpy()
-            matrix = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(notes), -1)
-            for at, sims in enumerate(_products(matrix, bank)):
-                if len(sims) > 4 * k:  # keep all that tie with the k-th note's least chance
-                    floor = np.partition(sims, len(sims) - 4 * k)[len(sims) - 4 * k]
-                    few = np.flatnonzero(sims >= floor)
-                else:
-                    few = np.arange(len(sims))
-                best[at] = _merge(best[at], notes[few], sims[few], k) if len(np.unique(notes[few])) >= min(k, len(few)) else _merge(best[at], notes, sims, k)
-        for at, (notes, sims) in enumerate(best):
-            if len(notes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(notes), ids[at])), pa.array(notes), pa.array(sims)], names=["query_id", "note_id", "sim"])
+            found = best_pairs(batch.column(0).to_numpy(), matrix_of(batch.column(1), batch.num_rows), bank, keep)
+            at, notes, sims = (np.concatenate(x) for x in zip((at, notes, sims), found, strict=True))
+            if len(at) > 4 * k * len(ids):
+                at, notes, sims = _merge(at, notes, sims, k)
+        at, notes, sims = _merge(at, notes, sims, k)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(notes), pa.array(sims)], names=["query_id", "note_id", "sim"])
 
     return run
 
 
-def _products(matrix: np.ndarray, bank: np.ndarray) -> Iterator[np.ndarray]:
-    """Inner products by query, terms added in the components' order as column expressions add them."""
-    for query in bank:
-        out = np.zeros(len(matrix))
-        for column in range(matrix.shape[1]):
-            out += matrix[:, column] * query[column]
-        yield out
-
-
-def _merge(held: tuple[np.ndarray, np.ndarray], notes: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    notes, sims = np.concatenate([held[0], notes]), np.concatenate([held[1], sims])
-    order = np.lexsort((notes, -sims))
-    _, first = np.unique(notes[order], return_index=True)
-    keep = order[np.sort(first)[:k]]
-    return notes[keep], sims[keep]
+def _merge(at: np.ndarray, notes: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best notes, every note once."""
+    order = np.lexsort((-sims, notes, at))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (at[order][1:] != at[order][:-1]) | (notes[order][1:] != notes[order][:-1])
+    order = order[first]
+    order = order[np.lexsort((notes[order], -sims[order], at[order]))]
+    order = order[np.arange(len(order)) - np.searchsorted(at[order], at[order]) < k]
+    return at[order], notes[order], sims[order]
 
 
 def best_in_bank(vectors: DataFrame, queries: DataFrame, itself: bool = False) -> DataFrame:
     """(note_id, best): each note's greatest similarity to a query of the bank; ``itself``: to one of its own id too.
 
-    The bank's blocks meet each vector where it is read, which gives one row per vector and block.
+    A small bank meets each vector where it is read. Of a larger one, each note asks for its nearest query.
     """
-    parts = []
-    for ids, bank in query_blocks(queries):
-
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, bank: np.ndarray = bank) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                notes = batch.column(0).to_numpy()
-                matrix = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(notes), -1)
-                best = np.full(len(notes), -np.inf)
-                for own, sims in zip(ids, _products(matrix, bank), strict=True):
-                    best = np.maximum(best, sims if itself else np.where(notes == own, -np.inf, sims))
-                some = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(notes[some]), pa.array(best[some])], names=["note_id", "best"])
-
-        parts.append(vectors.select("note_id", "vec").where("vec is not null").mapInArrow(run, "note_id long, best double"))
-    if not parts:
-        return vectors.select("note_id", F.lit(None).cast("double").alias("best")).limit(0)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.groupBy("note_id").agg(F.max("best").alias("best"))
+    plain = vectors.select("note_id", "vec").where("vec is not null")
+    bank = small_bank(queries)
+    if bank is None:
+        asks = plain.select(F.col("note_id").alias("query_id"), "vec")
+        own = None if itself else plain.select(F.col("note_id").alias("query_id"), "note_id").distinct()
+        found = nearest_dealt(asks, queries.select(F.col("query_id").alias("note_id"), "vec"), 1, own)
+        return found.groupBy(F.col("query_id").alias("note_id")).agg(F.max("sim").alias("best"))
+    ids, matrix = bank
+    if not len(ids):
+        return plain.select("note_id", F.lit(None).cast("double").alias("best")).limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            notes = batch.column(0).to_numpy()
+            own = matrix_of(batch.column(1), len(notes))
+            estimates = own @ matrix.T
+            if not itself:
+                estimates[notes[:, None] == ids] = -np.inf
+            floor = estimates.max(axis=1) - 1e-9 * (1 + np.abs(estimates, where=np.isfinite(estimates), out=np.zeros_like(estimates)).max(axis=1))
+            at, which = np.nonzero((estimates >= floor[:, None]) & np.isfinite(estimates))
+            best = np.full(len(notes), -np.inf)
+            np.maximum.at(best, at, exact_products(own, matrix, at, which))
+            some = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(notes[some]), pa.array(best[some])], names=["note_id", "best"])
+
+    return plain.mapInArrow(run, "note_id long, best double").groupBy("note_id").agg(F.max("best").alias("best"))
 
 
 def semantic(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = 0.5, scope: DataFrame | None = None, exclude: DataFrame | None = None, floor: float | None = None) -> DataFrame:

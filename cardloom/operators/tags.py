@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.vectors import inner_product, round3
-from cardloom.operators.knn import BLOCK, nearest
+from cardloom.operators.knn import nearest, small_bank
+from cardloom.operators.positions import positions, strided
+from cardloom.operators.vector_join import block_best
 
 BLOCKED = ("leech", "marked")
 ACTIVATION, TOP_TAGS, RANK_CAP = 0.35, 3, 50
@@ -45,40 +47,37 @@ def centroids(members: DataFrame, vectors: DataFrame, n_notes: int, min_members:
     return whole.where((F.col("embedded") >= 2) & (length > 1.1920929e-07)).select("tag", "members", "embedded", F.transform(vec, lambda x: x / length).alias("vec"))
 
 
-def tag_signal(queries: DataFrame, tags: DataFrame, members: DataFrame, vectors: DataFrame, activation: float = ACTIVATION, top_tags: int = TOP_TAGS, cap: int = RANK_CAP) -> DataFrame:
+def tag_signal(queries: DataFrame, tags: DataFrame, members: DataFrame, vectors: DataFrame, activation: float = ACTIVATION, top_tags: int = TOP_TAGS, cap: int = RANK_CAP, ceiling: int | None = None) -> DataFrame:
     """(query_id, note_id, rank): members of the query's best tags; the best tag's first, by their own similarity.
 
-    A member is ranked under its best tag alone. Every member of those tags is scored, however many a tag has: blocks of
-    queries go to the members' vectors, each partition keeps ``cap`` per query, and one window merges them.
+    A member is ranked under its best tag alone. Every member of those tags is scored, however many a tag has, unless
+    ``ceiling`` thins each tag's members by position. A small bank goes to the members' vectors, each partition keeps ``cap``
+    per query, and one window merges them; the queries of a larger one meet their tags' members in blocks.
     """
-    named = tags.select("tag", "vec", F.row_number().over(Window.orderBy("tag")).cast("long").alias("note_id"))
+    named = positions(tags.select("tag", "vec"), "tag", name="note_id")
     active = nearest(queries, named, top_tags).where(F.col("sim") >= activation).withColumnRenamed("note_id", "at").withColumnRenamed("rank", "tag_rank")
-    active = active.join(named.select(F.col("note_id").alias("at"), "tag"), "at").groupBy("query_id").agg(F.collect_list(F.struct("tag_rank", "tag")).alias("active"))
+    active = active.join(named.select(F.col("note_id").alias("at"), "tag"), "at").select("query_id", "tag_rank", "tag")
     first = vectors.groupBy("note_id").agg(F.min_by("vec", "item").alias("own")).where("own is not null")
-    spark, found = queries.sparkSession, None
-    for block in _blocks(queries.select("query_id", "vec").join(active, "query_id")):
+    if ceiling is not None:
+        members = strided(members, "tag", "note_id", ceiling)
+    asked = queries.select("query_id", "vec").where("vec is not null").join(active, "query_id")
+    if small_bank(queries) is None:
+        wanted = members.join(active.select("tag").distinct(), "tag", "left_semi").join(first, "note_id").select(F.col("tag").alias("cell"), "note_id", F.col("own").alias("vec"))
+        # of a note in several tags some tag's cap may be taken by notes of a better tag: no more than that tag has, so enough are left
+        best = block_best(wanted, asked.select(F.col("tag").alias("cell"), "query_id", "vec", F.lit(cap).alias("keep"), F.col("tag_rank").alias("level")))
+        found = best.groupBy("query_id", "note_id").agg(F.min("level").alias("tag_rank"), F.max("sim").alias("dot"))
+    else:
+        block = asked.groupBy("query_id").agg(F.first("vec").alias("vec"), F.collect_list(F.struct("tag_rank", "tag")).alias("active")).collect()
+        spark = queries.sparkSession
+        if not block:
+            return spark.createDataFrame([], "query_id long, note_id long, tag_rank int, score double, rank int")
         wanted = spark.createDataFrame(sorted({(a.tag,) for r in block for a in r.active}), "tag string")
         reached = members.join(F.broadcast(wanted), "tag", "left_semi").groupBy("note_id").agg(F.collect_set("tag").alias("tags"))
-        part = reached.join(first, "note_id").select("note_id", "tags", "own").mapInArrow(_members(block, cap), "query_id long, note_id long, tag_rank int, dot double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, note_id long, tag_rank int, score double, rank int")
+        found = reached.join(first, "note_id").select("note_id", "tags", "own").mapInArrow(_members(block, cap), "query_id long, note_id long, tag_rank int, dot double")
     order = Window.partitionBy("query_id").orderBy("tag_rank", F.desc("dot"), "note_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("query_id", "note_id", "tag_rank", round3("dot").alias("score"), "rank")
 
 
-def _blocks(rows: DataFrame) -> Iterator[list]:
-    """Queries with their active tags in blocks of bounded size, streamed to the driver."""
-    block = []
-    for row in rows.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
 def _members(block: list, cap: int):
     """From (note_id, tags, own): each query's first ``cap`` members by tag rank, product and id."""
     bank = [(r.query_id, np.array(r.vec, dtype=np.float64), sorted(((a.tag_rank, a.tag) for a in r.active), reverse=True)) for r in block]

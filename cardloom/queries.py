@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import hashing, text, vectors
-from cardloom.operators import calibrate, filters, fuse, fuzzy, incremental, knn, mutate, postings, stats, tags
+from cardloom.operators import calibrate, filters, fuse, fuzzy, incremental, knn, mutate, positions, postings, stats, tags, vector_join
 from cardloom.plans import search as plans
 from cardloom.sources import notes as sources
 from cardloom.sources import reference_tables as t
@@ -225,6 +225,16 @@ def knn_text(spark, d):
     return knn.semantic(_bank(spark, d), t.embedding_vectors(spark, d), 10, threshold=None)
 
 
+@query(f"SELECT query_id, note_id, {_R3} AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, note_id) AS rank FROM ({_NEAR} AND q.vec_id <> v.vec_id)) WHERE rank <= 10")
+def knn_dealt(spark, d):
+    """The way that banks of any size take: queries and vectors meet cell by cell."""
+    bank = _bank(spark, d)
+    found = vector_join.nearest_dealt(bank, t.embedding_vectors(spark, d), 10, exclude=bank.select("query_id", F.col("query_id").alias("note_id")))
+    best = found.groupBy("query_id", "note_id").agg(F.max("sim").alias("sim"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "note_id")))
+    return ranked.where("rank <= 10").select("query_id", "note_id", vectors.round3("sim").alias("score"), "rank")
+
+
 @query(f"SELECT query_id, note_id, {_R3} AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, note_id) AS rank FROM ({_NEAR})) WHERE rank <= 50 AND {_R3} >= 0.3")
 def knn_threshold(spark, d):
     return knn.semantic(_bank(spark, d), t.embedding_vectors(spark, d), 50, threshold=0.3)
@@ -291,10 +301,35 @@ _SAMPLED = "SELECT q.vec_id, max(list_inner_product(q.embedding::DOUBLE[], v.emb
 @query(f"SELECT count(*) AS n, round(avg(sim), 9) AS mean, round(stddev_pop(sim), 9) AS std, round(avg(sim) + stddev_pop(sim), 9) AS floor FROM ({_SAMPLED})")
 def calibration_stats(spark, d):
     own = t.embedding_vectors(spark, d)
-    told = calibrate.activation_stats(own, calibrate.sample_keys(own))
+    told = calibrate.activation_stats(own, calibrate.sample_keys(own, lowest=True))
     return told.join(calibrate.floor_of(told)).select("n", *(F.round(c, 9).alias(c) for c in ("mean", "std", "floor")))
 
 
+#: Ids by position, then 256 steps of the generator, each swapping the next place with a later one.
+_DRAWN = """keys AS (SELECT list(k ORDER BY k) AS k, count(*) AS n FROM (SELECT DISTINCT vec_id // 2 AS k FROM embeddings)),
+steps AS (SELECT 0 AS i, 11400714819323198485::HUGEINT AS s, k, n FROM keys
+UNION ALL SELECT i + 1, x, list_concat(k[1:i], [k[j + 1]], k[i + 2:j], CASE WHEN j > i THEN [k[i + 1]] ELSE [] END, k[j + 2:]), n
+  FROM (SELECT *, (i + (x // 8589934592) % (n - i))::BIGINT AS j FROM (SELECT *, (s * 6364136223846793005::HUGEINT + 1442695040888963407::HUGEINT) % 18446744073709551616::HUGEINT AS x FROM steps WHERE i < least(256, n)))),
+drawn AS (SELECT unnest(k[1:i]) AS note_id FROM (SELECT i, k FROM steps ORDER BY i DESC LIMIT 1))"""
+
+
+@query(f"""WITH RECURSIVE {_DRAWN}, best AS (SELECT 'clip' || (q.vec_id // 2) % 2 AS space, q.vec_id // 2 AS note_id, max({_SIM}) AS sim FROM embeddings q JOIN embeddings v ON v.vec_id % 2 = 1 AND v.vec_id // 2 <> q.vec_id // 2 AND (v.vec_id // 2) % 2 = (q.vec_id // 2) % 2
+WHERE q.vec_id % 2 = 0 AND q.vec_id // 2 IN (SELECT note_id FROM drawn WHERE note_id IN (SELECT vec_id // 2 FROM embeddings WHERE vec_id % 2 = 0)) GROUP BY ALL)
+SELECT space, count(*) AS n, round(avg(sim) + stddev_pop(sim), 9) AS floor FROM best GROUP BY space""")
+def secondary_floors(spark, d):
+    """Even vectors as texts and odd ones as images of the same note, in two spaces."""
+    own = t.embedding_vectors(spark, d).select(F.expr("note_id div 2").alias("at"), (F.col("note_id") % 2).alias("odd"), "vec")
+    sides = own.select(F.concat(F.lit("clip"), F.col("at") % 2).alias("space"), F.col("at").alias("note_id"), "odd", "vec")
+    images, texts = sides.where("odd = 1").drop("odd"), sides.where("odd = 0").drop("odd")
+    return calibrate.secondary_floors(images, texts).select("space", "n", F.round("floor", 9).alias("floor"))
+
+
+@query(f"WITH m AS (SELECT tag, note_id, row_number() OVER (PARTITION BY tag ORDER BY note_id) - 1 AS i, count(*) OVER (PARTITION BY tag) AS n FROM ({_PREFIX.format(_DOC_TAGS)})) SELECT tag, note_id FROM m WHERE i % ((n + 99) // 100) = 0")
+def tag_sample(spark, d):
+    """Every tag's members thinned by position to at most a hundred, spread over all of them."""
+    return positions.strided(tags.membership(t.document_notes(spark, d)), "tag", "note_id", 100)
+
+
 @query(f"SELECT query_id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT query_id, note_id, {_R3} AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, note_id) AS rank FROM ({_NEAR})) WHERE rank <= 20) WHERE score > 0.31")
 def floor_admit(spark, d):
     return knn.semantic(_bank(spark, d), t.embedding_vectors(spark, d), 20, threshold=None, floor=0.31)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import calibrate, fuse, fuzzy, knn, tags
+from cardloom.operators import calibrate, fuse, fuzzy, knn, positions, tags, vector_join
 from cardloom.plans import search
 
 
@@ -152,7 +152,7 @@ def test_calibration_needs_samples(spark):
     vecs = spark.createDataFrame([(i, 0, [math.cos(i), math.sin(i)]) for i in range(40)], "note_id long, item int, vec array<float>")
     few = calibrate.activation_stats(vecs, calibrate.sample_keys(vecs, 10)).first()
     assert few.n == 10 and few.mean is None
-    row = calibrate.activation_stats(vecs, calibrate.sample_keys(vecs, 40, seed=3)).first()
+    row = calibrate.activation_stats(vecs, calibrate.sample_keys(vecs, 40)).first()
     assert row.n == 40 and 0.9 < row["mean"] <= 1.0
     hist = calibrate.duplicate_histogram(spark.createDataFrame([(1, 0.99), (2, 1.0), (3, -0.4), (4, None)], "note_id long, best double"))
     assert {r.bucket: r.n for r in hist.collect() if r.n} == {19: 2, 0: 1, None: 1}
@@ -178,3 +178,98 @@ def test_unknown_mode(spark):
     with pytest.raises(ValueError, match="unknown mode"):
         fuse.cross_space(None, None, None, mode="nope")
     assert F is not None
+
+
+def vectors_in_clusters(rng, n, dims=6, around=8):
+    centres = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(around)]
+    return [[c + rng.gauss(0, 0.05) for c in rng.choice(centres)] for _ in range(n)]
+
+
+def best_by_brute(queries, rows, k, out=()):
+    want = {}
+    for q, v in queries:
+        for note, w in rows:
+            if v is not None and w is not None and (q, note) not in out:
+                s = 0.0
+                for a, b in zip(v, w, strict=True):
+                    s += a * b
+                want[q, note] = max(s, want.get((q, note), -9e9))
+    ranked = {}
+    for (q, note), s in sorted(want.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
+        ranked.setdefault(q, []).append((note, s))
+    return {(q, note): s for q, found in ranked.items() for note, s in found[:k]}
+
+
+@pytest.mark.parametrize("clusters", [1, 8])
+def test_a_bank_of_any_size_is_answered_exactly(spark, monkeypatch, clusters):
+    rng = random.Random(clusters)
+    monkeypatch.setattr(vector_join, "BLOCK_VECTORS", 40)
+    monkeypatch.setattr(vector_join, "CHUNK_QUERIES", 9)
+    monkeypatch.setattr(knn, "BLOCK", 5)
+    rows = [(i // 2 if i % 3 else i, v) for i, v in enumerate(vectors_in_clusters(rng, 500, around=clusters))] + [(7, None)]
+    rows += [(1000 + i, rows[0][1]) for i in range(30)]  # ties
+    bank = [(i, v) for i, v in enumerate(vectors_in_clusters(rng, 40, around=clusters))] + [(99, None), (100, rows[0][1])]
+    out = {(q, n) for q in range(5) for n in rng.sample(range(200), q)}
+    frame = lambda r, a: spark.createDataFrame(r, f"{a} long, vec array<double>")
+    queries, vecs, excluded = frame(bank, "query_id"), frame(rows, "note_id"), spark.createDataFrame(sorted(out), "query_id long, note_id long")
+    got = {(r.query_id, r.note_id): r.sim for r in knn.nearest(queries, vecs, 7, exclude=excluded).collect()}
+    assert got == best_by_brute(bank, rows, 7, out)
+    near = {r.note_id: r.best for r in knn.best_in_bank(vecs, queries).collect()}
+    want = {}
+    for (q, n), s in best_by_brute(bank, rows, 10**6).items():
+        if q != n:
+            want[n] = max(s, want.get(n, -9e9))
+    assert near == want
+    monkeypatch.setattr(knn, "BLOCK", 4096)
+    assert {(r.query_id, r.note_id): r.sim for r in knn.nearest(queries, vecs, 7, exclude=excluded).collect()} == got
+    assert {r.note_id: r.best for r in knn.best_in_bank(vecs, queries).collect()} == near
+
+
+def test_cells_that_can_not_pass_the_bar_are_not_asked(spark):
+    rng = random.Random(3)
+    rows = [(i, v) for i, v in enumerate(vectors_in_clusters(rng, 3000, dims=8, around=10))]
+    vecs = spark.createDataFrame(rows, "note_id long, vec array<double>")
+    queries = vecs.where("note_id % 60 = 0").withColumnRenamed("note_id", "query_id")
+    cells, asked = vector_join.Cells(vecs), []
+    found = vector_join.nearest_dealt(queries, vecs, 5, cells=cells, asked=asked)
+    assert found.count() >= 5 * 50 and vector_join.pairs_scored(cells, asked, 50) < 0.35
+
+
+def test_empty_banks_and_tables(spark):
+    none = spark.createDataFrame([], "note_id long, vec array<double>")
+    one = spark.createDataFrame([(1, [1.0])], "query_id long, vec array<double>")
+    assert vector_join.nearest_dealt(one, none, 3).count() == 0 and knn.nearest(one, none, 3).count() == 0
+    assert vector_join.nearest_dealt(one.limit(0), one.withColumnRenamed("query_id", "note_id"), 3).count() == 0
+
+
+def test_tag_signal_of_a_large_bank(spark, monkeypatch):
+    rng = random.Random(4)
+    notes = spark.createDataFrame([(i, [f"t{i % 7}::x", f"u{i % 3}"]) for i in range(200)], "note_id long, tags array<string>")
+    vecs = spark.createDataFrame([(i, 0, [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)], "note_id long, item int, vec array<double>")
+    queries = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)], "query_id long, vec array<double>")
+    members = tags.membership(notes)
+    cents = tags.centroids(members, vecs, 200)
+    few = sorted(map(tuple, tags.tag_signal(queries, cents, members, vecs, activation=0.0).collect()))
+    monkeypatch.setattr(knn, "BLOCK", 5)
+    monkeypatch.setattr(vector_join, "BLOCK_VECTORS", 11)
+    many = sorted(map(tuple, tags.tag_signal(queries, cents, members, vecs, activation=0.0).collect()))
+    assert many == few and len(few) > 500
+
+
+def test_positions_and_samples(spark):
+    rng = random.Random(5)
+    ids = rng.sample(range(10**6), 700)
+    frame = spark.createDataFrame([(i,) for i in ids], "id long").repartition(9)
+    placed = {r.id: r.position for r in positions.positions(frame, "id").collect()}
+    assert placed == {v: i for i, v in enumerate(sorted(ids))}
+    keys, state = sorted(ids), 0x9E3779B97F4A7C15
+    for i in range(50):
+        state = (state * 6364136223846793005 + 1442695040888963407) & (2**64 - 1)
+        j = i + (state >> 33) % (700 - i)
+        keys[i], keys[j] = keys[j], keys[i]
+    assert sorted(r.id for r in positions.drawn(frame, "id", 50).collect()) == sorted(keys[:50])
+    assert positions.drawn_positions(3, 10) and sorted(positions.drawn_positions(3, 10)) == [0, 1, 2] and positions.drawn_positions(0, 5) == []
+    rows = spark.createDataFrame([("a", i) for i in range(95)] + [("b", i) for i in range(10)], "tag string, note_id long")
+    got = sorted(map(tuple, positions.strided(rows, "tag", "note_id", 10).collect()))
+    assert got == [("a", i) for i in range(0, 95, 10)] + [("b", i) for i in range(10)]
+    assert positions.positions(frame.limit(0), "id").count() == 0
