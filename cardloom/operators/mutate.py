@@ -9,14 +9,27 @@ from cardloom.functions.text import is_blank, replace_literal, replace_regex, st
 from cardloom.operators.filters import has_tag
 from cardloom.operators.tags import prefixes, unused_tags
 
-#: What is said of a note that fails a check.
+#: What is said of an item that fails a check; ``%s`` stands for the names that it is about.
 MESSAGES = {
-    "empty": "The first field is empty.",
-    "missing_cloze": "No cloze deletions ({{c1::...}}) were found in the cloze field.",
-    "notetype_not_cloze": "Cloze syntax was used but the note type is not a cloze type.",
-    "field_not_cloze": "A cloze deletion is in a field that is not the cloze field.",
-    "duplicate": "The first field duplicates an existing note of this type.",
+    "empty": "the first field has no content",
+    "missing_cloze": "a note of a cloze type needs a cloze such as {{c1::...}} in its cloze field",
+    "notetype_not_cloze": "clozes need a note type for clozes",
+    "field_not_cloze": "a cloze stands in a field that takes none",
+    "duplicate": "another note of this type begins with the same field",
+    "unknown_field": "type %s has no field %s, but %s",
+    "unknown_deck": "there is no deck %s",
+    "unknown_type": "there is no note type %s",
+    "unknown_note": "there is no note %s",
+    "unknown_deck_id": "there is no deck with id %s",
+    "other_type": "an update keeps the note type %s and can't make it %s",
+    "taken": "another deck is called %s",
 }
+
+
+def _said(what: str, *columns: Column | str) -> Column:
+    return F.format_string(MESSAGES[what], *columns)
+
+
 _CLOZE = r"(?s)\{\{c\d+::.*?\}\}"
 
 
@@ -51,10 +64,10 @@ def upsert_classify(items: DataFrame, notes: DataFrame, types: DataFrame, decks:
     clozes = F.exists("values", lambda v: v.rlike(_CLOZE))
     missing = F.lit(None).cast("string")
     for name, test in (("fields", F.size(given) == 0), ("deck", F.coalesce("deck", F.lit("")) == ""), ("note_type", F.coalesce("note_type", F.lit("")) == "")):
-        missing = F.when(test, F.lit(f"{name} is required for new notes")).otherwise(missing)
-    listed = F.concat(F.lit("["), F.array_join(F.transform("names", lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", "), F.lit("]"))
-    no_field = F.concat(F.lit("Field '"), "unknown", F.lit("' not found in note type '"), "own_type", F.lit("'. Available fields: "), listed)
-    no_deck = F.when(F.col("deck").isNotNull() & F.col("deck_name").isNull(), F.concat(F.lit("Deck '"), "deck", F.lit("' not found")))
+        missing = F.when(test, F.lit(f"a new note needs a {name}")).otherwise(missing)
+    listed = F.array_join("names", ", ")
+    no_field = _said("unknown_field", "own_type", "unknown", listed)
+    no_deck = F.when(F.col("deck").isNotNull() & F.col("deck_name").isNull(), _said("unknown_deck", "deck"))
     structural = (
         F.when(first_key(first) == "", F.when(is_blank(first), F.lit("empty")))
         .when((F.col("kind") == "cloze") & ~first.rlike(_CLOZE) & ~clozes, F.lit("missing_cloze"))
@@ -62,9 +75,9 @@ def upsert_classify(items: DataFrame, notes: DataFrame, types: DataFrame, decks:
         .when((F.col("kind") == "cloze") & F.exists(others, lambda v: v.rlike(_CLOZE)), F.lit("field_not_cloze"))
     )
     rows = rows.withColumn("problem", F.when(is_new, structural))
-    error = F.when(is_new, F.coalesce(missing, F.when(F.col("type_name").isNull(), F.concat(F.lit("Note type '"), "note_type", F.lit("' not found"))), no_deck, F.when(F.col("unknown").isNotNull(), no_field)))
-    changed = F.concat(F.lit("Cannot change note type (current: '"), "old_type", F.lit("', requested: '"), "note_type", F.lit("')"))
-    error = F.coalesce(error, F.when(~is_new, F.coalesce(F.when(F.col("old_id").isNull(), F.concat(F.lit("Note "), "id", F.lit(" not found"))), F.when(F.col("note_type") != F.col("old_type"), changed), F.when(F.col("unknown").isNotNull(), no_field), no_deck)))
+    error = F.when(is_new, F.coalesce(missing, F.when(F.col("type_name").isNull(), _said("unknown_type", "note_type")), no_deck, F.when(F.col("unknown").isNotNull(), no_field)))
+    changed = _said("other_type", "old_type", "note_type")
+    error = F.coalesce(error, F.when(~is_new, F.coalesce(F.when(F.col("old_id").isNull(), _said("unknown_note", F.col("id").cast("string"))), F.when(F.col("note_type") != F.col("old_type"), changed), F.when(F.col("unknown").isNotNull(), no_field), no_deck)))
     for problem in ("empty", "missing_cloze", "notetype_not_cloze", "field_not_cloze"):
         error = F.coalesce(error, F.when(F.col("problem") == problem, F.lit(MESSAGES[problem])))
     reason = F.when(is_new & missing.isNull() & F.col("type_name").isNull(), "unknown_note_type").when(F.col("type_name").isNotNull() & F.col("unknown").isNotNull() & (~is_new | missing.isNull()) & F.when(is_new, no_deck.isNull()).otherwise(F.col("note_type").isNull() | (F.col("note_type") == F.col("old_type"))), "unknown_field")
@@ -192,7 +205,7 @@ def upsert_decks(items: DataFrame, decks: DataFrame, first_new_id: int = 1) -> t
     by_name = decks.select(F.lower("name").alias("low"), F.col("deck_id").alias("taken"))
     rows = items.join(decks.select(F.col("deck_id").alias("known"), F.col("name").alias("old_name")), items["id"] == F.col("known"), "left").join(by_name, F.lower(items["name"]) == F.col("low"), "left")
     first = F.min("index").over(Window.partitionBy(F.lower("name")))
-    error = F.when(F.coalesce("name", F.lit("")) == "", "name is required").when(F.col("id").isNotNull() & F.col("known").isNull(), F.concat(F.lit("Deck "), "id", F.lit(" not found"))).when(F.col("id").isNotNull() & (F.col("taken") != F.col("id")), F.concat(F.lit("A deck named '"), "name", F.lit("' already exists")))
+    error = F.when(F.coalesce("name", F.lit("")) == "", "name is required").when(F.col("id").isNotNull() & F.col("known").isNull(), _said("unknown_deck_id", F.col("id").cast("string"))).when(F.col("id").isNotNull() & (F.col("taken") != F.col("id")), _said("taken", "name"))
     rows = rows.withColumns({"error": error, "first": first})
     own = F.coalesce("id", "taken", F.lit(first_new_id) + F.col("first"))
     fresh = F.col("id").isNull() & F.col("taken").isNull()

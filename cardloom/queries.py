@@ -341,9 +341,12 @@ floors AS (SELECT * FROM (VALUES ('clip0', 0.3::DOUBLE), ('clip1', 0.33::DOUBLE)
 joined AS (SELECT near.*, floor, p FROM near JOIN floors ON near.space = floors.space JOIN prim ON near.query_id = prim.query_id)"""
 
 
+_MODES = ("relative", "relative_floor", "soft_relative", "soft_calibrated", "floor_admit", "floor_admit_budget", "soft_floor_admit", "soft_floor_admit_budget")
+
+
 def _mode_sql(mode: str) -> str:
     keep = ["true"]
-    if mode in fuse.RELATIVE_MODES:
+    if mode in ("relative", "relative_floor", "soft_relative", "soft_calibrated"):
         keep.append("best >= p")
     if mode.startswith("floor_admit"):
         keep.append("(floor IS NULL OR score > floor)")
@@ -362,7 +365,7 @@ def _mode_sql(mode: str) -> str:
     return f"SELECT '{mode}' AS mode, query_id, 'image#' || space AS signal, note_id, rank, round({scale}, 9) AS weight FROM ({total})"
 
 
-@query(f"WITH {_SPACES} " + " UNION ALL ".join(map(_mode_sql, fuse.MODES)))
+@query(f"WITH {_SPACES} " + " UNION ALL ".join(map(_mode_sql, _MODES)))
 def cross_space_modes(spark, d):
     own, bank = t.embedding_vectors(spark, d), _bank(spark, d)
     itself = bank.select("query_id", F.col("query_id").alias("note_id"))
@@ -476,13 +479,14 @@ def first_card_deck(spark, d):
 
 # ---------------------------------------------------------------- text functions
 
-_BLOCK = r"(?i)<\s*/?\s*(?:br|div|p|li|ul|ol|tr|td|h[1-6]|blockquote)\b[^>]*>"
+#: The SQL's own values: it checks those of the functions.
 _HTML = "html"
-for _p, _r in ((r"(?i)\[/?(?:latex|\$\$?)\]", " "), (r"\\[()\[\]]|\$\$", " "), (r"(?i)\[sound:[^\]]*\]", " "), (_BLOCK, " "), (r"(?s)<!--.*?-->", ""), (r"(?is)<style\b.*?</style\s*>", ""), (r"(?is)<script\b.*?</script\s*>", ""), (r"(?s)<[^>]*>", "")):
+_LINE_TAG = r"(?i)<\s*(?:/\s*)?(?:h[1-6]|p|br|div|ul|ol|li|tr|td|blockquote)\b[^>]*>"
+for _p, _r in ((r"(?i)\[/?latex\]|\[/?\$\$?\]|\\[()]|\\[\[\]]|\$\$", " "), (r"(?i)\[sound:[^\]]*\]", " "), (_LINE_TAG, " "), (r"(?s)<!--.*?-->", ""), (r"(?is)<style\b.*?</style\s*>", ""), (r"(?is)<script\b.*?</script\s*>", ""), (r"(?s)<[^>]*>", "")):
     _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', 'g')"
-for _name, _char in text.ENTITIES.items():
-    _HTML = "replace({}, '{}', '{}')".format(_HTML, _name, _char.replace("'", "''"))
-_HTML = f"trim(regexp_replace(replace({_HTML}, chr(160), ' '), '\\s+', ' ', 'g'))"
+for _name, _char in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)")):
+    _HTML = f"replace({_HTML}, '{_name}', {_char})"
+_HTML = f"trim(regexp_replace(replace(regexp_replace({_HTML}, '&amp;?', '&', 'g'), chr(160), ' '), '\\s+', ' ', 'g'))"
 
 
 @query(f"SELECT page_id, length({_HTML}) AS n_chars, sha256({_HTML}) AS text_sha256 FROM pages")
@@ -491,6 +495,23 @@ def embed_text_pages(spark, d):
     return t.table(spark, d, "pages").select("page_id", F.length(plain).cast("long").alias("n_chars"), F.sha2(plain, 256).alias("text_sha256"))
 
 
+_FOLDED = "SELECT doc_id, 'İ' || substr(text, 1, length(text) // 2) || '😀İẞ' || text AS v, substr(text, length(text) // 3 + 1, 12) AS n FROM documents WHERE length(text) >= 40"
+
+
+@query(rf"""WITH v AS (SELECT doc_id, v, lower(trim(n)) AS needle, string_split(v, '') AS c FROM ({_FOLDED}) WHERE trim(n) <> ''),
+f AS (SELECT doc_id, needle, c, list_transform(c, lambda x: lower(x)) AS l, position(needle IN lower(v)) AS place FROM v),
+p AS (SELECT doc_id, needle, place, unnest(c) AS ch, unnest(l) AS low, unnest(range(len(c))) AS i FROM f WHERE place > 0),
+q AS (SELECT *, sum(length(low)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(octet_length(encode(ch))) OVER (PARTITION BY doc_id ORDER BY i) AS bytes FROM p)
+SELECT doc_id, coalesce(max(bytes) FILTER (upto < place), 0)::BIGINT AS start, max(bytes) FILTER (upto - length(low) < place - 1 + length(needle))::BIGINT AS "end" FROM q GROUP BY doc_id""")
+def folded_spans(spark, d):
+    """Spans in texts whose lower case is longer than they are."""
+    docs = t.table(spark, d, "documents").where("length(text) >= 40")
+    half = F.expr("concat('İ', substr(text, 1, cast(length(text) div 2 as int)), '😀İẞ', text)")
+    told = docs.select("doc_id", half.alias("v"), F.expr("substr(text, cast(length(text) div 3 as int) + 1, 12)").alias("n")).where("trim(n) <> ''")
+    spans = told.select("doc_id", text.byte_span("v", "n").alias("span")).where("span is not null")
+    return spans.select("doc_id", F.col("span.start").cast("long").alias("start"), F.col("span.end").cast("long").alias("end"))
+
+
 _CLOZED = "SELECT doc_id, '{{c1::' || replace(replace(replace(text, ':', ''), '{', ''), '}', '') || '::hint}} and {{c2::' || lang || '}}' AS v FROM documents"
 
 

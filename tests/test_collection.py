@@ -35,8 +35,8 @@ def test_upsert_results_in_order(collection):
         ("created", None), ("error", "duplicate"), ("error", "empty"), ("error", None), ("error", "unknown_note_type"),
         ("error", "unknown_field"), ("error", "missing_cloze"), ("error", "notetype_not_cloze"), ("created", None), ("error", None), ("error", None),
     ]
-    assert got[5]["error"] == "Field 'Bad' not found in note type 'Basic'. Available fields: ['Front', 'Back']"
-    assert got[3]["error"] == "deck is required for new notes" and got[9]["error"] == "Note 99 not found" and got[10]["error"] == "Deck '#77' not found"
+    assert got[5]["error"] == "type Basic has no field Bad, but Front, Back"
+    assert got[3]["error"] == "a new note needs a deck" and got[9]["error"] == "there is no note 99" and got[10]["error"] == "there is no deck #77"
     first = got[0]["id"]
     assert collection.upsert_notes([basic("hola")], "skip")[0]["status"] == "skipped" and collection.upsert_notes([basic("hola")], "allow")[0]["status"] == "created"
     changed = collection.upsert_notes([{"id": first, "fields": {"Back": "hello"}}, {"id": first, "note_type": "Cloze"}])

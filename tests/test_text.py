@@ -15,6 +15,8 @@ def one(spark, column, value):
         ("outer {{c2::inner}} x::hint", "outer inner x::hint"),
         ("a<br>b<div>c</div>", "a b c"),
         ("x &amp; y&nbsp;z", "x & y z"),
+        ("&amp;lt;b&amp;gt; &copy; &#8364;&hellip;", "&lt;b&gt; © €…"),
+        ("[$]x[/$] [$$]y[/$$] $$z$$ \\[w\\] [LaTeX]v", "x y z w v"),
         ("[sound:a.mp3] hi [latex]x[/latex] \\(y\\)", "hi x y"),
         ("<style>p{}</style><b>bold</b><!-- gone -->", "bold"),
         ("plain  text\n here ", "plain text here"),
@@ -44,7 +46,28 @@ def test_media_references(spark):
 
 def test_byte_span_counts_utf8(spark):
     row = spark.createDataFrame([("\U0001f600 Héllo", "héL"), ("abc", "zzz"), ("İab", "ab")], "t string, n string").select(text.byte_span("t", "n").alias("s")).collect()
-    assert (row[0].s.start, row[0].s.end) == (5, 9) and row[1].s is None and row[2].s is None
+    assert (row[0].s.start, row[0].s.end) == (5, 9) and row[1].s is None and (row[2].s.start, row[2].s.end) == (2, 4)
+
+
+@pytest.mark.parametrize(("value", "needle"), [("İİx😀Straẞe", "straß"), ("aİb", "İ"), ("ŞİŞLİ", "şli"), ("ΑΣ İ ΑΣ", "ας"), ("x" * 40 + "İé" * 30 + "END", "end"), ("İ", "i")])
+def test_spans_where_lower_case_is_longer(spark, value, needle):
+    span = spark.createDataFrame([(value, needle)], "t string, n string").select(text.byte_span("t", "n").alias("s")).first().s
+    low, at = [(c.lower(), i) for i, c in enumerate(value)], value.lower().find(needle.lower())
+    owner = [i for c, i in low for _ in c]
+    first, last = owner[at], owner[at + len(needle.lower()) - 1]
+    assert (span.start, span.end) == (len(value[:first].encode()), len(value[: last + 1].encode()))
+
+
+def test_references_are_the_standards(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    rng = random.Random(6)
+    names = [*html5, "#65;", "#x41;", "#X1F600;", "#128;", "#150", "#0;", "#99999999;", "#xD800;", "#1114112;", "#39;", "nothing;", "ampx", "copyx;", "#", "#x", "&", "amp;lt;"]
+    rows = ["&" + n for n in names] + ["".join(rng.choice(["&" + rng.choice(names), " a", ";", "x"]) for _ in range(12)) for _ in range(300)] + ["plain", "", "&"]
+    got = spark.createDataFrame(list(enumerate(rows)), "i long, v string").select("i", text.decode_references("v").alias("t")).collect()
+    assert {r.i: r.t for r in got} == dict(enumerate(map(html.unescape, rows)))
 
 
 def test_field_substring_takes_the_first_by_name(spark):
