@@ -202,12 +202,14 @@ class Chain:
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Chain:
     """A chain fitted on at most ``sample`` labelled documents of each class of the last category.
 
-    ``labels`` has doc_id and a 0/1 column for each category; rows with a null among them aren't used. Which documents are
+    ``labels`` has doc_id and a 0/1 column for each category; rows with a null among them aren't used, and of repeated labels
+    of a document each category's greatest holds. Which documents are
     fitted follows from a hash of their ids and texts alone. Their word counts come to the driver; the sample bounds them.
     Each class has half of ``sample_chars``: a text beyond what is left of it is passed over, shorter ones after it are taken,
     and a class's first text is taken whatever its length, so one long text leaves no class empty.
     """
-    known = labels.select("doc_id", *(F.col(c).cast("int").alias(f"_{i}") for i, c in enumerate(categories))).dropna().dropDuplicates(["doc_id"])
+    whole = labels.select("doc_id", *(F.col(c).cast("int").alias(f"_{i}") for i, c in enumerate(categories))).dropna()
+    known = whole.groupBy("doc_id").agg(*(F.max(f"_{i}").alias(f"_{i}") for i in range(len(categories))))
     last = f"_{len(categories) - 1}"
     part = known.where(f"{last} in (0, 1)").select("*", F.xxhash64("doc_id", F.lit(11)).alias("_at"))
     chosen = part.where(f"{last} = 1").orderBy("_at", "doc_id").limit(sample).unionByName(part.where(f"{last} = 0").orderBy("_at", "doc_id").limit(sample))

@@ -67,3 +67,13 @@ def test_later_models_see_out_of_fold_probabilities():
         texts.add({})
     chain = t.Chain(("a", "b"), texts, np.zeros((200, 8)), labels, styled=())
     assert [len(m.weights) for m in chain.models] == [0, 1]
+
+
+def test_repeated_labels_follow_a_rule(spark):
+    """Of labels that disagree the greatest holds, in whatever order they come."""
+    rows, labels = made(120, 5)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    frame = lambda some: t.label_columns(spark.createDataFrame(some, "doc_id long, quality int, toxic int"))
+    both = [x for i, q, y in labels for x in ((i, q, y), (i, 1 - q, 1 - y))]
+    scores = lambda some: sorted(map(tuple, t.classify(docs, t.fit(docs, frame(some), t.CATEGORIES)).collect()))
+    assert scores(both) == scores(both[::-1]) == scores([(i, 0, 1) for i, _, _ in labels])
