@@ -11,7 +11,8 @@ A byte-level BPE tokenizer is compiled into two deterministic transducers:
   contiguous part of a BPE encoding is the encoding of its own text, so the last token of each prefix follows from the
   pairs of tokens that can stand side by side.
 
-No merge is replayed per word: the hot loop is table look-ups on arrays. Files of another kind than byte-level BPE
+A long pre-token is cut too: its chunks are read at once, each from the state that a short run-up leads to, and their maps
+compose from the left. No merge is replayed per word: the hot loop is table look-ups on arrays. Files of another kind than byte-level BPE
 (``sentencepiece`` models, BPE with word ends) are counted by their own library.
 """
 
@@ -32,6 +33,8 @@ CHUNK = 256
 SUFFIX = 16
 #: Characters that are run through the transducers at a time.
 BATCH_CHARS = 4_000_000
+#: Bytes of a pre-token beyond which it is cut; bytes of its chunks, of the run-up to each, and chunks that are tried ahead.
+LONG, LONG_CHUNK, RUN_UP, AHEAD = 4096, 512, 64, 64
 #: The counter starts anew beyond this many states (5 bytes for each byte value that texts hold, and some 300).
 MAX_STATES = 250_000
 
@@ -238,14 +241,10 @@ class Counter:
         following = self._state(tuple(self.parts.setdefault(part, part) for part in (*kept, (b"", token, 0))))
         self.goes[state, column], self.adds[state, column] = following, now
 
-    def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Tokens of each pre-token ``data[start : start + length]``."""
-        if len(self.states) > MAX_STATES:
-            self._begin()
-        data = self._columns(data)
+    def _run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after each of some stretches of bytes (as columns), read from a state each, and the tokens that they add."""
         order = np.argsort(-lengths.astype(np.int64), kind="stable") if len(lengths) and lengths.max() > 60_000 else np.argsort(np.uint16(65_535) - lengths.astype(np.uint16), kind="stable")
-        at, left = starts[order], lengths[order]
-        state, counts = np.zeros(len(order), dtype=np.int32), np.zeros(len(order), dtype=np.int32)
+        at, left, state, counts = starts[order], lengths[order], state[order].astype(np.int32), np.zeros(len(order), dtype=np.int32)
         active = len(order)
         step = 0
         while active:
@@ -262,8 +261,51 @@ class Counter:
             counts[:active] += self.adds[state[:active], byte]
             state[:active] = goes
             step += 1
-        out = np.empty_like(counts)
-        out[order] = counts
+        ends, out = np.empty_like(state), np.empty_like(counts)
+        ends[order], out[order] = state, counts
+        return ends, out
+
+    def _long(self, data: np.ndarray, start: int, length: int) -> int:
+        """Tokens of one long pre-token, cut in chunks.
+
+        Each chunk's map from states to states and counts is made for the states that it is met in: at first for the one
+        that a short run-up leads to, of all chunks in lockstep, as states forget what is far behind. Then the maps are
+        composed from the left, and where a chunk is met in another state, it and those after it are read from that state too.
+        """
+        begins = np.arange(start, start + length, LONG_CHUNK)
+        sizes = np.minimum(LONG_CHUNK, start + length - begins)
+        number: dict[bytes, int] = {}
+        kind = [number.setdefault(data[a : a + n].tobytes(), len(number)) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+        first = {k: i for i, k in reversed(list(enumerate(kind)))}
+        run_up = np.minimum(RUN_UP, begins - start)
+        guess, _ = self._run(data, begins - run_up, run_up, np.zeros(len(begins), dtype=np.int32))
+        maps: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def learn(pairs: list[tuple[int, int]]) -> None:
+            some = np.array([first[k] for _, k in pairs])
+            found = self._run(data, begins[some], sizes[some], np.array([s for s, _ in pairs], dtype=np.int32))
+            maps.update(zip(pairs, zip(*(x.tolist() for x in found), strict=True), strict=True))
+
+        learn(list(dict.fromkeys(zip(guess.tolist(), kind, strict=True))))
+        state = total = 0
+        for i, k in enumerate(kind):
+            if (state, k) not in maps:
+                learn([(state, x) for x in dict.fromkeys(kind[i : i + AHEAD]) if (state, x) not in maps])
+            state, n = maps[state, k]
+            total += n
+        return total
+
+    def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token ``data[start : start + length]``."""
+        if len(self.states) > MAX_STATES:
+            self._begin()
+        data = self._columns(data)
+        long = np.flatnonzero(lengths > LONG)
+        out = np.zeros(len(starts), dtype=np.int64)
+        short = np.flatnonzero(lengths <= LONG)
+        out[short] = self._run(data, starts[short], lengths[short], np.zeros(len(short), dtype=np.int32))[1]
+        for i in long.tolist():
+            out[i] = self._long(data, int(starts[i]), int(lengths[i]))
         return out
 
     def count_texts(self, texts: list[str]) -> np.ndarray:

@@ -33,3 +33,19 @@ def test_counts_equal_the_library(spark, path):
 
 def test_empty_table(spark, path):
     assert count_tokens(spark.createDataFrame([], SCHEMA), path).count() == 0
+
+
+def test_long_words_are_cut_and_counted_exactly(path):
+    """Words of a million letters and of periods that no chunk's length fits take seconds, not minutes."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    from cardloom.llm.token_counts import counter
+
+    library, model, rng = Tokenizer.from_file(path), counter(path), random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "a" * 300_001, "abcdefg" * 20_000, "xyzzy" * 3_000 + "".join(rng.choices("ab", k=50_000)), "é" * 9_000, "-=" * 40_000, "9" * 5_000]
+    start = time.process_time()
+    got = model.count_texts([f"so {w} on" for w in words]).tolist()
+    assert time.process_time() - start < 60
+    assert got == [len(library.encode(f"so {w} on", add_special_tokens=False).ids) for w in words]
