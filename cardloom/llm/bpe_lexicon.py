@@ -33,6 +33,8 @@ from cardloom.llm.common import checkpoint, give_back, put_file, shared_folder
 
 #: A frequent word is met twice at least and is this share of all words; a longer word is always merged.
 SHARE, LONGEST = 1e-6, 64
+#: Different words that a task counts before it passes them on.
+HELD_WORDS = 200_000
 #: Characters of texts that are worked on together.
 BATCH_CHARS = 2_000_000
 _MAGIC = 0x6C78_6963_6F6E_0001
@@ -337,13 +339,23 @@ def frequent_words(docs: DataFrame, path: str, share: float = SHARE, text_col: s
     """(word, ids) of the words that are at least ``share`` of all words of all texts: at most 1 / share rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
+        model, found, total = tokenizer(path), Counter(), 0
+
+        def told() -> pa.RecordBatch:
+            short = [w for w in found if len(w) <= LONGEST and (w.isascii() or len(w.encode()) <= LONGEST) and w not in model.special]
+            return pa.RecordBatch.from_arrays([pa.array([None, *short], pa.string()), pa.array([total, *map(found.__getitem__, short)], pa.int64())], names=["word", "n"])
+
         for batch in batches:
             for texts in _slices(batch.column(0).to_pylist()):
-                found = Counter(model.words(texts)[0])
-                total = found.total()
-                short = [w for w in found if len(w) <= LONGEST and len(w.encode()) <= LONGEST and w not in model.special]
-                yield pa.RecordBatch.from_arrays([pa.array([None, *short], pa.string()), pa.array([total, *map(found.__getitem__, short)], pa.int64())], names=["word", "n"])
+                words, _ = model.words(texts)
+                found.update(words)
+                total += len(words)
+                if len(found) > HELD_WORDS:
+                    yield told()
+                    found, total = Counter(), 0
+        if total:
+            yield told()
+        del found
         give_back()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
