@@ -96,6 +96,20 @@ def fuzzy(bank: DataFrame, segments: DataFrame, top_k: int, scope: DataFrame | N
     return left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
+def containing(bank: DataFrame, segments: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """(query_id, note_id, seg_id): all segments that hold a query's text as it stands, without any ranking.
+
+    A segment that holds the text holds its rarest trigram, so only postings of that one are joined and only their texts are
+    read. Queries of fewer than three characters have no trigram and no rows.
+    """
+    postings = postings if postings is not None else postings_for(bank, segments)
+    known = query_terms(bank).join(document_frequency(postings), "term", "left")
+    rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
+    some = rarest.join(postings, "term").select("query_id", "seg_id")
+    texts = some.join(segments.select("seg_id", "note_id", "text"), "seg_id").join(bank.select("query_id", F.col("text").alias("needle")), "query_id")
+    return texts.where(F.contains("text", "needle")).select("query_id", "note_id", "seg_id")
+
+
 def exact_of(fuzzy_rows: DataFrame, bank: DataFrame, segments: DataFrame, top_k: int | None = None) -> DataFrame:
     """(query_id, note_id, seg_id, tf, rank): fuzzy rows whose segment holds the query literally, most frequent first."""
     needle = bank.select("query_id", F.lower(F.trim(nfc("text"))).alias("needle")).where("needle <> ''")
