@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cardloom import schema
 from cardloom.operators import filters, mutate, postings, stats, tags
+from cardloom.operators.cards import empty_cards
 from cardloom.plans import search as plans
 from cardloom.sources import notes as sources
 from cardloom.sources.buckets import Buckets
+from cardloom.sources.files import checkpoint
 from cardloom.sources.state import State
 
 TABLES = {"notes": schema.NOTES, "types": schema.NOTE_TYPES, "cards": schema.CARDS, "decks": schema.DECKS, "tags": "tag string"}
@@ -248,8 +250,9 @@ class Collection:
         return sources.fetch_media(self.spark.createDataFrame([(n,) for n in names], "name string"), self.list_media()[0])
 
     def store_media(self, items: dict[str, str]) -> DataFrame:
-        """What would be stored of (name: base64); the content column goes to the media folder by the caller's own writer."""
-        return sources.store_media(self.spark.createDataFrame(list(items.items()), "name string, data string"), self.list_media()[0])
+        """Store (name: base64) in the media folder; what was stored, replaced or refused."""
+        checked = sources.store_media(self.spark.createDataFrame(list(items.items()), "name string, data string"), self.list_media()[0])
+        return checkpoint(sources.write_media(checked, self.media))
 
     def delete_media(self, names: list[str]) -> DataFrame:
         """The files' verdicts; the files themselves go to the trash folder beside the media."""
@@ -268,7 +271,7 @@ class Collection:
         return mutate.check(sources.media_refs(self.table("notes")), self.list_media()[0])
 
     def collection_prune(self, *sections: str, dry_run: bool = True) -> dict[str, list]:
-        cards = self.table("cards").withColumn("empty", F.lit(False))
+        cards = empty_cards(self.table("cards"), self.table("notes"), self.table("types"))
         files = self.list_media()[0] if self.media else self.spark.createDataFrame([], "name string")
         parts = mutate.prune(self.table("notes"), cards, self.table("tags"), sources.media_refs(self.table("notes")), files, sections)
         out = {name: [r[0] for r in part.collect()] for name, part in parts.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import hashing, text, vectors
-from cardloom.operators import calibrate, filters, fuse, fuzzy, incremental, knn, mutate, positions, postings, stats, tags, vector_join
+from cardloom.operators import calibrate, cards, filters, fuse, fuzzy, incremental, knn, mutate, positions, postings, stats, tags, vector_join
 from cardloom.plans import search as plans
 from cardloom.sources import notes as sources
 from cardloom.sources import reference_tables as t
@@ -605,6 +605,23 @@ def migrate_fields(spark, d):
     return after.select("note_id", "note_type", F.col("fields")[0]["name"].alias("first_name"), F.col("fields")[0]["value"].alias("first_value"))
 
 
+@query("""WITH n AS (SELECT c_custkey, c_acctbal < 0 AS cloze, CASE WHEN c_nationkey % 3 = 0 THEN '' ELSE c_mktsegment END AS note, CASE WHEN c_custkey % 4 = 0 THEN ' <br>&nbsp;' ELSE c_name END AS hint FROM customer)
+SELECT o_orderkey AS card_id, CASE WHEN cloze THEN NOT (o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 AND c_custkey % 2 = 0)
+WHEN o_orderkey % 3 = 0 THEN note = '' OR starts_with(hint, ' <') WHEN o_orderkey % 3 = 1 THEN note <> '' AND starts_with(hint, ' <') ELSE true END AS empty FROM orders JOIN n ON o_custkey = c_custkey""")
+def empty_cards(spark, d):
+    """Orders as cards of customers; templates with sections, filters, clozes, and one without any field."""
+    customer, orders = t.table(spark, d, "customer"), t.table(spark, d, "orders")
+    field = lambda i, name, value: F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), value.alias("value"))
+    hint = F.when(F.col("c_custkey") % 4 == 0, " <br>&nbsp;").otherwise(F.col("c_name"))
+    cloze = F.concat(F.lit("{{c1::one}}"), F.when(F.col("c_custkey") % 2 == 0, " {{c2::two}}").otherwise(""))
+    fields = F.array(field(0, "Note", F.when(F.col("c_nationkey") % 3 == 0, "").otherwise(F.col("c_mktsegment"))), field(1, "Hint", hint), field(2, "Text", cloze))
+    own = customer.select(F.col("c_custkey").alias("note_id"), F.when(F.col("c_acctbal") < 0, "Gaps").otherwise("Plain").alias("note_type"), fields.alias("fields"))
+    fronts = ["{{#Note}}<b>{{hint:Hint}}</b>{{/Note}}", "{{Hint}} {{^Note}}or {{Text}}{{/Note}}", "nothing of the note"]
+    types = spark.createDataFrame([("Plain", "standard", [(i, f) for i, f in enumerate(fronts)]), ("Gaps", "cloze", [(0, "{{cloze:Text}}")])], "name string, kind string, templates array<struct<ord:int,front:string>>")
+    made = orders.select(F.col("o_orderkey").alias("card_id"), F.col("o_custkey").alias("note_id"), (F.col("o_orderkey") % 3).cast("int").alias("ord"))
+    return cards.empty_cards(made, own, types).select("card_id", "empty")
+
+
 @query("SELECT tag FROM (SELECT p_type AS tag FROM part UNION SELECT 'LANG::' || upper(lang) FROM documents UNION SELECT 'lang') WHERE lower(tag) <> 'lang' AND NOT starts_with(lower(tag), 'lang::')")
 def prune_unused_tags(spark, d):
     registry = t.table(spark, d, "part").select(F.col("p_type").alias("tag")).union(t.table(spark, d, "documents").select(F.concat(F.lit("LANG::"), F.upper("lang")))).union(spark.createDataFrame([("lang",)], "tag string")).distinct()

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +97,36 @@ def store_media(items: DataFrame, listing: DataFrame, most: int = 64 << 20) -> D
     return told.select(F.coalesce("safe", "name").alias("name"), status.alias("status"), F.octet_length("content").alias("size"), "error", F.when(F.col("error").isNull(), F.col("content")).alias("content"))
 
 
+def write_media(checked: DataFrame, folder: str) -> DataFrame:
+    """Write the content of what ``store_media`` lets pass; the same rows without content, an error where a write failed.
+
+    Each task writes its own files, under another name at first and then renamed, so that a file is there whole or not at all
+    and a task that runs again gives the same files. Of items that
+    share a name one is kept. ``folder``: a path or an address that Arrow's file systems open.
+    """
+    schema = "name string, status string, size int, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+        store, base = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", place))
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                content = row.pop("content")
+                if content is None:
+                    continue
+                draft = f"{base}/.{uuid.uuid4().hex}"
+                try:
+                    with store.open_output_stream(draft) as out:
+                        out.write(content)
+                    store.move(draft, f"{base}/{row['name']}")
+                except OSError as failed:
+                    row |= {"status": "error", "error": str(failed)}
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("name", pa.string()), ("status", pa.string()), ("size", pa.int32()), ("error", pa.string())]))
+
+    return checked.select("name", "status", "size", "error", "content").repartition("name").mapInArrow(run, schema)
+
+
 def delete_media(names: DataFrame, listing: DataFrame) -> DataFrame:
     """(name, status deleted/not_found)."""
     there = listing.select("name", F.lit(True).alias("there"))

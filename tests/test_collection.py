@@ -1,4 +1,5 @@
 import base64
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,8 +114,10 @@ def test_media(collection):
     assert {(r.name, r.status) for r in collection.fetch_media(["a.png", "b.png"]).collect()} == {("a.png", "found"), ("b.png", "missing")}
     data = base64.b64encode(b"x").decode()
     assert {r.name: r.status for r in collection.store_media({"n.png": data, "..": data, "a.png": data, "bad.png": "%%"}).collect()} == {"n.png": "stored", "..": "error", "a.png": "replaced", "bad.png": "error"}
+    assert (Path(collection.media) / "n.png").read_bytes() == base64.b64decode(data) == (Path(collection.media) / "a.png").read_bytes()
+    assert {r.name for r in collection.list_media()[0].collect()} == {"a.png", "lost.mp3", "n.png"}
     assert {r.name: r.status for r in collection.delete_media(["lost.mp3", "zz"]).collect()} == {"lost.mp3": "deleted", "zz": "not_found"}
-    assert collection.list_media()[1] == 1
+    assert collection.list_media()[1] == 2
     assert list_profiles({"b": "2", "a": "1"}) == [("a", "1"), ("b", "2")]
 
 
@@ -134,3 +137,20 @@ def test_deck_references(spark):
 def test_scan_keeps_the_asked_order(spark):
     notes = spark.createDataFrame([(1, "Basic", [(0, "F", "a")]), (2, "Basic", [(0, "F", "b")])], "note_id long, note_type string, fields array<struct<ord:int,name:string,value:string>>")
     assert [r.note_id for r in sources.scan_fields(notes, [2, 9, 1]).collect()] == [2, 1]
+
+
+def test_templates_show_fields():
+    from cardloom.operators.cards import shown_fields
+
+    assert shown_fields("{{A}} {{#B}}{{hint:C}}{{^D}}{{cloze:E}}{{/D}}{{/B}} x") == [((), "A", False), ((("B", True),), "C", False), ((("B", True), ("D", False)), "E", True)]
+    assert shown_fields("") == [] == shown_fields("plain")
+    for bad in ("{{#A}}", "{{/A}}", "{{#A}}{{^B}}{{/A}}{{/B}}"):
+        with pytest.raises(ValueError, match="section"):
+            shown_fields(bad)
+
+
+def test_prune_finds_empty_cards(spark, collection):
+    made = collection.upsert_notes([basic("one"), {"note_type": "Cloze", "deck": "D", "fields": {"Text": "{{c1::ok}}"}}])
+    assert collection.collection_prune("empty_cards")["empty_cards"] == []
+    collection._save(cards=spark.createDataFrame([(1, made[0]["id"], 0, 1, 0, "new"), (2, made[0]["id"], 1, 1, 0, "new"), (3, made[1]["id"], 0, 1, 0, "new"), (4, made[1]["id"], 1, 1, 0, "new")], collection.table("cards").schema))
+    assert collection.collection_prune("empty_cards")["empty_cards"] == [4]
