@@ -130,7 +130,8 @@ _LATER_DOCS = "SELECT doc_id AS seg_id, doc_id AS note_id, 'field' AS source, CA
 def _later_postings(spark, d):
     """Stored postings after three batches: two thirds of the documents, the others, and a batch that edits some texts and
     removes some documents. Gives the store and the segments that are left."""
-    docs, held = t.document_segments(spark, d).join(t.table(spark, d, "documents").select(F.col("doc_id").alias("seg_id"), "lang", F.col("source").alias("origin")), "seg_id"), postings.store(spark, scratch(spark, "postings"), 16)
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("seg_id"), F.col("doc_id").alias("note_id"), F.lit("field").alias("source"), "text", "lang", F.col("source").alias("origin"))
+    held = postings.store(spark, scratch(spark, "postings"), 16)
     first = F.coalesce(F.col("seg_id") % 3 != 0, F.lit(True))
     edited, french = F.col("origin") == "src1", F.col("lang") == "fr"
     after = docs.where(~F.coalesce(french, F.lit(False))).withColumn("text", F.when(edited, F.concat("text", F.lit(" edited anew"))).otherwise(F.col("text")))
