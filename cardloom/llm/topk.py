@@ -5,18 +5,16 @@ integers elsewhere; what passes the range of a long is held at its end. The inne
 one more component sqrt(M - |x|^2), M the greatest squared length in the tree, and a query given 0 there, the squared
 distance is |q|^2 + M - 2 q.x, which falls as the score grows.
 
-Vectors are dealt in shards of bounded size. Each shard is bulk-loaded into an M-tree: leaves are pages of vectors with
-their distances to the page's pivot, routing nodes keep covering radii and the distance to their parent's pivot. A search
-takes the node of the least possible distance first, and lets stored distances and the triangle inequality rule out
-nodes and page entries before any distance is computed. Queries go to every shard in blocks; the best of each shard are
-merged by one window. Nothing of the data is broadcast.
+Vectors are dealt in shards of bounded size. Each shard is bulk-loaded into an M-tree where its queries come: leaves are
+pages of vectors with their distances to the page's pivot, routing nodes keep covering radii and the distance to their
+parent's pivot. A search takes the page of the least possible distance first, and the triangle inequality rules out nodes
+and pages before their vectors are scored, for all of a block's queries by one matrix product a page. Queries go to every
+shard; the best of each shard are merged by one window. Neither trees nor any of the data are broadcast or shuffled whole.
 """
 
 from __future__ import annotations
 
 import heapq
-import io
-from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -24,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import checkpoint
+from cardloom.llm.common import checkpoint, give_back
 
-#: Vectors of a shard and of a page, branches of a routing node, and queries of a block.
-SHARD, PAGE, FAN, BLOCK = 8_192, 128, 16, 512
+#: Vectors of a shard at least and at most, and the number of shards up to which they stay small; vectors of a page, branches
+#: of a routing node, queries of a block and those that are searched at a time.
+SHARD, MOST, SHARDS, PAGE, FAN, BLOCK, STEP = 2_048, 65_536, 64, 128, 16, 65_536, 1024
 SCALE = 1024
 
 
@@ -148,20 +147,64 @@ class MTree:
                     heapq.heappush(queue, (bound, child, d))
         return sorted(((s, -n) for s, n in best), key=lambda x: (-x[0], x[1]))
 
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, top=self.top, **{k: getattr(self, k) for k in ("ids", "rows", "vectors", "pivot", "radius", "to_parent", "leaf", "first", "last", "entry", "apart")})
-        return out.getvalue()
-
-    @classmethod
-    def load(cls, data: bytes) -> MTree:
-        tree = cls.__new__(cls)
-        for name, value in np.load(io.BytesIO(data)).items():
-            setattr(tree, name, value)
-        tree.top, tree.scored = float(tree.top), 0
-        lengths = (tree.vectors.astype(np.float64) ** 2).sum(axis=1)
-        tree.points = np.concatenate([tree.vectors.astype(np.float64), np.sqrt(np.maximum(tree.top - lengths, 0))[:, None]], axis=1)
-        return tree
+    def search_all(self, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, score, id): ``search`` for many queries at once, a page being scored for all that need it.
+
+        Every query first takes the page of its least bound, which gives it a bar; then pages go by their least bounds, each
+        once, to the queries whose bars its bound doesn't pass. Queries whose sums may pass 2 ** 53 are searched one by one.
+        """
+        m = len(queries)
+        floats = queries.astype(np.float64)
+        plain = np.abs(floats).max(axis=1, initial=0.0) * self.most * queries.shape[1] < 2**53
+        single = [(i, s, n) for i in np.flatnonzero(~plain).tolist() for s, n in self.search(queries[i], k, None if own is None else int(own[i]))]
+        lengths = (floats**2).sum(axis=1)
+        slack = 1e-6 * (1 + np.sqrt(lengths + self.top))
+        pivots = self.points[self.pivot]
+        squared = lengths[:, None] + (pivots**2).sum(axis=1) - 2.0 * (floats @ pivots[:, :-1].T)
+        # the squares' rounding, carried to the distances, lowers the bounds
+        apart = np.sqrt(np.maximum(squared - 1e-12 * (lengths[:, None] + self.top + 1) * queries.shape[1], 0.0))
+        bounds = np.maximum(apart - self.radius, 0.0)
+        for at in np.flatnonzero(~self.leaf).tolist():  # children come after their parents
+            part = slice(self.first[at], self.last[at])
+            bounds[:, part] = np.maximum(bounds[:, part], bounds[:, at : at + 1])
+        leaves = np.flatnonzero(self.leaf)
+        bounds = bounds[:, leaves]
+        scores, ids, reach = np.full((m, k), -np.inf), np.full((m, k), np.iinfo(np.int64).max), np.full(m, np.inf)
+
+        def page(leaf: int, asks: np.ndarray) -> None:
+            rows = self.entry[self.first[leaves[leaf]] : self.last[leaves[leaf]]]
+            self.scored += len(rows) * len(asks)
+            found = floats[asks] @ self.floats[rows].T
+            may = found >= scores[asks, -1][:, None]
+            if own is not None:
+                may &= self.rows[rows] != own[asks][:, None]
+            of, at = np.nonzero(may)
+            if not len(of):
+                return
+            better = np.unique(of)
+            at_query = np.concatenate([of, np.repeat(better, k)])
+            value = np.concatenate([found[of, at], scores[asks[better]].ravel()])
+            name = np.concatenate([self.ids[rows[at]], ids[asks[better]].ravel()])
+            order = np.lexsort((name, -value, at_query))
+            at_query = at_query[order]
+            rank = np.arange(len(order)) - np.searchsorted(at_query, at_query)
+            kept = order[rank < k]
+            scores[asks[better]], ids[asks[better]] = value[kept].reshape(-1, k), name[kept].reshape(-1, k)
+            bar = scores[asks[better], -1]
+            some = np.isfinite(bar)
+            reach[asks[better[some]]] = np.sqrt(np.maximum(0.0, lengths[asks[better[some]]] + self.top - 2.0 * bar[some]))
+
+        if len(leaves) and plain.any():
+            nearest = np.where(plain, bounds.argmin(axis=1), -1)
+            for leaf in np.unique(nearest[plain]).tolist():
+                page(leaf, np.flatnonzero(nearest == leaf))
+            for leaf in np.argsort(bounds[plain].min(axis=0), kind="stable").tolist():
+                asks = np.flatnonzero(plain & (nearest != leaf) & (bounds[:, leaf] <= reach + slack))
+                if len(asks):
+                    page(leaf, asks)
+        of, at = np.nonzero(np.isfinite(scores))
+        more = [np.array(x, dtype=np.int64) for x in zip(*single, strict=True)] if single else [np.zeros(0, dtype=np.int64)] * 3
+        return np.concatenate([of, more[0]]), np.concatenate([scores[of, at].astype(np.int64), more[1]]), np.concatenate([ids[of, at], more[2]])
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -170,25 +213,20 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(rows), -1) if len(rows) else np.zeros((0, 0), dtype=np.int32)
 
 
-def _build(key: tuple, rows: pa.Table) -> pa.Table:
-    tree = MTree(rows.column("vec_id").to_numpy(), _matrix(rows.column("v")), rows.column("row").to_numpy())
-    return pa.table({"d": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([tree.dump()], pa.binary())})
-
-
-def _block(key: tuple, rows: pa.Table) -> pa.Table:
-    out = io.BytesIO()
-    np.savez(out, ids=rows.column("vec_id").to_numpy(), rows=rows.column("row").to_numpy(), vectors=_matrix(rows.column("v")))
-    return pa.table({"d": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "queries": pa.array([out.getvalue()], pa.binary())})
-
-
 def _search(k: int, not_itself: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tree_data, query_data in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                tree, asked = MTree.load(tree_data.as_py()), np.load(io.BytesIO(query_data.as_py()))
-                found = [(row, q, n, s) for row, q, v in zip(asked["rows"].tolist(), asked["ids"].tolist(), asked["vectors"], strict=True) for s, n in tree.search(v, k, row if not_itself else None)]
-                cols = list(zip(*found, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "query_id", "vec_id", "score"])
+    def run(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [np.zeros(0, dtype=np.int64)] * 4
+        if held.num_rows and asked.num_rows:
+            tree = MTree(held.column("vec_id").to_numpy(), _matrix(held.column("v")), held.column("row").to_numpy())
+            rows, ids, queries = asked.column("row").to_numpy(), asked.column("vec_id").to_numpy(), _matrix(asked.column("v"))
+            parts = []
+            for low in range(0, len(rows), STEP):
+                step = slice(low, low + STEP)
+                of, score, name = tree.search_all(queries[step], k, rows[step] if not_itself else None)
+                parts.append((rows[step][of], ids[step][of], name, score))
+            found = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        give_back()
+        return pa.table([pa.array(c, pa.int64()) for c in found], names=["row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -213,10 +251,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, not_itself: bool
     """
     vectors, queries = (x.withColumn("d", F.size("v")) for x in (vectors, queries))
     n, asked = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
-    trees = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).groupBy("d", "shard").applyInArrow(_build, "d int, shard int, tree binary")
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("long")).groupBy("d", "block").applyInArrow(_block, "d int, block long, queries binary")
-    pairs = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["d", "shard"])
-    found = pairs.repartition(min(shards * blocks, 4096), "d", "shard", "block").select("tree", "queries").mapInArrow(_search(k, not_itself), "row long, query_id long, vec_id long, score long")
+    size = min(max(SHARD, -(-n // SHARDS)), max(SHARD, MOST))
+    shards, blocks = max(1, -(-n // size)), max(1, -(-asked // BLOCK))
+    place = lambda of: F.pmod(F.xxhash64("row"), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    keys = ["d", "shard", "block"]
+    held = vectors.select("*", place(shards).alias("shard"), every(blocks).alias("block")).groupBy(keys)
+    dealt = queries.select("*", place(blocks).alias("block"), every(shards).alias("shard")).groupBy(keys)
+    found = held.cogroup(dealt).applyInArrow(_search(k, not_itself), "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -78,3 +78,27 @@ def test_bounds_spare_most_of_clustered_vectors():
         scores = vectors @ vectors[i]
         assert got == sorted(((int(scores[j]), j) for j in range(8000) if j != i), key=lambda x: (-x[0], x[1]))[:10]
     assert tree.scored < 0.35 * 20 * 8000
+
+
+@pytest.mark.parametrize("spread", [40, 1500])
+def test_many_queries_share_the_pages(spread):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1000, (40, 16))
+    vectors = np.round(centres[rng.integers(0, 40, 6000)] + rng.normal(0, spread, (6000, 16))).astype(np.int64)
+    vectors[50:90] = vectors[50]
+    tree, asked = topk.MTree(np.arange(6000) * 3 % 6007, vectors), np.arange(0, 6000, 25)
+    of, score, name = tree.search_all(vectors[asked], 10, asked)
+    got = {i: [] for i in range(len(asked))}
+    for row in sorted(zip(of.tolist(), (-score).tolist(), name.tolist(), strict=True)):
+        got[row[0]].append((-row[1], row[2]))
+    assert [got[i] for i in range(len(asked))] == [tree.search(vectors[q], 10, q) for q in asked]
+    if spread == 40:
+        tree.scored = 0
+        tree.search_all(vectors[asked], 10, asked)
+        assert tree.scored < 0.35 * len(asked) * 6000
+
+
+def test_trees_are_not_shuffled(spark):
+    whole = topk.quantised(spark.createDataFrame([(i, [float(i % 7), 1.0], 0, "", 0) for i in range(300)], SCHEMA))
+    plan = topk.top_k(whole, whole.where("vec_id % 100 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "Join" not in plan and "binary" not in plan
