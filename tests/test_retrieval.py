@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +275,15 @@ def test_positions_and_samples(spark):
     got = sorted(map(tuple, positions.strided(rows, "tag", "note_id", 10).collect()))
     assert got == [("a", i) for i in range(0, 95, 10)] + [("b", i) for i in range(10)]
     assert positions.positions(frame.limit(0), "id").count() == 0
+
+
+def test_bank_meets_few_vectors_at_a_time():
+    rng = np.random.default_rng(3)
+    bank, own = rng.normal(0, 1, (4096, 4)), rng.normal(0, 1, (1500, 4))
+    own[7] = 0
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(own.tolist())], names=["note_id", "vec"])
+    out = list(knn.bank_batches(iter([batch]), np.arange(4096), bank, False))
+    products = own @ bank.T
+    products[np.arange(1500), np.arange(1500)] = -np.inf
+    assert max(b.num_rows for b in out) * 4096 <= knn.PRODUCTS
+    assert np.allclose(np.concatenate([b.column(1).to_numpy() for b in out]), products.max(axis=1), atol=1e-12)
