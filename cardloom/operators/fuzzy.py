@@ -20,6 +20,8 @@ from cardloom.schema import HIDDEN_SOURCES
 MIN_SHARED = 2
 #: Terms of a bank that are carried to the scan; a larger bank joins the stored postings instead.
 CARRIED_TERMS = 200_000
+#: Distinct short queries that are looked for one by one in each text.
+FEW_NEEDLES = 64
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
@@ -148,15 +150,24 @@ def without_exact(fuzzy_rows: DataFrame, exact_rows: DataFrame) -> DataFrame:
 def exact_fallback(bank: DataFrame, segments: DataFrame, top_k: int) -> DataFrame:
     """(query_id, note_id, seg_id, rank) for queries too short for trigrams: a scan for the literal, notes in id order.
 
-    The first segment by ``ref`` answers for a note. The bank's short queries have at most two characters, so there are few
-    distinct ones; they are exploded against each text's own windows of that length, and no text meets a query it lacks.
+    The first segment by ``ref`` answers for a note. A few distinct needles are looked for in each text; of more, each text's own
+    windows of that length meet them, and no text meets a query it lacks. Of a needle only the first notes travel.
     """
     short = bank.select("query_id", F.lower(F.trim(nfc("text"))).alias("needle")).where("length(needle) between 1 and 2")
-    low = F.split(F.lower("text"), "")
-    windows = F.array_distinct(F.concat(low, F.when(F.size(low) > 1, F.zip_with(F.slice(low, 1, F.size(low) - 1), F.slice(low, 2, F.size(low) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))))
     needles = short.select("needle").distinct()
-    found = segments.select("seg_id", "note_id", "ref", F.explode(windows).alias("needle")).join(needles, "needle", "left_semi")
-    best = found.groupBy("needle", "note_id").agg(F.min(F.struct("ref", "seg_id")).alias("best")).join(short, "needle")
+    few = [r.needle for r in needles.limit(FEW_NEEDLES + 1).collect()]
+    where = segments.select("seg_id", "note_id", "ref", F.lower("text").alias("low"))
+    if not few:
+        found = where.select("seg_id", "note_id", "ref", F.lit("").alias("needle")).limit(0)
+    elif len(few) <= FEW_NEEDLES:
+        has = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(n)), F.lit(n)) for n in few)))
+        found = where.select("seg_id", "note_id", "ref", F.explode(has).alias("needle"))
+    else:
+        low = F.split("low", "")
+        windows = F.array_distinct(F.concat(low, F.when(F.size(low) > 1, F.zip_with(F.slice(low, 1, F.size(low) - 1), F.slice(low, 2, F.size(low) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))))
+        found = where.select("seg_id", "note_id", "ref", F.explode(windows).alias("needle")).join(needles, "needle", "left_semi")
+    first = found.withColumn("at", F.dense_rank().over(Window.partitionBy("needle").orderBy("note_id"))).where(F.col("at") <= top_k)
+    best = first.groupBy("needle", "note_id").agg(F.min(F.struct("ref", "seg_id")).alias("best")).join(short, "needle")
     out = best.select("query_id", "note_id", F.col("best.seg_id").alias("seg_id"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("note_id"))).where(F.col("rank") <= top_k)
 

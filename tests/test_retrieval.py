@@ -287,3 +287,21 @@ def test_bank_meets_few_vectors_at_a_time():
     products[np.arange(1500), np.arange(1500)] = -np.inf
     assert max(b.num_rows for b in out) * 4096 <= knn.PRODUCTS
     assert np.allclose(np.concatenate([b.column(1).to_numpy() for b in out]), products.max(axis=1), atol=1e-12)
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_few_short_queries_are_looked_for_one_by_one(spark, many):
+    rng = random.Random(9)
+    rows = [(rng.randrange(30), "field", f"{i:03}", "".join(rng.choice("abcdefghijklm İÄ漢") for _ in range(rng.choice([0, 1, 2, 9])))) for i in range(90)] + [(5, "field", "z", None)]
+    asked = ["ab", "ab", "A", "漢", "zz", " b ", "", "abc"] + [a + b for a in "abcdefghi" for b in "abcdefghi"] * many
+    short = [(q, t.strip().lower()) for q, t in enumerate(asked) if 1 <= len(t.strip()) <= 2]
+    want = {}
+    for q, t in short:
+        firsts = {}
+        for i, (note, _, ref, held) in enumerate(rows):
+            if t in (held or "").lower():
+                firsts[note] = min(firsts.get(note, (ref, i)), (ref, i))
+        want |= {(q, note, firsts[note][1], at + 1): 1 for at, note in enumerate(sorted(firsts)[:3])}
+    out = fuzzy.exact_fallback(bank(spark, *asked), segments(spark, rows), 3)
+    assert {(r.query_id, r.note_id, r.seg_id, r.rank) for r in out.collect()} == set(want)
+    assert ("zip_with" in out._jdf.queryExecution().optimizedPlan().toString()) == many
