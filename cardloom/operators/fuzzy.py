@@ -1,8 +1,9 @@
 """Typo-tolerant and literal search for a bank of queries at once.
 
 A query keeps its rarest present trigrams (and all absent ones); segments are ranked by how many of the kept ones they hold.
-All queries are answered by one plan: the bank's trigrams are applied where texts are read, so only postings of its terms are
-ever made; document frequencies and overlaps are partial aggregates; texts are joined to the survivors alone.
+All queries are answered by one plan. Without stored postings texts are read twice: a task counts the bank's terms, and once
+the kept ones are known each segment says which of those it holds. Segments then meet the queries in blocks (``overlap``), so
+no row is made per query and segment; texts are joined to the survivors alone.
 """
 
 from __future__ import annotations
@@ -14,14 +15,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.functions.text import byte_span, nfc, occurrences, trigram_rows
+from cardloom.functions.text import byte_span, nfc, occurrences, packed_trigrams, trigram_counts, trigram_rows
+from cardloom.operators.overlap import best_overlaps
 from cardloom.schema import HIDDEN_SOURCES
+from cardloom.sources.files import checkpoint
 
 MIN_SHARED = 2
 #: Terms of a bank that are carried to the scan; a larger bank joins the stored postings instead.
 CARRIED_TERMS = 200_000
 #: Distinct short queries that are looked for one by one in each text.
 FEW_NEEDLES = 64
+#: Segments that are told to the scan of texts, so that no others are dealt out.
+FEW_HITS = 200_000
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
@@ -41,12 +46,41 @@ def query_terms(bank: DataFrame) -> DataFrame:
     return trigram_rows(bank.select(F.col("query_id").alias("seg_id"), "text")).withColumnRenamed("seg_id", "query_id")
 
 
-def postings_for(bank: DataFrame, segments: DataFrame) -> DataFrame:
-    """(seg_id, term) of the segments, for terms of the bank."""
-    terms = query_terms(bank).select("term").distinct().limit(CARRIED_TERMS + 1).collect()
-    if len(terms) <= CARRIED_TERMS:
-        return trigram_rows(segments, frozenset(r.term for r in terms))
-    return trigram_rows(segments).join(query_terms(bank).select("term").distinct(), "term", "left_semi")
+def _carried(terms: DataFrame) -> frozenset[str] | None:
+    """The distinct terms, or None for more than are carried to the scan."""
+    rows = terms.select("term").distinct().limit(CARRIED_TERMS + 1).collect()
+    return frozenset(r.term for r in rows) if len(rows) <= CARRIED_TERMS else None
+
+
+def postings_for(terms: DataFrame, segments: DataFrame) -> DataFrame:
+    """(seg_id, term) of the segments, for some terms."""
+    few = _carried(terms)
+    return trigram_rows(segments).join(terms.select("term").distinct(), "term", "left_semi") if few is None else trigram_rows(segments, few)
+
+
+def frequency(terms: DataFrame, segments: DataFrame) -> DataFrame:
+    """(term, df) of some terms, counted where texts are read."""
+    few = _carried(terms)
+    return document_frequency(postings_for(terms, segments)) if few is None else trigram_counts(segments, few)
+
+
+def packed(terms: DataFrame, segments: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """(seg_id, note_id, held): the segments that hold any of the terms, and those one after the other."""
+    few = _carried(terms)
+    if postings is None and few is not None:
+        return packed_trigrams(segments, few)
+    rows = postings if postings is not None else trigram_rows(segments)
+    some = terms.select("term").distinct()
+    held = rows.join(some if few is None else F.broadcast(some), "term", "left_semi").groupBy("seg_id").agg(F.array_join(F.collect_list("term"), "").alias("held"))
+    return held.join(segments.select("seg_id", "note_id"), "seg_id").select("seg_id", "note_id", "held")
+
+
+def hit_texts(rows: DataFrame, segments: DataFrame, *columns: str) -> DataFrame:
+    """seg_id and some columns of the segments that the rows name. A number of them that can be told to the scan is, and then
+    no other text is dealt out; rows are read for that, so they had better be stored."""
+    some = rows.select("seg_id").distinct()
+    few = some.limit(FEW_HITS + 1).count() <= FEW_HITS
+    return segments.select("seg_id", *columns).join(F.broadcast(some) if few else some, "seg_id", "left_semi")
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -57,15 +91,15 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 def prune(terms: DataFrame, df: DataFrame, policy: PrunePolicy = PrunePolicy()) -> DataFrame:
     """(query_id, term, df): the kept terms of each query; absent terms have df 0 and are all kept."""
     known = terms.join(df, "term", "left").select("query_id", "term", F.coalesce("df", F.lit(0)).alias("df"))
-    order = Window.partitionBy("query_id").orderBy("df", "term")
+    own = Window.partitionBy("query_id", F.col("df") > 0)
+    order = own.orderBy("df", "term")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    present = known.where("df > 0").withColumns({"at": F.row_number().over(order), "present": F.count("*").over(Window.partitionBy("query_id"))})
-    cost = F.lit(policy.cost_per_term) * F.col("at") + F.lit(policy.cost_per_df) * F.sum("df").over(upto)
+    ranked = known.withColumns({"at": F.row_number().over(order), "present": F.count("*").over(own), "total": F.sum("df").over(upto)})
+    cost = F.lit(policy.cost_per_term) * F.col("at") + F.lit(policy.cost_per_df) * F.col("total")
     floor = F.least(F.lit(max(policy.typo_floor, MIN_SHARED)), F.col("present"))
     ends = (F.col("at") >= F.greatest(F.lit(policy.max_terms), floor)) | ((F.col("at") >= floor) & (cost >= policy.cost_budget))
-    last = F.min(F.when(F.col("ends"), F.col("at"))).over(Window.partitionBy("query_id"))
-    kept = present.withColumn("ends", ends).withColumn("last", last).where("last is null or at <= last").select("query_id", "term", "df")
-    return kept.unionByName(known.where("df = 0").select("query_id", "term", "df"))
+    last = F.min(F.when(F.col("ends"), F.col("at"))).over(own)
+    return ranked.withColumn("ends", ends).withColumn("last", last).where("df = 0 or last is null or at <= last").select("query_id", "term", "df")
 
 
 def fuzzy(bank: DataFrame, segments: DataFrame, top_k: int, scope: DataFrame | None = None, exclude: DataFrame | None = None, hidden: tuple[str, ...] = HIDDEN_SOURCES, policy: PrunePolicy = PrunePolicy(), postings: DataFrame | None = None) -> DataFrame:
@@ -75,24 +109,23 @@ def fuzzy(bank: DataFrame, segments: DataFrame, top_k: int, scope: DataFrame | N
     note_id; excluded notes leave the ranking after it is cut to top_k plus their number. Document frequencies are those of
     all segments, hidden and out of scope too, as terms are kept before notes are filtered.
     """
-    if top_k <= 0:
-        top_k = 0
-    postings = postings if postings is not None else postings_for(bank, segments)
-    kept = prune(query_terms(bank), document_frequency(postings), policy)
-    floors = kept.groupBy("query_id").agg(F.least(F.count("*"), F.lit(MIN_SHARED)).alias("floor"))
-    overlap = kept.where("df > 0").join(postings, "term").groupBy("query_id", "seg_id").agg(F.count("*").alias("overlap"))
-    met = overlap.join(floors, "query_id").where("overlap >= floor").select("query_id", "seg_id", "overlap")
-    where = segments.select("seg_id", "note_id", "source")
-    if hidden:
-        where = where.where(~F.col("source").isin(*hidden))
+    terms = query_terms(bank)
+    kept = checkpoint(prune(terms, frequency(terms, segments) if postings is None else document_frequency(postings), policy))
+    told = F.array_join(F.collect_list(F.when(F.col("df") > 0, F.col("term"))), "")
+    asked = kept.groupBy("query_id").agg(F.least(F.count("*"), F.lit(MIN_SHARED)).alias("floor"), told.alias("held")).where("held <> ''")
+    extra = None if exclude is None else exclude.groupBy("query_id").agg(F.count("*").alias("extra"))
+    most = F.lit(max(top_k, 0)).cast("long")
+    asked = asked.withColumn("most", most) if extra is None else asked.join(extra, "query_id", "left").withColumn("most", most + F.coalesce("extra", F.lit(0))).drop("extra")
+    where = segments if not hidden else segments.where(~F.col("source").isin(*hidden))
     if scope is not None:
         where = where.join(scope.select("note_id"), "note_id", "left_semi")
-    best = met.join(where, "seg_id").groupBy("query_id", "note_id").agg(F.max(F.struct("overlap", (-F.col("seg_id")).alias("at"))).alias("best"))
+    some = kept.where("df > 0").select("term", "df").distinct()
+    size = some.agg(F.sum("df")).first()[0] or 0
+    best = best_overlaps(asked, packed(some, where, postings), kept.select("query_id").distinct().count(), size)
     order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "note_id")
-    ranked = best.select("query_id", "note_id", (-F.col("best.at")).alias("seg_id"), F.col("best.overlap").alias("overlap")).withColumn("rank", F.row_number().over(order))
+    ranked = best.withColumn("rank", F.row_number().over(order))
     if exclude is None:
         return ranked.where(F.col("rank") <= top_k)
-    extra = exclude.groupBy("query_id").agg(F.count("*").alias("extra"))
     cut = ranked.join(extra, "query_id", "left").where(F.col("rank") <= top_k + F.coalesce("extra", F.lit(0))).drop("extra")
     left = cut.join(exclude.select("query_id", "note_id"), ["query_id", "note_id"], "left_anti")
     return left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
@@ -104,18 +137,18 @@ def containing(bank: DataFrame, segments: DataFrame, postings: DataFrame | None
     A segment that holds the text holds its rarest trigram, so only postings of that one are joined and only their texts are
     read. Queries of fewer than three characters have no trigram and no rows.
     """
-    postings = postings if postings is not None else postings_for(bank, segments)
-    known = query_terms(bank).join(document_frequency(postings), "term", "left")
-    rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
-    some = rarest.join(postings, "term").select("query_id", "seg_id")
-    texts = some.join(segments.select("seg_id", "note_id", "text"), "seg_id").join(bank.select("query_id", F.col("text").alias("needle")), "query_id")
+    terms = query_terms(bank)
+    known = terms.join(frequency(terms, segments) if postings is None else document_frequency(postings), "term", "left")
+    rarest = checkpoint(known.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term")))
+    some = checkpoint(rarest.join(postings if postings is not None else postings_for(rarest, segments), "term").select("query_id", "seg_id"))
+    texts = some.join(hit_texts(some, segments, "note_id", "text"), "seg_id").join(bank.select("query_id", F.col("text").alias("needle")), "query_id")
     return texts.where(F.contains("text", "needle")).select("query_id", "note_id", "seg_id")
 
 
 def exact_of(fuzzy_rows: DataFrame, bank: DataFrame, segments: DataFrame, top_k: int | None = None) -> DataFrame:
     """(query_id, note_id, seg_id, tf, rank): fuzzy rows whose segment holds the query literally, most frequent first."""
     needle = bank.select("query_id", F.lower(F.trim(nfc("text"))).alias("needle")).where("needle <> ''")
-    texts = fuzzy_rows.join(segments.select("seg_id", "text"), "seg_id").join(needle, "query_id")
+    texts = fuzzy_rows.join(hit_texts(fuzzy_rows, segments, "text"), "seg_id").join(needle, "query_id")
     low = F.lower(F.col("text"))
     hits = texts.where(F.contains(low, F.col("needle"))).select("query_id", "note_id", "seg_id", (occurrences(low, F.col("needle")) / F.length("text")).alias("tf"))
     out = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("tf"), "note_id")))
@@ -129,7 +162,7 @@ def lexical_signals(fuzzy_rows: DataFrame, bank: DataFrame, segments: DataFrame)
     """
     needle = bank.select("query_id", F.lower(F.trim(nfc("text"))).alias("needle"))
     low = F.lower(F.col("text"))
-    rows = fuzzy_rows.join(segments.select("seg_id", "text"), "seg_id").join(needle, "query_id")
+    rows = fuzzy_rows.join(hit_texts(fuzzy_rows, segments, "text"), "seg_id").join(needle, "query_id")
     tf = F.when((F.col("needle") != "") & F.contains(low, F.col("needle")), occurrences(low, F.col("needle")) / F.length("text"))
     rows = rows.select("query_id", "note_id", "seg_id", F.col("rank").alias("was"), tf.alias("tf")).withColumn("signal", F.when(F.col("tf").isNotNull(), "exact").otherwise("fuzzy"))
     order = Window.partitionBy("query_id", "signal").orderBy(F.desc_nulls_last("tf"), F.when(F.col("tf").isNull(), F.col("was")), "note_id")
@@ -174,7 +207,7 @@ def exact_fallback(bank: DataFrame, segments: DataFrame, top_k: int) -> DataFram
 
 def evidence(rows: DataFrame, bank: DataFrame, segments: DataFrame) -> DataFrame:
     """The rows with source, ref, text and the byte span of the literal query, where it stands."""
-    told = rows.join(segments.select("seg_id", "source", "ref", "text"), "seg_id").join(bank.select("query_id", F.col("text").alias("needle")), "query_id")
+    told = rows.join(hit_texts(rows, segments, "source", "ref", "text"), "seg_id").join(bank.select("query_id", F.col("text").alias("needle")), "query_id")
     return told.withColumn("span", byte_span("text", "needle")).drop("needle")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cardloom.functions.text import byte_span
 from cardloom.operators import fuse, fuzzy, knn, postings, tags
 from cardloom.sources.buckets import Buckets
+from cardloom.sources.files import checkpoint
 
 ALL = 1_000_000_000
 MOST_QUERIES = 50
@@ -59,7 +60,7 @@ def search(bank: DataFrame, index: Index, top_k: int = 10, query_vectors: DataFr
     """
     top_k = top_k or ALL
     held = postings.lookup(index.postings, bank) if isinstance(index.postings, Buckets) else index.postings
-    near = fuzzy.fuzzy(bank, index.segments, top_k, scope, exclude, postings=held)
+    near = checkpoint(fuzzy.fuzzy(bank, index.segments, top_k, scope, exclude, postings=held))
     lexical = fuzzy.lexical_signals(near, bank, index.segments)
     if fuzzy.short_queries(bank):
         where = index.segments.where(~F.col("source").isin(*fuzzy.HIDDEN_SOURCES))

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import calibrate, fuse, fuzzy, knn, positions, tags, vector_join
+from cardloom.functions import text
+from cardloom.operators import calibrate, fuse, fuzzy, knn, overlap, positions, tags, vector_join
 from cardloom.plans import search
 
 
@@ -305,3 +306,44 @@ def test_few_short_queries_are_looked_for_one_by_one(spark, many):
     out = fuzzy.exact_fallback(bank(spark, *asked), segments(spark, rows), 3)
     assert {(r.query_id, r.note_id, r.seg_id, r.rank) for r in out.collect()} == set(want)
     assert ("zip_with" in out._jdf.queryExecution().optimizedPlan().toString()) == many
+
+
+@pytest.mark.parametrize("postings", [False, True])
+def test_overlaps_in_shards_and_blocks_equal_brute_force(spark, monkeypatch, postings):
+    for name, value in {"SHARD_POSTINGS": 200, "BLOCK_QUERIES": 5, "WIDTH": 4, "STEP": 3}.items():
+        monkeypatch.setattr(overlap, name, value)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcé", k=n))
+    rows = [(s, s // 3, "vlm" if s % 7 == 0 else "field", str(s), word(rng.randrange(0, 14))) for s in range(150)]
+    segs = spark.createDataFrame(rows, "seg_id long, note_id long, source string, ref string, text string")
+    asked = [word(rng.randrange(2, 9)) for _ in range(17)]
+    out = [(q, n) for q in range(17) for n in rng.sample(range(50), q % 4)]
+    scope = spark.createDataFrame([(n,) for n in range(50) if n % 5], "note_id long")
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    held = {s: grams(t) for s, _, _, _, t in rows}
+    want = []
+    for q, t in enumerate(asked):
+        df = {g: sum(g in x for x in held.values()) for g in grams(t)}
+        kept = model_prune(list(df), df, fuzzy.PrunePolicy())
+        best = {}
+        for s, n, source, _, _ in rows:
+            o = len(held[s] & set(kept))
+            if o >= max(1, min(2, len(kept))) and source != "vlm" and n % 5:
+                best[n] = max(best.get(n, (0, 0)), (o, -s))
+        left = sorted((-o, n, -s) for n, (o, s) in best.items())[: 4 + q % 4]
+        left = [x for x in left if (q, x[1]) not in out][:4]
+        want += [(q, n, s, -o, at) for at, (o, n, s) in enumerate(left, 1)]
+    stored = text.trigram_rows(segs) if postings else None
+    got = fuzzy.fuzzy(bank(spark, *asked), segs, 4, scope, spark.createDataFrame(out, "query_id long, note_id long"), postings=stored)
+    assert sorted((r.query_id, r.note_id, r.seg_id, r.overlap, r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_no_row_is_made_per_query_and_segment(spark, monkeypatch):
+    made = []
+    ours = fuzzy.best_overlaps
+    monkeypatch.setattr(fuzzy, "best_overlaps", lambda asked, held, *n: made.append(ours(asked, held, *n)) or made[-1])
+    rows = [(s, s, "field", "a", f"the same words and number {s}") for s in range(400)]
+    segs = spark.createDataFrame(rows, "seg_id long, note_id long, source string, ref string, text string")
+    got = fuzzy.fuzzy(bank(spark, *["the same words"] * 100), segs, 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Explode" not in plan.split("FlatMapCoGroups")[0] and got.count() == 300 and made[0].count() == 300
