@@ -10,7 +10,6 @@ from cardloom.operators import filters, mutate, postings, stats, tags
 from cardloom.operators.cards import empty_cards
 from cardloom.plans import search as plans
 from cardloom.sources import notes as sources
-from cardloom.sources.buckets import Buckets
 from cardloom.sources.files import checkpoint
 from cardloom.sources.state import State
 
@@ -70,7 +69,7 @@ class Collection:
     def _segments(self, version: int) -> DataFrame:
         return sources.numbered(sources.field_segments(self.states["notes"].read(version)))
 
-    def postings(self) -> Buckets:
+    def postings(self) -> postings.Postings:
         """The stored postings of the present notes, brought there from the notes' version that they were made of: only
         segments whose texts differ are read for terms, and only the buckets of terms that came or went are written."""
         held, now = postings.store(self.spark, f"{self.folder}/postings"), self.states["notes"].version()

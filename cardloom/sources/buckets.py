@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,11 @@ class Buckets:
         self._files = Folder(spark, folder)
         self.n = (self.manifest() or {}).get("n", n)
 
+    @property
+    def stored(self) -> str:
+        """The columns of the files, for tables that keep their rows in another form."""
+        return self.schema
+
     # versions
 
     def version(self) -> int:
@@ -74,19 +80,27 @@ class Buckets:
 
     def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """The rows of a version (the last one), of some buckets or of all: the base and what was added, less what was removed."""
+        return self._rows(version, buckets)
+
+    def _rows(self, version: int | None = None, buckets: list[int] | None = None, some: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """The rows as they are stored; ``some`` keeps the rows of some keys where files are read."""
         held = (self.manifest(version) or {"buckets": {}})["buckets"]
-        some = held if buckets is None else {str(b): held[str(b)] for b in buckets if str(b) in held}
-        plain = self._load([x["base"] for x in some.values() if x["base"] and not x["layers"]], self.schema)
-        layered = {b: x for b, x in some.items() if x["layers"]}
+        asked = held if buckets is None else {str(b): held[str(b)] for b in buckets if str(b) in held}
+        plain = some(self._load([x["base"] for x in asked.values() if x["base"] and not x["layers"]], self.stored))
+        layered = {b: x for b, x in asked.items() if x["layers"]}
         if not layered:
             return plain
-        base = self._load([x["base"] for x in layered.values() if x["base"]], self.schema)
+        base = some(self._load([x["base"] for x in layered.values() if x["base"]], self.stored))
         depth = max(len(x["layers"]) for x in layered.values())
-        kind = f"{self.schema}, op int"
-        levels = [self._load([x["layers"][i] for x in layered.values() if i < len(x["layers"])], kind).withColumn("_at", F.lit(i)) for i in range(depth)]
+        kind = f"{self.stored}, op int"
+        levels = [some(self._load([x["layers"][i] for x in layered.values() if i < len(x["layers"])], kind)).withColumn("_at", F.lit(i)) for i in range(depth)]
+        return plain.unionByName(self._folded(base, levels))
+
+    def _folded(self, base: DataFrame, levels: list[DataFrame]) -> DataFrame:
+        """The base under its layers (with their numbers as ``_at``), the last one in force."""
         columns = base.columns
         last = reduce(DataFrame.unionByName, levels).groupBy(*columns).agg(F.max_by("op", "_at").alias("op"))
-        return plain.unionByName(base.join(last, columns, "left_anti")).unionByName(last.where("op > 0").select(columns))
+        return base.join(last, columns, "left_anti").unionByName(last.where("op > 0").select(columns))
 
     # writes
 
@@ -117,7 +131,7 @@ class Buckets:
         """Fold the layers of buckets that have more than ``most`` into their bases; the version."""
         held = (self.manifest() or {"buckets": {}})["buckets"]
         deep = [int(b) for b, x in held.items() if len(x["layers"]) > most]
-        return self.rewrite(deep, self.read(buckets=deep)) if deep else self.version()
+        return self.rewrite(deep, self._rows(buckets=deep)) if deep else self.version()
 
     def vacuum(self, keep: int = 2) -> int:
         """Remove folders that none of the last ``keep`` versions names, and older manifests; how many folders went. Not

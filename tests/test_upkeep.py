@@ -192,3 +192,21 @@ def test_two_writers_of_a_version(spark, tmp_path):
     with pytest.raises(RuntimeError, match="another writer"):
         two._commit({}, None)
     assert [tuple(r) for r in one.read().collect()] == [("abc", 1)]
+
+
+def test_postings_are_lists_of_bounded_length(spark, tmp_path):
+    ids = [*range(-3, 400), 65_535, 65_536, 65_537, (1 << 40) + 5]
+    texts = {s: "abc" if s % 2 else "abcd" for s in ids}
+    frame = lambda texts: spark.createDataFrame(list(texts.items()), "seg_id long, text string")
+    held = postings.store(spark, str(tmp_path / "p"), 4)
+    postings.build(held, frame(texts).coalesce(1))
+    lists = {(r.term, r.high): len(r.lows) for r in held.lists().collect()}
+    assert lists == {("abc", -1): 3, ("abc", 0): 401, ("abc", 1): 2, ("abc", 1 << 24): 1, ("bcd", -1): 1, ("bcd", 0): 200, ("bcd", 1): 1}
+    postings.update(held, frame({0: "abcd", 1: "abc", 65_537: "abc"}), frame({1: "abcx", 70_000: "bcd"}))
+    texts = {s: t for s, t in texts.items() if s not in (0, 65_537)} | {1: "abcx", 70_000: "bcd"}
+    assert sorted(map(tuple, held.read().collect())) == model_postings(texts)
+    for r in held.totals().collect():
+        own = [s for t, s in model_postings(texts) if t == r.term]
+        assert (r.df, r.first_seg, r.last_seg, r.seg_sum) == (len(own), min(own), max(own), sum(own))
+    found = {r.term: r.df for r in held.frequency(spark.createDataFrame([("bcx",), ("bcd",), ("zzz",)], "term string")).collect()}
+    assert found == {"bcx": 1, "bcd": 202}
