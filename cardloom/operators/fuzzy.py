@@ -9,6 +9,7 @@ no row is made per query and segment; texts are joined to the survivors alone.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,6 +31,13 @@ FEW_HITS = 200_000
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
+class Stored(Protocol):
+    """Postings that are read for some terms at a time."""
+
+    def frequency(self, terms: DataFrame) -> DataFrame: ...
+    def rows(self, terms: DataFrame) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class PrunePolicy:
     """Keep at least ``typo_floor`` of the rarest present terms, then more while the scan costs less than the budget."""
@@ -58,18 +66,20 @@ def postings_for(terms: DataFrame, segments: DataFrame) -> DataFrame:
     return trigram_rows(segments).join(terms.select("term").distinct(), "term", "left_semi") if few is None else trigram_rows(segments, few)
 
 
-def frequency(terms: DataFrame, segments: DataFrame) -> DataFrame:
-    """(term, df) of some terms, counted where texts are read."""
+def frequency(terms: DataFrame, segments: DataFrame, postings: DataFrame | Stored | None = None) -> DataFrame:
+    """(term, df) of some terms, from postings or counted where texts are read."""
+    if postings is not None:
+        return document_frequency(postings) if isinstance(postings, DataFrame) else postings.frequency(terms)
     few = _carried(terms)
     return document_frequency(postings_for(terms, segments)) if few is None else trigram_counts(segments, few)
 
 
-def packed(terms: DataFrame, segments: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+def packed(terms: DataFrame, segments: DataFrame, postings: DataFrame | Stored | None = None) -> DataFrame:
     """(seg_id, note_id, held): the segments that hold any of the terms, and those one after the other."""
     few = _carried(terms)
     if postings is None and few is not None:
         return packed_trigrams(segments, few)
-    rows = postings if postings is not None else trigram_rows(segments)
+    rows = trigram_rows(segments) if postings is None else postings if isinstance(postings, DataFrame) else postings.rows(terms)
     some = terms.select("term").distinct()
     held = rows.join(some if few is None else F.broadcast(some), "term", "left_semi").groupBy("seg_id").agg(F.array_join(F.collect_list("term"), "").alias("held"))
     return held.join(segments.select("seg_id", "note_id"), "seg_id").select("seg_id", "note_id", "held")
@@ -102,7 +112,7 @@ def prune(terms: DataFrame, df: DataFrame, policy: PrunePolicy = PrunePolicy())
     return ranked.withColumn("ends", ends).withColumn("last", last).where("df = 0 or last is null or at <= last").select("query_id", "term", "df")
 
 
-def fuzzy(bank: DataFrame, segments: DataFrame, top_k: int, scope: DataFrame | None = None, exclude: DataFrame | None = None, hidden: tuple[str, ...] = HIDDEN_SOURCES, policy: PrunePolicy = PrunePolicy(), postings: DataFrame | None = None) -> DataFrame:
+def fuzzy(bank: DataFrame, segments: DataFrame, top_k: int, scope: DataFrame | None = None, exclude: DataFrame | None = None, hidden: tuple[str, ...] = HIDDEN_SOURCES, policy: PrunePolicy = PrunePolicy(), postings: DataFrame | Stored | None = None) -> DataFrame:
     """(query_id, note_id, seg_id, overlap, rank): each query's best notes by their best segment.
 
     ``bank``: query_id, text. ``scope``: note_id of the notes that may answer (an empty table: none). ``exclude``: query_id,
@@ -110,7 +120,7 @@ def fuzzy(bank: DataFrame, segments: DataFrame, top_k: int, scope: DataFrame | N
     all segments, hidden and out of scope too, as terms are kept before notes are filtered.
     """
     terms = query_terms(bank)
-    kept = checkpoint(prune(terms, frequency(terms, segments) if postings is None else document_frequency(postings), policy))
+    kept = checkpoint(prune(terms, frequency(terms, segments, postings), policy))
     told = F.array_join(F.collect_list(F.when(F.col("df") > 0, F.col("term"))), "")
     asked = kept.groupBy("query_id").agg(F.least(F.count("*"), F.lit(MIN_SHARED)).alias("floor"), told.alias("held")).where("held <> ''")
     extra = None if exclude is None else exclude.groupBy("query_id").agg(F.count("*").alias("extra"))
@@ -138,7 +148,7 @@ def containing(bank: DataFrame, segments: DataFrame, postings: DataFrame | None
     read. Queries of fewer than three characters have no trigram and no rows.
     """
     terms = query_terms(bank)
-    known = terms.join(frequency(terms, segments) if postings is None else document_frequency(postings), "term", "left")
+    known = terms.join(frequency(terms, segments, postings), "term", "left")
     rarest = checkpoint(known.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term")))
     some = checkpoint(rarest.join(postings if postings is not None else postings_for(rarest, segments), "term").select("query_id", "seg_id"))
     texts = some.join(hit_texts(some, segments, "note_id", "text"), "seg_id").join(bank.select("query_id", F.col("text").alias("needle")), "query_id")

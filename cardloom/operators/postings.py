@@ -33,7 +33,7 @@ class Postings(Buckets):
         return _unpacked(self._rows(version, buckets))
 
     def lists(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, high, lows) of some terms, from their buckets alone, or of all; every posting is in one list once."""
+        """(term, high, lows) of some terms, from their buckets alone, or of all; every posting is in one list. Lists may be empty."""
         if terms is None:
             return self._rows()
         terms = terms.select("term").distinct()
@@ -45,22 +45,22 @@ class Postings(Buckets):
 
     def frequency(self, terms: DataFrame) -> DataFrame:
         """(term, df) of some terms."""
-        return self.lists(terms).groupBy("term").agg(F.sum(F.size("lows").cast("long")).alias("df"))
+        return self.lists(terms).groupBy("term").agg(F.sum(F.size("lows").cast("long")).alias("df")).where("df > 0")
 
     def totals(self) -> DataFrame:
         """(term, df, first_seg, last_seg, seg_sum): of each term's segments the number, least and greatest id, and sum."""
         size = F.size("lows").cast("long")
         low = F.aggregate("lows", F.lit(0).cast("long"), lambda s, x: s + x)
         at = F.col("high") * 65536 + 32768
-        some = self._rows().where("size(lows) > 0").select("term", size.alias("n"), (at + F.array_min("lows")).alias("first"), (at + F.array_max("lows")).alias("last"), (at * size + low).alias("sum"))
-        return some.groupBy("term").agg(F.sum("n").alias("df"), F.min("first").alias("first_seg"), F.max("last").alias("last_seg"), F.sum("sum").alias("seg_sum"))
+        some = self._rows().select("term", size.alias("n"), (at + F.array_min("lows")).alias("first"), (at + F.array_max("lows")).alias("last"), (at * size + low).alias("sum"))
+        return some.groupBy("term").agg(F.sum("n").alias("df"), F.min("first").alias("first_seg"), F.max("last").alias("last_seg"), F.sum("sum").alias("seg_sum")).where("df > 0")
 
     def _write(self, rows: DataFrame) -> dict[int, str]:
         if "seg_id" in rows.columns:
             keys = [*(c for c in ("term", "op") if c in rows.columns), F.shiftright("seg_id", 16).alias("high")]
             low = (F.col("seg_id").bitwiseAND(0xFFFF) - 0x8000).cast("smallint")
             rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(low)).alias("lows"))
-        return super()._write(rows)
+        return super()._write(rows.where("size(lows) > 0"))
 
     def _folded(self, base: DataFrame, levels: list[DataFrame]) -> DataFrame:
         every = reduce(DataFrame.unionByName, [base.withColumns({"op": F.lit(1), "_at": F.lit(-1)}), *levels])
@@ -70,7 +70,7 @@ class Postings(Buckets):
         for at in range(len(levels)):
             left = F.when(F.size(f"went{at}") > 0, F.array_except(lows, f"went{at}")).otherwise(lows)
             lows = F.when(F.size(f"came{at}") > 0, F.array_union(left, f"came{at}")).otherwise(left)
-        return every.groupBy("term", "high").agg(*(c.alias(name) for name, c in parts.items())).select("term", "high", lows.alias("lows")).where("size(lows) > 0")
+        return every.groupBy("term", "high").agg(*(c.alias(name) for name, c in parts.items())).select("term", "high", lows.alias("lows"))  # a filter here would fold twice
 
 
 def _packed(segments: DataFrame) -> DataFrame:
