@@ -14,8 +14,8 @@ from cardloom.functions.text import col
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 MIX_STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _MASK = (1 << 64) - 1
-#: Texts that are left when hashing byte by byte in a batch no longer pays.
-_FEW = 48
+#: Bytes that are hashed at a time.
+HASHED = 1 << 20
 
 
 def inner_product(a: Column | str, b: Column | str) -> Column:
@@ -44,21 +44,58 @@ def fnv1a(data: bytes, state: int = FNV_OFFSET) -> int:
     return state
 
 
+def _fnv1a_at_once(joined: np.ndarray, sizes: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """The states after texts of one byte and more that lie one after the other.
+
+    A step is (state ^ byte) * prime, and the xor changes the state's low byte alone, by a difference. So with all low bytes
+    known, the state is a sum of differences times powers of the prime. As the prime is odd, each bit of the low byte is the one
+    before it, xor what the byte and the lower bits give: one running xor per bit.
+    """
+    prime, ends = np.uint64(FNV_PRIME), np.cumsum(sizes)
+    starts = ends - sizes
+    met = np.zeros(len(joined), dtype=np.uint8)  # low bytes after the xor
+    for bit in range(8):
+        own = joined >> bit & 1
+        step = own ^ ((met * np.uint8(FNV_PRIME & 0xFF)) >> bit & 1)
+        before = np.bitwise_xor.accumulate(step) ^ step
+        first = before[starts] ^ (states >> np.uint64(bit) & np.uint64(1)).astype(np.uint8)
+        met |= (before ^ np.repeat(first, sizes) ^ own) << bit
+    powers = np.multiply.accumulate(np.full(int(sizes.max()), prime))
+    left = np.repeat(ends, sizes) - np.arange(len(joined)) - 1
+    change = met.astype(np.uint64) - (met ^ joined).astype(np.uint64)
+    return states * powers[sizes - 1] + np.add.reduceat(change * powers[left], starts)
+
+
 def fnv1a_batch(data: list[bytes]) -> list[int]:
-    """``fnv1a`` of each, taking one byte of all that still have bytes at a time; the last long ones go by themselves."""
-    order = sorted(range(len(data)), key=lambda i: -len(data[i]))
-    lengths = np.array([len(data[i]) for i in order], dtype=np.int64)
-    joined = np.frombuffer(b"".join(data[i] for i in order), dtype=np.uint8)
-    starts, states = np.cumsum(lengths) - lengths, np.full(len(data), FNV_OFFSET, dtype=np.uint64)
-    at, live = 0, int(np.count_nonzero(lengths))
-    while live > _FEW:
-        states[:live] = (states[:live] ^ joined[starts[:live] + at]) * np.uint64(FNV_PRIME)
-        at += 1
-        live = int(np.searchsorted(-lengths, -at, side="left"))
-    out = [0] * len(data)
-    for place, i in enumerate(order):
-        out[i] = fnv1a(data[i][at:], int(states[place]))
-    return out
+    """``fnv1a`` of each, HASHED bytes at a time; a longer text goes on from the state of its last piece."""
+    states = np.full(len(data), FNV_OFFSET, dtype=np.uint64)
+    group, held = [], 0
+
+    def hashed(group: list[tuple[int, bytes]]) -> None:
+        if group:
+            at = np.array([i for i, _ in group])
+            states[at] = _fnv1a_at_once(np.frombuffer(b"".join(x for _, x in group), dtype=np.uint8), np.array([len(x) for _, x in group]), states[at])
+
+    for i, text in enumerate(data):
+        for low in range(0, len(text), HASHED):
+            if low or held > HASHED:
+                hashed(group)
+                group, held = [], 0
+            group.append((i, text[low : low + HASHED]))
+            held += len(group[-1][1])
+    hashed(group)
+    return states.tolist()
+
+
+def synthetic_vectors(seeds: list[int], dims: int) -> np.ndarray:
+    """``synthetic_vector`` of each seed, as rows."""
+    with np.errstate(over="ignore"):
+        z = np.array(seeds, dtype=np.uint64).reshape(-1, 1) + np.arange(1, dims + 1, dtype=np.uint64) * np.uint64(MIX_STEP)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(MIX_A)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(MIX_B)
+    v = ((z ^ z >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / (1 << 53) * 2 - 1
+    length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, length, out=v.copy(), where=length > 0).astype(np.float32)
 
 
 def synthetic_vector(text: str, dims: int, seed: int | None = None) -> list[float]:
@@ -81,7 +118,6 @@ def synthetic_embedder(dims: int = 64):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         held = [t or "" for t in texts]
-        seeds = fnv1a_batch([t.encode() for t in held])
-        return pd.Series([synthetic_vector(t, dims, s) for t, s in zip(held, seeds, strict=True)], index=texts.index, dtype=object)
+        return pd.Series(list(synthetic_vectors(fnv1a_batch([t.encode() for t in held]), dims)), index=texts.index, dtype=object)
 
     return embed

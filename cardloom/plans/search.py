@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import byte_span
-from cardloom.operators import fuse, fuzzy, knn, postings, tags
-from cardloom.sources.buckets import Buckets
+from cardloom.operators import fuse, fuzzy, knn, tags
+from cardloom.operators.postings import Postings
 from cardloom.sources.files import checkpoint
 
 ALL = 1_000_000_000
@@ -25,7 +25,7 @@ class Index:
     vectors: DataFrame | None = None
     members: DataFrame | None = None
     centroids: DataFrame | None = None
-    postings: DataFrame | Buckets | None = None
+    postings: DataFrame | Postings | None = None
     image_floor: float | None = None
     version: int = 0
     spaces: dict[str, DataFrame] = field(default_factory=dict)
@@ -59,8 +59,7 @@ def search(bank: DataFrame, index: Index, top_k: int = 10, query_vectors: DataFr
     null where letters alone found the note. Texts are joined to the hits only, for the byte spans that show why.
     """
     top_k = top_k or ALL
-    held = postings.lookup(index.postings, bank) if isinstance(index.postings, Buckets) else index.postings
-    near = checkpoint(fuzzy.fuzzy(bank, index.segments, top_k, scope, exclude, postings=held))
+    near = checkpoint(fuzzy.fuzzy(bank, index.segments, top_k, scope, exclude, postings=index.postings))
     lexical = fuzzy.lexical_signals(near, bank, index.segments)
     if fuzzy.short_queries(bank):
         where = index.segments.where(~F.col("source").isin(*fuzzy.HIDDEN_SOURCES))
@@ -70,6 +69,7 @@ def search(bank: DataFrame, index: Index, top_k: int = 10, query_vectors: DataFr
         if exclude is not None:
             short = short.join(exclude.select("query_id", "note_id"), ["query_id", "note_id"], "left_anti")
         lexical = lexical.unionByName(short)
+    lexical = checkpoint(lexical)
     rankings = [lexical.select("query_id", "signal", "note_id", "rank")]
     scores = None
     if query_vectors is not None and index.vectors is not None:
@@ -99,7 +99,7 @@ def search(bank: DataFrame, index: Index, top_k: int = 10, query_vectors: DataFr
     if not evidence:
         return out.select(columns)
     found = lexical.select("query_id", "note_id", "seg_id", F.when(F.col("signal") == "exact", "substring").otherwise("fuzzy").alias("how"))
-    told = found.join(out.select("query_id", "note_id"), ["query_id", "note_id"], "left_semi").join(index.segments.select("seg_id", "source", "ref", "text"), "seg_id").join(bank.select("query_id", F.col("text").alias("needle")), "query_id")
+    told = found.join(out.select("query_id", "note_id"), ["query_id", "note_id"], "left_semi").join(fuzzy.hit_texts(lexical, index.segments, "source", "ref", "text"), "seg_id").join(bank.select("query_id", F.col("text").alias("needle")), "query_id")
     told = told.withColumns({"literal": byte_span("text", "needle"), "shared": fuzzy.matched_span("text", "needle")})
     shown = {how: F.struct("source", "ref", "text", F.col(span).alias("span")) for how, span in (("substring", "literal"), ("fuzzy", "shared"))}
     kinds = told.groupBy("query_id", "note_id").agg(*(F.first(F.when(F.col("how") == how, s), ignorenulls=True).alias(how) for how, s in shown.items()))

@@ -109,6 +109,17 @@ def test_batch_hash_is_the_loops():
     assert vectors.fnv1a_batch(data) == [vectors.fnv1a(x) for x in data] and vectors.fnv1a_batch([]) == []
 
 
+def test_long_texts_are_hashed_without_a_loop_over_bytes(monkeypatch):
+    rng = random.Random(4)
+    data = [rng.randbytes(n) for n in (70, 0, 3, 64, 200, 1, 65, 32, 33, 500)]
+    want = [vectors.fnv1a(x) for x in data]
+    monkeypatch.setattr(vectors, "HASHED", 64, raising=False)
+    monkeypatch.setattr(vectors, "fnv1a", lambda *a: pytest.fail("byte by byte"))
+    assert vectors.fnv1a_batch(data) == want
+    for dims in (1, 7, 32, 200):
+        assert vectors.synthetic_vectors(want, dims).tolist() == [vectors.synthetic_vector("", dims, s) for s in want]
+
+
 def test_trigrams_come_in_batches_of_bounded_size():
     rng = random.Random(5)
     texts = ["".join(rng.choice("abcdefgh ÄİéßΣ漢字😀") for _ in range(rng.choice([0, 1, 2, 3, 500, 9_000]))) for _ in range(600)] + [None, "xyz" * 200_000 + "q漢"]
