@@ -3,21 +3,26 @@
 A query keeps its rarest present trigrams (and all absent ones); segments are ranked by how many of the kept ones they hold.
 All queries are answered by one plan. Without stored postings texts are read twice: a task counts the bank's terms, and once
 the kept ones are known each segment says which of those it holds. Segments then meet the queries in blocks (``overlap``), so
-no row is made per query and segment; texts are joined to the survivors alone.
+no row is made per query and segment; texts are joined to the survivors alone. A bank whose distinct terms can be carried is
+pruned where its texts are read, by the terms' counts; no row is made per query and term.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.functions.text import byte_span, nfc, occurrences, packed_trigrams, trigram_counts, trigram_rows
-from cardloom.operators.overlap import best_overlaps
+from cardloom.functions.text import byte_span, coded, nfc, occurrences, packed_trigrams, task_terms, trigram_counts, trigram_rows
+from cardloom.operators.overlap import EARLY, LEAST_POSTINGS, best_overlaps
 from cardloom.schema import HIDDEN_SOURCES
 from cardloom.sources.files import checkpoint
 
@@ -66,6 +71,10 @@ def postings_for(terms: DataFrame, segments: DataFrame) -> DataFrame:
     return trigram_rows(segments).join(terms.select("term").distinct(), "term", "left_semi") if few is None else trigram_rows(segments, few)
 
 
+def _told(segments: DataFrame, few: frozenset[str]) -> DataFrame:
+    return F.broadcast(segments.sparkSession.createDataFrame([(t,) for t in sorted(few)], "term string"))
+
+
 def frequency(terms: DataFrame, segments: DataFrame, postings: DataFrame | Stored | None = None) -> DataFrame:
     """(term, df) of some terms, from postings or counted where texts are read."""
     if postings is not None:
@@ -74,14 +83,20 @@ def frequency(terms: DataFrame, segments: DataFrame, postings: DataFrame | Store
     return document_frequency(postings_for(terms, segments)) if few is None else trigram_counts(segments, few)
 
 
+def carried_frequency(few: frozenset[str], segments: DataFrame, postings: DataFrame | Stored | None = None) -> dict[str, int]:
+    """In how many segments each of a few terms is; those that are nowhere are left out."""
+    if postings is None:
+        counts = trigram_counts(segments, few)
+    else:
+        told = _told(segments, few)
+        counts = document_frequency(postings.join(told, "term", "left_semi")) if isinstance(postings, DataFrame) else postings.frequency(told)
+    return {r.term: r.df for r in counts.collect()}
+
+
 def packed(terms: DataFrame, segments: DataFrame, postings: DataFrame | Stored | None = None) -> DataFrame:
     """(seg_id, note_id, held): the segments that hold any of the terms, and those one after the other."""
-    few = _carried(terms)
-    if postings is None and few is not None:
-        return packed_trigrams(segments, few)
     rows = trigram_rows(segments) if postings is None else postings if isinstance(postings, DataFrame) else postings.rows(terms)
-    some = terms.select("term").distinct()
-    held = rows.join(some if few is None else F.broadcast(some), "term", "left_semi").groupBy("seg_id").agg(F.array_join(F.collect_list("term"), "").alias("held"))
+    held = rows.join(terms, "term", "left_semi").groupBy("seg_id").agg(F.array_join(F.collect_list("term"), "").alias("held"))
     return held.join(segments.select("seg_id", "note_id"), "seg_id").select("seg_id", "note_id", "held")
 
 
@@ -112,6 +127,66 @@ def prune(terms: DataFrame, df: DataFrame, policy: PrunePolicy = PrunePolicy())
     return ranked.withColumn("ends", ends).withColumn("last", last).where("df = 0 or last is null or at <= last").select("query_id", "term", "df")
 
 
+def kept_of(present: list[tuple[int, str]], policy: PrunePolicy = PrunePolicy()) -> list[tuple[int, str]]:
+    """``prune`` of one query's present terms (df, term), in order."""
+    floor, total = min(max(policy.typo_floor, MIN_SHARED), len(present)), 0
+    for at, (df, _) in enumerate(present, 1):
+        total += df
+        if at >= floor and (at >= policy.max_terms or policy.cost_per_term * at + policy.cost_per_df * total >= policy.cost_budget):
+            return present[:at]
+    return present
+
+
+def pruned(bank: DataFrame, df: dict[str, int], policy: PrunePolicy = PrunePolicy()) -> DataFrame:
+    """(query_id, held, size, floor): each query's kept terms that are anywhere, one after the other, how many, and the least
+    overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size, floor = [], [], []
+            for texts in batch.column("texts").to_pylist():
+                lows = [unicodedata.normalize("NFC", x).lower() for x in texts]
+                own = {x[i : i + 3] for x in lows for i in range(len(x) - 2)}
+                present = sorted((df[g], g) for g in own if g in df)
+                kept = kept_of(present, policy)
+                held.append("".join(g for _, g in kept))
+                size.append(len(kept))
+                floor.append(min(len(kept) + len(own) - len(present), MIN_SHARED))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(held, pa.string()), pa.array(size, pa.int64()), pa.array(floor, pa.int64())], names=["query_id", "held", "size", "floor"])
+
+    texts = bank.groupBy("query_id").agg(F.collect_list("text").alias("texts"))
+    return texts.mapInArrow(run, f"query_id {dict(bank.dtypes)['query_id']}, held string, size long, floor long").where("held <> ''")
+
+
+def _held_terms(asked: DataFrame) -> frozenset[str]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {x[i : i + 3] for batch in batches for x in batch.column("held").to_pylist() for i in range(0, len(x), 3)}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], names=["term"])
+
+    return frozenset(r.term for r in asked.select("held").mapInArrow(run, "term string").distinct().collect())
+
+
+def _numbered(asked: DataFrame, terms: frozenset[str]) -> DataFrame:
+    """The queries with their terms as ``packed_trigrams`` has them."""
+    number = {t: i for i, t in enumerate(sorted(terms))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted(number[x[i : i + 3]] for i in range(0, len(x), 3)) for x in batch.column("held").to_pylist()]
+            of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            held = coded(of, np.array([n for x in own for n in x], dtype=np.int64), len(own))
+            yield batch.set_column(batch.schema.get_field_index("held"), "held", held)
+
+    kinds = {**dict(asked.dtypes), "held": "binary"}
+    return asked.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in asked.columns))
+
+
+def _early(segments: DataFrame) -> int | None:
+    """The note up to which notes meet the queries first."""
+    found = segments.select(F.col("note_id").cast("long")).approxQuantile("note_id", [EARLY], EARLY / 8)
+    return min(int(found[0]), (1 << 63) - 1) if found else None
+
+
 def fuzzy(bank: DataFrame, segments: DataFrame, top_k: int, scope: DataFrame | None = None, exclude: DataFrame | None = None, hidden: tuple[str, ...] = HIDDEN_SOURCES, policy: PrunePolicy = PrunePolicy(), postings: DataFrame | Stored | None = None) -> DataFrame:
     """(query_id, note_id, seg_id, overlap, rank): each query's best notes by their best segment.
 
@@ -119,19 +194,31 @@ def fuzzy(bank: DataFrame, segments: DataFrame, top_k: int, scope: DataFrame | N
     note_id; excluded notes leave the ranking after it is cut to top_k plus their number. Document frequencies are those of
     all segments, hidden and out of scope too, as terms are kept before notes are filtered.
     """
-    terms = query_terms(bank)
-    kept = checkpoint(prune(terms, frequency(terms, segments, postings), policy))
-    told = F.array_join(F.collect_list(F.when(F.col("df") > 0, F.col("term"))), "")
-    asked = kept.groupBy("query_id").agg(F.least(F.count("*"), F.lit(MIN_SHARED)).alias("floor"), told.alias("held")).where("held <> ''")
+    few = _carried(task_terms(bank))
+    if few is None:
+        terms = query_terms(bank)
+        kept = checkpoint(prune(terms, frequency(terms, segments, postings), policy))
+        told = F.array_join(F.collect_list(F.when(F.col("df") > 0, F.col("term"))), "")
+        asked = kept.groupBy("query_id").agg(F.least(F.count("*"), F.lit(MIN_SHARED)).alias("floor"), told.alias("held"), F.count(F.when(F.col("df") > 0, True)).alias("size")).where("held <> ''")
+        some = kept.where("df > 0").select("term", "df").distinct()
+        queries, size = kept.select("query_id").distinct().count(), some.agg(F.sum("df")).first()[0] or 0
+    else:
+        df = carried_frequency(few, segments, postings)
+        asked = checkpoint(pruned(bank, df, policy))
+        some = _held_terms(asked)
+        queries, size = asked.count(), sum(df[t] for t in some)
     extra = None if exclude is None else exclude.groupBy("query_id").agg(F.count("*").alias("extra"))
     most = F.lit(max(top_k, 0)).cast("long")
     asked = asked.withColumn("most", most) if extra is None else asked.join(extra, "query_id", "left").withColumn("most", most + F.coalesce("extra", F.lit(0))).drop("extra")
     where = segments if not hidden else segments.where(~F.col("source").isin(*hidden))
     if scope is not None:
         where = where.join(scope.select("note_id"), "note_id", "left_semi")
-    some = kept.where("df > 0").select("term", "df").distinct()
-    size = some.agg(F.sum("df")).first()[0] or 0
-    best = best_overlaps(asked, packed(some, where, postings), kept.select("query_id").distinct().count(), size)
+    if few is None or postings is not None:
+        best = best_overlaps(asked, packed(some.select("term").distinct() if few is None else _told(segments, some), where, postings), queries, size)
+    else:
+        early = _early(segments) if size >= 2 * LEAST_POSTINGS else None
+        parts = [where] if early is None else [where.where(F.col("note_id") > early), where.where(F.col("note_id") <= early)]
+        best = best_overlaps(_numbered(asked, some), packed_trigrams(parts[0], some), queries, size, *(packed_trigrams(p, some) for p in parts[1:]))
     order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "note_id")
     ranked = best.withColumn("rank", F.row_number().over(order))
     if exclude is None:

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -347,3 +348,68 @@ def test_no_row_is_made_per_query_and_segment(spark, monkeypatch):
     got = fuzzy.fuzzy(bank(spark, *["the same words"] * 100), segs, 3)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Explode" not in plan.split("FlatMapCoGroups")[0] and got.count() == 300 and made[0].count() == 300
+
+
+@pytest.mark.parametrize("least", [1 << 18, 40])
+def test_early_notes_and_repeated_queries_equal_brute_force(spark, monkeypatch, least):
+    for module, values in ((overlap, {"SHARD_POSTINGS": 300, "BLOCK_QUERIES": 5, "WIDTH": 64, "FIRST_WIDTH": 64, "STEP": 3, "LEAST_POSTINGS": least, "EARLY": 0.3}), (fuzzy, {"LEAST_POSTINGS": least, "EARLY": 0.3})):
+        for name, value in values.items():
+            monkeypatch.setattr(module, name, value)
+    met = []
+    ours = fuzzy.best_overlaps
+    monkeypatch.setattr(fuzzy, "best_overlaps", lambda asked, held, *n: met.append(len(n)) or ours(asked, held, *n))
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcé", k=n))
+    rows = [(s, rng.choice([7, s // 4 - 20]), "vlm" if s % 9 == 0 else "field", str(s), word(rng.randrange(0, 14))) for s in range(400)]  # a quarter in one note
+    segs = spark.createDataFrame(rows, "seg_id long, note_id long, source string, ref string, text string")
+    asked = [(f"q{i % 20}", word(rng.randrange(2, 8))) for i in range(26)] + [("q0", None), ("none", "xyz")]  # some queries have two texts
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    held = {s: grams(t) for s, _, _, _, t in rows}
+    own = {q: set().union(*(grams(t or "") for p, t in asked if p == q)) for q, _ in asked}
+    want = []
+    for q, terms in own.items():
+        df = {g: sum(g in x for x in held.values()) for g in terms}
+        kept = model_prune(list(df), df, fuzzy.PrunePolicy())
+        best = {}
+        for s, n, source, _, _ in rows:
+            if (o := len(held[s] & set(kept))) >= max(1, min(2, len(kept))) and source != "vlm":
+                best[n] = max(best.get(n, (0, 0)), (o, -s))
+        want += [(q, n, s, -o, at) for at, (o, n, s) in enumerate(sorted((-o, n, -s) for n, (o, s) in best.items())[:4], 1)]
+    got = fuzzy.fuzzy(spark.createDataFrame(asked, "query_id string, text string"), segs, 4)
+    assert sorted((r.query_id, r.note_id, r.seg_id, r.overlap, r["rank"]) for r in got.collect()) == sorted(want)
+    assert met == [3 if least == 40 else 2]
+
+
+def test_a_task_holds_some_segments_however_many_there_are():
+    def peak(n):
+        rng = random.Random(4)
+        names = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(300)]
+        tracemalloc.start()
+        meeting = overlap.Meeting(["".join(rng.sample(names, 6)) for _ in range(500)], [1] * 500, [3] * 500)
+        for low in range(0, n, 500):
+            meeting.add(list(range(low, low + 500)), list(range(low, low + 500)), ["".join(rng.sample(names, 60)) for _ in range(500)])
+        rows = sum(len(x[0]) for x in meeting.best())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == 1500
+        return most
+
+    assert peak(120_000) < 1.2 * peak(40_000) < 60e6
+
+
+def test_a_bank_of_queries_makes_no_row_per_term(spark):
+    rows = [(s, s, "field", "a", f"the same words and number {s}") for s in range(50)]
+    segs = spark.createDataFrame(rows, "seg_id long, note_id long, source string, ref string, text string")
+    asked = fuzzy.pruned(bank(spark, *[f"the same words as in number {i}" for i in range(40)]), {"the": 50, "he ": 50, "sam": 49}, fuzzy.PrunePolicy())
+    assert {(r.held, r.size, r.floor) for r in asked.collect()} == {("samhe the", 3, 2)}
+    assert "Window" not in asked._jdf.queryExecution().optimizedPlan().toString()
+    assert fuzzy.fuzzy(bank(spark, "the same words"), segs, 3).count() == 3
+
+
+@pytest.mark.parametrize("most", [3, 1 << 21])
+def test_coded_numbers_come_back(most):
+    rng = random.Random(3)
+    lists = [sorted(rng.sample(range(most), rng.randrange(0, 4 if most < 9 else 30))) for _ in range(200)] + [[0, most - 1], [most - 1], []]
+    of, numbers = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([n for x in lists for n in x], dtype=np.int64)
+    back = text.decoded(text.coded(of, numbers, len(lists)).to_pylist())
+    assert (back[0] == of).all() and (back[1] == numbers).all()
